@@ -1,19 +1,26 @@
 """Queries and SQL of the corpus operators, for the entry module."""
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_simhash_groups": simhash.op2_simhash_groups,
+        "op3_host_quality": quality.op3_host_quality,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_sentencepiece": sentencepiece_ops.op7_sentencepiece,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+        "op10_url_aliases": url_filter.op10_url_aliases,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_mix_sources": mixing.OP1_SQL,
+        "op3_host_quality": quality.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op8_rendezvous_sharding": sharding.OP8_SQL,
+        "op10_url_aliases": url_filter.OP10_SQL,
     }
