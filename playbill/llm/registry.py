@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for the entry module."""
 
-from . import exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, toxicity, url_filter
+from . import exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op2_simhash_groups": simhash.op2_simhash_groups,
         "op3_host_quality": quality.op3_host_quality,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sentencepiece": sentencepiece_ops.op7_sentencepiece,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
@@ -21,6 +22,7 @@ def oracle_sql() -> dict:
         "op1_mix_sources": mixing.OP1_SQL,
         "op3_host_quality": quality.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op8_rendezvous_sharding": sharding.OP8_SQL,
         "op10_url_aliases": url_filter.OP10_SQL,
     }
