@@ -192,6 +192,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
     return scored.select(F.col("_k").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model, position: int) -> Iterator[pa.RecordBatch]:
+    weights = np.frombuffer(model.value, np.float32)
+    values, bias = Remembered(lambda word: float(weights[parts(word)].sum(dtype=np.float64))), float(weights[-1])
+    for batch in batches:
+        keep = [score_text(t.as_py() or "", values, bias)[0] < 0.5 for t in batch.column(position)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of docs, all columns, with a score under 0.5; rows stay where they are."""
+    weights = train_toxicity(docs, labels, Workspace(docs.sparkSession, "toxicity"), key, text, label)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    return docs.mapInArrow(partial(_clean, model=model, position=docs.columns.index(text)), docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learnt: crc32 of the key as text divisible by 5."""
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
