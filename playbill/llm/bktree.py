@@ -1,17 +1,20 @@
-"""BK-trees over 64-bit fingerprints, many at once, as arrays."""
+"""BK-trees over fingerprints of one or more 64-bit numbers, many at once, as arrays."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A node's children are found by node * SLOTS + distance.
-SLOTS = 65
 #: Pairs of query and node that are looked at together.
 FRONTIER = 2_000_000
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows of a and b."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class Forest:
-    """One BK-tree for each run of equal `tree` numbers; `prints` must differ inside a tree.
+    """One BK-tree for each run of equal `tree` numbers; the rows of `prints` must differ inside a tree.
 
     The first fingerprint of a tree is its root. Level by level, the fingerprints below a node part
     by their Hamming distance to it; the first of each part becomes the child at that distance.
@@ -19,6 +22,8 @@ class Forest:
 
     def __init__(self, tree: np.ndarray, prints: np.ndarray):
         self.prints = prints
+        #: A node's children are found by node * width + distance.
+        self.width = 64 * prints.shape[1] + 1
         first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if len(tree) else np.zeros(0, np.int64)
         self.root_of_tree = dict(zip(tree[first].tolist(), first.tolist(), strict=True))
         at = np.repeat(first, np.diff(np.r_[first, len(tree)]))
@@ -26,7 +31,7 @@ class Forest:
         at = at[waiting]
         keys, nodes = [], []
         while len(waiting):
-            slot = at * SLOTS + np.bitwise_count(prints[waiting] ^ prints[at])
+            slot = at * self.width + distance(prints[waiting], prints[at])
             order = np.argsort(slot, kind="stable")
             waiting, slot = waiting[order], slot[order]
             starts = np.r_[True, slot[1:] != slot[:-1]]
@@ -55,12 +60,12 @@ class Forest:
             q = np.flatnonzero((block == b) & (roots >= 0))
             v = roots[q]
             while len(q):
-                d = np.bitwise_count(queries[q] ^ self.prints[v]).astype(np.int64)
+                d = distance(queries[q], self.prints[v])
                 hit = d <= radius
                 if hit.any():
                     yield q[hit], v[hit]
-                low = np.searchsorted(self.slots, v * SLOTS + np.maximum(d - radius, 0))
-                high = np.searchsorted(self.slots, v * SLOTS + np.minimum(d + radius, 64), "right")
+                low = np.searchsorted(self.slots, v * self.width + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.slots, v * self.width + np.minimum(d + radius, self.width - 1), "right")
                 n = high - low
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 q, v = np.repeat(q, n), self.nodes[np.repeat(low, n) + step]

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .segmentation import Lattices, sample_segmentations
 
@@ -87,7 +88,7 @@ def decode(df: DataFrame, ids: str = "ids", model_path: str | None = None) -> Da
     """df with the column decoded: the text of its ids (null for null)."""
     with open(model_path or default_model(), "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    schema = df.schema.add("decoded", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
     return df.mapInArrow(partial(_decode, model=model, position=df.columns.index(ids)), schema)
 
 

@@ -9,16 +9,22 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, join_groups
+from .chunks import mix
 from .common import Workspace
 from .components import connected_components
 
 #: Two fingerprints at most RADIUS bits apart agree on all but RADIUS of BLOCKS blocks of bits.
 BLOCKS = 4
 RADIUS = 2
+#: Wide fingerprints, for similarities well below 1: bits, the radius that takes a similarity of 0.8
+#: (two sets of shingles with Jaccard similarity j differ in arccos(2j / (1 + j)) / pi of the bits: 39 of 256 at
+#: 0.8, with a deviation of 6), and the shards of a text: BANDS sets of BAND_ROWS least hashes.
+WIDE_BITS, WIDE_RADIUS = 256, 45
+BANDS, BAND_ROWS = 12, 3
 #: Fingerprints in a tree; a larger shard is dealt out over several trees, each asked by all of it.
 TREE_SIZE = 4096
 #: Shingles that are hashed at a time, so that long texts take bounded memory.
@@ -27,114 +33,160 @@ PIECE = 1 << 16
 TOGETHER = 50_000
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """A bit is set if it is set in over half of the hashes of the word shingles, repeats included.
-
-    A-Z count as lower case. Fewer words than a shingle has are one shingle; no words give zero.
-    """
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles in pieces. A-Z count as lower case; fewer words are one shingle."""
     w = text.lower().split()
-    if not w:
-        return 0
-    if len(w) < words:
-        return xxhash.xxh64_intdigest(b" ".join(w), seed)
+    if 0 < len(w) < words:
+        w, words = [b" ".join(w)], 1
     shingles = map(b" ".join, zip(*[islice(w, k, None) for k in range(words)], strict=False))
-    ones, n = np.zeros(64, np.int64), len(w) - words + 1
     while piece := list(map(xxhash.xxh64_intdigest, islice(shingles, PIECE), repeat(seed))):
-        bits = np.unpackbits(np.array(piece, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        yield np.array(piece, np.uint64)
+
+
+def lane(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Further hashes of the same shingles; number 0 gives them as they are."""
+    return mix(hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)) if number else hashes
+
+
+def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """64 bits a lane: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
+    ones, n = np.zeros((lanes, 64), np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        for i in range(lanes):
+            bits = np.unpackbits(np.ascontiguousarray(lane(h, i)).view(np.uint8), bitorder="little").reshape(-1, 64)
+            ones[i] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def bands(text: bytes, words: int) -> list[int]:
+    """BANDS numbers, each of BAND_ROWS least hashes of the shingles: similar texts share one."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for h in shingle_hashes(text, words):
+        for i in range(len(least)):
+            least[i] = min(least[i], lane(h, 100 + i).min())
+    rows = least.reshape(BANDS, BAND_ROWS)
+    out = rows[:, 0]
+    for j in range(1, BAND_ROWS):
+        out = mix(out + mix(rows[:, j]))
+    return out.view(np.int64).tolist()
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, lanes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        prints = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_k", "_f"])
+        texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
+        prints = [fingerprint(t, words, lanes).view(np.int64).tolist() for t in texts]
+        keys = [bands(t, words) if lanes > 1 else [] for t in texts]
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, longs), pa.array(keys, longs)], ["_k", "_f", "_bands"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (_g, _role, _f): for each shard _g, links of its fingerprints as stars."""
-    kept = [np.zeros(0, np.int64) for _ in range(3)]
+    """Sorted rows (_g, _role, _n, _f): for each shard _g, links of its nodes _n as stars."""
 
-    def linked(g, role, prints):
-        prints = prints.view(np.uint64)
+    def linked(g, role, n, prints):
         node, asks = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         forest, names = Forest(g[node], prints[node]), np.arange(len(g))
         for q, v in forest.within(g[asks], prints[asks], radius):
             names = join_groups(names, asks[q], node[v])
         far = np.flatnonzero(names != np.arange(len(g)))
-        a, b = prints[names[far]].view(np.int64), prints[far].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(n[names[far]]), pa.array(n[far])], ["a", "b"])
 
+    kept = None
     for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+        if not batch.num_rows:
+            continue
+        prints = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        new = [*(c.to_numpy() for c in batch.columns[:3]), prints]
+        kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
         if len(kept[0]) >= TOGETHER:
             whole = np.searchsorted(kept[0], kept[0][-1])  # the last shard may go on
             if whole:
                 yield linked(*[x[:whole] for x in kept])
                 kept = [x[whole:] for x in kept]
-    if len(kept[0]):
+    if kept is not None and len(kept[0]):
         yield linked(*kept)
 
 
-def near_links(prints: DataFrame, ws: Workspace, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Links a, b of distinct fingerprints (column _f) that join all at most radius bits apart.
-
-    Shards are the sets of fingerprints that agree on all but `radius` blocks, for each choice of
-    blocks; a fingerprint alone in its shard is left out. Each shard's tree is sent to all of the
-    shard: one of over tree_size fingerprints is dealt into chunks, and each pair of chunks is a
-    tree and its queries. So a task holds at most twice tree_size fingerprints of a shard. Of
-    fingerprints linked in a shard, a star of links is returned, not all pairs.
-    """
-    width = 64 // BLOCKS
-    masks = []
+def block_shards(radius: int) -> Column:
+    """Shards of a one-lane fingerprint: its bits outside `radius` blocks, for each choice of these."""
+    width, masks = 64 // BLOCKS, []
     for same in combinations(range(BLOCKS), BLOCKS - radius):
         mask = sum(((1 << width) - 1) << (width * i) for i in same)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    shard = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("_f").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
-    rows = prints.select("_f", shard.alias("_s")).select("_f", F.col("_s.t").alias("_t"), F.col("_s.k").alias("_m"))
-    sizes = rows.groupBy("_t", "_m").agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = rows.join(sizes, ["_t", "_m"])
-    parts = F.ceil(F.col("_n") / tree_size).cast("int")
-    rows = rows.withColumn("_parts", parts).withColumn("_c", F.pmod(F.xxhash64("_f"), F.col("_parts")).cast("int"))
+    return F.array(*[F.col("_f")[0].bitwiseAND(F.lit(m)) for m in masks])
+
+
+def near_links(nodes: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Links a, b of nodes that join all whose fingerprints share a shard and are at most radius apart.
+
+    nodes: _n (a number of its own for each), _f (its fingerprint, unlike all others), _shards (the
+    i-th number is its shard in table i). A node alone in its shard is left out. Each shard's tree
+    is sent to all of the shard: one of over tree_size nodes is dealt into chunks, and each pair of
+    chunks is a tree and its queries. So a task holds at most twice tree_size nodes of a shard.
+    Of nodes linked in a shard, a star of links is returned, not all pairs.
+    """
+    rows = nodes.select("_n", "_f", F.posexplode("_shards").alias("_t", "_m"))
+    sizes = rows.groupBy("_t", "_m").agg(F.count("*").alias("_c")).filter("_c > 1")
+    rows = rows.join(sizes, ["_t", "_m"]).withColumn("_parts", F.ceil(F.col("_c") / tree_size).cast("int"))
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_parts")).cast("int"))
     # Of the pair of chunks i <= j, those of i are the tree (role 0) and those of j ask (1); i = j: both (2).
     pair = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("long").alias("role"))
     c = F.col("_c")
     tree = F.transform(F.sequence(c, F.col("_parts") - 1), lambda j: pair(c, j, F.when(j == c, 2).otherwise(0)))
     ask = F.filter(F.transform(F.sequence(F.lit(0), c), lambda i: pair(i, c, F.lit(1))), lambda p: p["i"] < c)
-    dealt = rows.select("_f", "_t", "_m", F.explode(F.concat(tree, ask)).alias("_p"))
-    dealt = dealt.select(F.xxhash64("_t", "_m", "_p.i", "_p.j").alias("_g"), F.col("_p.role").alias("_role"), "_f")
+    dealt = rows.select("_n", "_f", "_t", "_m", F.explode(F.concat(tree, ask)).alias("_p"))
+    dealt = dealt.select(F.xxhash64("_t", "_m", "_p.i", "_p.j").alias("_g"), F.col("_p.role").alias("_role"), "_n", "_f")
     # The order inside a shard makes a task that is run again build the same trees.
-    dealt = dealt.repartition("_g").sortWithinPartitions("_g", "_role", "_f")
+    dealt = dealt.repartition("_g").sortWithinPartitions("_g", "_role", "_n")
     return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long").distinct()
 
 
+def _groups(docs: DataFrame, key: str, text: str, words: int, lanes: int, radius: int, shards: Column) -> DataFrame:
+    """_k, _f, component_id of each row."""
+    ws = Workspace(docs.sparkSession, "simhash")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    rows = ws.save(rows.mapInArrow(partial(_fingerprints, words=words, lanes=lanes), f"_k {kind}, _f array<long>, _bands array<long>"), "prints")
+    number = F.col("_f")[0] if lanes == 1 else F.xxhash64("_f")
+    # Rows with equal fingerprints are one node, in the shards of any of them.
+    nodes = rows.groupBy("_f").agg(F.min("_k").alias("_least"), F.first("_bands").alias("_bands")).withColumn("_n", number)
+    nodes = ws.save(nodes, "nodes")
+    names = connected_components(near_links(nodes.select("_n", "_f", shards.alias("_shards")), radius), ws)
+    named = nodes.join(names.withColumnRenamed("node", "_n"), "_n", "left")
+    least = named.filter("component is not null").groupBy("component").agg(F.min("_least").alias("_first"))
+    ids = named.join(least, "component", "left").select("_f", F.coalesce("_first", "_least").alias("component_id"))
+    return rows.join(ids, "_f").select("_k", "_f", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row for each input row: key, fingerprint (16 hex digits), component_id.
 
-    Fingerprints that differ in at most radius bits are linked; component_id is the smallest key
-    that links reach. Null and empty texts have fingerprint zero, linked like any other. Equal
-    fingerprints are one node, so groups of copies cost one row; repeated rows and ties share a
-    component; null keys are never the smallest unless alone. An empty table gives no rows; other
-    columns are ignored.
+    Fingerprints of 64 bits that differ in at most radius (under BLOCKS) are linked; component_id is the
+    smallest key that links reach. Shards are the fingerprints that agree on all but `radius`
+    blocks of bits, so none is missed. Null and empty texts have fingerprint zero, linked like any
+    other. Equal fingerprints are one node, so groups of copies cost one row; repeated rows and
+    ties share a component; null keys are never the smallest unless alone. An empty table gives no
+    rows; other columns are ignored.
     """
-    ws = Workspace(docs.sparkSession, "simhash")
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(partial(_fingerprints, words=words), f"_k {docs.schema[key].dataType.simpleString()}, _f long")
-    rows = ws.save(rows, "prints")
-    nodes = ws.save(rows.groupBy("_f").agg(F.min("_k").alias("_least")), "nodes")
-    names = connected_components(near_links(nodes.select("_f"), ws, radius), ws)
-    named = nodes.join(names.withColumnRenamed("node", "_f"), "_f", "left")
-    least = named.filter("component is not null").groupBy("component").agg(F.min("_least").alias("_first"))
-    node_ids = named.join(least, "component", "left").select("_f", F.coalesce("_first", "_least").alias("component_id"))
-    return rows.join(node_ids, "_f").select(
-        F.col("_k").alias(key), F.lower(F.lpad(F.hex("_f"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _groups(docs, key, text, words, 1, radius, block_shards(radius))
+    return found.select(F.col("_k").alias(key), F.lower(F.lpad(F.hex(F.col("_f")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row for each input row: key, component_id, for texts of similarity 0.8 or more.
+
+    Fingerprints have WIDE_BITS bits and link at radius or fewer differing ones, which a 64-bit one
+    can't tell from chance at such a similarity. Shards are texts with equal bands of least
+    hashes: two texts of similarity 0.8 share one of them with probability 0.9998. Other cases as in `near_duplicates`.
+    """
+    found = _groups(docs, key, text, words, WIDE_BITS // 64, radius, F.col("_bands"))
+    return found.select(F.col("_k").alias(key), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, whose key is the smallest of its group."""
-    gone = near_duplicates(docs, key, text, words, radius).filter(~F.col(key).eqNullSafe(F.col("component_id")))
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of docs, all columns, whose key is the smallest of its group of similar texts."""
+    gone = similar_texts(docs, key, text, words, radius).filter(~F.col(key).eqNullSafe(F.col("component_id")))
     return docs.join(gone.select(F.col(key).alias("_gone")).distinct(), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
 
 
