@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: The model is fitted on at most so many labelled rows, those of least hash of their key.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 #: Parts of words are hashed to so many weights, the first of which stays zero; a further one is the bias.
 WIDTH = 1 << 20
 #: A word counts as itself and by its beginnings of these lengths.
@@ -30,7 +30,7 @@ RIDGE = 2e-5
 #: Sentences from this score on are reported as offending.
 OFFENDING = 0.5
 #: Words remembered.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -84,9 +84,11 @@ def fit_noisy_or(numbers: np.ndarray, sentence: np.ndarray, document: np.ndarray
     n_docs, n_sent = len(labels), len(document)
     _, first, word = np.unique(numbers[:, 0], return_index=True, return_inverse=True)
     table = numbers[first]
+    del numbers
     pairs = np.unique(document[sentence] * len(first) + word) % max(len(first), 1)
-    flat = table[pairs].ravel()
-    enough = np.bincount(flat, minlength=WIDTH) >= LEAST_DOCUMENTS
+    found = np.bincount(pairs, minlength=len(first))  # documents that have the word
+    del pairs
+    enough = np.bincount(table.ravel(), np.repeat(found, table.shape[1]), WIDTH) >= LEAST_DOCUMENTS
     enough[0] = False
     used, compact = np.unique(np.where(enough[table], table, 0), return_inverse=True)
     compact = compact.reshape(table.shape)
@@ -119,9 +121,11 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     numbers = np.concatenate([*(np.asarray(x, np.int32) for x in rows["numbers"]), empty.astype(np.int32)]).reshape(-1, width)
     counts = np.concatenate([*(np.asarray(x, np.int64) for x in rows["counts"]), empty])
     document = np.repeat(np.arange(len(rows)), [len(x) for x in rows["counts"]])
+    labels = rows["label"].to_numpy()
+    del rows
     if not len(numbers):
         return pd.DataFrame({"weights": [_blank()]})
-    weights = fit_noisy_or(numbers, np.repeat(np.arange(len(counts)), counts), document, rows["label"].to_numpy())
+    weights = fit_noisy_or(numbers, np.repeat(np.arange(len(counts), dtype=np.int32), counts), document, labels)
     return pd.DataFrame({"weights": [weights.tobytes()]})
 
 
