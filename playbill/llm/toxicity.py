@@ -21,7 +21,7 @@ TRAINING_ROWS = 8_000
 WIDTH = 1 << 20
 #: A word counts as itself and by its beginnings of these lengths.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Parts in fewer training documents are not learnt.
+#: Parts whose words are in fewer training documents (one that has two counts twice) are not learnt.
 LEAST_DOCUMENTS = 3
 EPOCHS = 150
 RATE = 0.1
