@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _fold_table() -> tuple[str, str]:
     """Letters with a single ASCII base letter, and those letters."""
     source, target = "łŁøØđĐıİ", "lLoOdDiI"
@@ -96,8 +101,7 @@ def strip_noise(c: Column) -> Column:
     for pattern in (CYCLE_HEAD, FESTIVAL_TAIL, SEARCH_NOISE):
         s = F.regexp_replace(s, pattern, " ")
     s = F.regexp_replace(F.regexp_replace(s, r"\s{2,}", " "), r"[\s\-–—:,]+$", "")
-    s = F.trim(s)
-    return F.when(s == "", c).otherwise(s)
+    return let(F.trim(s), lambda x: F.when(x == "", c).otherwise(x))
 
 
 def matches_any(c: Column, patterns) -> Column:
@@ -108,7 +112,7 @@ def matches_any(c: Column, patterns) -> Column:
 
 
 def is_container(title: Column) -> Column:
-    return matches_any(strip_noise(title), CONTAINER)
+    return let(strip_noise(title), lambda s: matches_any(s, CONTAINER))
 
 
 def non_feature_reason(title: Column) -> Column:
@@ -120,16 +124,20 @@ def non_feature_reason(title: Column) -> Column:
 
 
 def miss_cause(title: Column, director: Column) -> Column:
-    shape = matches_any(title, CONTAINER_SHAPE) | matches_any(strip_noise(title), CONTAINER_SHAPE)
+    shape = matches_any(title, CONTAINER_SHAPE) | let(strip_noise(title), lambda s: matches_any(s, CONTAINER_SHAPE))
     return F.when(shape, "container-or-placeholder").when(F.length(F.trim(director)) > 0, "localized-title-miss").otherwise("unfixable")
 
 
 def suggested_keyword(title: Column) -> Column:
     """The first known keyword in the stripped title, in order of priority."""
-    s, out = strip_noise(title), F.lit(None).cast("string")
-    for word in reversed(SUGGESTED):
-        out = F.when(s.rlike(rf"(?iu)\b{word}\b"), word).otherwise(out)
-    return out
+
+    def first(s: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for word in reversed(SUGGESTED):
+            out = F.when(s.rlike(rf"(?iu)\b{word}\b"), word).otherwise(out)
+        return out
+
+    return let(strip_noise(title), first)
 
 
 def title_forms(c: Column) -> Column:
