@@ -95,6 +95,11 @@ class Chunks:
         hashes = self.table.agg(F.sum(F.size("anchors"))).first()[0] or 0
         self.buckets = max(buckets, hashes // BUCKET_HASHES + 1)
 
+    def tell(self, level: int, rows: DataFrame) -> None:
+        """Keeps an array of numbers (`places`) for each chunk as its answer at this level."""
+        answers = rows.select("chunk", F.lit(level).alias("level"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("flags"), "places")
+        self.answers = self.answers.unionByName(self.ws.save(answers, f"level{level}"))
+
     def _copies(self) -> DataFrame:
         """Which texts of a chunk equal an earlier one (by key, then chunk and place) or any other."""
         each = self.table.select("chunk", F.posexplode(F.arrays_zip("keys", "sha")).alias("i", "x")).select("chunk", "i", F.col("x.keys").alias("k"), F.col("x.sha").alias("sha"))
@@ -170,13 +175,14 @@ class Answers:
             else:
                 self.flags[x["level"], x["bucket"]] = np.unpackbits(np.frombuffer(x["flags"], np.uint8))
 
-    def of(self, level: int, hashes: np.ndarray, buckets: int) -> np.ndarray:
-        """The bits for the sorted hashes that were asked about at this level."""
+    def of(self, level: int, hashes: np.ndarray, buckets: int, width: int = 1) -> np.ndarray:
+        """The bits (`width` each) for the sorted hashes that were asked about at this level."""
         cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-        out = np.zeros(len(hashes), bool)
+        out = np.zeros((len(hashes), width), bool)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            out[cuts[b] : cuts[b + 1]] = self.flags[level, b][: cuts[b + 1] - cuts[b]]
-        return out
+            n = cuts[b + 1] - cuts[b]
+            out[cuts[b] : cuts[b + 1]] = self.flags[level, b][: n * width].reshape(n, width)
+        return out[:, 0] if width == 1 else out
 
 
 def unpacked(data: bytes) -> bytes:

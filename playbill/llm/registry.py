@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for the entry module."""
 
-from . import exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import byte_dedup, exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sentencepiece": sentencepiece_ops.op7_sentencepiece,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+        "op9_suffix_array_dedup": byte_dedup.op9_suffix_array_dedup,
         "op10_url_aliases": url_filter.op10_url_aliases,
     }
 
