@@ -79,7 +79,7 @@ WITH s AS (
 ), r AS (
   SELECT o_orderkey AS id, o_custkey % 13 AS source, o_orderdate AS started_at,
     CASE o_orderstatus WHEN 'F' THEN 'failure' WHEN 'O' THEN 'success' ELSE 'in-progress' END AS status,
-    CAST(o_totalprice AS INT) AS scraped, o_orderpriority AS warning
+    CAST(floor(o_totalprice) AS INT) AS scraped, o_orderpriority AS warning
   FROM orders
 )
 """
