@@ -56,13 +56,13 @@ def upsert_twice(spark, sf_dir):
 
 def _batch(spark, sf_dir):
     """Half of some venues' showings an hour later, one programme twice; venue 5's batch is empty."""
-    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 2 = 0").selectExpr("film_id", "venue_id", "starts_at + INTERVAL 1 HOUR AS starts_at", "program_name", "id AS feed_pos")
+    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0").selectExpr("film_id", "venue_id", "starts_at + INTERVAL 1 HOUR AS starts_at", "program_name", "id AS feed_pos")
     again = s.selectExpr("film_id", "venue_id", "starts_at", "'Again' AS program_name", "feed_pos + 1000000000 AS feed_pos").filter("feed_pos % 10 = 0")
     empty = spark.range(1).selectExpr("cast(NULL AS long) AS film_id", "5 AS venue_id", "cast(NULL AS timestamp_ntz) AS starts_at", "cast(NULL AS string) AS program_name", "0L AS feed_pos")
     return s.unionByName(again).unionByName(empty)
 
 
-BATCH = SQL + """, b AS (SELECT film_id, venue_id, starts_at + INTERVAL 1 HOUR AS starts_at, program_name, id AS pos FROM s WHERE venue_id % 4 = 1 AND venue_id <> 5 AND k % 2 = 0),
+BATCH = SQL + """, b AS (SELECT film_id, venue_id, starts_at + INTERVAL 1 HOUR AS starts_at, program_name, id AS pos FROM s WHERE venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0),
 i AS (SELECT * FROM b UNION ALL SELECT film_id, venue_id, starts_at, 'Again', pos + 1000000000 FROM b WHERE (pos + 1000000000) % 10 = 0)
 """
 
@@ -205,7 +205,7 @@ def catalog_projection(spark, sf_dir):
 
 @query("R-6 J-6 S-15 A-30", BATCH.replace("starts_at + INTERVAL 1 HOUR AS starts_at", "starts_at") + "SELECT venue_id, count(*) AS scraped, count(DISTINCT (film_id, starts_at)) AS distinct_rows FROM b GROUP BY 1 UNION ALL SELECT 5, 0, 0")
 def ingest_summary(spark, sf_dir):
-    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 2 = 0")
+    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0")
     rows = s.selectExpr("concat('T', film_id) AS scraped_title", "cast(NULL AS int) AS scraped_year", "venue_id", "starts_at", "program_name", "cast(NULL AS string) AS director", "cast(NULL AS int) AS runtime", "cast(NULL AS string) AS synopsis", "false AS skip", "cast(id AS int) AS feed_pos")
     empty = spark.range(1).selectExpr("cast(NULL AS string) AS scraped_title", "cast(NULL AS int) AS scraped_year", "5 AS venue_id", "cast(NULL AS timestamp_ntz) AS starts_at", "cast(NULL AS string) AS program_name", "cast(NULL AS string) AS director", "cast(NULL AS int) AS runtime", "cast(NULL AS string) AS synopsis", "false AS skip", "0 AS feed_pos")
     return C.ingest(_current(spark, sf_dir), screenings(spark, sf_dir), rows.unionByName(empty), NOW)["summary"]
