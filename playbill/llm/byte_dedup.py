@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,13 @@ DEPTH = 4
 
 _RNG = np.random.default_rng(20240115)
 _BYTES = [_RNG.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
+#: An odd factor of a rolling hash, and its inverse modulo 2 ** 64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)])[:n]
 
 
 class Strings:
@@ -39,9 +46,16 @@ class Strings:
         self.end_of = self.ends[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         self.gram = min(GRAM, length)
 
-    def hashes(self, lengths: list[int], table: int = 0):
+    def rolling(self, places: np.ndarray) -> np.ndarray:
+        """Other hashes of the strings at these places."""
+        n = len(self.bytes)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[1][self.bytes] * _powers(_FACTOR, n), out=sums[1:])
+        return mix((sums[places + self.length] - sums[places]) * _powers(_INVERSE, n)[places])
+
+    def hashes(self, lengths: list[int]):
         """For each length (rising), hashes of the strings at all places that have room in the chunk."""
-        now, span = _BYTES[table][self.bytes], 1
+        now, span = _BYTES[0][self.bytes], 1
         for want in lengths:
             while span < want:
                 step = min(span, want - span)
@@ -102,8 +116,7 @@ class Survivors:
     def __init__(self, row: dict, length: int, buckets: int):
         self.answers = Answers(row["answers"])
         self.s = s = Strings(unpacked(row["data"]), row["sizes"], length)
-        hashes = list(s.hashes([s.gram, length]))
-        self.h, self.string = hashes
+        self.h = next(s.hashes([s.gram]))
         self.sparse, whole, self.anchor = s.places(self.h)
         live_doc = ~np.isin(np.arange(len(s.sizes)), self.answers.places[LATER])
         used = np.unique(np.concatenate([self.sparse, self.anchor[whole]]))
@@ -165,18 +178,24 @@ class Survivors:
         new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         count = np.diff(np.r_[first, len(a)])
-        b, e = self.starts[ok[first]], self.starts[ok[first + count - 1]] if len(first) else np.zeros(0, np.int64)
+        i, j = ok[first], ok[first + count - 1]
+        b, e = self.starts[i], self.starts[j]
         # Strings of one anchor start within a string's length of each other, so the outer two cover the stretch.
         solid = e - b == count - 1
         span = mix((e - b).astype(np.uint64))
-        g = self.second()
-        h, g = pair(pair(self.string[b], self.string[e]), span), pair(pair(g[b], g[e]), span)
+        h, g = pair(pair(self.string[b], self.string[e]), span), pair(pair(self.second[i], self.second[j]), span)
         return ok, first[solid], count[solid], h[solid], g[solid]
 
+    @cached_property
+    def string(self) -> np.ndarray:
+        """Hashes of the strings at all places."""
+        (h,) = self.s.hashes([self.s.length])
+        return h
+
+    @cached_property
     def second(self) -> np.ndarray:
-        if not hasattr(self, "_second"):
-            self._second = list(self.s.hashes([self.s.length], table=1))[0]
-        return self._second
+        """Other hashes of the strings at self.starts."""
+        return self.s.rolling(self.starts)
 
 
 def _symbols(batches, length: int, buckets: int):
@@ -277,7 +296,7 @@ def _ask_strings(batches, length: int, buckets: int):
             x = Survivors(row, length, buckets)
             _, compare = _open_strings(x, buckets)
             at = x.starts[compare]
-            out = _sent(row["chunk"], x.string[at], x.second()[at], buckets)
+            out = _sent(row["chunk"], x.string[at], x.second[compare], buckets)
             if out:
                 yield out
 
@@ -289,7 +308,7 @@ def _remove(batches, length: int, buckets: int):
             s, gone = x.s, None
             settled, compare = _open_strings(x, buckets)
             at = x.starts[compare]
-            first, number, counts = _unique(x.string[at], x.second()[at])
+            first, number, counts = _unique(x.string[at], x.second[compare])
             twice = ((counts > 1) | x.answers.of(STRINGS, x.string[at][first], buckets))[number] if len(at) else np.zeros(0, bool)
             starts = np.concatenate([x.starts[settled], at[twice]])
             edge = np.zeros(len(s.bytes) + 1, np.int32)

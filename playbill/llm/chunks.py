@@ -31,14 +31,26 @@ CHUNK_SCHEMA = "chunk long, keys array<long>, sizes array<int>, n array<int>, sh
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    return _mixed(x.copy())
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """mix, in place: large arrays are slow to make."""
+    t = x >> np.uint64(33)
+    for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
+        x ^= t
+        x *= factor
+        np.right_shift(x, np.uint64(33), out=t)
+    x ^= t
+    return x
 
 
 def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The hash of two parts, from their hashes."""
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right + np.uint64(1))
+    x = left * np.uint64(0x9E3779B97F4A7C15)
+    x += right
+    x += np.uint64(1)
+    return _mixed(x)
 
 
 def least_in_window(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
