@@ -63,6 +63,7 @@ class Lattices:
                 self.bytes_of[i] = bytes([b])
         self.n_pieces = n
         self.fallback: list[tuple[int, ...]] = []
+        self.known_fallbacks = -1
         self.fallback_of: dict[str, int] = {}
         self._empty()
 
@@ -91,17 +92,22 @@ class Lattices:
     def _empty(self) -> None:
         self.root: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.key, self.to, self.token = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.p, self.q = np.zeros(1 << 16), np.zeros(1 << 16)  # chance of an edge at its node, and of the others
+        size = 1 << 16
+        self.first = np.zeros(size, np.int32)  # each node's first edge, and the end of the last one's
+        self.to, self.token, self.at = (np.zeros(size, np.int32) for _ in range(3))
+        self.p, self.q, self.upto = (np.zeros(size) for _ in range(3))  # chance of an edge at its node, of the others, of those up to it
 
     def _single(self, ch: str) -> tuple[float, int]:
         """Weight and token of a character that is no piece: its bytes, or the unknown piece."""
         t = self.fallback_of.get(ch)
         if t is None:
             ids = tuple(self.byte_id[b] for b in ch.encode("utf-8", "replace"))
-            t = self.fallback_of[ch] = self.n_pieces + len(self.fallback)
-            self.fallback.append((self.unknown,) if None in ids else ids)
-        ids = self.fallback[t - self.n_pieces]
+            if None in ids:
+                ids = (self.unknown,)
+            t = self.fallback_of[ch] = ids[0] if len(ids) == 1 else self.n_pieces + len(self.fallback)
+            if len(ids) > 1:
+                self.fallback.append(ids)
+        ids = (t,) if t < self.n_pieces else self.fallback[t - self.n_pieces]
         return (self.worst if ids == (self.unknown,) else sum(self.weight[i] for i in ids)), t
 
     def _add(self, words: list[str]) -> None:
@@ -152,30 +158,33 @@ class Lattices:
             total[e] = weight[e] + np.where(last[e], 0.0, rest[to[e]])
             rest[nodes] = np.logaddexp.reduceat(total[e], starts)
         p = np.exp(total - rest[from_])
+        order = np.lexsort((-p, from_))  # the likeliest edge of a node comes first
+        from_, to, token, last, p = from_[order], to[order], token[order], last[order], p[order]
         starts, counts = first[:-1], np.diff(first)
         cum = np.cumsum(p)
         cum -= np.repeat(cum[starts] - p[starts], counts)
-        cum = np.minimum(cum, 1.0)
-        cum[first[1:] - 1] = 1.0
-        sums = np.repeat(np.add.reduceat(p, starts), counts)
-        q = np.where(np.repeat(counts, counts) == 1, 0.0, sums - p)
-        for e in np.flatnonzero((p > 0.999) & (q != 0.0)).tolist():  # where the difference has no digits left
-            low, high = first[from_[e]], first[from_[e] + 1]
-            q[e] = p[low:e].sum() + p[e + 1 : high].sum()
-        m = self.n_edges + len(from_)
-        size = len(self.key)
-        while m > size:
-            size *= 2
-        if size > len(self.key):
-            for name in ("key", "to", "token", "p", "q"):
-                x = getattr(self, name)
-                setattr(self, name, np.concatenate([x, np.zeros(size - len(x), x.dtype)]))
+        cum[first[1:] - 1] = 2.0
+        # An edge that leads has the sum of the others exactly, however small it is.
+        leads = p > 0.5
+        others = np.repeat(np.add.reduceat(np.where(leads, 0.0, p), starts), counts)
+        q = np.where(leads, others, np.repeat(np.add.reduceat(p, starts), counts) - p)
+        q[np.repeat(counts, counts) == 1] = 0.0
+        m, nodes = self.n_edges + len(from_), self.n_nodes + n
+        self._room(m, ("to", "token", "at", "p", "q", "upto"))
+        self._room(nodes + 1, ("first",))
         new = slice(self.n_edges, m)
-        self.key[new], self.to[new] = self.n_nodes + from_ + cum, np.where(last, END, self.n_nodes + to)
-        self.token[new], self.p[new], self.q[new] = token, p, q
+        self.to[new] = np.where(last, END, self.n_nodes + to)
+        self.token[new], self.at[new], self.p[new], self.q[new], self.upto[new] = token, self.n_nodes + from_, p, q, cum
+        self.first[self.n_nodes : nodes + 1] = self.n_edges + first
         self.root.update(zip(words, (self.n_nodes + np.cumsum(lengths) - lengths).tolist(), strict=True))
         self.n_nodes, self.n_edges = self.n_nodes + n, m
 
+    def _room(self, n: int, names: tuple[str, ...]) -> None:
+        for name in names:
+            x = getattr(self, name)
+            if n > len(x):
+                setattr(self, name, np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)]))
+
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the first node of each of its words."""
         found = [self.word.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
@@ -187,7 +196,13 @@ class Lattices:
         return [np.fromiter(map(root.__getitem__, own), np.int64, len(own)) for own in found]
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.key[: self.n_edges], nodes + u, "right")
+        """An edge of each node."""
+        e = self.first[nodes]
+        more = np.flatnonzero(u >= self.upto[e])
+        while len(more):
+            e[more] += 1
+            more = more[u[more] >= self.upto[e[more]]]
+        return e
 
     def walk(self, seeds: np.ndarray, doc: np.ndarray, place: np.ndarray, nodes: np.ndarray):
         """Edges drawn from each node to its word's end, with their text and word, in order of both."""
@@ -210,13 +225,14 @@ class Lattices:
         tokens = self.token[edges]
         if not len(tokens) or tokens.max() < self.n_pieces:
             return tokens.astype(np.int32)
-        flat: list[int] = []
-        for t in tokens.tolist():
-            if t < self.n_pieces:
-                flat.append(t)
-            else:
-                flat += self.fallback[t - self.n_pieces]
-        return np.array(flat, np.int32)
+        if self.known_fallbacks != len(self.fallback):
+            self.known_fallbacks = len(self.fallback)
+            lengths = [len(x) for x in self.fallback]
+            self.run_length = np.concatenate([np.ones(self.n_pieces, np.int64), lengths]).astype(np.int64)
+            self.run_start = np.cumsum(self.run_length) - self.run_length
+            self.run_ids = np.concatenate([np.arange(self.n_pieces), *map(np.array, self.fallback)]).astype(np.int32)
+        n = self.run_length[tokens]
+        return self.run_ids[np.arange(n.sum()) + np.repeat(self.run_start[tokens] - np.cumsum(n) + n, n)]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
@@ -287,8 +303,8 @@ def sample_segmentations(lat: Lattices, texts: list[str], keys: list[str], k: in
         for i in active.tolist():
             g_i, _, path, place, j, prefix, used = heapq.heappop(heaps[i])
             bounds[i] = -g_i
-            node = math.ceil(lat.key[path[j]]) - 1
-            low, high = np.searchsorted(lat.key[: lat.n_edges], [node, node + 1], "right")
+            node = lat.at[path[j]]
+            low, high = lat.first[node], lat.first[node + 1]
             p = lat.p[low:high].copy()
             p[np.array(used) - low] = 0.0
             e = min(int(np.searchsorted(np.cumsum(p), turn[i] * p.sum(), "right")), int(np.flatnonzero(p)[-1]))
