@@ -217,6 +217,7 @@ def _common_prefixes(chunks: Chunks, length: int) -> DataFrame:
     symbols = ws.save(chunks.each(columns, partial(_symbols, length=length, buckets=chunks.buckets), "chunk long, i long, sym long, ahead array<long>"), "symbols")
     sizes = running(symbols.groupBy("chunk").agg(F.count("*").alias("n")), ["chunk"], ["n"], ws, "offsets").select("chunk", F.col("n_before").alias("offset"))
     placed = ws.save(symbols.join(sizes, "chunk").select("chunk", "i", (F.col("offset") + F.col("i")).alias("pos"), "sym", "ahead"), "string")
+    ws.drop("symbols")
     ranks = suffix_ranks(placed.select("pos", "sym"), ws, DEPTH)
     near = neighbours(ranks.join(placed.filter("ahead is not null").select("pos", "ahead"), "pos"), "ahead", ws)
     equal = lambda x: F.coalesce(F.nullif(F.array_position(F.zip_with("ahead", x, lambda a, b: F.coalesce(a == b, F.lit(False))), False), F.lit(0)) - 1, F.size("ahead"))
@@ -349,6 +350,8 @@ def remove_common_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id",
     b, columns = chunks.buckets, ["sizes", "data"]
     chunks.ask(GRAMS, ["anchors", "anchor_counts"], partial(_ask_grams, buckets=b), found_twice)
     chunks.tell(PREFIXES, _common_prefixes(chunks, length))
+    for done in ("string", "sa-o", "order", "offsets"):
+        ws.drop(done)
     chunks.ask(STRETCHES, columns, partial(_ask_stretches, length=length, buckets=b), _twice_and_first)
     chunks.ask(STRINGS, columns, partial(_ask_strings, length=length, buckets=b), _twice)
     kind = docs.schema[key].dataType.simpleString()

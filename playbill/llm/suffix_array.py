@@ -75,7 +75,10 @@ def suffix_ranks(s: DataFrame, ws: Workspace, depth: int, label: str = "sa") ->
     third = running(names.groupBy("name").agg(F.count("*").alias("c")), ["name"], ["c"], ws, f"{label}-c").select("name", F.col("c_before").alias("less"))
     out = ranked.join(first, ["sym", "name1"], "left").join(second, ["sym", "sym1", "name2"], "left").join(third, "name", "left")
     rank = F.when(F.col("m") == 0, F.col("a0") + F.col("a1") + F.col("b2")).when(F.col("m") == 1, F.col("less") + F.col("a0")).otherwise(F.col("less") + F.col("b0"))
-    return ws.save(out.select("pos", rank.alias("rank")), f"{label}-o")
+    out = ws.save(out.select("pos", rank.alias("rank")), f"{label}-o")
+    for done in ("s", "t", "n", "r", "x", "d-o", "k", "a", "b", "c"):
+        ws.drop(f"{label}-{done}")
+    return out
 
 
 def neighbours(ranked: DataFrame, column: str, ws: Workspace, block: int = BLOCK) -> DataFrame:
