@@ -24,6 +24,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
             if not spark.sparkContext.getCheckpointDir():
