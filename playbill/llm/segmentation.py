@@ -15,8 +15,9 @@ import sentencepiece
 import xxhash
 
 SPACE_MARK = "▁"
+_MARK = SPACE_MARK.encode()
 #: Lattice nodes remembered before the store is emptied.
-STORED_NODES = 2_000_000
+STORED_NODES = 3_000_000
 END = -1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,7 +93,7 @@ class Lattices:
     def _empty(self) -> None:
         self.root: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        size = 1 << 16
+        size = 1 << 20  # zeros take no memory before they are written
         self.first = np.zeros(size, np.int32)  # each node's first edge, and the end of the last one's
         self.to, self.token, self.at = (np.zeros(size, np.int32) for _ in range(3))
         self.p, self.q, self.upto = (np.zeros(size) for _ in range(3))  # chance of an edge at its node, of the others, of those up to it
@@ -141,7 +142,7 @@ class Lattices:
             token.append(np.array([t for _, t in own]))
             weight.append(np.array([w for w, _ in own]))
         from_, to, token, weight = map(np.concatenate, (from_, to, token, weight))
-        order = np.lexsort((to, from_))
+        order = np.argsort(from_, kind="stable")
         from_, to, token, weight = from_[order], to[order], token[order], weight[order]
         first = np.searchsorted(from_, np.arange(n + 1))
         # log of the sum over segmentations from each place to its word's end, from the last places on
@@ -158,7 +159,7 @@ class Lattices:
             total[e] = weight[e] + np.where(last[e], 0.0, rest[to[e]])
             rest[nodes] = np.logaddexp.reduceat(total[e], starts)
         p = np.exp(total - rest[from_])
-        order = np.lexsort((-p, from_))  # the likeliest edge of a node comes first
+        order = np.argsort(from_ - 0.5 * p, kind="stable")  # the likeliest edge of a node comes first
         from_, to, token, last, p = from_[order], to[order], token[order], last[order], p[order]
         starts, counts = first[:-1], np.diff(first)
         cum = np.cumsum(p)
@@ -191,8 +192,8 @@ class Lattices:
         if self.n_nodes > STORED_NODES:
             self._empty()
         root = self.root
-        if new := list({w: None for own in found for w in own if w not in root}):
-            self._add(new)
+        if new := set().union(*found).difference(root):
+            self._add(sorted(new))
         return [np.fromiter(map(root.__getitem__, own), np.int64, len(own)) for own in found]
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -234,10 +235,18 @@ class Lattices:
         n = self.run_length[tokens]
         return self.run_ids[np.arange(n.sum()) + np.repeat(self.run_start[tokens] - np.cumsum(n) + n, n)]
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).replace(_MARK, b" ")
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        text = self.joined(ids).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def gives(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether the ids decode to the text."""
+        data = self.joined(ids)
+        return data[1:] == text if data.startswith(b" ") else data == text
+
 
 def lowered(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """Gumbel numbers at these log masses, given that they are at most bound."""

@@ -33,11 +33,12 @@ def _encode(batches: Iterator[pa.RecordBatch], model, k: int, alpha: float, rank
             texts = [x or "" for x in part.column(1).to_pylist()]
             drawn = sample_segmentations(lat, texts, [str(x) for x in part.column(0).to_pylist()], k, seed)
             for i, (text, (samples, bound)) in enumerate(zip(texts, drawn, strict=True)):
+                data = text.encode("utf-8", "replace")
                 for rank, (own, log_prob, perturbed) in enumerate(samples):
                     share = 1.0 if math.isinf(bound) else -math.expm1(-math.exp(min(log_prob - bound, 50.0)))
                     rows.append(i)
                     ids.append(own)
-                    facts.append((rank, log_prob, perturbed, share, lat.decode(own) == text))
+                    facts.append((rank, log_prob, perturbed, share, lat.gives(own, data)))
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
             cols = list(zip(*facts, strict=True)) or [()] * 5
