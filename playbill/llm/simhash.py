@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from hashlib import md5
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -20,11 +21,16 @@ from .components import connected_components
 #: Two fingerprints at most RADIUS bits apart agree on all but RADIUS of BLOCKS blocks of bits.
 BLOCKS = 4
 RADIUS = 2
-#: Wide fingerprints, for similarities well below 1: bits, the radius that takes a similarity of 0.8
-#: (two sets of shingles with Jaccard similarity j differ in arccos(2j / (1 + j)) / pi of the bits: 39 of 256 at
-#: 0.8, with a deviation of 6), and the shards of a text: BANDS sets of BAND_ROWS least hashes.
-WIDE_BITS, WIDE_RADIUS = 256, 45
+#: Wide fingerprints, for similarities well below 1: bits, and the radius within which a pair is looked at. Sets of
+#: shingles with Jaccard similarity j differ in arccos(2j / (1 + j)) / pi of the bits: 39 of 256 at 0.8 with a deviation
+#: of 6, and 48 where one has four shingles and the other these and a fifth; the radius is four deviations beyond that.
+WIDE_BITS, WIDE_RADIUS = 256, 73
+#: The shards of a text: BANDS sets of BAND_ROWS least hashes.
 BANDS, BAND_ROWS = 12, 3
+#: The similarity, as a fraction, from which two sets are linked.
+SIMILAR = (4, 5)
+#: Bytes of candidates' texts that are compared with each other or with as many others at once.
+CHUNK_BYTES = 8 << 20
 #: Fingerprints in a tree; a larger shard is dealt out over several trees, each asked by all of it.
 TREE_SIZE = 4096
 #: Shingles that are hashed at a time, so that long texts take bounded memory.
@@ -48,10 +54,10 @@ def lane(hashes: np.ndarray, number: int) -> np.ndarray:
     return mix(hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)) if number else hashes
 
 
-def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
-    """64 bits a lane: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
+def vote(pieces: Iterable[np.ndarray], lanes: int) -> np.ndarray:
+    """64 bits a lane: a bit is set if it is set in over half of the hashes, repeats included."""
     ones, n = np.zeros((lanes, 64), np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in pieces:
         n += len(h)
         for i in range(lanes):
             bits = np.unpackbits(np.ascontiguousarray(lane(h, i)).view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -59,26 +65,41 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def bands(text: bytes, words: int) -> list[int]:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
     """BANDS numbers, each of BAND_ROWS least hashes of the shingles: similar texts share one."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for h in shingle_hashes(text, words):
-        for i in range(len(least)):
-            least[i] = min(least[i], lane(h, 100 + i).min())
-    rows = least.reshape(BANDS, BAND_ROWS)
+    none = np.iinfo(np.uint64).max
+    rows = np.array([lane(hashes, 100 + i).min(initial=none) for i in range(BANDS * BAND_ROWS)]).reshape(BANDS, BAND_ROWS)
     out = rows[:, 0]
     for j in range(1, BAND_ROWS):
         out = mix(out + mix(rows[:, j]))
     return out.view(np.int64).tolist()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, lanes: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
-        prints = [fingerprint(t, words, lanes).view(np.int64).tolist() for t in texts]
-        keys = [bands(t, words) if lanes > 1 else [] for t in texts]
+        prints = [vote(shingle_hashes(t, words), 1).view(np.int64).tolist() for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], ["_k", "_f"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Of rows _k, _h, text: a digest of the set of shingles, its wide fingerprint and its bands."""
+    for batch in batches:
+        digests, prints, keys = [], [], []
+        for x in batch.column(2).cast(pa.binary()):
+            text = x.as_py() or b""
+            found = shingle_set(text, words)
+            digests.append(md5(found.tobytes()).digest())
+            prints.append(vote(shingle_hashes(text, words), WIDE_BITS // 64).view(np.int64).tolist())
+            keys.append(bands(found))
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, longs), pa.array(keys, longs)], ["_k", "_f", "_bands"])
+        columns = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(prints, longs), pa.array(keys, longs)]
+        yield pa.RecordBatch.from_arrays(columns, ["_k", "_h", "_d", "_f", "_bands"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -117,6 +138,30 @@ def block_shards(radius: int) -> Column:
     return F.array(*[F.col("_f")[0].bitwiseAND(F.lit(m)) for m in masks])
 
 
+def chunk_pairs(rows: DataFrame, group: list[str], node: str) -> DataFrame:
+    """rows with _g, _role: each group's rows are dealt by node into _parts chunks, and each pair of chunks is a _g.
+
+    Of the pair of chunks i <= j, those of i are the tree (role 0) and those of j ask (1); i = j: both (2).
+    """
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64(node), F.col("_parts")).cast("int"))
+    pair = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("long").alias("role"))
+    c = F.col("_c")
+    tree = F.transform(F.sequence(c, F.col("_parts") - 1), lambda j: pair(c, j, F.when(j == c, 2).otherwise(0)))
+    ask = F.filter(F.transform(F.sequence(F.lit(0), c), lambda i: pair(i, c, F.lit(1))), lambda p: p["i"] < c)
+    dealt = rows.withColumn("_p", F.explode(F.concat(tree, ask)))
+    return dealt.withColumn("_g", F.xxhash64(*group, "_p.i", "_p.j")).withColumn("_role", F.col("_p.role"))
+
+
+def shard_links(rows: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
+    """`near_links` of rows _n, _f, _t, _m: a node's shard _m in table _t; a node may be in several of a table."""
+    sizes = rows.groupBy("_t", "_m").agg(F.count("*").alias("_c")).filter("_c > 1")
+    rows = rows.join(sizes, ["_t", "_m"]).withColumn("_parts", F.ceil(F.col("_c") / tree_size).cast("int"))
+    dealt = chunk_pairs(rows, ["_t", "_m"], "_n").select("_g", "_role", "_n", "_f")
+    # The order inside a shard makes a task that is run again build the same trees.
+    dealt = dealt.repartition("_g").sortWithinPartitions("_g", "_role", "_n")
+    return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long").distinct()
+
+
 def near_links(nodes: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
     """Links a, b of nodes that join all whose fingerprints share a shard and are at most radius apart.
 
@@ -126,39 +171,114 @@ def near_links(nodes: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> Dat
     chunks is a tree and its queries. So a task holds at most twice tree_size nodes of a shard.
     Of nodes linked in a shard, a star of links is returned, not all pairs.
     """
-    rows = nodes.select("_n", "_f", F.posexplode("_shards").alias("_t", "_m"))
-    sizes = rows.groupBy("_t", "_m").agg(F.count("*").alias("_c")).filter("_c > 1")
-    rows = rows.join(sizes, ["_t", "_m"]).withColumn("_parts", F.ceil(F.col("_c") / tree_size).cast("int"))
-    rows = rows.withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_parts")).cast("int"))
-    # Of the pair of chunks i <= j, those of i are the tree (role 0) and those of j ask (1); i = j: both (2).
-    pair = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("long").alias("role"))
-    c = F.col("_c")
-    tree = F.transform(F.sequence(c, F.col("_parts") - 1), lambda j: pair(c, j, F.when(j == c, 2).otherwise(0)))
-    ask = F.filter(F.transform(F.sequence(F.lit(0), c), lambda i: pair(i, c, F.lit(1))), lambda p: p["i"] < c)
-    dealt = rows.select("_n", "_f", "_t", "_m", F.explode(F.concat(tree, ask)).alias("_p"))
-    dealt = dealt.select(F.xxhash64("_t", "_m", "_p.i", "_p.j").alias("_g"), F.col("_p.role").alias("_role"), "_n", "_f")
-    # The order inside a shard makes a task that is run again build the same trees.
+    return shard_links(nodes.select("_n", "_f", F.posexplode("_shards").alias("_t", "_m")), radius, tree_size)
+
+
+def alike(role: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Names (a member's number) of the groups that pairs of similarity SIMILAR or more make of sets in a pair of chunks."""
+    size, names = np.array([len(x) for x in sets]), np.arange(len(sets))
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    start, mark = np.cumsum(size) - size, np.zeros(len(known), bool)
+    top, of = SIMILAR
+    for q in np.flatnonzero(role != 0):
+        # Sizes alone rule out pairs; pairs in one group already need no link.
+        other = (role != 1) & (names != names[q]) & (of * np.minimum(size, size[q]) >= top * np.maximum(size, size[q]))
+        if role[q] == 2:
+            other[:q] = False
+        v = np.flatnonzero(other)
+        if not len(v):
+            continue
+        own = ids[start[q] : start[q] + size[q]]
+        mark[own] = True
+        first = np.cumsum(size[v]) - size[v]
+        at = np.arange(size[v].sum()) + np.repeat(start[v] - first, size[v])
+        common = np.add.reduceat(mark[ids[at]], first, dtype=np.int64)
+        mark[own] = False
+        v = v[of * common >= top * (size[q] + size[v] - common)]
+        names[np.isin(names, names[v])] = names[q]
+    return names
+
+
+def _alike(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (_g, _role, _n, text): links of the similar texts of each _g as stars."""
+
+    def linked(rows):
+        role, n, sets = zip(*rows, strict=True)
+        n, names = np.array(n, np.int64), alike(np.array(role), list(sets))
+        far = np.flatnonzero(names != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(n[names[far]]), pa.array(n[far])], ["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        texts = batch.column(3).cast(pa.binary())
+        for g, role, n, t in zip(*(c.to_pylist() for c in batch.columns[:3]), texts, strict=True):
+            if g != now:
+                if len(rows) > 1:
+                    yield linked(rows)
+                now, rows = g, []
+            rows.append((role, n, shingle_set(t.as_py() or b"", words)))
+    if len(rows) > 1:
+        yield linked(rows)
+
+
+def similar_links(texts: DataFrame, words: int, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Links a, b that join all texts (_n, _c, _t) of a group _c with similarity SIMILAR or more.
+
+    A group of over `chunk` bytes is dealt into chunks, and each pair of chunks is compared by itself.
+    """
+    sizes = texts.groupBy("_c").agg(F.sum(F.octet_length(F.coalesce("_t", F.lit("")))).alias("_bytes"))
+    sizes = sizes.select(F.col("_c").alias("_group"), F.greatest(F.ceil(F.col("_bytes") / chunk), F.lit(1)).cast("int").alias("_parts"))
+    rows = texts.withColumnRenamed("_c", "_group").join(sizes, "_group")
+    dealt = chunk_pairs(rows, ["_group"], "_n").select("_g", "_role", "_n", "_t")
     dealt = dealt.repartition("_g").sortWithinPartitions("_g", "_role", "_n")
-    return dealt.mapInArrow(partial(_links, radius=radius), "a long, b long").distinct()
+    return dealt.mapInArrow(partial(_alike, words=words), "a long, b long").distinct()
 
 
-def _groups(docs: DataFrame, key: str, text: str, words: int, lanes: int, radius: int, shards: Column) -> DataFrame:
+def _groups(docs: DataFrame, key: str, text: str, words: int, radius: int) -> DataFrame:
     """_k, _f, component_id of each row."""
     ws = Workspace(docs.sparkSession, "simhash")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
-    rows = ws.save(rows.mapInArrow(partial(_fingerprints, words=words, lanes=lanes), f"_k {kind}, _f array<long>, _bands array<long>"), "prints")
-    number = F.col("_f")[0] if lanes == 1 else F.xxhash64("_f")
-    # Rows with equal fingerprints are one node, in the shards of any of them.
-    nodes = rows.groupBy("_f").agg(F.min("_k").alias("_least"), F.first("_bands").alias("_bands")).withColumn("_n", number)
+    rows = ws.save(rows.mapInArrow(partial(_fingerprints, words=words), f"_k {kind}, _f array<long>"), "prints")
+    # Rows with equal fingerprints are one node.
+    nodes = rows.groupBy("_f").agg(F.min("_k").alias("_least")).withColumn("_n", F.col("_f")[0])
     nodes = ws.save(nodes, "nodes")
-    names = connected_components(near_links(nodes.select("_n", "_f", shards.alias("_shards")), radius), ws)
+    names = connected_components(near_links(nodes.select("_n", "_f", block_shards(radius).alias("_shards")), radius), ws)
     named = nodes.join(names.withColumnRenamed("node", "_n"), "_n", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min("_least").alias("_first"))
     ids = named.join(least, "component", "left").select("_f", F.coalesce("_first", "_least").alias("component_id"))
     return rows.join(ids, "_f").select("_k", "_f", "component_id")
 
 
+def _similar(docs: DataFrame, key: str, text: str, words: int, radius: int) -> DataFrame:
+    """_k, _h (md5 of the text), _first (the least _k with its _h that links reach, nulls last) of each row."""
+    ws = Workspace(docs.sparkSession, "similar")
+    kind = docs.schema[key].dataType.simpleString()
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    hashed = F.unhex(F.md5(raw))
+    rows = docs.select(F.col(key).alias("_k"), hashed.alias("_h"), raw.alias("_t"))
+    rows = ws.save(rows.mapInArrow(partial(_sets, words=words), f"_k {kind}, _h binary, _d binary, _f array<long>, _bands array<long>"), "sets")
+    # Rows with equal sets of shingles are one node; fingerprint and bands are functions of the set.
+    least = F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_h")).alias("_least")
+    nodes = rows.groupBy("_d").agg(least, F.min("_h").alias("_rep"), F.first("_f").alias("_f"), F.first("_bands").alias("_bands"))
+    nodes = ws.save(nodes.select("_d", "_least", "_rep", "_f", "_bands", F.xxhash64("_d").alias("_n"), F.xxhash64("_f").alias("_p")), "nodes")
+    # Candidates: fingerprints linked through shared bands, and equal ones.
+    prints = nodes.groupBy("_p", "_f").agg(F.first("_bands").alias("_bands"))
+    shards = prints.select(F.col("_p").alias("_n"), "_f", F.posexplode("_bands").alias("_t", "_m"))
+    loose = connected_components(shard_links(shards, radius), ws, "loose")
+    nodes = nodes.drop("_f", "_bands")
+    grouped = nodes.join(loose.withColumnRenamed("node", "_p"), "_p", "left").select("_n", "_rep", F.coalesce("component", "_p").alias("_c"))
+    several = grouped.groupBy("_c").agg(F.count("*").alias("_size")).filter("_size > 1").select("_c")
+    asked = ws.save(grouped.join(several, "_c", "left_semi"), "candidates")
+    texts = docs.select(hashed.alias("_rep"), raw.alias("_t")).join(asked, "_rep").dropDuplicates(["_rep"])
+    names = connected_components(similar_links(ws.save(texts, "texts"), words), ws, "alike")
+    ws.drop("texts")
+    named = nodes.join(names.withColumnRenamed("node", "_n"), "_n", "left")
+    first = named.filter("component is not null").groupBy("component").agg(F.min("_least").alias("_of_all"))
+    ids = named.join(first, "component", "left").select("_d", F.coalesce("_of_all", "_least").alias("_first"))
+    return rows.join(ids, "_d").select("_k", "_h", "_first")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row for each input row: key, fingerprint (16 hex digits), component_id.
 
@@ -169,19 +289,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ties share a component; null keys are never the smallest unless alone. An empty table gives no
     rows; other columns are ignored.
     """
-    found = _groups(docs, key, text, words, 1, radius, block_shards(radius))
+    found = _groups(docs, key, text, words, radius)
     return found.select(F.col("_k").alias(key), F.lower(F.lpad(F.hex(F.col("_f")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row for each input row: key, component_id, for texts of similarity 0.8 or more.
+    """One row for each input row: key, component_id, for texts whose sets of shingles have Jaccard similarity 0.8 or more.
 
-    Fingerprints have WIDE_BITS bits and link at radius or fewer differing ones, which a 64-bit one
-    can't tell from chance at such a similarity. Shards are texts with equal bands of least
-    hashes: two texts of similarity 0.8 share one of them with probability 0.9998. Other cases as in `near_duplicates`.
+    Candidates share one of BANDS bands of least hashes (two texts of similarity 0.8 do with probability
+    0.9998) and have wide fingerprints at most radius bits apart; groups of candidates are then compared
+    by their whole sets, and only pairs of similarity 0.8 or more are linked. Other cases as in `near_duplicates`.
     """
-    found = _groups(docs, key, text, words, WIDE_BITS // 64, radius, F.col("_bands"))
-    return found.select(F.col("_k").alias(key), "component_id")
+    return _similar(docs, key, text, words, radius).select(F.col("_k").alias(key), F.col("_first._k").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
