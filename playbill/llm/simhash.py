@@ -95,7 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             text = x.as_py() or b""
             found = shingle_set(text, words)
             digests.append(md5(found.tobytes()).digest())
-            prints.append(vote(shingle_hashes(text, words), WIDE_BITS // 64).view(np.int64).tolist())
+            prints.append(vote(np.array_split(found, len(found) // PIECE + 1), WIDE_BITS // 64).view(np.int64).tolist())
             keys.append(bands(found))
         longs = pa.list_(pa.int64())
         columns = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(prints, longs), pa.array(keys, longs)]
@@ -263,8 +263,7 @@ def _similar(docs: DataFrame, key: str, text: str, words: int, radius: int) -> D
     nodes = rows.groupBy("_d").agg(least, F.min("_h").alias("_rep"), F.first("_f").alias("_f"), F.first("_bands").alias("_bands"))
     nodes = ws.save(nodes.select("_d", "_least", "_rep", "_f", "_bands", F.xxhash64("_d").alias("_n"), F.xxhash64("_f").alias("_p")), "nodes")
     # Candidates: fingerprints linked through shared bands, and equal ones.
-    prints = nodes.groupBy("_p", "_f").agg(F.first("_bands").alias("_bands"))
-    shards = prints.select(F.col("_p").alias("_n"), "_f", F.posexplode("_bands").alias("_t", "_m"))
+    shards = nodes.select(F.col("_p").alias("_n"), "_f", F.posexplode("_bands").alias("_t", "_m")).distinct()
     loose = connected_components(shard_links(shards, radius), ws, "loose")
     nodes = nodes.drop("_f", "_bands")
     grouped = nodes.join(loose.withColumnRenamed("node", "_p"), "_p", "left").select("_n", "_rep", F.coalesce("component", "_p").alias("_c"))

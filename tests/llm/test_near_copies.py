@@ -1,6 +1,7 @@
 """Near copies against brute force at the threshold, with boilerplate, in chunks, and with null and repeated keys."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from playbill.llm import simhash
@@ -62,3 +63,24 @@ def test_links_of_a_group_in_chunks(spark, chunk):
         for a, b in links:
             names[a] = names[b] = min(names[a], names[b])
     assert names == brute_groups(texts) and len(set(names.values())) > 1
+
+
+def test_boilerplate_does_not_join_texts(spark):
+    line = " ".join(f"line{i}" for i in range(13))
+    own = {i: [f"d{i}w{j}" for j in range(104)] for i in range(12)}
+    own |= {20 + i: [*own[i][:-4], "e", "f", "g", "h"] for i in range(0, 12, 2)}
+    texts = {k: " ".join([line] * 40 + w) for k, w in own.items()}
+    texts |= {50 + i: " ".join([line] * 20 + [f"s{i}w{j}" for j in range(44)]) for i in range(12)}
+    out = dict(tuple(r) for r in simhash.similar_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert out == brute_groups(texts) and out[20] == 0 and len(set(out.values())) == 24
+
+
+def test_repeats_count_once_and_equal_prints_keep_all_bands(spark):
+    """A set's fingerprint doesn't depend on repeats; equal fingerprints of different sets are asked in the bands of each."""
+    some = " ".join(f"w{i}" for i in range(13))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"", b""]), pa.array([" ".join([some] * 3), " ".join([some] * 40)])], ["_k", "_h", "_t"])
+    one, many = next(simhash._sets(iter([batch]), 5)).to_pylist()
+    assert (one["_d"], one["_f"], one["_bands"]) == (many["_d"], many["_f"], many["_bands"])
+    rows = [(1, [0], 0, 7), (1, [0], 0, 8), (2, [1], 0, 8), (3, [3], 0, 7)]
+    links = simhash.shard_links(spark.createDataFrame(rows, "_n long, _f array<long>, _t int, _m long"), 2)
+    assert {frozenset(r) for r in links.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
