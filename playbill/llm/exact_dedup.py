@@ -55,9 +55,13 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which `exact_duplicates` keeps the key."""
-    gone = exact_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_gone"))
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs, all columns, that `exact_duplicates` keeps.
+
+    A row is told by its key and text, so that others of the same key, null or not, stay.
+    """
+    gone = exact_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_gone")) & F.sha2(normalised(F.col(text)), 256).eqNullSafe(F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

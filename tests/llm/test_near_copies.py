@@ -1,10 +1,12 @@
 """Near copies against brute force at the threshold, with boilerplate, in chunks, and with null and repeated keys."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from playbill.llm import simhash
+from playbill.llm import exact_dedup, simhash
 
 
 def shingles(text, words=5):
@@ -84,3 +86,15 @@ def test_repeats_count_once_and_equal_prints_keep_all_bands(spark):
     rows = [(1, [0], 0, 7), (1, [0], 0, 8), (2, [1], 0, 8), (3, [3], 0, 7)]
     links = simhash.shard_links(spark.createDataFrame(rows, "_n long, _f array<long>, _t int, _m long"), 2)
     assert {frozenset(r) for r in links.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_null_and_repeated_keys_with_texts_of_their_own_stay(spark):
+    words = [f"w{i}" for i in range(60)]
+    copied, near, own = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"o{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    for second, drop in ((copied, exact_dedup.drop_exact_duplicates), (near, simhash.drop_near_duplicates)):
+        rows = [(1, copied), (5, second), (5, own), (None, second), (None, other), (None, None), (7, "alone")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert Counter(tuple(r) for r in drop(docs).collect()) == Counter([(1, copied), (5, own), (None, other), (None, None), (7, "alone")])
+    nulls = spark.createDataFrame([(None, copied), (None, near), (None, own)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.drop_near_duplicates(nulls).collect()) in (sorted([own, copied]), sorted([own, near]))
