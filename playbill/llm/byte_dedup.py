@@ -3,361 +3,497 @@
 from __future__ import annotations
 
 import hashlib
-from functools import cached_property, partial
+import struct
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import DOUBLED, LATER, Answers, Chunks, by_bucket, found_twice, mix, pair, unpacked
+from .chunks import DOUBLED, LATER, Answers, Chunks, as_answers, bucket_of, by_bucket, each_row, found_twice, mix, unpacked, wanted
 from .common import Workspace
-from .suffix_array import neighbours, running, suffix_ranks
-
-#: Bytes of a gram. Grams whose hash is divisible by SPARSE are anchors; where a string has none, those by DENSE serve.
-GRAM, SPARSE, DENSE = 32, 64, 8
-#: Bytes of text in a chunk, unless one text is longer; each takes some 100 bytes of memory meanwhile.
+from .packed import OWN, SCHEMA, arrays_of, ask, each_chunk, joined, packed, packed_texts, ragged, texts_of
+from .suffix_array import BUCKET_ROWS, SHIFT, SMALL, Level, Splitters, merged, sample_ranks, suffix_splitters
+
+#: Bytes of a gram. Grams whose hash is low are anchors, so that equal bytes have equal anchors.
+GRAM = 8
+#: Anchors that a string has on average.
+ANCHORS = 12
+#: Grams that repeat with a period up to this are no anchors: they come in long runs.
+PERIOD = 4
+#: Bytes hashed at a time, so that they stay near the processor.
+SEGMENT = 1 << 17
+#: Bytes of text in a chunk, unless one text is longer.
 CHUNK_BYTES = 2 << 20
-#: Levels of answers: grams found twice, common prefixes, stretches around anchors, strings.
-GRAMS, PREFIXES, STRETCHES, STRINGS = 0, 1, 2, 3
-#: Recursions of the suffix order: 3 ** 5 symbols, more than a string has anchors.
-DEPTH = 4
-
-_RNG = np.random.default_rng(20240115)
-_BYTES = [_RNG.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
-#: An odd factor of a rolling hash, and its inverse modulo 2 ** 64.
-_FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)])[:n]
-
-
-class Strings:
-    """The bytes of a chunk's texts, hashes of grams and of strings of `length`, and anchors."""
-
-    def __init__(self, data: bytes, sizes: list[int], length: int):
-        self.length, self.bytes = length, np.frombuffer(data, np.uint8)
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
-        self.end_of = self.ends[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        self.gram = min(GRAM, length)
-
-    def rolling(self, places: np.ndarray) -> np.ndarray:
-        """Other hashes of the strings at these places."""
-        n = len(self.bytes)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[1][self.bytes] * _powers(_FACTOR, n), out=sums[1:])
-        return mix((sums[places + self.length] - sums[places]) * _powers(_INVERSE, n)[places])
-
-    def hashes(self, lengths: list[int]):
-        """For each length (rising), hashes of the strings at all places that have room in the chunk."""
-        now, span = _BYTES[0][self.bytes], 1
-        for want in lengths:
-            while span < want:
-                step = min(span, want - span)
-                n = max(len(now) - step, 0)
-                now, span = pair(now[:n], now[step : step + n]), span + step
-            yield now
-
-    def places(self, h: np.ndarray):
-        """Sparse anchors, and for each start of a whole string (where `whole` is set) its anchor: the
-        first sparse one inside it, else the first dense one, else the start."""
-        n = max(len(self.bytes) - self.length + 1, 0)
-        whole = np.arange(n) + self.length <= self.end_of[:n]
-        room = np.arange(len(h)) + self.gram <= self.end_of[: len(h)]
-        long = self.sizes[self.doc[: len(h)]] >= self.length
-        slack = self.length - self.gram
-        anchor = np.full(n, -1, np.int64)
-        sparse = np.flatnonzero((h % np.uint64(SPARSE) == 0) & room & long)
-        for places in (sparse, np.flatnonzero((h % np.uint64(DENSE) == 0) & room & long)):
-            left = np.flatnonzero(whole & (anchor < 0))
-            if len(places) and len(left):
-                i = np.searchsorted(places, left)
-                near = places[np.minimum(i, len(places) - 1)]
-                ok = (i < len(places)) & (near <= left + slack)
-                anchor[left[ok]] = near[ok]
-        bare = whole & (anchor < 0)
-        anchor[bare] = np.flatnonzero(bare)
-        return sparse, whole, anchor
+#: Symbols from this number on end a run, each of its own kind.
+END = 1 << 62
+#: Levels of answers: phrases found twice, runs of a chunk, matches, classes wanted, strings to compare, flags of these.
+PHRASES, RUNS, MATCHES, CLASSES, STRINGS, FLAGS = range(6)
+ORDER_SCHEMA = "bucket int, first array<long>, last array<long>, breaks array<long>, chunks array<long>, data binary"
+
+
+def words_at(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    return np.ndarray((max(len(data) - GRAM + 1, 0),), "<u8", data, 0, (1,))
+
+
+def anchors_of(data: bytes, length: int) -> np.ndarray:
+    """Places of anchors."""
+    limit, all_words, out = np.uint64((1 << 64) // max(4, length // ANCHORS)), words_at(data), []
+    for low in range(0, len(all_words), SEGMENT):
+        x = all_words[low : low + SEGMENT].copy()
+        h = x * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        at = np.flatnonzero(h < limit)
+        x, plain = x[at], np.ones(len(at), bool)
+        for period in range(1, PERIOD + 1):
+            shift = np.uint64(8 * period)
+            plain &= (x >> shift) != (x & np.uint64((1 << 8 * (GRAM - period)) - 1))
+        out.append(at[plain] + low)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def phrase_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from each begin to the gram at its end, that gram included."""
+    words, h, i, step = words_at(data), mix((end - begin).astype(np.uint64)), np.arange(len(begin)), 0
+    while len(i):
+        at = np.minimum(begin[i] + step, end[i])
+        h[i] = mix(h[i] * np.uint64(0x9E3779B97F4A7C15) ^ words[at])
+        i, step = i[at < end[i]], step + GRAM
+    return h
+
+
+class Places:
+    """Where texts and anchors of a chunk are. A phrase goes from an anchor to the end of the next one's gram."""
+
+    def __init__(self, sizes, anchors: np.ndarray, length: int):
+        self.ends = np.cumsum(np.array(sizes, np.int64))
+        self.starts = self.ends - np.array(sizes, np.int64)
+        doc = np.searchsorted(self.ends, anchors, "right")
+        inside = anchors + GRAM <= np.r_[self.ends, 0][doc]
+        self.at, self.doc = anchors[inside], doc[inside]
+        self.same = np.r_[self.doc[1:] == self.doc[:-1], False][: len(self.at)]  # the next anchor is of the same text
+        after = np.r_[self.at[1:], 0][: len(self.at)]
+        self.phrase = np.flatnonzero(self.same & (after + GRAM - self.at <= length))
 
 
 def describe(texts: list[bytes], length: int):
-    """Of each text: bytes, sha256, and hashes of the grams at all sparse anchors and other anchors in use."""
-    s = Strings(b"".join(texts), [len(t) for t in texts], length)
-    h = next(s.hashes([s.gram]))
-    sparse, whole, anchor = s.places(h)
-    used = np.unique(np.concatenate([sparse, anchor[whole]]))
-    return s.sizes.tolist(), [hashlib.sha256(t).hexdigest() for t in texts], h[used], np.bincount(s.doc[used], minlength=len(texts)).tolist()
-
-
-def _live(row: dict, answers: Answers) -> np.ndarray:
-    """Which hashes of the anchors column belong to texts that are no copies of an earlier one."""
-    doc = np.repeat(np.arange(len(row["anchor_counts"])), row["anchor_counts"])
-    return ~np.isin(doc, answers.places[LATER])
-
-
-def _ask_grams(batches, buckets: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            h = np.array(row["anchors"], np.int64).view(np.uint64)[_live(row, Answers(row["answers"]))]
-            hashes, counts = np.unique(h, return_counts=True)
-            out = by_bucket(row["chunk"], hashes, buckets, lambda a, b: np.packbits(counts[a:b] > 1).tobytes())  # noqa: B023
-            if out:
-                yield out
-
-
-class Survivors:
-    """A chunk's sparse anchors whose grams are found twice, as a string of symbols; and its strings that may repeat."""
-
-    def __init__(self, row: dict, length: int, buckets: int):
-        self.answers = Answers(row["answers"])
-        self.s = s = Strings(unpacked(row["data"]), row["sizes"], length)
-        self.h = next(s.hashes([s.gram]))
-        self.sparse, whole, self.anchor = s.places(self.h)
-        live_doc = ~np.isin(np.arange(len(s.sizes)), self.answers.places[LATER])
-        used = np.unique(np.concatenate([self.sparse, self.anchor[whole]]))
-        used = used[live_doc[s.doc[used]]]
-        asked, counts = np.unique(self.h[used], return_counts=True)
-        twice = (counts > 1) | self.answers.of(GRAMS, asked, buckets)
-        again = np.zeros(len(self.h), bool)
-        again[used] = twice[np.searchsorted(asked, self.h[used])]
-        self.sparse = self.sparse[live_doc[s.doc[self.sparse]]]
-        self.starts = np.flatnonzero(whole)
-        self.starts = self.starts[again[self.anchor[self.starts]]]
-        self.kept = self.sparse[again[self.sparse]]
-
-    def symbols(self):
-        """The string: a symbol for each kept anchor, made of its gram and of the way to the next anchor, and 0
-        between runs of neighbours; the place of each anchor in the string; and the symbols within reach of each."""
-        s, kept = self.s, self.kept
-        at = np.searchsorted(self.sparse, kept)  # numbers among all sparse anchors
-        following = np.minimum(at + 1, len(self.sparse) - 1)
-        joined = np.zeros(len(kept), bool)
-        if len(kept) > 1:
-            joined[:-1] = (at[1:] == at[:-1] + 1) & (s.doc[kept[1:]] == s.doc[kept[:-1]])
-        way = np.where(joined, self.sparse[following] - kept, 0) if len(kept) else np.zeros(0, np.int64)
-        symbol = (pair(self.h[kept], mix(way.astype(np.uint64) + np.uint64(7))) >> np.uint64(1)).astype(np.int64) | 1
-        breaks = np.cumsum(~joined) - ~joined  # separators before each anchor
-        index = np.arange(len(kept)) + breaks
-        string = np.zeros(len(kept) + int((~joined).sum()), np.int64)
-        string[index] = symbol
-        run = breaks
-        reach = np.searchsorted(kept + run * (1 << 40), kept + run * (1 << 40) + s.length - s.gram, "right")
-        return string, index, symbol, reach
-
-    def possible(self) -> np.ndarray:
-        """Of the strings (self.starts) those whose anchors inside are followed elsewhere too as they are here."""
-        starts, s = self.starts, self.s
-        if not len(self.kept):
-            return np.ones(len(starts), bool) & ~self._has_sparse(starts)
-        _, index, _, _ = self.symbols()
-        common = np.array(self.answers.places.get(PREFIXES, []), np.int64)
-        lcp = common[index] if len(common) else np.zeros(len(index), np.int64)
-        has = self._has_sparse(starts)
-        out = ~has
-        i = np.searchsorted(self.kept, self.anchor[starts[has]])
-        last = starts[has] + s.length - s.gram
-        inside = np.searchsorted(self.sparse, last, "right") - np.searchsorted(self.sparse, starts[has])
-        out[has] = lcp[np.minimum(i, len(lcp) - 1)] >= inside - 1
-        return out
-
-    def _has_sparse(self, starts: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(self.sparse, starts)
-        near = self.sparse[np.minimum(i, len(self.sparse) - 1)] if len(self.sparse) else np.full(len(starts), -1)
-        return (i < len(self.sparse)) & (near == self.anchor[starts])
-
-    def stretches(self):
-        """Of each sparse anchor with strings that may repeat: the number of its first string, how many there
-        are (neighbours), and two hashes of the stretch that they cover."""
-        ok = np.flatnonzero(self.possible() & self._has_sparse(self.starts))
-        a = self.anchor[self.starts[ok]]
-        new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        count = np.diff(np.r_[first, len(a)])
-        i, j = ok[first], ok[first + count - 1]
-        b, e = self.starts[i], self.starts[j]
-        # Strings of one anchor start within a string's length of each other, so the outer two cover the stretch.
-        solid = e - b == count - 1
-        span = mix((e - b).astype(np.uint64))
-        h, g = pair(pair(self.string[b], self.string[e]), span), pair(pair(self.second[i], self.second[j]), span)
-        return ok, first[solid], count[solid], h[solid], g[solid]
-
-    @cached_property
-    def string(self) -> np.ndarray:
-        """Hashes of the strings at all places."""
-        (h,) = self.s.hashes([self.s.length])
-        return h
-
-    @cached_property
-    def second(self) -> np.ndarray:
-        """Other hashes of the strings at self.starts."""
-        return self.s.rolling(self.starts)
-
-
-def _symbols(batches, length: int, buckets: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            string, index, symbol, reach = Survivors(row, length, buckets).symbols()
-            ahead = [None] * len(string)
-            for j, (i, r) in enumerate(zip(index.tolist(), reach.tolist(), strict=True)):
-                ahead[i] = symbol[j:r].tolist()
-            n = len(string)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(string), pa.array(ahead, longs)], ["chunk", "i", "sym", "ahead"])
-
-
-def _common_prefixes(chunks: Chunks, length: int) -> DataFrame:
-    """For each chunk, of each symbol of its string: how many symbols it and those within reach have in common with another place."""
-    ws = chunks.ws
-    columns = ["sizes", "data"]
-    symbols = ws.save(chunks.each(columns, partial(_symbols, length=length, buckets=chunks.buckets), "chunk long, i long, sym long, ahead array<long>"), "symbols")
-    sizes = running(symbols.groupBy("chunk").agg(F.count("*").alias("n")), ["chunk"], ["n"], ws, "offsets").select("chunk", F.col("n_before").alias("offset"))
-    placed = ws.save(symbols.join(sizes, "chunk").select("chunk", "i", (F.col("offset") + F.col("i")).alias("pos"), "sym", "ahead"), "string")
-    ws.drop("symbols")
-    ranks = suffix_ranks(placed.select("pos", "sym"), ws, DEPTH)
-    near = neighbours(ranks.join(placed.filter("ahead is not null").select("pos", "ahead"), "pos"), "ahead", ws)
-    equal = lambda x: F.coalesce(F.nullif(F.array_position(F.zip_with("ahead", x, lambda a, b: F.coalesce(a == b, F.lit(False))), False), F.lit(0)) - 1, F.size("ahead"))
-    lcp = F.greatest(F.coalesce(F.when(F.col("before").isNotNull(), equal("before")), F.lit(0)), F.coalesce(F.when(F.col("after").isNotNull(), equal("after")), F.lit(0)))
-    told = placed.select("chunk", "i", "pos").join(near.select("pos", lcp.cast("int").alias("lcp")), "pos", "left")
-    each = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("lcp", F.lit(0)).alias("lcp")))).alias("x"))
-    return each.select("chunk", F.transform("x", lambda x: x["lcp"]).alias("places"))
-
-
-def _unique(h: np.ndarray, g: np.ndarray):
-    """Distinct pairs in order of h: their first places, the number of each row's pair, and their counts."""
-    order = np.lexsort((np.arange(len(h)), g, h))
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])] if len(h) else np.zeros(0, bool)
-    number = np.empty(len(h), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number, np.bincount(number, minlength=int(new.sum()))
-
-
-def _sent(chunk: int, h: np.ndarray, g: np.ndarray, buckets: int):
-    first, _, counts = _unique(h, g)
-    many = (counts > 1).astype(np.uint8)
-    other = g[first]
-    return by_bucket(chunk, h[first], buckets, lambda a, b: other[a:b].tobytes() + many[a:b].tobytes())
-
-
-def _ask_stretches(batches, length: int, buckets: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, _, _, h, g = Survivors(row, length, buckets).stretches()
-            out = _sent(row["chunk"], h, g, buckets)
-            if out:
-                yield out
-
+    """Of each text: bytes, sha256, the hashes of its phrases; and the places of anchors."""
+    data = b"".join(texts)
+    p = Places([len(t) for t in texts], anchors_of(data, length), length)
+    h = phrase_hashes(data, p.at[p.phrase], p.at[p.phrase + 1])
+    counts = np.bincount(p.doc[p.phrase], minlength=len(texts)).tolist()
+    return [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in texts], h, counts, packed(p.at)
+
+
+def _ask_phrases(batches, buckets: int):
+    for row in each_row(batches):
+        doc = np.repeat(np.arange(len(row["anchor_counts"])), row["anchor_counts"])
+        live = ~np.isin(doc, Answers(row["answers"]).places[LATER])
+        hashes, counts = np.unique(np.array(row["anchors"], np.int64).view(np.uint64)[live], return_counts=True)
+        out = by_bucket(row["chunk"], hashes, buckets, lambda a, b: np.packbits(counts[a:b] > 1).tobytes())  # noqa: B023
+        if out:
+            yield out
+
+
+class Runs:
+    """Runs of phrases found twice that are long enough for a string, and the strings with no whole phrase.
+
+    Run r has phrases u[r], ..., v[r] (numbers of their first anchors); strings that begin with one of these
+    anchors and have two of them or more start from low[r] to high[r]. Strings of one anchor or
+    none start in the intervals from bare_low to bare_high.
+    """
 
-def _received(hashes: np.ndarray, extra: list[bytes]):
-    n = [len(x) // 9 for x in extra]
-    g = np.concatenate([np.frombuffer(x[: 8 * k], np.uint64) for x, k in zip(extra, n, strict=True)])
-    many = np.concatenate([np.frombuffer(x[8 * k :], np.uint8) for x, k in zip(extra, n, strict=True)])
-    return g, many
-
-
-def _twice_and_first(hashes: np.ndarray, owner: np.ndarray, extra: list[bytes]) -> np.ndarray:
-    """Of each pair of hashes: whether it is found twice, and whether this chunk is its first."""
-    g, many = _received(hashes, extra)
-    first, number, counts = _unique(hashes, g)
-    twice = (counts[number] > 1) | (np.bincount(number, many, len(counts))[number] > 0)
-    is_first = np.zeros(len(hashes), bool)
-    is_first[first] = True  # rows come in the order of chunks
-    return np.stack([twice, is_first], axis=1)
-
-
-def _twice(hashes: np.ndarray, owner: np.ndarray, extra: list[bytes]) -> np.ndarray:
-    return _twice_and_first(hashes, owner, extra)[:, 0]
-
-
-def _open_strings(x: Survivors, buckets: int):
-    """Strings found twice by their stretch, and the strings still to be compared one by one: those of no such
-    stretch, and those of one place of each."""
-    ok, first, count, h, g = x.stretches()
-    settled, compare = np.zeros(len(x.starts), bool), x.possible()
-    if len(first):
-        one, number, counts = _unique(h, g)
-        bits = x.answers.of(STRETCHES, h[one], buckets, width=2)
-        twice = (counts > 1) | bits[:, 0]
-        stands = np.zeros(len(first), bool)
-        stands[one[bits[:, 1]]] = True
-        many = np.repeat(twice[number], count)
-        where = ok[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        settled[where[many]] = True
-        compare[where[many & ~np.repeat(stands, count)]] = False
-    return settled, compare
-
-
-def _ask_strings(batches, length: int, buckets: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            x = Survivors(row, length, buckets)
-            _, compare = _open_strings(x, buckets)
-            at = x.starts[compare]
-            out = _sent(row["chunk"], x.string[at], x.second[compare], buckets)
+    def __init__(self, p: Places, again: np.ndarray, live: np.ndarray, length: int):
+        n, self.length = len(p.at), length
+        found = np.zeros(n + 1, bool)
+        found[p.phrase[again]] = True
+        u = np.flatnonzero(found[:-1] & ~np.r_[False, found[:-2]][:n]) if n else np.zeros(0, np.int64)
+        v = np.flatnonzero(found[:-1] & ~found[1:]) if n else np.zeros(0, np.int64)
+        at = np.r_[p.at, 0, 0]
+        before = lambda i: np.where((i > 0) & np.r_[False, p.same][i], at[i - 1] + 1, p.starts[p.doc[i]])
+        low = before(u)
+        more = np.r_[p.same, False][np.minimum(v + 1, n)]
+        high = np.where(more, at[np.minimum(v + 2, n)] + GRAM - length - 1, p.ends[p.doc[u]] - length)
+        high = np.minimum(high, at[v])
+        fits = at[u + 1] + GRAM - length <= high  # some string has its first two anchors
+        low = np.maximum(low, at[u + 1] + GRAM - length)
+        ok = fits & (low <= high)
+        self.low, self.high, self.u, self.v = low[ok], high[ok], u[ok], v[ok]
+        i = np.flatnonzero(live[p.doc]) if n else np.zeros(0, np.int64)
+        last = p.ends[p.doc[i]] - length
+        bare_high = np.minimum(np.minimum(at[i], last), np.where(p.same[i], at[i + 1] + GRAM - length - 1, last))
+        docs = np.flatnonzero(live)
+        tail = p.starts.copy()
+        tail[p.doc] = p.at + 1  # after the last anchor
+        self.bare_low, self.bare_high = np.r_[before(i), tail[docs]], np.r_[bare_high, p.ends[docs] - length]
+        some = self.bare_low <= self.bare_high
+        self.bare_low, self.bare_high = self.bare_low[some], self.bare_high[some]
+
+    def needs(self, p: Places):
+        """Of each phrase of a run: its number, how many phrases its strings may reach over, and the least and most
+        that lie between the first and the last anchor of a string of which it has the first."""
+        count = self.v - self.u + 1
+        i, end = ragged(self.u, count), np.repeat(self.v + 1, count)
+        low, high = np.repeat(self.low, count), np.repeat(self.high, count)
+        first = np.where(i > np.repeat(self.u, count), p.at[i - 1] + 1, low)
+        last_anchor = lambda start: np.searchsorted(p.at, start + self.length - GRAM, "right") - 1
+        least = np.clip(last_anchor(np.maximum(first, low)) - i, 1, end - i)
+        most = np.clip(last_anchor(np.minimum(p.at[i], high)) - i, 1, end - i)
+        reach = np.clip(np.searchsorted(p.at, p.at[i + 1] - 1 + self.length - GRAM) - i, 1, end - i)
+        return i, reach, least, np.maximum(most, least)
+
+
+def _runs(batches, length: int, buckets: int):
+    """Phrases of a chunk's runs, sent to be named, and what the chunk has to remember of its runs."""
+    for row in each_row(batches):
+        data, answers = unpacked(row["data"]), Answers(row["answers"])
+        p = Places(row["sizes"], arrays_of(row["places"])[0], length)
+        live = ~np.isin(np.arange(len(row["sizes"])), answers.places[LATER])
+        h = np.array(row["anchors"], np.int64).view(np.uint64)
+        own = live[p.doc[p.phrase]]
+        hashes, counts = np.unique(h[own], return_counts=True)
+        twice = (counts > 1) | answers.of(PHRASES, hashes, buckets)
+        again = np.zeros(len(h), bool)
+        again[own] = twice[np.searchsorted(hashes, h[own])]
+        runs = Runs(p, again, live, length)
+        i, reach, least, most = runs.needs(p)
+        number: dict[bytes, int] = {}
+        own = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(p.at[i].tolist(), (p.at[i + 1] + GRAM).tolist(), strict=True)), np.int64, len(i))
+        texts = list(number)
+        first = np.zeros(len(texts), np.int64)
+        first[own[::-1]] = i[::-1]
+        bucket = bucket_of(h[np.searchsorted(p.phrase, first)], buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ends = np.cumsum(runs.v - runs.u + 2) - 1  # places of ends of runs in the string
+        inside = np.ones(len(i) + len(ends), bool)
+        inside[ends] = False
+        spread = lambda x: np.bincount(np.flatnonzero(inside), x, len(inside)).astype(np.int64)
+        rows = [(OWN, packed(*map(spread, (place[own] + 1, reach, least, most)), runs.low, runs.high, runs.u, runs.v, runs.bare_low, runs.bare_high))]
+        low = 0
+        for b, n in zip(*np.unique(bucket, return_counts=True), strict=True):
+            rows.append((int(b), packed_texts([texts[k] for k in order[low : low + n].tolist()])))
+            low += n
+        yield _batch(row["chunk"], rows)
+
+
+def _batch(chunk: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([chunk] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array([0] * len(rows), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "data", "number"])
+
+
+def _named(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    """Numbers of a bucket's distinct phrases."""
+    texts = [texts_of(r)[0] for r in rows]
+    number = pc.dictionary_encode(pa.concat_arrays(texts)).indices.to_numpy().astype(np.int64)
+    return [packed(x + (bucket << SHIFT) + 1) for x in np.split(number, np.cumsum([len(t) for t in texts])[:-1])], 0
+
+
+def _string(chunk: int, parts: dict):
+    """A chunk's string: the names of its runs' phrases, with an end of its own kind after each run."""
+    sym = arrays_of(parts["runs"][0])[0]
+    if len(sym):
+        names = np.r_[0, joined([arrays_of(d) for d in parts["names"]], 0)]
+        x, ends = names[sym], np.flatnonzero(sym == 0)
+        partition, number = chunk >> 32, chunk & 0xFFFFFFFF
+        if partition >> 20 or number >> 18 or len(ends) >> 24:
+            raise ValueError("more chunks in a partition, or runs in a chunk, than ends of runs have numbers for")
+        x[ends] = END + ((partition << 18 | number) << 24) + np.arange(len(ends))
+        yield OWN, packed(x)
+
+
+def _level(parts: dict) -> Level:
+    return Level({"string": parts["string"], "ranks": parts["ranks"]}, END)
+
+
+def _send_order(chunk: int, parts: dict, splitters: Splitters):
+    """All suffixes that begin with a phrase, with the phrases they need to be compared by."""
+    if not parts["string"]:
+        return
+    level = _level(parts)
+    _, reach, least, most = arrays_of(parts["runs"][0])[:4]
+    yield from level.send(splitters, lambda at: (reach[at], least[at], most[at], level.x[ragged(at, reach[at])]))[0]
+
+
+def _common(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each suffix in order, how many symbols it has in common with the one before."""
+    out = np.zeros(len(order), np.int64)
+    a, b = starts[order[:-1]], starts[order[1:]]
+    room, i, t = np.minimum(counts[order[:-1]], counts[order[1:]]), np.arange(len(order) - 1), 0
+    while len(i := i[room[i] > t]):
+        i = i[flat[a[i] + t] == flat[b[i] + t]]
+        out[i + 1] += 1
+        t += 1
+    return out
+
+
+def _ordered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The suffixes of a bucket in order, compared with their neighbours there."""
+    rows = rows.sort_values("chunk", ignore_index=True)
+    bucket, parts = int(rows["bucket"].iat[0]), [arrays_of(d) for d in rows["data"]]
+    place, owner = merged(parts)
+    reach, least, most, flat = (joined(parts, i) for i in range(11, 15))
+    order = np.argsort(place)
+    starts = np.cumsum(reach) - reach
+    common = _common(flat, starts, reach, order)
+    ahead = lambda i: flat[starts[i] : starts[i] + reach[i]].tolist()
+    least_from = np.minimum.accumulate(common[1:][::-1])[::-1] if len(order) > 1 else np.zeros(0, np.int64)  # of each and all later
+    breaks = np.searchsorted(least_from, np.arange(1, length + 1))  # how many places, from the second on, have one below later
+    return pd.DataFrame([[bucket, ahead(order[0]), ahead(order[-1]), breaks.tolist(), rows["chunk"].tolist(), packed(place, np.bincount(owner, minlength=len(parts)), common, least, most)]], columns=["bucket", "first", "last", "breaks", "chunks", "data"])
+
+
+def _matches(bucket: int, common: np.ndarray, after: int, carry: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Of each suffix: how many symbols it shares with a neighbour; and the numbers of the classes of suffixes that share the first
+    `least`, `least` + 1, ... symbols with it, as far as it shares them with any."""
+    shared = np.maximum(common, np.r_[common[1:], after])[place]
+    counts = np.maximum(np.minimum(most, shared) - least + 1, 0)
+    out, starts = np.zeros(counts.sum(), np.int64), np.cumsum(counts) - counts
+    for s in range(int(least.min(initial=1)), int(most.max(initial=0)) + 1):
+        i = np.flatnonzero((least <= s) & (s - least < counts))
+        if len(i):
+            first = np.maximum.accumulate(np.where(common < s, np.arange(len(common)), -1))[place[i]]
+            out[starts[i] + s - least[i]] = np.where(first >= 0, (bucket << SHIFT) + first, carry[s - 1])
+    return shared, counts, out
+
+
+def _tell(batches):
+    for row in each_row(batches):
+        place, sizes, common, least, most = arrays_of(row["data"])
+        common[0] = row["common"]
+        carry = np.array([x or 0 for x in row["carry"]], np.int64)
+        shared, counts, classes = _matches(row["bucket"], common, row["after"], carry, place, least, most)
+        ends = np.cumsum(sizes)
+        cuts = np.r_[0, np.cumsum(counts)][np.r_[0, ends]]
+        for i, (chunk, low, high) in enumerate(zip(row["chunks"], ends - sizes, ends, strict=True)):
+            yield _batch(chunk, [(row["bucket"], packed(shared[low:high], counts[low:high], classes[cuts[i] : cuts[i + 1]]))])
+
+
+def _compared(sent: DataFrame, length: int, ws: Workspace) -> DataFrame:
+    """Answers to the chunks that sent suffixes: matches with neighbours in the order of all suffixes."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _ordered(rows, length)
+
+    order = ws.save(sent.groupBy("bucket").applyInPandas(run, ORDER_SCHEMA), "order")
+    ends = order.select("bucket", "first", "last", "breaks")
+    before = order.select((F.col("bucket") + 1).alias("bucket"), F.col("last").alias("before"))
+    same = F.zip_with("before", "first", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    common = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("first"))
+    edges = ws.save(ends.join(before, "bucket", "left").withColumn("common", F.when(F.col("before").isNull(), 0).otherwise(common).cast("long")).select("bucket", "common", "breaks"), "edges")
+    each = edges.select("bucket", "common", F.posexplode("breaks").alias("s", "at"))
+    number = (F.col("bucket").cast("long") * F.lit(1 << SHIFT)) + F.col("at")
+    broken = F.when((F.col("at") > 0) | (F.col("common") <= F.col("s")), number)
+    carried = _carried(each.withColumn("broken", broken))
+    after = edges.select((F.col("bucket") - 1).alias("bucket"), F.col("common").alias("after"))
+    told = order.select("bucket", "chunks", "data").join(edges.select("bucket", "common"), "bucket").join(after, "bucket", "left").join(carried, "bucket")
+    return ws.save(told.withColumn("after", F.coalesce("after", F.lit(0).cast("long"))).mapInArrow(_tell, SCHEMA), "told")
+
+
+def _carried(each: DataFrame) -> DataFrame:
+    """For each bucket and number s of symbols: the class, by s symbols, of the last suffix of the buckets before."""
+    before = "last(broken, true) OVER (PARTITION BY s ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    found = each.selectExpr("bucket", "s", f"{before} AS carry")
+    return found.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "carry"))), lambda x: x["carry"]).alias("carry"))
+
+
+def _by_place(chunk: int, parts: dict, splitters: Splitters):
+    """Matches by the place of their phrase in the chunk's string."""
+    level = _level(parts)
+    _, places = level.send(splitters)
+    told = [arrays_of(d) for d in parts["told"]]
+    shared, counts, classes = (joined(told, i) for i in range(3))
+    n = len(level.x)
+    by_place = lambda x: np.bincount(places, x, n).astype(np.int64)
+    starts = by_place(np.cumsum(counts) - counts)
+    yield OWN, packed(by_place(shared), starts, classes)
+
+
+class Inside:
+    """The strings of a chunk's runs: which are settled by the order of suffixes, and the class of the phrases inside the others."""
+
+    def __init__(self, p: Places, runs: list[np.ndarray], matches: list[bytes], length: int):
+        sym, _, least, _, low, high, u, v = runs[:8]
+        n = high - low + 1
+        self.starts = starts = ragged(low, n)
+        run = np.repeat(np.arange(len(u)), n)
+        self.first, self.last = first, last = np.searchsorted(p.at, starts), np.searchsorted(p.at, starts + length - GRAM, "right") - 1
+        self.settled = np.zeros(len(starts), bool)
+        self.cls = np.full(len(starts), -1)  # -1: no other place has these phrases, or there are none
+        if len(starts):
+            shared, offsets, classes = arrays_of(matches[0])
+            base = np.cumsum(v - u + 2) - (v - u + 2) - u  # from a phrase's number to its place in the string
+            covering = np.where(starts < p.at[first], first - 1, first)
+            inside = covering >= u[run]
+            covering = np.maximum(covering, u[run])
+            upto = np.minimum(covering + shared[covering + base[run]], v[run] + 1)
+            self.settled = inside & (p.at[upto] + GRAM >= starts + length)
+            at, s = first + base[run], last - first
+            ok = np.flatnonzero((s > 0) & (shared[at] >= s))
+            self.cls[ok] = classes[offsets[at[ok]] + s[ok] - least[at[ok]]]
+
+    def classes(self):
+        """Distinct hashes of classes, whether a string that is not settled has them, and the strings with a class."""
+        i = np.flatnonzero(self.cls >= 0)
+        h, place = np.unique(mix(self.cls[i].astype(np.uint64)), return_inverse=True)
+        return h, np.bincount(place, ~self.settled[i], len(h)) > 0, i, place
+
+
+def _ask_classes(batches, length: int, buckets: int):
+    for row in each_row(batches):
+        answers = Answers(row["answers"])
+        if answers.packed(MATCHES):
+            p = Places(row["sizes"], arrays_of(row["places"])[0], length)
+            h, open_, _, _ = Inside(p, arrays_of(answers.packed(RUNS)[0]), answers.packed(MATCHES), length).classes()
+            out = by_bucket(row["chunk"], h, buckets, lambda a, b: np.packbits(open_[a:b]).tobytes())  # noqa: B023
             if out:
                 yield out
 
 
-def _remove(batches, length: int, buckets: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            x = Survivors(row, length, buckets)
-            s, gone = x.s, None
-            settled, compare = _open_strings(x, buckets)
-            at = x.starts[compare]
-            first, number, counts = _unique(x.string[at], x.second[compare])
-            twice = ((counts > 1) | x.answers.of(STRINGS, x.string[at][first], buckets))[number] if len(at) else np.zeros(0, bool)
-            starts = np.concatenate([x.starts[settled], at[twice]])
-            edge = np.zeros(len(s.bytes) + 1, np.int32)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            whole = set(x.answers.places[DOUBLED].tolist())
-            removed, spans, sha = [], [], list(row["sha"])
-            for i, (a, b) in enumerate(zip(s.starts.tolist(), s.ends.tolist(), strict=True)):
-                cut = gone[a:b]
-                if i in whole and b - a >= length:
-                    cut = np.ones(b - a, bool)
-                n = int(cut.sum())
-                removed.append(n)
-                spans.append(int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if n else 0)
-                if n:
-                    sha[i] = hashlib.sha256(s.bytes[a:b][~cut].tobytes()).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["keys"], pa.int64()), pa.array(s.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
-                ["_k", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-
-def remove_common_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row for each input row: key, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
-
-    A byte goes if a string of `length` bytes that covers it starts anywhere else too. Which grams
-    are anchors depends on their bytes alone, so equal strings have equal anchors. Anchors whose gram
-    is found twice are the symbols of a string over all texts; its suffixes are put in order by a
-    difference cover, and each is compared with its neighbours: a string with more anchors in a row than the
-    common prefix can't be found elsewhere. The strings that are left are compared by 128 bits, first all
-    those around an anchor at once, then one by one where that fails. Texts equal to others go as a
-    whole; one of them stays to be compared with the rest. Null texts have no bytes; keys are
-    integers; an empty table gives no rows; other columns are ignored.
+def _strings(batches, length: int, buckets: int):
+    """Strings that the order of suffixes settles, as intervals; and, to be compared whole, strings of classes in which
+    some begin or end amid a phrase, each with its class and its bytes outside the phrases; and strings of no phrase."""
+    for row in each_row(batches):
+        answers = Answers(row["answers"])
+        if not answers.packed(RUNS):
+            continue
+        data, p = unpacked(row["data"]), Places(row["sizes"], arrays_of(row["places"])[0], length)
+        runs = arrays_of(answers.packed(RUNS)[0])
+        x = Inside(p, runs, answers.packed(MATCHES), length)
+        h, _, i, place = x.classes()
+        i = i[answers.of(CLASSES, h, buckets)[place]]
+        settled, compared = x.starts[x.settled], x.starts[i]
+        keys: dict[bytes, int] = {}
+        many: list[bool] = []
+
+        def number(key: bytes, keys=keys, many=many) -> int:
+            i = keys.setdefault(key, len(keys))
+            if i == len(many):
+                many.append(False)
+            else:
+                many[i] = True
+            return i
+
+        a, b = p.at[x.first[i]], p.at[x.last[i]] + GRAM
+        own = [
+            number(struct.pack("<BqI", 1, c, i1 - i0) + data[i0:i1] + data[i2 : i0 + length])
+            for i0, i1, i2, c in zip(compared.tolist(), a.tolist(), b.tolist(), x.cls[i].tolist(), strict=True)
+        ]
+        bare = ragged(runs[8], runs[9] - runs[8] + 1)
+        own += [number(b"\0" + data[i0 : i0 + length]) for i0 in bare.tolist()]
+        texts = list(keys)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+        bucket = bucket_of(h, buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cut = np.flatnonzero(np.r_[True, settled[1:] != settled[:-1] + 1]) if len(settled) else np.zeros(0, np.int64)
+        rows = [(OWN, packed(settled[cut], settled[np.r_[cut[1:] - 1, len(settled) - 1]] if len(cut) else cut, np.r_[compared, bare], place[np.array(own, np.int64)]))]
+        flags, at = np.array(many, np.int64)[order], 0
+        for k, n in zip(*np.unique(bucket, return_counts=True), strict=True):
+            rows.append((int(k), packed_texts([texts[j] for j in order[at : at + n].tolist()], flags[at : at + n])))
+            at += n
+        yield _batch(row["chunk"], rows)
+
+
+def _twice(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    """Which strings of a bucket are found twice."""
+    parts = [texts_of(r) for r in rows]
+    number = pc.dictionary_encode(pa.concat_arrays([t for t, _ in parts])).indices.to_numpy()
+    many = np.concatenate([x[0] for _, x in parts])
+    twice = ((np.bincount(number) > 1) | (np.bincount(number, many) > 0))[number]
+    return [packed(x.astype(np.int64)) for x in np.split(twice, np.cumsum([len(t) for t, _ in parts])[:-1])], 0
+
+
+def _spans(batches, length: int) -> Iterator[pa.RecordBatch]:
+    for row in each_row(batches):
+        answers, sizes = Answers(row["answers"]), np.array(row["sizes"], np.int64)
+        ends = np.cumsum(sizes)
+        low = high = np.zeros(0, np.int64)
+        if own := answers.packed(STRINGS):
+            low, high, compared, number = arrays_of(own[0])
+            flags = np.r_[joined([arrays_of(d) for d in answers.packed(FLAGS)], 0), 0]
+            found = compared[flags[number] > 0]
+            low, high = np.r_[low, found], np.r_[high, found]
+        whole = answers.places[DOUBLED]
+        whole = whole[sizes[whole] >= length]
+        low, high = np.r_[low, ends[whole] - sizes[whole]], np.r_[high, ends[whole] - length]
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], np.maximum.accumulate(high[order] + length) if len(order) else high
+        # A span ends where the next string starts beyond all before it, or in another text.
+        doc = np.searchsorted(ends, low, "right")
+        new = np.flatnonzero(np.r_[True, (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])]) if len(low) else np.zeros(0, np.int64)
+        begin, end, doc = low[new], high[np.r_[new[1:] - 1, len(low) - 1]] if len(new) else low, doc[new]
+        removed = np.bincount(doc, end - begin, len(sizes)).astype(np.int64)
+        counts = np.bincount(doc, minlength=len(sizes))
+        first = np.cumsum(counts) - counts
+        sha, data = list(row["sha"]), None
+        for d in np.flatnonzero(removed).tolist():
+            data = data or unpacked(row["data"])
+            at, kept = int(ends[d] - sizes[d]), hashlib.sha256()
+            for a, b in zip(begin[first[d] : first[d] + counts[d]].tolist(), end[first[d] : first[d] + counts[d]].tolist(), strict=True):
+                kept.update(data[at:a])
+                at = b
+            kept.update(data[at : int(ends[d])])
+            sha[d] = kept.hexdigest()
+        base = np.repeat(ends - sizes, counts)
+        spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["start", "end"]))
+        columns = [pa.array(row["keys"], pa.int64()), pa.array(sizes), pa.array(removed), spans, pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["_k", "n_bytes", "n_removed", "spans", "kept_sha256"])
+
+
+def remove_common_bytes(
+    docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, small: int = SMALL, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """One row for each input row: key, n_bytes, n_removed, spans (removed, as places from 0 on), kept_sha256 (of the bytes that stay).
+
+    A byte goes if a string of `length` bytes (16 or more) that covers it starts anywhere else too. Some grams of eight
+    bytes are anchors, by their bytes alone, so equal strings have equal anchors; a phrase goes from an anchor to the
+    next. Phrases that no other place has can't be in a repeated string. What they leave are runs of
+    phrases, named by their bytes: the symbols whose suffixes a difference cover puts in order, down to distinct
+    names. Each suffix is compared with its neighbours in that order. What their common prefixes cover is
+    repeated. Other strings begin before their first anchor or end behind their last one: two of them are
+    equal if their phrases inside are of one class in the order and their other bytes agree. Strings
+    with no two anchors are compared whole. Nothing is settled by a hash.
+
+    Texts equal to others go as a whole; one of them stays to be compared with the rest. Null and empty texts have no bytes,
+    repeated rows and null keys are rows like others; keys are integers; an empty table gives no rows; other
+    columns, whatever their names, are ignored. A text longer than a chunk is a chunk of its own, and takes some
+    three times its bytes of memory.
     """
+    if length < 2 * GRAM:
+        raise ValueError(f"strings must have {2 * GRAM} bytes or more")
     ws = Workspace(docs.sparkSession, "bytes")
     chunks = Chunks(docs, ws, key, text, partial(describe, length=length), chunk_bytes)
-    b, columns = chunks.buckets, ["sizes", "data"]
-    chunks.ask(GRAMS, ["anchors", "anchor_counts"], partial(_ask_grams, buckets=b), found_twice)
-    chunks.tell(PREFIXES, _common_prefixes(chunks, length))
-    for done in ("string", "sa-o", "order", "offsets"):
-        ws.drop(done)
-    chunks.ask(STRETCHES, columns, partial(_ask_stretches, length=length, buckets=b), _twice_and_first)
-    chunks.ask(STRINGS, columns, partial(_ask_strings, length=length, buckets=b), _twice)
+    b, columns = chunks.buckets, ["sizes", "places", "data"]
+    chunks.ask(PHRASES, ["anchors", "anchor_counts"], partial(_ask_phrases, buckets=b), found_twice)
+    sent = ws.save(chunks.each(["anchors", *columns], partial(_runs, length=length, buckets=b), SCHEMA), "runs")
+    runs = sent.filter(F.col("bucket") == OWN)
+    names = ask(sent, _named, ws, "names")
+    string = ws.save(each_chunk({"runs": runs, "names": names}, _string), "string")
+    below, n = sample_ranks(string, ws, small, bucket_rows)
+    splitters = suffix_splitters(string, below, n, END, bucket_rows)
+    tables = {"string": string, "ranks": below}
+    told = _compared(each_chunk({**tables, "runs": runs}, partial(_send_order, splitters=splitters)), length, ws)
+    matches = ws.save(each_chunk({**tables, "told": told}, partial(_by_place, splitters=splitters)), "matches")
+    known = as_answers(runs, RUNS).unionByName(as_answers(matches, MATCHES))
+    known = known.unionByName(chunks.ask(CLASSES, ["sizes", "places"], partial(_ask_classes, length=length, buckets=b), wanted, known))
+    strings = ws.save(chunks.each(columns, partial(_strings, length=length, buckets=b), SCHEMA, known), "strings")
+    flags = ask(strings, _twice, ws, "flags")
+    known = as_answers(strings.filter(F.col("bucket") == OWN), STRINGS).unionByName(as_answers(flags, FLAGS)).unionByName(chunks.answers.filter(F.col("level") == DOUBLED))
+    spans = "spans array<struct<start: long, end: long>>"
+    out = chunks.each(["keys", "sha", "sizes", "data"], partial(_spans, length=length), f"_k long, n_bytes long, n_removed long, {spans}, kept_sha256 string", known)
     kind = docs.schema[key].dataType.simpleString()
-    out = chunks.each(["keys", "sha", *columns], partial(_remove, length=length, buckets=b), "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.col("_k").cast(kind).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return chunks.finish(out.select(F.col("_k").cast(kind).alias(key), "n_bytes", "n_removed", "spans", "kept_sha256"))
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_common_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_common_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, attach
 
 #: Bytes of text in a chunk, unless one text is longer.
 CHUNK_BYTES = 4 << 20
@@ -27,7 +27,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 500_000
 #: Answers to a chunk that are no bits of hashes: texts equal to an earlier one, and to any other.
 LATER, DOUBLED = -1, -2
-CHUNK_SCHEMA = "chunk long, keys array<long>, sizes array<int>, n array<int>, sha array<string>, anchors array<long>, anchor_counts array<int>, data binary"
+CHUNK_SCHEMA = "chunk long, keys array<long>, sizes array<int>, n array<int>, sha array<string>, anchors array<long>, anchor_counts array<int>, places binary, data binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,13 +70,13 @@ def _pack(batches: Iterator[pa.RecordBatch], describe: Callable, chunk_bytes: in
     first = TaskContext.get().partitionId() << 32
     schema = pa.schema([
         ("chunk", pa.int64()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("sha", pa.list_(pa.string())),
-        ("anchors", pa.list_(pa.int64())), ("anchor_counts", pa.list_(pa.int32())), ("data", pa.binary()),
+        ("anchors", pa.list_(pa.int64())), ("anchor_counts", pa.list_(pa.int32())), ("places", pa.binary()), ("data", pa.binary()),
     ])
     keys, texts, size, number = [], [], 0, 0
 
     def packed():
-        n, sha, anchors, counts = describe(texts)
-        row = [first + number, keys, [len(t) for t in texts], n, sha, anchors.view(np.int64), counts, zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]
+        n, sha, anchors, counts, *places = describe(texts)
+        row = [first + number, keys, [len(t) for t in texts], n, sha, anchors.view(np.int64), counts, places[0] if places else None, zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -100,40 +100,49 @@ class Chunks:
         rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(partial(_pack, describe=describe, chunk_bytes=chunk_bytes), CHUNK_SCHEMA)
         # As many buckets as a shuffle has partitions, so that answers come to the chunks and not the reverse.
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"chunks_{uuid.uuid4().hex}"
-        rows.write.bucketBy(buckets, "chunk").option("path", f"{ws.root}/chunks").option("compression", "uncompressed").saveAsTable(name)
-        self.table = spark.table(name)
+        self.name = f"chunks_{uuid.uuid4().hex}"
+        rows.write.bucketBy(buckets, "chunk").option("path", f"{ws.root}/chunks").option("compression", "uncompressed").saveAsTable(self.name)
+        self.table = spark.table(self.name)
         self.answers = self._copies()
         hashes = self.table.agg(F.sum(F.size("anchors"))).first()[0] or 0
         self.buckets = max(buckets, hashes // BUCKET_HASHES + 1)
 
-    def tell(self, level: int, rows: DataFrame) -> None:
-        """Keeps an array of numbers (`places`) for each chunk as its answer at this level."""
-        answers = rows.select("chunk", F.lit(level).alias("level"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("flags"), "places")
-        self.answers = self.answers.unionByName(self.ws.save(answers, f"level{level}"))
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result, saved, after which the chunks and all answers are dropped."""
+        out = self.ws.save(result, "result")
+        result.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.ws.keep("result")
+        return out
 
     def _copies(self) -> DataFrame:
         """Which texts of a chunk equal an earlier one (by key, then chunk and place) or any other."""
         each = self.table.select("chunk", F.posexplode(F.arrays_zip("keys", "sha")).alias("i", "x")).select("chunk", "i", F.col("x.keys").alias("k"), F.col("x.sha").alias("sha"))
         firsts = each.groupBy("sha").agg(F.min(F.struct("k", "chunk", "i")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("sha", "f.chunk", "f.i")
-        found = each.join(firsts.select("sha", F.col("chunk").alias("fc"), F.col("i").alias("fi")), "sha")
+        firsts = self.ws.save(firsts.select("sha", F.col("chunk").alias("fc"), F.col("i").alias("fi")), "firsts")
+        found = attach(each, firsts, "sha", F.col("k")).filter("fc is not null")
         later = (F.col("chunk") != F.col("fc")) | (F.col("i") != F.col("fi"))
         kinds = F.explode(F.when(later, F.array(F.lit(LATER), F.lit(DOUBLED))).otherwise(F.array(F.lit(DOUBLED))))
         rows = found.select("chunk", kinds.alias("level"), "i").groupBy("chunk", "level").agg(F.array_sort(F.collect_list("i")).alias("places"))
         return self.ws.save(rows.select("chunk", "level", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("flags"), "places"), "copies")
 
-    def each(self, columns: list[str], work: Callable, schema: str) -> DataFrame:
-        """work(batches) over rows of the columns and `answers`, one row for each chunk."""
-        answers = self.answers.groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "flags", "places")).alias("answers"))
+    def each(self, columns: list[str], work: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
+        """work(batches) over rows of the columns and `answers` (all, unless some are given), one row for each chunk."""
+        answers = (self.answers if answers is None else answers).groupBy("chunk").agg(F.collect_list(F.struct("level", "bucket", "flags", "places")).alias("answers"))
         rows = self.table.select("chunk", *columns).join(answers, "chunk", "left")
         return rows.select("chunk", *columns, "answers").mapInArrow(work, schema)
 
-    def ask(self, level: int, columns: list[str], work: Callable, judge: Callable) -> None:
-        """Sends what work yields (bucket, chunk, hashes, extra) to judge by bucket, and keeps its answers."""
-        sent = self.each(columns, work, "bucket int, chunk long, hashes binary, extra binary")
-        got = sent.groupBy("bucket").applyInPandas(partial(_judged, judge=judge), "chunk long, bucket int, flags binary")
+    def ask(self, level: int, columns: list[str], work: Callable, judge: Callable, answers: DataFrame | None = None) -> DataFrame:
+        """Sends what work yields (bucket, chunk, hashes, extra) to judge by bucket; keeps its answers, and returns them."""
+        sent = self.each(columns, work, "bucket int, chunk long, hashes binary, extra binary", answers)
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            return _judged(rows, judge)
+
+        got = sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, flags binary")
         rows = got.select("chunk", F.lit(level).alias("level"), "bucket", "flags", F.lit(None).cast("array<int>").alias("places"))
-        self.answers = self.answers.unionByName(self.ws.save(rows, f"level{level}"))
+        saved = self.ws.save(rows, f"level{level}")
+        self.answers = self.answers.unionByName(saved)
+        return saved
 
 
 def _judged(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
@@ -145,56 +154,88 @@ def _judged(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "flags": [np.packbits(flags[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
 
+def _bits(owner: np.ndarray, extra: list[bytes]) -> np.ndarray:
+    counts = np.bincount(owner, minlength=len(extra))
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:c] for x, c in zip(extra, counts, strict=True)]).astype(bool)
+
+
 def found_twice(hashes: np.ndarray, owner: np.ndarray, extra: list[bytes]) -> np.ndarray:
     """Which hashes two chunks sent, or one that has them twice (the extra bits)."""
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in extra]
-    counts = np.bincount(owner, minlength=len(extra))
-    many = np.concatenate([t[:c] for t, c in zip(twice, counts, strict=True)]).astype(bool)
     _, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    return (n[place] > 1) | (np.bincount(place, many, len(n))[place] > 0)
+    return (n[place] > 1) | (np.bincount(place, _bits(owner, extra), len(n))[place] > 0)
+
+
+def wanted(hashes: np.ndarray, owner: np.ndarray, extra: list[bytes]) -> np.ndarray:
+    """Which hashes some chunk marks (by the extra bits)."""
+    _, place = np.unique(hashes, return_inverse=True)
+    return np.bincount(place, _bits(owner, extra))[place] > 0
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _cuts(hashes: np.ndarray, buckets: int):
+    """Buckets in use by sorted hashes, and where each one's begin and end."""
+    own = bucket_of(hashes, buckets)
+    low = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return own[low], low, np.r_[low[1:], len(own)][: len(low)]
+
+
 def by_bucket(chunk: int, hashes: np.ndarray, buckets: int, extra: Callable) -> pa.RecordBatch | None:
     """Rows for `ask` of sorted hashes: extra(low, high) gives the bytes beside hashes[low:high]."""
     if not len(hashes):
         return None
-    cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(cuts))
+    used, lows, highs = _cuts(hashes, buckets)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(used, pa.int32()),
             pa.array(np.full(len(used), chunk), pa.int64()),
-            pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-            pa.array([extra(cuts[b], cuts[b + 1]) for b in used], pa.binary()),
+            pa.array([hashes[a:b].tobytes() for a, b in zip(lows, highs, strict=True)], pa.binary()),
+            pa.array([extra(a, b) for a, b in zip(lows, highs, strict=True)], pa.binary()),
         ],
         ["bucket", "chunk", "hashes", "extra"],
     )
 
 
 class Answers:
-    """A chunk's answers, by level."""
+    """A chunk's answers, by level: bits of hashes, places, or packed arrays in the order of buckets."""
 
     def __init__(self, rows: list[dict] | None):
-        self.flags: dict[tuple[int, int], np.ndarray] = {}
+        self.rows = rows or []
         self.places = {LATER: np.zeros(0, np.int64), DOUBLED: np.zeros(0, np.int64)}
-        for x in rows or ():
+        for x in self.rows:
             if x["places"] is not None:
                 self.places[x["level"]] = np.array(x["places"], np.int64)
-            else:
-                self.flags[x["level"], x["bucket"]] = np.unpackbits(np.frombuffer(x["flags"], np.uint8))
-
-    def of(self, level: int, hashes: np.ndarray, buckets: int, width: int = 1) -> np.ndarray:
-        """The bits (`width` each) for the sorted hashes that were asked about at this level."""
-        cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-        out = np.zeros((len(hashes), width), bool)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            n = cuts[b + 1] - cuts[b]
-            out[cuts[b] : cuts[b + 1]] = self.flags[level, b][: n * width].reshape(n, width)
-        return out[:, 0] if width == 1 else out
+
+    def of(self, level: int, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        """The bits for the sorted hashes that were asked about at this level."""
+        flags = {x["bucket"]: x["flags"] for x in self.rows if x["level"] == level}
+        out = np.zeros(len(hashes), bool)
+        for b, low, high in zip(*_cuts(hashes, buckets), strict=True):
+            out[low:high] = np.unpackbits(np.frombuffer(flags[int(b)], np.uint8))[: high - low]
+        return out
+
+    def packed(self, level: int) -> list[bytes]:
+        return [x["flags"] for x in sorted((x for x in self.rows if x["level"] == level), key=lambda x: x["bucket"])]
+
+
+def as_answers(table: DataFrame, level: int) -> DataFrame:
+    """Packed arrays of chunks, as answers of a level."""
+    return table.select("chunk", F.lit(level).alias("level"), "bucket", F.col("data").alias("flags"), F.lit(None).cast("array<int>").alias("places"))
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, with arrays of numbers as numpy arrays unless there are nulls in them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: _value(c[i]) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _value(x: pa.Scalar):
+    if x.is_valid and pa.types.is_list(x.type) and pa.types.is_integer(x.type.value_type) and not x.values.null_count:
+        return x.values.to_numpy()
+    return x.as_py()
 
 
 def unpacked(data: bytes) -> bytes:

@@ -43,6 +43,14 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, label: str) -> None:
+        """Drops all tables but this one."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for x in fs.listStatus(path):
+            if x.getPath().getName() != label:
+                fs.delete(x.getPath(), True)
+
     def close(self) -> None:
         self.drop()
 

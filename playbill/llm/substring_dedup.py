@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     chunks.ask(len(lengths) - 1, ["keys", "sizes", "data"], partial(_ask_first, window=window, buckets=b), _not_first)
     kind = docs.schema[key].dataType.simpleString()
     out = chunks.each(["keys", "sizes", "n", "sha", "data"], partial(_remove, window=window, buckets=b), "_k long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(F.col("_k").cast(kind).alias(key), "n_words", "n_removed", "kept_sha256")
+    return chunks.finish(out.select(F.col("_k").cast(kind).alias(key), "n_words", "n_removed", "kept_sha256"))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,92 +1,267 @@
-"""Order of all suffixes of a long string of symbols, by a distributed difference cover."""
+"""Order of the suffixes of many strings of symbols, by a distributed difference cover.
+
+Each chunk holds a string of numbers from 1 on that ends with a symbol found nowhere else. Suffixes at
+places not divisible by three are the sample. Their triples of symbols are sorted over buckets and
+named; the names are the next, shorter string of the chunk (those of places 1, 4, ..., then those of
+2, 5, ...), whose suffixes are put in order in the same way, until all names are distinct. Then the
+other suffixes are merged in by their first symbols and the rank of the sample suffix behind them.
+Ranks are unique numbers that rise in the order of suffixes, not dense ones.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace
+from .packed import OWN, arrays_of, ask, cut_by, each_chunk, joined, packed, total
+
+#: Rows of a sort that go to one bucket, about.
+BUCKET_ROWS = 200_000
+#: Strings of fewer symbols in all are ordered in one task: a bound that no input moves.
+SMALL = 1 << 20
+#: Rows sampled for each bucket's lower bound.
+OVERSAMPLE = 32
+SHIFT = 32
+
+
+class Splitters:
+    """Lower bounds of all buckets but the first, as columns sorted together."""
+
+    def __init__(self, rows: list[tuple[int, ...]], buckets: int, width: int):
+        rows = sorted(rows)
+        step = max(len(rows) / max(buckets, 1), 1)
+        picked = sorted({rows[int(i * step)] for i in range(1, buckets) if int(i * step) < len(rows)})
+        self.columns = [np.array([r[c] for r in picked], np.int64) for c in range(width)]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def bucket(self, rows: list[np.ndarray], first: int = 0) -> np.ndarray:
+        """The bucket of each row, whose columns are those of the bounds from the `first` on: how many bounds are not above it."""
+        bounds = self.columns[first : first + len(rows)]
+        low, high = np.zeros(len(rows[0]), np.int64), np.full(len(rows[0]), len(self))
+        while len(i := np.flatnonzero(low < high)):
+            middle = (low[i] + high[i]) // 2
+            ok = np.ones(len(i), bool)
+            for bound, row in zip(bounds[::-1], rows[::-1], strict=True):
+                b, r = bound[middle], row[i]
+                ok = (b < r) | (b == r) & ok
+            low[i], high[i] = np.where(ok, middle + 1, low[i]), np.where(ok, high[i], middle)
+        return low
+
+
+def not_above(low: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """For each row (columns, the first counts most), how many of the rows of `low` are equal or less."""
+    if len(rows) == 1:
+        return np.searchsorted(np.sort(low[0]), rows[0], "right")
+    n = len(low[0])
+    both = [np.concatenate([a, b]) for a, b in zip(low, rows, strict=True)]
+    order = np.lexsort((np.arange(n + len(rows[0])), *both[::-1]))
+    less = np.cumsum(order < n)
+    out = np.empty(n + len(rows[0]), np.int64)
+    out[order] = less
+    return out[n:]
+
+
+def _sample_places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(1, n, 3), np.arange(2, n, 3)
+
+
+def _triples(x: np.ndarray):
+    """Distinct triples of the sample's places in order, and the number of each place's triple."""
+    y = np.r_[x, 0, 0]
+    at = np.concatenate(_sample_places(len(x)))
+    a, b, c = y[at], y[at + 1], y[at + 2]
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])] if len(a) else np.zeros(0, bool)
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return [a[new], b[new], c[new]], number
+
+
+def _picked(chunk: int, n: int, rate: float) -> np.ndarray:
+    """Some of n rows, the same ones whenever the chunk is read."""
+    return np.flatnonzero(np.random.default_rng(chunk).random(n) < rate)
+
+
+def _sample_triples(chunk: int, parts: dict, rate: float):
+    columns, _ = _triples(arrays_of(parts["string"][0])[0])
+    at = _picked(chunk, len(columns[0]), rate)
+    yield OWN, packed(*[c[at] for c in columns])
+
+
+def _send_triples(chunk: int, parts: dict, splitters: Splitters):
+    columns, _ = _triples(arrays_of(parts["string"][0])[0])
+    yield from cut_by(splitters.bucket(columns), columns)
+
+
+def _name(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    """Numbers of the distinct triples of a bucket in order, with their bucket in the high bits; and how many there are."""
+    parts = [arrays_of(r) for r in rows]
+    a, b, c = (joined(parts, i) for i in range(3))
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new)
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return [packed(x + (bucket << SHIFT)) for x in np.split(number, ends[:-1])], int(new.sum())
+
+
+def _shorter(chunk: int, parts: dict):
+    """The chunk's string of names."""
+    _, number = _triples(arrays_of(parts["string"][0])[0])
+    names = joined([arrays_of(d) for d in parts["names"]], 0)
+    yield OWN, packed(names[number])
+
+
+def _whole(chunk: int, parts: dict):
+    yield 0, parts["string"][0]
+
+
+def ranks_of(x: np.ndarray) -> np.ndarray:
+    """Ranks (from 0) of all suffixes of a string, by doubling."""
+    _, rank = np.unique(x, return_inverse=True)
+    n, k = len(x), 1
+    while n and int(rank.max()) < n - 1:
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(n - k, 0)] = rank[k:] + 1
+        _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
+        k *= 2
+    return rank.astype(np.int64)
+
+
+def _order_small(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    strings = [arrays_of(r)[0] for r in rows]
+    rank = ranks_of(np.concatenate(strings)) + 1
+    return [packed(r) for r in np.split(rank, np.cumsum([len(s) for s in strings])[:-1])], 0
+
+
+class Level:
+    """A chunk's string, with the ranks of its sample suffixes from the level below: what merging compares."""
+
+    def __init__(self, parts: dict, last: int | None = None):
+        x = arrays_of(parts["string"][0])[0]
+        n = len(x)
+        one, two = _sample_places(n)
+        below = joined([arrays_of(d) for d in parts["ranks"]], 0)
+        rank = np.zeros(n + 2, np.int64)
+        rank[one], rank[two] = below[: len(one)], below[len(one) :]
+        sym = np.r_[x, 0, 0]
+        self.x = x
+        self.places = [np.arange(0, n, 3), one, two]
+        if last is not None:  # symbols from `last` on are ends, whose suffixes nobody asks for
+            self.places = [p[x[p] < last] for p in self.places]
+        z, one, two = self.places
+        self.zero = [sym[z], rank[z + 1], sym[z + 1], rank[z + 2]]
+        self.one = [rank[one], sym[one], rank[one + 1]]
+        self.two = [rank[two], sym[two], sym[two + 1], rank[two + 2]]
+
+    def send(self, splitters: Splitters, extra=None):
+        """(bucket, packed columns of its suffixes), and the places in the order they are sent."""
+        cuts = [
+            splitters.bucket(self.zero[:2], first=1),
+            splitters.bucket(self.one[:1]),
+            splitters.bucket(self.two[:1]),
+        ]
+        orders = [np.argsort(c, kind="stable") for c in cuts]
+        used = np.unique(np.concatenate(cuts))
+        lows, highs = ([np.searchsorted(c[o], used, side) for c, o in zip(cuts, orders, strict=True)] for side in ("left", "right"))
+        rows, sent = [], []
+        for i, b in enumerate(used.tolist()):
+            own = [o[low[i] : high[i]] for o, low, high in zip(orders, lows, highs, strict=True)]
+            columns = [c[at] for group, at in zip((self.zero, self.one, self.two), own, strict=True) for c in group]
+            places = np.concatenate([p[at] for p, at in zip(self.places, own, strict=True)])
+            rows.append((b, packed(*columns, *(extra(places) if extra else ()))))
+            sent.append(places)
+        return rows, np.concatenate([*sent, np.zeros(0, np.int64)])
+
+
+def _sample_suffixes(chunk: int, parts: dict, rate: float, last: int | None):
+    rank, sym, ahead = Level(parts, last).one
+    at = _picked(chunk, len(rank), rate)
+    yield OWN, packed(rank[at], sym[at], ahead[at])
+
+
+def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from 0) in suffix order of the suffixes sent to a bucket, in the order sent; and which part sent each."""
+    s, r1, s1, r2 = (joined(parts, i) for i in range(4))
+    k1, t, q1 = (joined(parts, i) for i in range(4, 7))
+    k2, u, u1, q2 = (joined(parts, i) for i in range(7, 11))
+    zero, one, two = np.lexsort((r1, s)), np.argsort(k1), np.argsort(k2)
+    zero_one = [s[zero], r1[zero]], [t[one], q1[one]]
+    zero_two = [s[zero], s1[zero], r2[zero]], [u[two], u1[two], q2[two]]
+    out = [np.empty(len(x), np.int64) for x in (zero, one, two)]
+    out[0][zero] = np.arange(len(zero)) + not_above(zero_one[1], zero_one[0]) + not_above(zero_two[1], zero_two[0])
+    out[1][one] = np.arange(len(one)) + np.searchsorted(k2[two], k1[one]) + not_above(zero_one[0], zero_one[1])
+    out[2][two] = np.arange(len(two)) + np.searchsorted(k1[one], k2[two]) + not_above(zero_two[0], zero_two[1])
+    owner = np.concatenate([np.repeat(np.arange(len(parts)), [len(p[i]) for p in parts]) for i in (0, 4, 7)])
+    # From all of class 0, 1, 2 to those of the first part, the second, ...
+    by_part = np.argsort(owner, kind="stable")
+    return np.concatenate(out)[by_part], owner[by_part]
+
+
+def _rank(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    parts = [arrays_of(r) for r in rows]
+    place, owner = merged(parts)
+    ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
+    return [packed(x + (bucket << SHIFT) + 1) for x in np.split(place, ends[:-1])], 0
+
+
+def _send_suffixes(chunk: int, parts: dict, splitters: Splitters):
+    yield from Level(parts).send(splitters)[0]
+
+
+def _ranked(chunk: int, parts: dict, splitters: Splitters):
+    """The ranks of all suffixes of the chunk's string, by place."""
+    level = Level({"string": parts["string"], "ranks": parts["below"]})
+    _, places = level.send(splitters)
+    rank = np.zeros(len(level.x), np.int64)
+    rank[places] = joined([arrays_of(d) for d in parts["got"]], 0)
+    yield OWN, packed(rank)
+
+
+def _count(chunk: int, parts: dict):
+    n = len(arrays_of(parts["string"][0])[0])
+    yield OWN, b"", n
+    yield OWN - 1, b"", sum(map(len, _sample_places(n)))
+
+
+def _splitters(tables: dict[str, DataFrame], work, n: int, width: int, bucket_rows: int, **more) -> Splitters:
+    """Bounds of buckets from a sample of OVERSAMPLE rows for each bucket, as Spark's range sort takes them."""
+    buckets = max(1, -(-n // bucket_rows))
+    if buckets == 1:
+        return Splitters([], 1, width)
+    sample = each_chunk(tables, partial(work, rate=min(1.0, OVERSAMPLE * buckets / n), **more))
+    rows = [arrays_of(r["data"]) for r in sample.select("data").collect()]
+    return Splitters([t for r in rows for t in zip(*[c.tolist() for c in r], strict=True)], buckets, width)
+
+
+def suffix_splitters(string: DataFrame, below: DataFrame, n: int, last: int | None = None, bucket_rows: int = BUCKET_ROWS) -> Splitters:
+    """Bounds of buckets of suffixes: each is a suffix of the sample, as (rank, symbol, rank behind)."""
+    return _splitters({"string": string, "ranks": below}, _sample_suffixes, n, 3, bucket_rows, last=last)
+
 
-#: Positions of the string whose neighbours are looked up in one group.
-BLOCK = 4096
-
-
-def following(s: DataFrame, columns: list[str], ahead: int, block: int = BLOCK) -> DataFrame:
-    """s (column pos) with the columns' values at the next positions, as c1, c2, ...; null past the end.
-
-    Positions are grouped in blocks; a block gets a copy of the next one's first rows.
-    """
-    own = F.floor(F.col("pos") / block)
-    blocks = F.array_distinct(F.array(*[F.floor((F.col("pos") - k) / block) for k in range(ahead + 1)]))
-    w = W.partitionBy("_b").orderBy("pos")
-    dealt = s.withColumn("_b", F.explode(blocks))
-    at = lambda c, k: F.when(F.lead("pos", k).over(w) == F.col("pos") + k, F.lead(c, k).over(w))
-    return dealt.withColumns({f"{c}{k}": at(c, k) for c in columns for k in range(1, ahead + 1)}).filter(F.col("_b") == own).drop("_b")
-
-
-def running(rows: DataFrame, order: list[str], sums: list[str], ws: Workspace, label: str) -> DataFrame:
-    """rows with `<c>_before` for each of sums: its sum over all rows that come before in the order.
-
-    The rows are sorted over many tasks and saved with their task's number; each task adds up its own, and
-    the totals of the tasks before come from a table of one row for each task.
-    """
-    in_order = ws.save(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()), label)
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    totals = in_order.groupBy("_p").agg(*[F.sum(c).alias(c) for c in sums])
-    one = before(W.partitionBy(F.lit(0)).orderBy("_p"))
-    offsets = totals.select("_p", *[F.coalesce(F.sum(c).over(one), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    own = before(W.partitionBy("_p").orderBy(*order))
-    joined = in_order.join(F.broadcast(offsets), "_p")  # one row for each partition of a sort
-    return joined.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"_o_{c}") for c in sums}).drop("_p", *[f"_o_{c}" for c in sums])
-
-
-def suffix_ranks(s: DataFrame, ws: Workspace, depth: int, label: str = "sa") -> DataFrame:
-    """pos, rank: the number of suffixes that are less. s: pos (0, 1, ... without gaps), sym (from 0 on).
-
-    Suffixes at positions not divisible by three are the sample: their triples of symbols are sorted
-    and named, the names in order are a string of two thirds of the length, whose suffixes are ranked
-    in the same way. The others are then merged in by their first symbol and the rank of the sample
-    suffix after it, against each half of the sample in turn. After `depth` recursions suffixes that
-    agree on 3 ** (depth + 1) symbols share a rank.
-    """
-    s = ws.save(following(s, ["sym"], 2).fillna(-1, ["sym1", "sym2"]), f"{label}-s")
-    triple = ["sym", "sym1", "sym2"]
-    sample = s.filter("pos % 3 <> 0")
-    distinct = sample.groupBy(*triple).agg(F.lit(1).alias("one"), F.count("*").alias("times"))
-    named = ws.save(running(distinct, triple, ["one"], ws, f"{label}-t").select(*triple, F.col("one_before").alias("name"), "times"), f"{label}-n")
-    names = ws.save(sample.join(named, triple).select("pos", "name"), f"{label}-r")
-    if depth and named.filter("times > 1").limit(1).count():
-        n1 = s.filter("pos % 3 = 1").count()
-        place = F.when(F.col("pos") % 3 == 1, F.floor((F.col("pos") - 1) / 3)).otherwise(F.floor((F.col("pos") - 2) / 3) + n1 + 1)
-        shorter = names.select(place.alias("pos"), (F.col("name") + 1).alias("sym"))
-        gap = s.sparkSession.range(n1, n1 + 1).select(F.col("id").alias("pos"), F.lit(0).cast("long").alias("sym"))  # keeps the halves apart
-        deeper = suffix_ranks(shorter.unionByName(gap), ws, depth - 1, f"{label}-d").filter(F.col("pos") != n1)
-        back = F.when(F.col("pos") < n1, F.col("pos") * 3 + 1).otherwise((F.col("pos") - n1 - 1) * 3 + 2)
-        names = ws.save(deeper.select(back.alias("pos"), F.col("rank").alias("name")), f"{label}-x")
-    ranked = following(s.select("pos", "sym", "sym1").join(names, "pos", "left"), ["name"], 2).fillna(-1, ["name1", "name2"])
-    ranked = ws.save(ranked.withColumn("m", F.col("pos") % 3), f"{label}-k")
-    count = lambda m: F.count_if(F.col("m") == m).alias(f"n{m}")
-    first = ranked.filter("m <> 2").groupBy("sym", "name1").agg(count(0), count(1))
-    first = running(first, ["sym", "name1"], ["n0", "n1"], ws, f"{label}-a").select("sym", "name1", F.col("n0_before").alias("a0"), F.col("n1_before").alias("a1"))
-    second = ranked.filter("m <> 1").groupBy("sym", "sym1", "name2").agg(count(0), count(2))
-    second = running(second, ["sym", "sym1", "name2"], ["n0", "n2"], ws, f"{label}-b").select("sym", "sym1", "name2", F.col("n0_before").alias("b0"), F.col("n2_before").alias("b2"))
-    # Sample suffixes that are less than a sample suffix: names may skip numbers, so they are counted too.
-    third = running(names.groupBy("name").agg(F.count("*").alias("c")), ["name"], ["c"], ws, f"{label}-c").select("name", F.col("c_before").alias("less"))
-    out = ranked.join(first, ["sym", "name1"], "left").join(second, ["sym", "sym1", "name2"], "left").join(third, "name", "left")
-    rank = F.when(F.col("m") == 0, F.col("a0") + F.col("a1") + F.col("b2")).when(F.col("m") == 1, F.col("less") + F.col("a0")).otherwise(F.col("less") + F.col("b0"))
-    out = ws.save(out.select("pos", rank.alias("rank")), f"{label}-o")
-    for done in ("s", "t", "n", "r", "x", "d-o", "k", "a", "b", "c"):
+def sample_ranks(string: DataFrame, ws: Workspace, small: int = SMALL, bucket_rows: int = BUCKET_ROWS, label: str = "sa") -> tuple[DataFrame, int]:
+    """Ranks of each chunk's sample suffixes (places 1, 4, ..., then 2, 5, ...), and the number of symbols of all strings."""
+    counted = dict(each_chunk({"string": string}, _count).groupBy("bucket").agg(F.sum("number")).collect())
+    n, sampled = counted.get(OWN, 0), counted.get(OWN - 1, 0)
+    splitters = _splitters({"string": string}, _sample_triples, sampled, 3, bucket_rows)
+    names = ask(each_chunk({"string": string}, partial(_send_triples, splitters=splitters)), _name, ws, f"{label}-n")
+    shorter = ws.save(each_chunk({"string": string, "names": names}, _shorter), f"{label}-s")
+    if total(names) == sampled:
+        return shorter, n
+    if sampled <= small:
+        return ask(each_chunk({"string": shorter}, _whole), _order_small, ws, f"{label}-o"), n
+    below, _ = sample_ranks(shorter, ws, small, bucket_rows, f"{label}-d")
+    splitters = suffix_splitters(shorter, below, sampled, bucket_rows=bucket_rows)
+    got = ask(each_chunk({"string": shorter, "ranks": below}, partial(_send_suffixes, splitters=splitters)), _rank, ws, f"{label}-g")
+    out = ws.save(each_chunk({"string": shorter, "below": below, "got": got}, partial(_ranked, splitters=splitters)), f"{label}-r")
+    for done in ("n", "s", "d-n", "d-s", "d-o", "d-r", "g"):
         ws.drop(f"{label}-{done}")
-    return out
-
-
-def neighbours(ranked: DataFrame, column: str, ws: Workspace, block: int = BLOCK) -> DataFrame:
-    """ranked (pos, rank, column) with the column's values just before and after in suffix order, as `before` and `after`."""
-    order = running(ranked.withColumn("one", F.lit(1)), ["rank", "pos"], ["one"], ws, "order").withColumnRenamed("one_before", "at")
-    own = F.floor(F.col("at") / block)
-    blocks = F.array_distinct(F.array(*[F.floor((F.col("at") + k) / block) for k in (-1, 0, 1)]))
-    w = W.partitionBy("_b").orderBy("at")
-    dealt = order.withColumn("_b", F.explode(blocks))
-    near = {"before": F.lag(column).over(w), "after": F.lead(column).over(w)}
-    return dealt.withColumns(near).filter(F.col("_b") == own).select("pos", "rank", column, "before", "after")
+    return out, n
