@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast (a few hundred bytes each); larger sides are joined salted.
 BROADCAST_ROWS = 10_000
+#: Rows of a hash of 16 bytes each, and bytes of rows that are measured, which may be broadcast.
+BROADCAST_HASHES, BROADCAST_BYTES = 500_000, 32 << 20
 SALTS = 32
 
 
@@ -66,17 +68,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def attach(big: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left join with a side that has one row a key, whose keys may be null and hot in `big`.
+def attach(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left (or inner) join with a side that has one row a key, whose keys may be null and hot in `big`.
 
-    The small side is counted first: up to BROADCAST_ROWS it is broadcast, beyond that each of
+    The small side is counted first: up to `rows` rows it is broadcast, beyond that each of
     its rows is repeated for SALTS salts and the rows of a hot key go to as many tasks.
     """
     cond = F.col("b." + key).eqNullSafe(F.col("s." + key))
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = big.alias("b").join(F.broadcast(small).alias("s"), cond, "left")
+    if small.limit(rows + 1).count() <= rows:
+        joined = big.alias("b").join(F.broadcast(small).alias("s"), cond, how)
     else:
         salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        joined = dealt.alias("b").join(salted.alias("s"), cond & (F.col("b._salt") == F.col("s._salt")), "left")
+        joined = dealt.alias("b").join(salted.alias("s"), cond & (F.col("b._salt") == F.col("s._salt")), how)
     return joined.select(*[F.col(f"b.`{c}`") for c in big.columns], *[F.col(f"s.`{c}`") for c in small.columns if c != key])
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, digest: Column) -> DataFrame:
+    """docs, all columns, without the rows of `gone` (columns key, digest, saved): those of its keys, null or not, whose texts have its digests.
+
+    `digest` is that of a row of docs, whose columns it names by the prefix "d". The bytes of
+    `gone` are added up first: it is broadcast up to BROADCAST_BYTES, else both sides are shuffled.
+    """
+    size = gone.agg(F.sum(F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + F.octet_length("digest") + 32)).first()[0] or 0
+    cond = F.col(f"d.`{key}`").eqNullSafe(F.col("g.key")) & (digest == F.col("g.digest"))
+    return docs.alias("d").join((F.broadcast(gone) if size <= BROADCAST_BYTES else gone).alias("g"), cond, "left_anti")

@@ -12,6 +12,8 @@ from .common import Workspace, unit_hash
 
 #: Digits of the key's md5 that number rows inside a shard: 16 ** 3 groups a shard.
 GROUP_DIGITS = 3
+#: Shards up to which the groups' offsets (16 ** 3 short rows a shard, 10 MB in all) are broadcast.
+BROADCAST_SHARDS = 64
 
 
 def record_key(key: Column, text: Column) -> Column:
@@ -38,8 +40,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
     empty one). slot numbers a shard's rows from 0 without gaps, by (first digits of the key's md5,
     key, size, checksum): groups of rows are counted, their offsets summed, and rows numbered
     inside their group, so no task sees a whole shard. grown_shard is the shard with one more.
-    Repeated rows get slots of their own; null keys are placed by their text; an empty table
-    gives no rows. Other columns are ignored.
+    Repeated rows get slots of their own; null keys are placed by their text; texts of any length are only
+    measured and summed; an empty table gives no rows. Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "shards")
     k = record_key(F.col(key), F.col(text))
@@ -58,15 +60,17 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
     offsets = counts.select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = W.partitionBy("shard", "_group").orderBy(key, "size", "text_crc32")
     return (
-        rows.join(F.broadcast(offsets), ["shard", "_group"])
+        rows.join(F.broadcast(offsets) if len(weights) <= BROADCAST_SHARDS else offsets, ["shard", "_group"])
         .withColumn("slot", F.col("_offset") + F.row_number().over(inside) - 1)
         .select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
     )
 
 
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id", text: str = "text") -> None:
-    """Writes the rows to one folder for each shard."""
-    docs.withColumn("shard", rendezvous(record_key(F.col(key), F.col(text)), weights)).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id", text: str = "text", column: str = "shard") -> None:
+    """Writes the rows to one folder for each shard, named by `column`, which must be no column of the rows."""
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the rows have a column {column}; name another one for the shards")
+    docs.withColumn(column, rendezvous(record_key(F.col(key), F.col(text)), weights)).write.partitionBy(column).parquet(path)
 
 
 N_SHARDS = 16

@@ -250,15 +250,15 @@ def _groups(docs: DataFrame, key: str, text: str, words: int, radius: int) -> Da
     return rows.join(ids, "_f").select("_k", "_f", "component_id")
 
 
-def text_hash(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+def text_hash(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def _similar(docs: DataFrame, key: str, text: str, words: int, radius: int) -> DataFrame:
     """_k, _h (md5 of the text), _first (the least _k with its _h that links reach, nulls last) of each row."""
     ws = Workspace(docs.sparkSession, "similar")
     kind = docs.schema[key].dataType.simpleString()
-    raw, hashed = F.coalesce(F.col(text).cast("string"), F.lit("")), text_hash(text)
+    raw, hashed = F.coalesce(F.col(text).cast("string"), F.lit("")), text_hash(F.col(text))
     rows = docs.select(F.col(key).alias("_k"), hashed.alias("_h"), raw.alias("_t"))
     rows = ws.save(rows.mapInArrow(partial(_sets, words=words), f"_k {kind}, _h binary, _d binary, _f array<long>, _bands array<long>"), "sets")
     # Rows with equal sets of shingles are one node; fingerprint and bands are functions of the set.
@@ -309,12 +309,14 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """The rows of docs, all columns, but of each group of similar texts only the least key with its text.
 
     A row is told by its key and text, so that others of the same key, null or not, stay. Of rows with
-    the least key the one of least text hash stays; rows of equal key and text all stay or all go.
+    the least key the one of least text hash stays; rows of equal key and text all stay or all go. Null and empty texts are
+    one group, as are all texts of fewer words than a shingle that have the same words; texts of any length are compared whole; an
+    empty table gives no rows; columns of any names come back as they are.
     """
     found = _similar(docs, key, text, words, radius)
     first = F.col("_k").eqNullSafe(F.col("_first._k")) & (F.col("_h") == F.col("_first._h"))
-    gone = found.filter(~first).select(F.col("_k").alias("_gone"), F.col("_h").alias("_gone_text")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")) & (text_hash(text) == F.col("_gone_text")), "left_anti")
+    gone = Workspace(docs.sparkSession, "distinct").save(found.filter(~first).select(F.col("_k").alias("key"), F.col("_h").alias("digest")).distinct(), "gone")
+    return without(docs, gone, key, text_hash(F.col(f"d.`{text}`")))
 
 
 def op2_simhash_groups(spark, sf_dir: str) -> DataFrame:
