@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,34 +35,57 @@ def upsert_films(current: DataFrame, incoming: DataFrame) -> DataFrame:
     director, runtime, synopsis = gated("director"), gated("runtime"), F.coalesce("n.synopsis", "c.synopsis")
     changed = ~(director.eqNullSafe(F.col("c.director")) & runtime.eqNullSafe(F.col("c.runtime")) & synopsis.eqNullSafe(F.col("c.synopsis")))
     source = F.when(F.col("c.id").isNull(), "none").when((F.col("c.match_source") == "none-attempted") & changed, "none").otherwise(F.col("c.match_source"))
+    own = ("id", "scraped_title", "scraped_year", "director", "runtime", "synopsis", "skip", "match_source")
     merged = joined.select(
         F.col("c.id").alias("id"), F.coalesce("c.scraped_title", "n.scraped_title").alias("scraped_title"), F.coalesce("c.scraped_year", "n.scraped_year").alias("scraped_year"),
         director.alias("director"), runtime.alias("runtime"), synopsis.alias("synopsis"), F.coalesce("c.skip", "n.skip").alias("skip"), source.alias("match_source"), F.col("n.feed_pos").alias("feed_pos"),
+        *[F.col(f"c.`{x}`") for x in current.columns if x not in own],
     )
-    return with_new_ids(merged, current, "feed_pos")
+    return with_new_ids(merged, current, ["feed_pos", "scraped_title", "scraped_year"]).drop("feed_pos")
 
 
-def with_new_ids(df: DataFrame, current: DataFrame, order: str) -> DataFrame:
-    """Rows without id get the numbers after the greatest; they are few beside the snapshot, and numbered in order."""
+#: Positions of a feed that are numbered together.
+POSITIONS = 4096
+
+
+def numbered(df: DataFrame, group: Column, order: list[str]) -> DataFrame:
+    """df with `_i`: 1, 2, ... in an order whose groups follow one another. Rows are counted by group and numbered
+    inside it, so that no task sees all of them; the counts of groups, a row for each, are added up in order."""
+    rows = df.withColumn("_g", group)
+    before = F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1))
+    offsets = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_h"), F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = rows.withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy(*order)))
+    return inside.join(offsets, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_i", F.col("_i") + F.col("_o")).drop("_g", "_h", "_o")
+
+
+def with_new_ids(df: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
+    """Rows without id get the numbers after the greatest, in order; the first column of the order is a position."""
     top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = df.filter("id IS NULL").withColumn("_i", F.row_number().over(W.orderBy(order)))
-    numbered = fresh.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_i")).drop("_top", "_i")
-    return df.filter("id IS NOT NULL").unionByName(numbered).drop(order)
+    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order)
+    given = fresh.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_i")).drop("_top", "_i")
+    return df.filter("id IS NOT NULL").unionByName(given)
 
 
 def replace_future(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
-    """Screenings after a batch: past rows stay, future rows of the batch's venues are replaced.
+    """Screenings (id, film_id, venue_id, starts_at, program_name and any others) after a batch: past rows stay, future
+    rows of the batch's venues are replaced.
 
     A venue whose batch is empty (a row without film) keeps its future rows if it has any: the breaker. On
-    (film, venue, start) a later row of the batch wins over an earlier and over a past one.
+    (film, venue, start) a later row of the batch wins over an earlier and over one that stayed: that one keeps its id and takes
+    all else from the batch. Other rows of the batch get new ids in feed order. Columns that the batch lacks are null.
     """
+    key = ["film_id", "venue_id", "starts_at"]
     venues = incoming.groupBy("venue_id").agg(F.count("film_id").alias("_n"))
     marked = current.join(venues, "venue_id", "left")
     keep = (F.col("starts_at") < times.lit(now)) | F.coalesce(F.col("_n") == 0, F.lit(True))
-    old = marked.filter(keep).select("film_id", "venue_id", "starts_at", "program_name", F.lit(-1).cast("long").alias("_pos"))
-    new = incoming.filter("film_id IS NOT NULL").select("film_id", "venue_id", "starts_at", "program_name", F.col("feed_pos").cast("long").alias("_pos"))
-    last = W.partitionBy("film_id", "venue_id", "starts_at").orderBy(F.col("_pos").desc(), "program_name")
-    return old.unionByName(new).withColumn("_i", F.row_number().over(last)).filter("_i = 1").drop("_i", "_pos")
+    old = marked.filter(keep).select(*current.columns, F.lit(-1).cast("long").alias("_pos"))
+    types = dict(current.dtypes)
+    batch = [F.col(c).cast(types[c]).alias(c) if c in incoming.columns and c != "id" else F.lit(None).cast(types[c]).alias(c) for c in current.columns]
+    new = incoming.filter("film_id IS NOT NULL").select(*batch, F.col("feed_pos").cast("long").alias("_pos"))
+    last = W.partitionBy(*key).orderBy(F.col("_pos").desc(), "program_name", "id")
+    rows = old.unionByName(new).withColumns({"_i": F.row_number().over(last), "_id": F.max("id").over(W.partitionBy(*key))})
+    rows = rows.filter("_i = 1").withColumn("id", F.col("_id")).drop("_i", "_id")
+    return with_new_ids(rows, current, ["_pos", *key]).drop("_pos")
 
 
 def refused_venues(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
@@ -186,21 +209,41 @@ def seed_if_absent(current: DataFrame, seeds: DataFrame, key: str = "id") -> Dat
     return current.unionByName(seeds.join(current, key, "left_anti"))
 
 
-def publish(spark: SparkSession, snapshot: DataFrame, root: str, version: int) -> str:
-    """Writes a snapshot beside the old ones; readers take the highest whole version."""
-    path = f"{root}/v={version:012d}"
-    snapshot.write.mode("errorifexists").parquet(path)
-    return path
+#: Snapshots that hold the programme, and those that outlive it.
+PROGRAMME, STANDING = ("films", "screenings", "runs"), ("venues", "sources", "overrides")
 
 
-def ingest(films: DataFrame, screenings: DataFrame, batch: DataFrame, now: datetime) -> dict[str, DataFrame]:
-    """A batch of canonical rows (with scraped_title, scraped_year, venue_id, starts_at, ...) into the next
-    snapshots: films first, then screenings with ids by null-safe key, then merging; and a summary. The
-    replacing comes before the merging, so that ids stay valid; a second run of the batch changes nothing."""
-    next_films = upsert_films(films, batch.filter("scraped_title IS NOT NULL").select("scraped_title", "scraped_year", "director", "runtime", "synopsis", "skip", "feed_pos"))
+def reset_programme(snapshots: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The next snapshots after a reset: films, screenings and runs without rows, all others as they are."""
+    return {name: s.filter(F.lit(False)) if name in PROGRAMME else s for name, s in snapshots.items()}
+
+
+def ingest(films: DataFrame, screenings: DataFrame, batch: DataFrame, now: datetime, found: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A batch of canonical rows (scraped_title, scraped_year, venue_id, starts_at, program_name, ..., feed_pos) into the next
+    snapshots, in this order: films; screenings, whose films are found by null-safe key; ids of films that the
+    resolution `found` (scraped_title, scraped_year, ext_id); films of one ext_id merged, and their screenings moved, which
+    comes last so that ids stay valid until then. A second run of the batch changes nothing.
+
+    Returns films, screenings, summary (of each venue: scraped, distinct_rows) and runs (of each venue: status, finished_at,
+    scraped, warning; a venue that the breaker holds has failed).
+    """
+    key = lambda t, a: (F.col("scraped_title") == F.col(f"{a}._t")) & F.col("scraped_year").eqNullSafe(F.col(f"{a}._y"))  # noqa: E731, ARG005
+    listed = batch.filter("scraped_title IS NOT NULL").select("scraped_title", "scraped_year", "director", "runtime", "synopsis", "skip", "feed_pos")
+    next_films = upsert_films(films, listed)
     ids = next_films.select(F.col("id").alias("film_id"), F.col("scraped_title").alias("_t"), F.col("scraped_year").alias("_y"))
-    resolved = batch.join(ids, (F.col("scraped_title") == F.col("_t")) & F.col("scraped_year").eqNullSafe(F.col("_y")), "left")
+    resolved = batch.join(ids.alias("i"), key(batch, "i"), "left").drop("_t", "_y")
     resolved = resolved.withColumn("program_name", text.drop_echo(F.col("program_name"), F.col("scraped_title")))
     next_screenings = replace_future(screenings, resolved, now)
+    if found is not None:
+        f = found.select(F.col("scraped_title").alias("_t"), F.col("scraped_year").alias("_y"), F.col("ext_id").alias("_e"))
+        next_films = next_films.join(f.alias("f"), key(next_films, "f"), "left").withColumn("ext_id", F.coalesce("_e", "ext_id")).drop("_t", "_y", "_e")
+    if "ext_id" in next_films.columns:
+        losers = winners(next_films, ["ext_id"])
+        next_screenings = merge_duplicates(next_screenings, losers)
+        next_films = next_films.join(losers.select(F.col("film_id").alias("id")), "id", "left_anti")
     summary = batch.groupBy("venue_id").agg(F.count("scraped_title").alias("scraped"), F.countDistinct("scraped_title", "starts_at").alias("distinct_rows"))
-    return {"films": next_films, "screenings": next_screenings, "summary": summary}
+    refused = refused_venues(screenings, resolved, now)
+    held = F.col("kept").isNotNull()
+    warning = F.when(held, F.concat(F.lit("empty batch, kept "), "kept", F.lit(" future rows")))
+    runs = summary.join(refused, "venue_id", "left").select("venue_id", F.when(held, "failure").otherwise("success").alias("status"), times.lit(now).alias("finished_at"), "scraped", warning.alias("warning"))
+    return {"films": next_films, "screenings": next_screenings, "summary": summary, "runs": runs}

@@ -67,11 +67,19 @@ i AS (SELECT * FROM b UNION ALL SELECT film_id, venue_id, starts_at, 'Again', po
 """
 
 
-@query("M-4 M-5", BATCH + """
-, o AS (SELECT film_id, venue_id, starts_at, program_name, -1 AS pos FROM s WHERE starts_at < TIMESTAMP '2024-01-15 12:00:00' OR venue_id NOT IN (SELECT venue_id FROM b))
-SELECT film_id, venue_id, starts_at, program_name FROM (SELECT * FROM o UNION ALL SELECT * FROM i) QUALIFY row_number() OVER (PARTITION BY film_id, venue_id, starts_at ORDER BY pos DESC, program_name NULLS FIRST) = 1""")
+REPLACED = """
+, o AS (SELECT id, film_id, venue_id, starts_at, program_name, tags, -1 AS pos FROM s WHERE starts_at < TIMESTAMP '2024-01-15 12:00:00' OR venue_id NOT IN (SELECT venue_id FROM i)),
+a AS (SELECT max(id) OVER k AS id, film_id, venue_id, starts_at, program_name, tags, pos FROM (SELECT * FROM o UNION ALL SELECT NULL, film_id, venue_id, starts_at, program_name, tags, pos FROM i)
+  WINDOW k AS (PARTITION BY film_id, venue_id, starts_at) QUALIFY row_number() OVER (PARTITION BY film_id, venue_id, starts_at ORDER BY pos DESC, program_name NULLS FIRST, id NULLS FIRST) = 1),
+x AS (SELECT coalesce(id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY id IS NULL ORDER BY pos, film_id, venue_id, starts_at)) AS id, film_id, venue_id, starts_at, program_name, tags FROM a)
+"""
+
+
+@query("M-4 M-5", BATCH.replace("program_name, id AS pos", "program_name, ['new'] AS tags, id AS pos").replace("'Again', pos", "'Again', tags, pos") + REPLACED + "SELECT id, film_id, venue_id, starts_at, program_name, array_to_string(tags, ',') AS tags FROM x")
 def replace_future_snapshot(spark, sf_dir):
-    return C.replace_future(screenings(spark, sf_dir), _batch(spark, sf_dir), NOW)
+    current = screenings(spark, sf_dir).select("id", "film_id", "venue_id", "starts_at", "program_name", "tags")
+    batch = _batch(spark, sf_dir).withColumn("tags", F.array(F.lit("new")))
+    return C.replace_future(current, batch, NOW).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("M-5", BATCH + f"SELECT venue_id, count(*) AS kept FROM s WHERE venue_id = 5 AND {FUTURE} GROUP BY 1")
@@ -186,14 +194,6 @@ def seed_venues(spark, sf_dir):
     return C.seed_if_absent(s.filter("id % 2 = 0"), s.withColumn("name", F.expr("CASE WHEN id % 2 = 0 THEN 'seed' ELSE name END")))
 
 
-@query("M-20", "SELECT count(*) AS venues FROM supplier")
-def programme_reset(spark, sf_dir):
-    """After a reset the three programme snapshots are empty, and venues stay."""
-    kept = table(spark, sf_dir, "supplier").agg(F.count("*").alias("venues"))
-    gone = films(spark, sf_dir).limit(0).select(F.col("id").alias("venues"))
-    return kept.unionByName(gone)
-
-
 @query("M-22 T-9", SQL + """
 SELECT id, country, CASE WHEN id % 2 = 0 THEN 'Ana, Eva' END AS director, year, '/w500' || poster AS poster_url, CASE WHEN id % 3 = 0 THEN 'es ' || id ELSE 'en' END AS synopsis, NULL::VARCHAR AS tagline, 'A|B' AS billed FROM f""")
 def catalog_projection(spark, sf_dir):
@@ -203,9 +203,46 @@ def catalog_projection(spark, sf_dir):
     return C.catalog_delta(d).withColumn("billed", F.array_join("billed", "|"))
 
 
-@query("R-6 J-6 S-15 A-30", BATCH.replace("starts_at + INTERVAL 1 HOUR AS starts_at", "starts_at") + "SELECT venue_id, count(*) AS scraped, count(DISTINCT (film_id, starts_at)) AS distinct_rows FROM b GROUP BY 1 UNION ALL SELECT 5, 0, 0")
+INGEST = SQL + """
+, b AS (SELECT f.id AS fid, title, CASE WHEN f.id % 6 = 0 THEN NULL ELSE year END AS y, venue_id, starts_at, program_name, s.tags, s.id AS pos FROM s JOIN f ON film_id = f.id WHERE venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0),
+c AS (SELECT id, title, CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS y, CASE WHEN id % 4 = 0 THEN id % 50 END AS ext FROM f WHERE id % 3 <> 1), n AS (SELECT title, y, min(pos) AS pos FROM b GROUP BY 1, 2),
+u AS (SELECT coalesce(c.id, (SELECT max(id) FROM c) + row_number() OVER (PARTITION BY c.id IS NULL ORDER BY n.pos)) AS id, coalesce(c.title, n.title) AS title, coalesce(c.y, n.y) AS y, ext FROM c FULL JOIN n ON c.title = n.title AND c.y IS NOT DISTINCT FROM n.y),
+m AS (SELECT u.id, u.title, u.y, coalesce(CASE WHEN f.id % 5 = 0 THEN f.id % 50 END, ext) AS ext_id FROM u JOIN f ON f.title = u.title), w AS (SELECT *, CASE WHEN ext_id IS NULL THEN id ELSE min(id) OVER (PARTITION BY ext_id) END AS winner FROM m),
+i AS (SELECT u.id AS film_id, venue_id, starts_at, program_name, b.tags, pos FROM b JOIN u ON b.title = u.title)
+""" + REPLACED + """
+, z AS (SELECT x.id, coalesce(winner, film_id) AS film_id, venue_id, starts_at, program_name, coalesce(winner <> film_id, false) AS moved FROM x LEFT JOIN w ON w.id = film_id)
+"""
+
+
+def _ingested(spark, sf_dir):
+    """A batch of some venues, of known and of new films, with an empty one of venue 5; and ids for every fifth film."""
+    f = films(spark, sf_dir).selectExpr("id AS fid", "title AS scraped_title", "CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS scraped_year")
+    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0").select("film_id", "venue_id", "starts_at", "program_name", "tags", F.col("id").cast("int").alias("feed_pos"))
+    none = {c: F.lit(None).cast(t) for c, t in (("director", "string"), ("runtime", "int"), ("synopsis", "string"))}
+    batch = s.join(f, F.expr("film_id = fid")).drop("film_id", "fid").withColumns({**none, "skip": F.lit(False)})
+    empty = spark.range(1).selectExpr("5 AS venue_id", "0 AS feed_pos", "false AS skip")
+    current = _current(spark, sf_dir).withColumn("ext_id", F.expr("CASE WHEN id % 4 = 0 THEN id % 50 END"))
+    found = f.filter("fid % 5 = 0").selectExpr("scraped_title", "scraped_year", "fid % 50 AS ext_id")
+    shows = screenings(spark, sf_dir).select("id", "film_id", "venue_id", "starts_at", "program_name", "tags")
+    return C.ingest(current, shows, batch.unionByName(empty, allowMissingColumns=True), NOW, found)
+
+
+@query("R-6 J-6 M-7", INGEST + "SELECT id, title AS scraped_title, y AS scraped_year, ext_id FROM w WHERE id = winner")
+def ingest_films(spark, sf_dir):
+    return _ingested(spark, sf_dir)["films"].select("id", "scraped_title", "scraped_year", "ext_id")
+
+
+@query("R-6 M-6 S-15", INGEST + "SELECT id, film_id, venue_id, starts_at, program_name FROM z QUALIFY row_number() OVER (PARTITION BY film_id, venue_id, starts_at ORDER BY moved, id) = 1")
+def ingest_screenings(spark, sf_dir):
+    return _ingested(spark, sf_dir)["screenings"].select("id", "film_id", "venue_id", "starts_at", "program_name")
+
+
+@query("R-6 A-30", INGEST + "SELECT venue_id, count(*) AS scraped, count(DISTINCT (title, starts_at)) AS distinct_rows FROM b GROUP BY 1 UNION ALL SELECT 5, 0, 0")
 def ingest_summary(spark, sf_dir):
-    s = screenings(spark, sf_dir).filter("venue_id % 4 = 1 AND venue_id <> 5 AND k % 3 = 0")
-    rows = s.selectExpr("concat('T', film_id) AS scraped_title", "cast(NULL AS int) AS scraped_year", "venue_id", "starts_at", "program_name", "cast(NULL AS string) AS director", "cast(NULL AS int) AS runtime", "cast(NULL AS string) AS synopsis", "false AS skip", "cast(id AS int) AS feed_pos")
-    empty = spark.range(1).selectExpr("cast(NULL AS string) AS scraped_title", "cast(NULL AS int) AS scraped_year", "5 AS venue_id", "cast(NULL AS timestamp_ntz) AS starts_at", "cast(NULL AS string) AS program_name", "cast(NULL AS string) AS director", "cast(NULL AS int) AS runtime", "cast(NULL AS string) AS synopsis", "false AS skip", "0 AS feed_pos")
-    return C.ingest(_current(spark, sf_dir), screenings(spark, sf_dir), rows.unionByName(empty), NOW)["summary"]
+    return _ingested(spark, sf_dir)["summary"]
+
+
+@query("R-6 M-18 M-5", INGEST + f"""SELECT venue_id, 'success' AS status, TIMESTAMP '2024-01-15 12:00:00' AS finished_at, count(*) AS scraped, NULL AS warning FROM b GROUP BY 1
+UNION ALL SELECT 5, CASE WHEN n > 0 THEN 'failure' ELSE 'success' END, TIMESTAMP '2024-01-15 12:00:00', 0, CASE WHEN n > 0 THEN 'empty batch, kept ' || n || ' future rows' END FROM (SELECT count(*) AS n FROM s WHERE venue_id = 5 AND {FUTURE})""")
+def ingest_runs(spark, sf_dir):
+    return _ingested(spark, sf_dir)["runs"]

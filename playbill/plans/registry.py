@@ -1,8 +1,8 @@
 """All queries on the given tables: callables, SQL, and operators covered."""
 
-from . import catalog_queries, feed_queries, listing_queries, operations_queries, resolution_queries, streaming_queries
+from . import catalog_queries, feed_queries, listing_queries, operations_queries, page_queries, resolution_queries, streaming_queries
 
-MODULES = (listing_queries, operations_queries, feed_queries, catalog_queries, resolution_queries, streaming_queries)
+MODULES = (listing_queries, operations_queries, feed_queries, page_queries, catalog_queries, resolution_queries, streaming_queries)
 
 
 def queries() -> dict:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import feeds as S
 from ..streaming import jobs as J
-from .roles import NOW, SQL
+from .roles import NOW
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,9 +60,14 @@ def stream_silences(spark, sf_dir):
     return J.run_available(spark, J.silences(_events(spark, sf_dir).select(F.col("event_type").alias("source"), "at")), "silent")
 
 
-@query("K-1", SQL + """
-SELECT film_id, venue_id, starts_at, program_name FROM s QUALIFY row_number() OVER (PARTITION BY film_id, venue_id, starts_at ORDER BY id DESC) = 1""")
+@query("K-1 R-6", """
+WITH e AS (SELECT 'film ' || user_id AS title, event_type AS venue_id, date_trunc('second', ts) + to_hours(i) AS starts_at, i FROM events, (VALUES (0), (2)) t(i) WHERE (event_id + i) % 4 <> 0)
+SELECT DISTINCT title AS film, venue_id, starts_at FROM e""")
 def stream_ingest(spark, sf_dir):
-    program = F.expr("CASE WHEN k % 5 = 0 THEN NULL ELSE concat('Ciclo Ñ ', k % 9) END")
-    s = _events(spark, sf_dir).select(F.col("user_id").alias("film_id"), (F.col("k") % 20).alias("venue_id"), F.col("ts").alias("starts_at"), program.alias("program_name"), F.col("event_id").alias("feed_pos"))
-    return J.ingest_stream(spark, s, NOW, J.shared_folder(spark, "ingest"))
+    """Payloads of a film with three showtimes, some hidden and some over, land in a stream; its snapshots of films and screenings are joined."""
+    show = lambda i: F.struct(F.date_format(F.date_trunc("second", "ts").cast("timestamp_ntz") + F.make_interval(hours=F.lit(i)), "yyyy-MM-dd HH:mm:ss").alias("at"), F.when((F.col("event_id") + i) % 4 == 0, "0").otherwise("1").alias("shown"), F.lit(i == 1).alias("expired"))
+    body = F.to_json(F.struct(F.concat(F.lit("film "), "user_id").alias("title"), (F.col("user_id") % 2).cast("int").alias("release"), F.lit(90).alias("minutes"), F.array(*[show(i) for i in range(3)]).alias("showtimes")))
+    landed = _events(spark, sf_dir).select(F.col("event_type").alias("source"), body.alias("body"))
+    out = J.ingest_stream(spark, landed, S.SOURCES["nested"], NOW, J.shared_folder(spark, "ingest"))
+    films = out["films"].select(F.col("id").alias("film_id"), F.col("scraped_title").alias("film"))
+    return out["screenings"].join(films, "film_id").select("film", "venue_id", "starts_at")

@@ -21,6 +21,10 @@ CANONICAL = (
 SOURCES: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {}
 
 
+def none(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
 def source(name: str):
     def add(job):
         SOURCES[name] = job

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -13,7 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import replace_future
+from ..functions import times
+from ..operators.catalog import ingest
 
 # Stateful functions travel by value, so executors need no copy of the library on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,18 +112,37 @@ def silences(stream: DataFrame) -> DataFrame:
     return rows.applyInPandasWithState(_silent, "source string, from_ms long, to_ms long", "last long", "append", "NoTimeout")
 
 
-def ingest_stream(spark: SparkSession, stream: DataFrame, now: datetime, root: str) -> DataFrame:
-    """Batches of canonical screenings into snapshots, one version for each batch.
+SNAPSHOTS = {
+    "films": "id long, scraped_title string, scraped_year int, director string, runtime int, synopsis string, skip boolean, match_source string",
+    "screenings": "id long, film_id long, venue_id string, starts_at timestamp_ntz, program_name string, tags array<string>, source_url string, scraped_at timestamp_ntz",
+}
 
-    A batch that is run again writes its version again from the one before it, so the result is the same.
+
+def ingest_stream(spark: SparkSession, landed: DataFrame, job: Callable[[SparkSession, DataFrame], DataFrame], now: datetime, root: str, start: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Landed payloads through a source's job into the next snapshots of films and screenings, a version for each batch.
+
+    The first version follows the snapshots of `start`, or none. A batch that is run again writes its version again from the one
+    before it, so the result is the same; the version before that is dropped. Where nothing has landed the
+    snapshots are those of the last version, or of the start.
     """
-    schema = "film_id long, venue_id int, starts_at timestamp_ntz, program_name string"
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = lambda n: f"{root}/v={n:012d}"
 
-    def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{root}/v={number - 1:012d}") if number else spark.createDataFrame([], schema)
-        replace_future(before, batch, now).write.mode("overwrite").parquet(f"{root}/v={number:012d}")
+    def version(n: int) -> dict[str, DataFrame]:
+        if n < 0:
+            return start or {k: spark.createDataFrame([], t) for k, t in SNAPSHOTS.items()}
+        return {k: spark.read.schema(t).parquet(f"{folder(n)}/{k}") for k, t in SNAPSHOTS.items()}
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = (q.lastProgress or {"batchId": 0})["batchId"]
-    return spark.read.schema(schema).parquet(f"{root}/v={last:012d}")
+    def step(batch: DataFrame, number: int) -> None:
+        rows = job(spark, batch).withColumnsRenamed({"film_title": "scraped_title", "year": "scraped_year", "runtime_min": "runtime"})
+        rows = rows.withColumns({"scraped_at": times.lit(now), "skip": F.coalesce("skip", F.lit(False))})
+        before = version(number - 1)
+        after = ingest(before["films"], before["screenings"], rows, now)
+        for name in SNAPSHOTS:
+            after[name].write.mode("overwrite").parquet(f"{folder(number)}/{name}")
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(number - 2)), True)
+
+    landed.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    names = [x.getPath().getName() for x in fs.listStatus(base)] if fs.exists(base) else []
+    return version(max((int(x[2:]) for x in names if x.startswith("v=")), default=-1))

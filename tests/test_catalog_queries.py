@@ -133,10 +133,10 @@ def test_upsert_is_idempotent_and_null_safe(spark):
 
 def test_breaker(spark):
     schema = "film_id long, venue_id int, starts_at timestamp_ntz, program_name string"
-    current = spark.createDataFrame([(1, 1, NOW - timedelta(days=1), None), (1, 1, NOW + timedelta(days=1), None), (1, 2, NOW + timedelta(days=1), None)], schema)
+    current = spark.createDataFrame([(7, 1, 1, NOW - timedelta(days=1), None), (8, 1, 1, NOW + timedelta(days=1), None), (9, 1, 2, NOW + timedelta(days=1), None)], "id long, " + schema)
     batch = spark.createDataFrame([(None, 1, None, None, 0), (2, 2, NOW + timedelta(days=2), "P", 1)], schema + ", feed_pos long")
-    got = sorted((r["film_id"], r["venue_id"]) for r in catalog.replace_future(current, batch, NOW).collect())
-    assert got == [(1, 1), (1, 1), (2, 2)]
+    got = sorted((r["id"], r["film_id"], r["venue_id"]) for r in catalog.replace_future(current, batch, NOW).collect())
+    assert got == [(7, 1, 1), (8, 1, 1), (10, 2, 2)]
     assert rows(catalog.refused_venues(current, batch, NOW)) == [(1, 1)]
 
 
