@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -11,14 +10,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import DOUBLED, LATER, Answers, Chunks, as_answers, bucket_of, by_bucket, each_row, found_twice, mix, unpacked, wanted
 from .common import Workspace
-from .packed import OWN, SCHEMA, arrays_of, ask, each_chunk, joined, packed, packed_texts, ragged, texts_of
-from .suffix_array import BUCKET_ROWS, SHIFT, SMALL, Level, Splitters, merged, sample_ranks, suffix_splitters
+from .packed import OWN, SCHEMA, arrays_of, ask, binary, column, cut_by, each_chunk, joined, offsets_of, packed, packed_binary, ragged, texts_of, total
+from .packed import each_row as each_packed
+from .suffix_array import BUCKET_ROWS, SMALL, Level, Splitters, merged, sample_ranks, suffix_splitters
 
 #: Bytes of a gram. Grams whose hash is low are anchors, so that equal bytes have equal anchors.
 GRAM = 8
@@ -30,10 +29,10 @@ PERIOD = 4
 SEGMENT = 1 << 17
 #: Bytes of text in a chunk, unless one text is longer.
 CHUNK_BYTES = 2 << 20
-#: Symbols from this number on end a run, each of its own kind.
-END = 1 << 62
-#: Levels of answers: phrases found twice, runs of a chunk, matches, classes wanted, strings to compare, flags of these.
-PHRASES, RUNS, MATCHES, CLASSES, STRINGS, FLAGS = range(6)
+#: Classes are numbered by the place of their first suffix in its bucket, with the bucket in the bits from this one on.
+SHIFT = 32
+#: Levels of answers: phrases found twice, runs of a chunk, matches, classes wanted, strings without phrases found twice, strings to compare, flags of these.
+PHRASES, RUNS, MATCHES, CLASSES, BARE, STRINGS, FLAGS = range(7)
 ORDER_SCHEMA = "bucket int, first array<long>, last array<long>, breaks array<long>, chunks array<long>, data binary"
 
 
@@ -164,10 +163,10 @@ def _runs(batches, length: int, buckets: int):
         again[own] = twice[np.searchsorted(hashes, h[own])]
         runs = Runs(p, again, live, length)
         i, reach, least, most = runs.needs(p)
-        number: dict[bytes, int] = {}
-        own = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(p.at[i].tolist(), (p.at[i + 1] + GRAM).tolist(), strict=True)), np.int64, len(i))
-        texts = list(number)
-        first = np.zeros(len(texts), np.int64)
+        size = p.at[i + 1] + GRAM - p.at[i]
+        phrases = binary(np.frombuffer(data, np.uint8)[ragged(p.at[i], size)], size).dictionary_encode()
+        own = phrases.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(phrases.dictionary), np.int64)
         first[own[::-1]] = i[::-1]
         bucket = bucket_of(h[np.searchsorted(p.phrase, first)], buckets)
         order = np.argsort(bucket, kind="stable")
@@ -177,16 +176,39 @@ def _runs(batches, length: int, buckets: int):
         inside = np.ones(len(i) + len(ends), bool)
         inside[ends] = False
         spread = lambda x: np.bincount(np.flatnonzero(inside), x, len(inside)).astype(np.int64)
-        rows = [(OWN, packed(*map(spread, (place[own] + 1, reach, least, most)), runs.low, runs.high, runs.u, runs.v, runs.bare_low, runs.bare_high))]
-        low = 0
-        for b, n in zip(*np.unique(bucket, return_counts=True), strict=True):
-            rows.append((int(b), packed_texts([texts[k] for k in order[low : low + n].tolist()])))
-            low += n
+        rows = [(OWN, packed(*map(spread, (place[own] + 1, reach, least, most)), runs.low, runs.high, runs.u, runs.v, runs.bare_low, runs.bare_high), len(ends))]
+        rows += _cut_texts(phrases.dictionary, bucket, order)
+        _, h, counts, _ = _bare(data, runs.bare_low, runs.bare_high, length)
+        rows += [(buckets + b, d) for b, d in cut_by(bucket_of(h, buckets), [(h >> np.uint64(1)).astype(np.int64), (counts > 1).astype(np.int64)])]
         yield _batch(row["chunk"], rows)
 
 
-def _batch(chunk: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    columns = [pa.array([chunk] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array([0] * len(rows), pa.int64())]
+def _bare(data: bytes, low: np.ndarray, high: np.ndarray, length: int):
+    """Starts of strings of no phrase; their distinct hashes in order with counts; and the number of each one's hash."""
+    starts = ragged(low, high - low + 1)
+    h, number, counts = np.unique(phrase_hashes(data, starts, starts + length - GRAM), return_inverse=True, return_counts=True)
+    return starts, h, counts, number
+
+
+def _bare_twice(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
+    """Which hashes of a bucket are found twice."""
+    parts = [arrays_of(r) for r in rows]
+    _, number, counts = np.unique(joined(parts, 0), return_inverse=True, return_counts=True)
+    twice = ((counts > 1) | (np.bincount(number, joined(parts, 1), len(counts)) > 0))[number].astype(np.int64)
+    return [packed(x) for x in np.split(twice, np.cumsum([len(p[0]) for p in parts])[:-1])], 0
+
+
+def _cut_texts(texts: pa.Array, bucket: np.ndarray, order: np.ndarray, *arrays: np.ndarray):
+    """(bucket, packed texts and arrays) for each bucket; order puts the texts in that of buckets, the arrays are in it."""
+    texts, at = texts.take(pa.array(order)), 0
+    for b, n in zip(*np.unique(bucket, return_counts=True), strict=True):
+        yield int(b), packed_binary(texts.slice(at, n), *[a[at : at + n] for a in arrays])
+        at += n
+
+
+def _batch(chunk: int, rows: list[tuple]) -> pa.RecordBatch:
+    numbers = [r[2] if len(r) > 2 else 0 for r in rows]
+    columns = [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(numbers, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "data", "number"])
 
 
@@ -194,32 +216,38 @@ def _named(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
     """Numbers of a bucket's distinct phrases."""
     texts = [texts_of(r)[0] for r in rows]
     number = pc.dictionary_encode(pa.concat_arrays(texts)).indices.to_numpy().astype(np.int64)
-    return [packed(x + (bucket << SHIFT) + 1) for x in np.split(number, np.cumsum([len(t) for t in texts])[:-1])], 0
+    return [packed(x + 1) for x in np.split(number, np.cumsum([len(t) for t in texts])[:-1])], int(number.max()) + 1
 
 
-def _string(chunk: int, parts: dict):
-    """A chunk's string: the names of its runs' phrases, with an end of its own kind after each run."""
-    sym = arrays_of(parts["runs"][0])[0]
+def _ends_before(runs: DataFrame) -> DataFrame:
+    """For each chunk, as `number`, how many ends of runs the chunks before it have: added up for each partition that made
+    chunks, and over partitions."""
+    own = runs.select("chunk", "number", F.shiftright("chunk", 32).alias("p"))
+    totals = own.groupBy("p").agg(F.sum("number").alias("n")).selectExpr("p", "sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
+    inside = own.selectExpr("chunk", "p", "sum(number) OVER (PARTITION BY p ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside")
+    number = (F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("number")
+    return inside.join(totals, "p").select("chunk", F.lit(OWN).alias("bucket"), F.lit(None).cast("binary").alias("data"), number)
+
+
+def _string(chunk: int, parts: dict, offsets: dict[int, int], end: int):
+    """A chunk's string: the names of its runs' phrases, with an end of its own kind, from the number `end` on, after each run."""
+    sym = parts["runs"][0].arrays[0]
     if len(sym):
-        names = np.r_[0, joined([arrays_of(d) for d in parts["names"]], 0)]
-        x, ends = names[sym], np.flatnonzero(sym == 0)
-        partition, number = chunk >> 32, chunk & 0xFFFFFFFF
-        if partition >> 20 or number >> 18 or len(ends) >> 24:
-            raise ValueError("more chunks in a partition, or runs in a chunk, than ends of runs have numbers for")
-        x[ends] = END + ((partition << 18 | number) << 24) + np.arange(len(ends))
-        yield OWN, packed(x)
+        x, ends = np.r_[0, column(parts["names"], 0, offsets)][sym], np.flatnonzero(sym == 0)
+        x[ends] = end + parts["ends"][0].number + np.arange(len(ends))
+        yield OWN, packed(x), len(x)
 
 
-def _level(parts: dict) -> Level:
-    return Level({"string": parts["string"], "ranks": parts["ranks"]}, END)
+def _with_needs(chunk: int, parts: dict):
+    """A chunk's string, the ranks of its sample suffixes, and how far its strings reach."""
+    if parts["string"]:
+        yield OWN, packed(parts["string"][0].arrays[0], column(parts["ranks"]), *parts["runs"][0].arrays[1:4])
 
 
-def _send_order(chunk: int, parts: dict, splitters: Splitters):
+def _send_order(chunk: int, arrays: list, splitters: Splitters, end: int):
     """All suffixes that begin with a phrase, with the phrases they need to be compared by."""
-    if not parts["string"]:
-        return
-    level = _level(parts)
-    _, reach, least, most = arrays_of(parts["runs"][0])[:4]
+    x, ranks, reach, least, most = arrays
+    level = Level(x, ranks, end)
     yield from level.send(splitters, lambda at: (reach[at], least[at], most[at], level.x[ragged(at, reach[at])]))[0]
 
 
@@ -251,8 +279,8 @@ def _ordered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def _matches(bucket: int, common: np.ndarray, after: int, carry: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray):
-    """Of each suffix: how many symbols it shares with a neighbour; and the numbers of the classes of suffixes that share the first
-    `least`, `least` + 1, ... symbols with it, as far as it shares them with any."""
+    """Of each suffix: how many symbols it shares with a neighbour, and with the one before; and the numbers of the classes of
+    suffixes that share the first `least`, `least` + 1, ... symbols with it, as far as it shares them with any."""
     shared = np.maximum(common, np.r_[common[1:], after])[place]
     counts = np.maximum(np.minimum(most, shared) - least + 1, 0)
     out, starts = np.zeros(counts.sum(), np.int64), np.cumsum(counts) - counts
@@ -261,7 +289,7 @@ def _matches(bucket: int, common: np.ndarray, after: int, carry: np.ndarray, pla
         if len(i):
             first = np.maximum.accumulate(np.where(common < s, np.arange(len(common)), -1))[place[i]]
             out[starts[i] + s - least[i]] = np.where(first >= 0, (bucket << SHIFT) + first, carry[s - 1])
-    return shared, counts, out
+    return shared, common[place], counts, out
 
 
 def _tell(batches):
@@ -269,11 +297,11 @@ def _tell(batches):
         place, sizes, common, least, most = arrays_of(row["data"])
         common[0] = row["common"]
         carry = np.array([x or 0 for x in row["carry"]], np.int64)
-        shared, counts, classes = _matches(row["bucket"], common, row["after"], carry, place, least, most)
+        shared, before, counts, classes = _matches(row["bucket"], common, row["after"], carry, place, least, most)
         ends = np.cumsum(sizes)
         cuts = np.r_[0, np.cumsum(counts)][np.r_[0, ends]]
         for i, (chunk, low, high) in enumerate(zip(row["chunks"], ends - sizes, ends, strict=True)):
-            yield _batch(chunk, [(row["bucket"], packed(shared[low:high], counts[low:high], classes[cuts[i] : cuts[i + 1]]))])
+            yield _batch(chunk, [(row["bucket"], packed(shared[low:high], before[low:high], counts[low:high], classes[cuts[i] : cuts[i + 1]]))])
 
 
 def _compared(sent: DataFrame, length: int, ws: Workspace) -> DataFrame:
@@ -304,43 +332,54 @@ def _carried(each: DataFrame) -> DataFrame:
     return found.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "carry"))), lambda x: x["carry"]).alias("carry"))
 
 
-def _by_place(chunk: int, parts: dict, splitters: Splitters):
+def _by_place(chunk: int, parts: dict, splitters: Splitters, end: int):
     """Matches by the place of their phrase in the chunk's string."""
-    level = _level(parts)
+    level = Level(*parts["level"][0].arrays[:2], end)
     _, places = level.send(splitters)
-    told = [arrays_of(d) for d in parts["told"]]
-    shared, counts, classes = (joined(told, i) for i in range(3))
-    n = len(level.x)
-    by_place = lambda x: np.bincount(places, x, n).astype(np.int64)
-    starts = by_place(np.cumsum(counts) - counts)
-    yield OWN, packed(by_place(shared), starts, classes)
+    shared, before, counts, classes = (column(parts["told"], i) for i in range(4))
+    by_place = lambda x: np.bincount(places, x, len(level.x)).astype(np.int64)
+    yield OWN, packed(by_place(shared), by_place(before), by_place(np.cumsum(counts) - counts), classes)
 
 
 class Inside:
-    """The strings of a chunk's runs: which are settled by the order of suffixes, and the class of the phrases inside the others."""
+    """The strings of a chunk's runs that the order of suffixes settles, as intervals of starts (low to high); and, of those that it
+    doesn't and of one for each class of settled ones that are equal, the start, and the class of the phrases inside."""
 
     def __init__(self, p: Places, runs: list[np.ndarray], matches: list[bytes], length: int):
-        sym, _, least, _, low, high, u, v = runs[:8]
-        n = high - low + 1
-        self.starts = starts = ragged(low, n)
-        run = np.repeat(np.arange(len(u)), n)
-        self.first, self.last = first, last = np.searchsorted(p.at, starts), np.searchsorted(p.at, starts + length - GRAM, "right") - 1
-        self.settled = np.zeros(len(starts), bool)
-        self.cls = np.full(len(starts), -1)  # -1: no other place has these phrases, or there are none
-        if len(starts):
-            shared, offsets, classes = arrays_of(matches[0])
-            base = np.cumsum(v - u + 2) - (v - u + 2) - u  # from a phrase's number to its place in the string
-            covering = np.where(starts < p.at[first], first - 1, first)
-            inside = covering >= u[run]
-            covering = np.maximum(covering, u[run])
-            upto = np.minimum(covering + shared[covering + base[run]], v[run] + 1)
-            self.settled = inside & (p.at[upto] + GRAM >= starts + length)
-            at, s = first + base[run], last - first
-            ok = np.flatnonzero((s > 0) & (shared[at] >= s))
-            self.cls[ok] = classes[offsets[at[ok]] + s[ok] - least[at[ok]]]
+        _, _, least, _, low, high, u, v = runs[:8]
+        empty = np.zeros(0, np.int64)
+        self.low = self.high = self.starts = self.first = self.last = self.cls = empty
+        self.settled = np.zeros(0, bool)
+        if not len(u):
+            return
+        shared, before, offsets, classes = arrays_of(matches[0])
+        count = v - u + 1
+        run, c = np.repeat(np.arange(len(u)), count), ragged(u, count)
+        base = np.cumsum(count + 1) - (count + 1) - u  # from a phrase's number to its place in the string
+        place = c + base[run]
+        begin, end = p.at[c], np.minimum(p.at[c + 1] - 1, high[run])
+        covered = lambda n: p.at[np.minimum(c + n[place], v[run] + 1)] + GRAM - length  # noqa: E731 (the last start within n phrases)
+        upto = np.minimum(end, covered(shared))
+        some = upto >= begin
+        self.low, self.high = begin[some], upto[some]
+        # Strings within phrases that the suffix before in order has too are not the first of their kind.
+        own = np.maximum(begin, covered(before) + 1)
+        from_ = np.where(own <= upto, own, np.maximum(upto + 1, begin))
+        n = np.maximum(end - from_ + 1, 0)
+        head = np.maximum(np.minimum(p.at[u] - 1, high) - low + 1, 0)  # strings that begin before the first anchor of the run
+        self.starts = starts = np.r_[ragged(low, head), ragged(from_, n)]
+        self.settled = np.r_[np.zeros(head.sum(), bool), starts[head.sum() :] <= np.repeat(upto, n)]
+        inner = np.repeat(c, n)
+        self.first = np.r_[np.repeat(u, head), inner + (starts[head.sum() :] > p.at[inner])]
+        self.last = np.searchsorted(p.at, starts + length - GRAM, "right") - 1
+        at, s = self.first + base[np.r_[np.repeat(np.arange(len(u)), head), np.repeat(run, n)]], self.last - self.first
+        self.cls = np.full(len(starts), -1)  # no other place has these phrases, or there are none
+        ok = np.flatnonzero(s > 0)
+        ok = ok[shared[at[ok]] >= s[ok]]
+        self.cls[ok] = classes[offsets[at[ok]] + s[ok] - least[at[ok]]]
 
     def classes(self):
-        """Distinct hashes of classes, whether a string that is not settled has them, and the strings with a class."""
+        """Distinct hashes of classes, whether a string that is not settled has them, and the strings with a class and the numbers of theirs."""
         i = np.flatnonzero(self.cls >= 0)
         h, place = np.unique(mix(self.cls[i].astype(np.uint64)), return_inverse=True)
         return h, np.bincount(place, ~self.settled[i], len(h)) > 0, i, place
@@ -369,40 +408,43 @@ def _strings(batches, length: int, buckets: int):
         x = Inside(p, runs, answers.packed(MATCHES), length)
         h, _, i, place = x.classes()
         i = i[answers.of(CLASSES, h, buckets)[place]]
-        settled, compared = x.starts[x.settled], x.starts[i]
-        keys: dict[bytes, int] = {}
-        many: list[bool] = []
-
-        def number(key: bytes, keys=keys, many=many) -> int:
-            i = keys.setdefault(key, len(keys))
-            if i == len(many):
-                many.append(False)
-            else:
-                many[i] = True
-            return i
-
-        a, b = p.at[x.first[i]], p.at[x.last[i]] + GRAM
-        own = [
-            number(struct.pack("<BqI", 1, c, i1 - i0) + data[i0:i1] + data[i2 : i0 + length])
-            for i0, i1, i2, c in zip(compared.tolist(), a.tolist(), b.tolist(), x.cls[i].tolist(), strict=True)
-        ]
-        bare = ragged(runs[8], runs[9] - runs[8] + 1)
-        own += [number(b"\0" + data[i0 : i0 + length]) for i0 in bare.tolist()]
-        texts = list(keys)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
-        bucket = bucket_of(h, buckets)
+        compared = x.starts[i]
+        bare, h, _, number_of = _bare(data, runs[8], runs[9], length)
+        bare = bare[np.r_[column_of(answers.packed(BARE)), 0][number_of] > 0] if len(bare) else bare
+        keys = _keys(np.frombuffer(data, np.uint8), compared, p.at[x.first[i]], p.at[x.last[i]] + GRAM, x.cls[i], bare, length).dictionary_encode()
+        starts, own = np.r_[compared, bare], keys.indices.to_numpy().astype(np.int64)
+        one = np.zeros(len(keys.dictionary), np.int64)
+        one[own] = starts
+        bucket = bucket_of(phrase_hashes(data, one, one + length - GRAM), buckets)  # equal strings have equal keys
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        cut = np.flatnonzero(np.r_[True, settled[1:] != settled[:-1] + 1]) if len(settled) else np.zeros(0, np.int64)
-        rows = [(OWN, packed(settled[cut], settled[np.r_[cut[1:] - 1, len(settled) - 1]] if len(cut) else cut, np.r_[compared, bare], place[np.array(own, np.int64)]))]
-        flags, at = np.array(many, np.int64)[order], 0
-        for k, n in zip(*np.unique(bucket, return_counts=True), strict=True):
-            rows.append((int(k), packed_texts([texts[j] for j in order[at : at + n].tolist()], flags[at : at + n])))
-            at += n
+        many = (np.bincount(own, minlength=len(order)) > 1).astype(np.int64)[order]
+        rows = [(OWN, packed(x.low, x.high, starts, place[own])), *_cut_texts(keys.dictionary, bucket, order, many)]
         yield _batch(row["chunk"], rows)
 
 
+def _keys(data: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray, cls: np.ndarray, bare: np.ndarray, length: int) -> pa.Array:
+    """What strings are compared by: 1, the class of the phrases from `first` to `last`, the bytes before and behind these; or 0 and all bytes."""
+    head, tail = first - starts, starts + length - last
+    sizes = np.r_[13 + head + tail, np.full(len(bare), length + 1)]
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(sizes.sum(), np.uint8)
+    own = at[: len(starts)]
+    fixed = np.ones((len(starts), 13), np.uint8)
+    fixed[:, 1:9] = np.ascontiguousarray(cls, "<i8").view(np.uint8).reshape(-1, 8)
+    fixed[:, 9:] = np.ascontiguousarray(head, "<i4").view(np.uint8).reshape(-1, 4)
+    out[own[:, None] + np.arange(13)] = fixed
+    out[ragged(own + 13, head)] = data[ragged(starts, head)]
+    out[ragged(own + 13 + head, tail)] = data[ragged(last, tail)]
+    out[(at[len(starts) :, None] + np.arange(1, length + 1)).ravel()] = data[(bare[:, None] + np.arange(length)).ravel()]
+    return binary(out, sizes)
+
+
+def column_of(rows: list[bytes]) -> np.ndarray:
+    return joined([arrays_of(d) for d in rows], 0)
+
+
 def _twice(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
     """Which strings of a bucket are found twice."""
     parts = [texts_of(r) for r in rows]
@@ -419,7 +461,7 @@ def _spans(batches, length: int) -> Iterator[pa.RecordBatch]:
         low = high = np.zeros(0, np.int64)
         if own := answers.packed(STRINGS):
             low, high, compared, number = arrays_of(own[0])
-            flags = np.r_[joined([arrays_of(d) for d in answers.packed(FLAGS)], 0), 0]
+            flags = np.r_[column_of(answers.packed(FLAGS)), 0]
             found = compared[flags[number] > 0]
             low, high = np.r_[low, found], np.r_[high, found]
         whole = answers.places[DOUBLED]
@@ -476,15 +518,23 @@ def remove_common_bytes(
     chunks.ask(PHRASES, ["anchors", "anchor_counts"], partial(_ask_phrases, buckets=b), found_twice)
     sent = ws.save(chunks.each(["anchors", *columns], partial(_runs, length=length, buckets=b), SCHEMA), "runs")
     runs = sent.filter(F.col("bucket") == OWN)
-    names = ask(sent, _named, ws, "names")
-    string = ws.save(each_chunk({"runs": runs, "names": names}, _string), "string")
-    below, n = sample_ranks(string, ws, small, bucket_rows)
-    splitters = suffix_splitters(string, below, n, END, bucket_rows)
-    tables = {"string": string, "ranks": below}
-    told = _compared(each_chunk({**tables, "runs": runs}, partial(_send_order, splitters=splitters)), length, ws)
-    matches = ws.save(each_chunk({**tables, "told": told}, partial(_by_place, splitters=splitters)), "matches")
+    names = ask(sent.filter(F.col("bucket") < b), _named, ws, "names")
+    bare = ask(sent.filter(F.col("bucket") >= b), _bare_twice, ws, "bare")
+    end = total(names) + 1
+    string = ws.save(each_chunk({"runs": runs, "names": names, "ends": _ends_before(runs)}, partial(_string, offsets=offsets_of(names), end=end)), "string")
+    below = sample_ranks(string, ws, small, bucket_rows)
+    level = ws.save(each_chunk({"string": string, "ranks": below, "runs": runs}, _with_needs), "level")
+    n = total(string)
+    for done in ("names", "string", "sa-s", "sa-o", "sa-r"):
+        ws.drop(done)
+    splitters = suffix_splitters(level, n, end, bucket_rows)
+    told = _compared(each_packed(level, partial(_send_order, splitters=splitters, end=end)), length, ws)
+    matches = ws.save(each_chunk({"level": level, "told": told}, partial(_by_place, splitters=splitters, end=end)), "matches")
+    for done in ("level", "order", "edges", "told"):
+        ws.drop(done)
     known = as_answers(runs, RUNS).unionByName(as_answers(matches, MATCHES))
     known = known.unionByName(chunks.ask(CLASSES, ["sizes", "places"], partial(_ask_classes, length=length, buckets=b), wanted, known))
+    known = known.unionByName(as_answers(bare, BARE))
     strings = ws.save(chunks.each(columns, partial(_strings, length=length, buckets=b), SCHEMA, known), "strings")
     flags = ask(strings, _twice, ws, "flags")
     known = as_answers(strings.filter(F.col("bucket") == OWN), STRINGS).unionByName(as_answers(flags, FLAGS)).unionByName(chunks.answers.filter(F.col("level") == DOUBLED))

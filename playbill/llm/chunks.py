@@ -76,7 +76,7 @@ def _pack(batches: Iterator[pa.RecordBatch], describe: Callable, chunk_bytes: in
 
     def packed():
         n, sha, anchors, counts, *places = describe(texts)
-        row = [first + number, keys, [len(t) for t in texts], n, sha, anchors.view(np.int64), counts, places[0] if places else None, zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]
+        row = [first + number, keys, [len(t) for t in texts], n, sha, anchors.view(np.int64), counts, places[0] if places else None, zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in batches:

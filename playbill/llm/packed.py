@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,20 +42,29 @@ def arrays_of(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def packed_texts(texts: list[bytes], *arrays: np.ndarray) -> bytes:
-    """Byte strings, with arrays beside them."""
-    head = packed(np.fromiter(map(len, texts), np.int64, len(texts)), *arrays)
-    return struct.pack("<q", len(head)) + head + b"".join(texts)
-
-
 def texts_of(data: bytes) -> tuple[pa.Array, list[np.ndarray]]:
-    """The byte strings as an Arrow array, and the arrays, from what `packed_texts` made of them."""
+    """The byte strings as an Arrow array, and the arrays, from what `packed_binary` made of them."""
     (n,) = struct.unpack_from("<q", data)
     sizes, *arrays = arrays_of(data[8 : 8 + n])
     offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[8 + n :])]), arrays
 
 
+def packed_binary(texts: pa.Array, *arrays: np.ndarray) -> bytes:
+    """An Arrow array of byte strings, with arrays beside them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    head = packed(np.diff(offsets), *arrays)
+    data = texts.buffers()[2]
+    return struct.pack("<q", len(head)) + head + (data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b"")
+
+
+def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of these sizes, end to end, as an Arrow array."""
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def joined(parts: list[list[np.ndarray]], i: int) -> np.ndarray:
     """The i-th arrays of all parts, end to end."""
     return np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -73,21 +83,55 @@ def cut_by(bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterable[tuple[int,
         yield int(bucket[low]), packed(*[a[low:high] for a in arrays])
 
 
-def _each(rows: pd.DataFrame, work: Callable, kinds: list[str]) -> pd.DataFrame:
-    chunk = int(rows["chunk"].iat[0])
-    rows = rows.sort_values("bucket")
-    parts = {k: list(rows["data"][rows["kind"] == i]) for i, k in enumerate(kinds)}
-    return pd.DataFrame([(chunk, b, d, n[0] if n else 0) for b, d, *n in work(chunk, parts)], columns=["chunk", "bucket", "data", "number"])
+COLUMNS = ["chunk", "bucket", "data", "number"]
+
+
+def _row(chunk: int, bucket: int, data: bytes, number: int = 0) -> tuple:
+    return chunk, bucket, data, number
+
+
+def each_row(table: DataFrame, work: Callable) -> DataFrame:
+    """work(chunk, arrays) gives (bucket, packed arrays[, number]), for each row of a table of one row a chunk; no shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for chunk, data in zip(rows["chunk"].tolist(), rows["data"], strict=True):
+                yield pd.DataFrame([_row(chunk, *x) for x in work(chunk, arrays_of(data))], columns=COLUMNS)
+
+    return table.select("chunk", "data").mapInPandas(run, SCHEMA)
+
+
+class Piece(NamedTuple):
+    """A row of a table, at its chunk."""
+
+    bucket: int
+    arrays: list[np.ndarray]
+    number: int
+
+
+def column(pieces: list[Piece], i: int = 0, offsets: dict[int, int] | None = None) -> np.ndarray:
+    """The i-th arrays of all pieces, end to end; with offsets, each raised by that of its bucket."""
+    return joined([[p.arrays[i] + (offsets[p.bucket] if offsets else 0)] for p in pieces], 0)
+
+
+def offsets_of(table: DataFrame) -> dict[int, int]:
+    """What the numbers of the buckets before add up to, for each bucket: one row a bucket, as are the bounds of a range sort."""
+    rows = sorted(table.filter(F.col("bucket") >= 0).groupBy("bucket").agg(F.sum("number")).collect())
+    return dict(zip([b for b, _ in rows], np.cumsum([0, *[n for _, n in rows]]).tolist(), strict=False))
 
 
 def each_chunk(tables: dict[str, DataFrame], work: Callable) -> DataFrame:
-    """work(chunk, {name: its packed rows in the order of buckets}) gives (bucket, packed arrays[, number]), for each chunk."""
+    """work(chunk, {name: pieces in the order of buckets}) gives (bucket, packed arrays[, number]), for each chunk."""
     kinds = list(tables)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _each(rows, work, kinds)
+        chunk = int(rows["chunk"].iat[0])
+        rows = rows.sort_values("bucket")
+        own = list(zip(rows["kind"], rows["bucket"], rows["data"], rows["number"], strict=True))
+        parts = {k: [Piece(int(b), arrays_of(d or b""), int(n)) for j, b, d, n in own if j == i] for i, k in enumerate(kinds)}
+        return pd.DataFrame([_row(chunk, *x) for x in work(chunk, parts)], columns=COLUMNS)
 
-    rows = reduce(DataFrame.unionByName, [t.select("chunk", "bucket", "data", F.lit(i).alias("kind")) for i, t in enumerate(tables.values())])
+    rows = reduce(DataFrame.unionByName, [t.select("chunk", "bucket", "data", "number", F.lit(i).alias("kind")) for i, t in enumerate(tables.values())])
     return rows.groupBy("chunk").applyInPandas(run, SCHEMA)
 
 

@@ -5,7 +5,7 @@ places not divisible by three are the sample. Their triples of symbols are sorte
 named; the names are the next, shorter string of the chunk (those of places 1, 4, ..., then those of
 2, 5, ...), whose suffixes are put in order in the same way, until all names are distinct. Then the
 other suffixes are merged in by their first symbols and the rank of the sample suffix behind them.
-Ranks are unique numbers that rise in the order of suffixes, not dense ones.
+Ranks are 1, 2, ... in the order of suffixes.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .packed import OWN, arrays_of, ask, cut_by, each_chunk, joined, packed, total
+from .packed import OWN, arrays_of, ask, column, cut_by, each_chunk, each_row, joined, offsets_of, packed, total
 
 #: Rows of a sort that go to one bucket, about.
 BUCKET_ROWS = 200_000
 #: Strings of fewer symbols in all are ordered in one task: a bound that no input moves.
-SMALL = 1 << 20
+SMALL = 1 << 18
 #: Rows sampled for each bucket's lower bound.
 OVERSAMPLE = 32
-SHIFT = 32
 
 
 class Splitters:
@@ -89,19 +88,19 @@ def _picked(chunk: int, n: int, rate: float) -> np.ndarray:
     return np.flatnonzero(np.random.default_rng(chunk).random(n) < rate)
 
 
-def _sample_triples(chunk: int, parts: dict, rate: float):
-    columns, _ = _triples(arrays_of(parts["string"][0])[0])
+def _sample_triples(chunk: int, arrays: list, rate: float):
+    columns, _ = _triples(arrays[0])
     at = _picked(chunk, len(columns[0]), rate)
     yield OWN, packed(*[c[at] for c in columns])
 
 
-def _send_triples(chunk: int, parts: dict, splitters: Splitters):
-    columns, _ = _triples(arrays_of(parts["string"][0])[0])
+def _send_triples(chunk: int, arrays: list, splitters: Splitters):
+    columns, _ = _triples(arrays[0])
     yield from cut_by(splitters.bucket(columns), columns)
 
 
 def _name(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
-    """Numbers of the distinct triples of a bucket in order, with their bucket in the high bits; and how many there are."""
+    """Numbers (from 1 on) of the distinct triples of a bucket in order, and how many there are."""
     parts = [arrays_of(r) for r in rows]
     a, b, c = (joined(parts, i) for i in range(3))
     order = np.lexsort((c, b, a))
@@ -110,18 +109,18 @@ def _name(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
     number = np.empty(len(a), np.int64)
     number[order] = np.cumsum(new)
     ends = np.cumsum([len(p[0]) for p in parts])
-    return [packed(x + (bucket << SHIFT)) for x in np.split(number, ends[:-1])], int(new.sum())
+    return [packed(x) for x in np.split(number, ends[:-1])], int(new.sum())
 
 
-def _shorter(chunk: int, parts: dict):
+def _shorter(chunk: int, parts: dict, offsets: dict[int, int]):
     """The chunk's string of names."""
-    _, number = _triples(arrays_of(parts["string"][0])[0])
-    names = joined([arrays_of(d) for d in parts["names"]], 0)
-    yield OWN, packed(names[number])
+    _, number = _triples(parts["string"][0].arrays[0])
+    names = column(parts["names"], 0, offsets)
+    yield OWN, packed(names[number]), len(number)
 
 
-def _whole(chunk: int, parts: dict):
-    yield 0, parts["string"][0]
+def _whole(chunk: int, arrays: list):
+    yield 0, packed(arrays[0])
 
 
 def ranks_of(x: np.ndarray) -> np.ndarray:
@@ -145,11 +144,9 @@ def _order_small(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
 class Level:
     """A chunk's string, with the ranks of its sample suffixes from the level below: what merging compares."""
 
-    def __init__(self, parts: dict, last: int | None = None):
-        x = arrays_of(parts["string"][0])[0]
+    def __init__(self, x: np.ndarray, below: np.ndarray, last: int | None = None):
         n = len(x)
         one, two = _sample_places(n)
-        below = joined([arrays_of(d) for d in parts["ranks"]], 0)
         rank = np.zeros(n + 2, np.int64)
         rank[one], rank[two] = below[: len(one)], below[len(one) :]
         sym = np.r_[x, 0, 0]
@@ -182,8 +179,13 @@ class Level:
         return rows, np.concatenate([*sent, np.zeros(0, np.int64)])
 
 
-def _sample_suffixes(chunk: int, parts: dict, rate: float, last: int | None):
-    rank, sym, ahead = Level(parts, last).one
+def with_ranks(chunk: int, parts: dict):
+    """A chunk's string, beside the ranks of its sample suffixes."""
+    yield OWN, packed(parts["string"][0].arrays[0], column(parts["ranks"]))
+
+
+def _sample_suffixes(chunk: int, arrays: list, rate: float, last: int | None):
+    rank, sym, ahead = Level(arrays[0], arrays[1], last).one
     at = _picked(chunk, len(rank), rate)
     yield OWN, packed(rank[at], sym[at], ahead[at])
 
@@ -210,58 +212,63 @@ def _rank(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
     parts = [arrays_of(r) for r in rows]
     place, owner = merged(parts)
     ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
-    return [packed(x + (bucket << SHIFT) + 1) for x in np.split(place, ends[:-1])], 0
+    return [packed(x + 1) for x in np.split(place, ends[:-1])], len(place)
 
 
-def _send_suffixes(chunk: int, parts: dict, splitters: Splitters):
-    yield from Level(parts).send(splitters)[0]
+def _send_suffixes(chunk: int, arrays: list, splitters: Splitters):
+    yield from Level(*arrays).send(splitters)[0]
 
 
-def _ranked(chunk: int, parts: dict, splitters: Splitters):
+def _ranked(chunk: int, parts: dict, splitters: Splitters, offsets: dict[int, int]):
     """The ranks of all suffixes of the chunk's string, by place."""
-    level = Level({"string": parts["string"], "ranks": parts["below"]})
+    level = Level(*parts["level"][0].arrays)
     _, places = level.send(splitters)
     rank = np.zeros(len(level.x), np.int64)
-    rank[places] = joined([arrays_of(d) for d in parts["got"]], 0)
+    rank[places] = column(parts["got"], 0, offsets)
     yield OWN, packed(rank)
 
 
-def _count(chunk: int, parts: dict):
-    n = len(arrays_of(parts["string"][0])[0])
-    yield OWN, b"", n
-    yield OWN - 1, b"", sum(map(len, _sample_places(n)))
+def ranked(level: DataFrame, n: int, ws: Workspace, bucket_rows: int, label: str) -> DataFrame:
+    """Ranks of all suffixes, from strings with the ranks of their sample suffixes."""
+    splitters = suffix_splitters(level, n, bucket_rows=bucket_rows)
+    got = ask(each_row(level, partial(_send_suffixes, splitters=splitters)), _rank, ws, f"{label}-g")
+    return ws.save(each_chunk({"level": level, "got": got}, partial(_ranked, splitters=splitters, offsets=offsets_of(got))), f"{label}-r")
 
 
-def _splitters(tables: dict[str, DataFrame], work, n: int, width: int, bucket_rows: int, **more) -> Splitters:
+def _splitters(table: DataFrame, work, n: int, width: int, bucket_rows: int, **more) -> Splitters:
     """Bounds of buckets from a sample of OVERSAMPLE rows for each bucket, as Spark's range sort takes them."""
     buckets = max(1, -(-n // bucket_rows))
     if buckets == 1:
         return Splitters([], 1, width)
-    sample = each_chunk(tables, partial(work, rate=min(1.0, OVERSAMPLE * buckets / n), **more))
+    sample = each_row(table, partial(work, rate=min(1.0, OVERSAMPLE * buckets / n), **more))
     rows = [arrays_of(r["data"]) for r in sample.select("data").collect()]
     return Splitters([t for r in rows for t in zip(*[c.tolist() for c in r], strict=True)], buckets, width)
 
 
-def suffix_splitters(string: DataFrame, below: DataFrame, n: int, last: int | None = None, bucket_rows: int = BUCKET_ROWS) -> Splitters:
+def suffix_splitters(level: DataFrame, n: int, last: int | None = None, bucket_rows: int = BUCKET_ROWS) -> Splitters:
     """Bounds of buckets of suffixes: each is a suffix of the sample, as (rank, symbol, rank behind)."""
-    return _splitters({"string": string, "ranks": below}, _sample_suffixes, n, 3, bucket_rows, last=last)
-
-
-def sample_ranks(string: DataFrame, ws: Workspace, small: int = SMALL, bucket_rows: int = BUCKET_ROWS, label: str = "sa") -> tuple[DataFrame, int]:
-    """Ranks of each chunk's sample suffixes (places 1, 4, ..., then 2, 5, ...), and the number of symbols of all strings."""
-    counted = dict(each_chunk({"string": string}, _count).groupBy("bucket").agg(F.sum("number")).collect())
-    n, sampled = counted.get(OWN, 0), counted.get(OWN - 1, 0)
-    splitters = _splitters({"string": string}, _sample_triples, sampled, 3, bucket_rows)
-    names = ask(each_chunk({"string": string}, partial(_send_triples, splitters=splitters)), _name, ws, f"{label}-n")
-    shorter = ws.save(each_chunk({"string": string, "names": names}, _shorter), f"{label}-s")
-    if total(names) == sampled:
-        return shorter, n
+    return _splitters(level, _sample_suffixes, n, 3, bucket_rows, last=last)
+
+
+def sample_ranks(string: DataFrame, ws: Workspace, small: int = SMALL, bucket_rows: int = BUCKET_ROWS, label: str = "sa") -> DataFrame:
+    """Ranks of each chunk's sample suffixes (places 1, 4, ..., then 2, 5, ...); `number` is each string's length."""
+    sampled = string.agg(F.sum(F.col("number") - F.ceil(F.col("number") / 3))).first()[0] or 0
+    splitters = _splitters(string, _sample_triples, sampled, 3, bucket_rows)
+    names = ask(each_row(string, partial(_send_triples, splitters=splitters)), _name, ws, f"{label}-n")
+    offsets, distinct = offsets_of(names), total(names)
+    shorter = ws.save(each_chunk({"string": string, "names": names}, partial(_shorter, offsets=offsets)), f"{label}-s")
+    ws.drop(f"{label}-n")
+    if distinct == sampled:
+        return shorter
     if sampled <= small:
-        return ask(each_chunk({"string": shorter}, _whole), _order_small, ws, f"{label}-o"), n
-    below, _ = sample_ranks(shorter, ws, small, bucket_rows, f"{label}-d")
-    splitters = suffix_splitters(shorter, below, sampled, bucket_rows=bucket_rows)
-    got = ask(each_chunk({"string": shorter, "ranks": below}, partial(_send_suffixes, splitters=splitters)), _rank, ws, f"{label}-g")
-    out = ws.save(each_chunk({"string": shorter, "below": below, "got": got}, partial(_ranked, splitters=splitters)), f"{label}-r")
-    for done in ("n", "s", "d-n", "d-s", "d-o", "d-r", "g"):
-        ws.drop(f"{label}-{done}")
-    return out, n
+        out = ask(each_row(shorter, _whole), _order_small, ws, f"{label}-o")
+    else:
+        below = sample_ranks(shorter, ws, small, bucket_rows, f"{label}-d")
+        level = ws.save(each_chunk({"string": shorter, "ranks": below}, with_ranks), f"{label}-l")
+        for done in "sor":
+            ws.drop(f"{label}-d-{done}")
+        out = ranked(level, sampled, ws, bucket_rows, label)
+        for done in "lg":
+            ws.drop(f"{label}-{done}")
+    ws.drop(f"{label}-s")
+    return out

@@ -5,30 +5,39 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from playbill.llm import byte_dedup
 from playbill.llm.common import Workspace
-from playbill.llm.suffix_array import neighbours, running, suffix_ranks
+from playbill.llm.packed import OWN, SCHEMA, arrays_of, each_chunk, packed, packed_texts, texts_of, total
+from playbill.llm.suffix_array import Splitters, ranked, sample_ranks, with_ranks
 
 
-@pytest.mark.parametrize(("symbols", "size"), [(2, 40), (3, 100), (50, 70)])
-def test_suffix_ranks(spark, symbols, size):
-    rng = np.random.default_rng(size)
-    text = rng.integers(0, symbols, size).tolist()
-    df = spark.createDataFrame(list(enumerate(text)), "pos long, sym long").repartition(3)
-    got = dict(tuple(r) for r in suffix_ranks(df, Workspace(spark, "t"), 8).collect())
-    want = sorted(range(size), key=lambda i: text[i:])
-    assert sorted(range(size), key=got.get) == want and sorted(got.values()) == list(range(size))
+def test_packed():
+    a, b = np.array([0, 255, 1 << 40]), np.zeros(0, np.int64)
+    assert [x.tolist() for x in arrays_of(packed(a, b, a[:2]))] == [a.tolist(), [], [0, 255]]
+    texts, (c,) = texts_of(packed_texts([b"x", b"", b"yz"], a))
+    assert texts.to_pylist() == [b"x", b"", b"yz"] and c.tolist() == a.tolist()
+
+
+def test_splitters():
+    rows = [(1, 2), (1, 5), (3, 0), (3, 9), (7, 7)]
+    s = Splitters(rows, 5, 2)
+    got = s.bucket([np.array([0, 1, 1, 3, 9]), np.array([9, 4, 5, 1, 0])])
+    assert got.tolist() == [0, 0, 1, 2, 4]
 
 
-def test_neighbours_and_running(spark):
-    df = spark.range(100).select(F.col("id").alias("pos"), (F.col("id") * 37 % 100).alias("rank"), F.col("id").alias("x"))
-    got = {r["rank"]: (r["before"], r["after"]) for r in neighbours(df, "x", Workspace(spark, "t"), block=8).collect()}
-    at = {i * 37 % 100: i for i in range(100)}
-    assert got == {r: (at.get(r - 1), at.get(r + 1)) for r in range(100)}
-    sums = running(df, ["rank"], ["x"], Workspace(spark, "t"), "r").collect()
-    assert all(r["x_before"] == sum(at[k] for k in range(r["rank"])) for r in sums)
+@pytest.mark.parametrize(("symbols", "size", "small", "rows"), [(2, 60, 8, 16), (1, 50, 4, 16), (3, 300, 20, 40), (50, 400, 1 << 20, 1 << 20)])
+def test_order_of_suffixes(spark, symbols, size, small, rows):
+    rng = np.random.default_rng(size)
+    strings = [np.r_[rng.integers(1, symbols + 1, int(rng.integers(0, size))), 10**6 + c] for c in range(5)]
+    df = spark.createDataFrame([(c, OWN, packed(x), len(x)) for c, x in enumerate(strings)], SCHEMA)
+    ws = Workspace(spark, "t")
+    below = sample_ranks(df, ws, small, rows)
+    level = ws.save(each_chunk({"string": df, "ranks": below}, with_ranks), "level")
+    out = ranked(level, total(df), ws, rows, "all").collect()
+    ranks = {(r["chunk"], i): v for r in out for i, v in enumerate(arrays_of(r["data"])[0].tolist())}
+    assert len(set(ranks.values())) == sum(map(len, strings))
+    assert sorted(ranks, key=ranks.get) == sorted(ranks, key=lambda k: strings[k[0]][k[1] :].tolist())
 
 
 def brute(docs, length):
@@ -45,25 +54,34 @@ def brute(docs, length):
     return out
 
 
-@pytest.mark.parametrize("length", [40, 200])
-def test_common_bytes(spark, length):
+def result(df, length=200, **more):
+    return Counter((r[0], r[1], r[2], len(r[3]), r[4]) for r in byte_dedup.remove_common_bytes(df, length, **more).collect())
+
+
+@pytest.mark.parametrize(("length", "small", "rows"), [(16, 1 << 20, 1 << 20), (40, 10, 50), (200, 10, 50), (1000, 10, 50)])
+def test_common_bytes(spark, length, small, rows):
     rng = np.random.default_rng(length)
     word = lambda: "".join(rng.choice(list("abcdé"), 6))
     text = lambda n: " ".join(word() for _ in range(n))
-    docs = [(i, text(int(rng.integers(0, 120)))) for i in range(40)]
+    docs = [(i, text(int(rng.integers(0, 120))) * (2 if length > 200 else 1)) for i in range(40)]
     for i in range(30):
         a, b = docs[int(rng.integers(40))][1], docs[int(rng.integers(40))][1]
         x, y = sorted(rng.integers(0, len(a) + 1, 2))
         docs.append((100 + i, text(5) + a[x:y] + text(3) + b[: int(rng.integers(0, len(b) + 1))]))
     docs += [(200, None), (201, ""), (202, docs[7][1]), (203, docs[7][1]), (204, "ab" * 400), (205, docs[9][1] * 2), (206, "z" * length)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = Counter(tuple(r) for r in byte_dedup.remove_common_bytes(df, length, chunk_bytes=3000).collect())
-    assert got == brute(docs, length)
+    docs += [(None, "z" * (length + 3)), (None, docs[3][1]), (None, None), (207, "abcde " * 500), (208, "xabcde " * 500), (209, docs[5][1] * 3 + "q"), (210, "y" * 3 * length), (211, "y" * (2 * length) + docs[6][1])]
+    docs += [(210, "y" * 3 * length), (212, " ".join(f"w{i % 997} x{i % 31}" for i in range(2 * length)))]
+    df = spark.createDataFrame([(*d, "k", 1) for d in docs], "doc_id long, text string, spans string, chunk int").repartition(3)
+    assert result(df, length, chunk_bytes=3000, small=small, bucket_rows=rows) == brute(docs, length)
 
 
 def test_common_bytes_on_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(tuple(r) for r in byte_dedup.remove_common_bytes(df).collect()) == brute(rows, 200)
+    assert result(df) == brute(rows, 200)
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert not any(t.startswith("chunks_") for t in tables)
     assert byte_dedup.remove_common_bytes(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        byte_dedup.remove_common_bytes(df, 15)
