@@ -26,24 +26,23 @@ def repeated_window_words(words: Column) -> Column:
     puts equal ones side by side; the places of those are then swept in order.
     """
     n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: let(
-            F.concat_ws(" ", F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)),
-            lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("b"), s).alias("b"), i.alias("i")),
-        ),
-    )
+    three = lambda i: (F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))
+    first = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(*three(i)).alias("a"), i.alias("i")))
+
+    def ties(s: Column, same) -> Column:
+        return F.filter(s, lambda x, k: ((k > 0) & same(x, F.get(s, k - 1))) | ((k < F.size(s) - 1) & same(x, F.get(s, k + 1))))
 
     def places(s: Column) -> Column:
-        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
-        near = F.filter(s, lambda x, k: ((k > 0) & same(x, F.get(s, k - 1))) | ((k < F.size(s) - 1) & same(x, F.get(s, k + 1))))
+        # Only windows whose first hashes tie are hashed again.
+        some = F.transform(ties(s, lambda x, y: x["a"] == y["a"]), lambda x: F.struct(x["a"].alias("a"), F.xxhash64(F.lit("b"), *three(x["i"])).alias("b"), x["i"].alias("i")))
+        near = let(F.array_sort(some), lambda t: ties(t, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])))
         return F.array_sort(F.transform(near, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), x + 3) - x))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    found = let(F.array_sort(windows), lambda s: let(places(s), covered))
+    found = let(F.array_sort(first), lambda s: let(places(s), covered))
     return F.when(n < 3, F.lit(0)).otherwise(found).cast("long")
 
 
@@ -106,10 +105,13 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept is
     false for those and for all documents of a host over the limit. Null texts have no words and
-    fail; a null host is a host of its own; repeated rows are judged each; an empty table gives no
+    fail; a text of any length is one row's arrays, some 30 bytes a word; a null host is a host of its own; repeated rows are judged each; an empty table gives no
     rows; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "quality")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(docs.inputFiles()) < cores:  # too few files for all cores to have a part of the scan
+        docs = docs.select(key, text, host).repartition(cores, F.xxhash64(key, text))
     features = ws.save(text_features(docs, key, text, host), "features")
     verdicts = ws.save(host_verdicts(features, limit), "hosts")
     judged = attach(features, verdicts, "_host", F.col("_k"))

@@ -11,13 +11,15 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 import xxhash
 
 SPACE_MARK = "▁"
-_MARK = SPACE_MARK.encode()
+#: Stands for a text's own mark, which is no piece and no space: half of a surrogate pair, found in no text.
+ESCAPED = "\udc81"
 #: Lattice nodes remembered before the store is emptied.
-STORED_NODES = 3_000_000
+STORED_NODES = 1_500_000
 END = -1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,13 +57,15 @@ class Lattices:
         self._trie()
         if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}|.\n|\n.", p) for p in self.id_of):
             raise ValueError("this model has pieces that cross words")
-        self.word = re.compile(f"\n|{SPACE_MARK}+[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
-        self.bytes_of = [b""] * n
+        bytes_of = [b""] * n
         for i in plain:
-            self.bytes_of[i] = sp.id_to_piece(i).encode()
+            bytes_of[i] = sp.id_to_piece(i).replace(SPACE_MARK, " ").encode()
         for b, i in enumerate(self.byte_id):
             if i is not None:
-                self.bytes_of[i] = bytes([b])
+                bytes_of[i] = bytes([b])
+        self.piece_length = np.array([len(x) for x in bytes_of], np.int64)
+        self.piece_start = np.cumsum(self.piece_length) - self.piece_length
+        self.piece_bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.n_pieces = n
         self.fallback: list[tuple[int, ...]] = []
         self.known_fallbacks = -1
@@ -82,18 +86,46 @@ class Lattices:
         ends[0] = -1
         self.piece_at = np.array(ends, np.int64)
         self.n_chars = len(chars) + 1
-        moves.sort()
-        self.move_key = np.array([s * self.n_chars + c for s, c, _ in moves], np.int64)
-        self.move_to = np.array([t for _, _, t in moves], np.int64)
+        keys = np.array([s * self.n_chars + c for s, c, _ in moves], np.int64)
+        to = np.array([t for _, _, t in moves], np.int64)
+        self.bits = np.uint64(64 - max(2 * len(keys) - 1, 1).bit_length())
+        self.move_key = np.full((1 << (64 - int(self.bits))) + 64, -1, np.int64)
+        self.move_to = np.zeros(len(self.move_key), np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # the first to come takes a slot, the others go on to the next one
+            free = np.flatnonzero(self.move_key[slot] < 0)
+            _, i = np.unique(slot[free], return_index=True)
+            won = free[i]
+            self.move_key[slot[won]], self.move_to[slot[won]] = keys[left[won]], to[left[won]]
+            lost = np.ones(len(left), bool)
+            lost[won] = False
+            left, slot = left[lost], slot[lost] + 1
+            if len(left) and slot.max() >= len(self.move_key):
+                self.move_key, self.move_to = np.r_[self.move_key, np.full(64, -1)], np.r_[self.move_to, np.zeros(64, np.int64)]
         self.char_number = np.zeros(0x110000, np.int32)  # 0: in no piece
         for c, i in chars.items():
             self.char_number[ord(c)] = i
         self.weights = np.array(self.weight)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _GOLDEN >> self.bits).astype(np.int64)
+
+    def _moves(self, keys: np.ndarray):
+        """Which of the moves there are, and where these lead."""
+        slot, ok, to = self._slot(keys), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        i = np.arange(len(keys))
+        while len(i):
+            found = self.move_key[slot]
+            hit = found == keys[i]
+            ok[i[hit]], to[i[hit]] = True, self.move_to[slot[hit]]
+            on = ~hit & (found >= 0)
+            i, slot = i[on], slot[on] + 1
+        return ok, to[ok]
+
     def _empty(self) -> None:
-        self.root: dict[str, int] = {}
+        self.root: dict[bytes, int] = {}
         self.n_nodes = self.n_edges = 0
-        size = 1 << 20  # zeros take no memory before they are written
+        size = 1 << 22  # zeros take no memory before they are written
         self.first = np.zeros(size, np.int32)  # each node's first edge, and the end of the last one's
         self.to, self.token, self.at = (np.zeros(size, np.int32) for _ in range(3))
         self.p, self.q, self.upto = (np.zeros(size) for _ in range(3))  # chance of an edge at its node, of the others, of those up to it
@@ -102,7 +134,7 @@ class Lattices:
         """Weight and token of a character that is no piece: its bytes, or the unknown piece."""
         t = self.fallback_of.get(ch)
         if t is None:
-            ids = tuple(self.byte_id[b] for b in ch.encode("utf-8", "replace"))
+            ids = tuple(self.byte_id[b] for b in (SPACE_MARK if ch == ESCAPED else ch).encode("utf-8", "replace"))
             if None in ids:
                 ids = (self.unknown,)
             t = self.fallback_of[ch] = ids[0] if len(ids) == 1 else self.n_pieces + len(self.fallback)
@@ -111,66 +143,77 @@ class Lattices:
         ids = (t,) if t < self.n_pieces else self.fallback[t - self.n_pieces]
         return (self.worst if ids == (self.unknown,) else sum(self.weight[i] for i in ids)), t
 
-    def _add(self, words: list[str]) -> None:
-        """Builds the lattices of these words together."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def _add(self, words: list[bytes]) -> None:
+        """Builds the lattices of these words together; each number depends on its own word alone."""
+        data = b"".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        lengths = np.diff(np.r_[0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[ends - 1]])  # in characters
+        text = data.decode("utf-8").replace(SPACE_MARK, ESCAPED).replace(" ", SPACE_MARK)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = len(points)
         ends = np.repeat(np.cumsum(lengths), lengths)
         chars = self.char_number[points].astype(np.int64)
         at, reach, state = np.arange(n), np.arange(n), np.zeros(n, np.int64)
-        from_, to, token = [], [], []
+        steps = []
         while len(at):  # one more character of all pieces that go on
-            key = state * self.n_chars + chars[reach]
-            i = np.minimum(np.searchsorted(self.move_key, key), len(self.move_key) - 1)
-            ok = self.move_key[i] == key
-            at, reach, state = at[ok], reach[ok] + 1, self.move_to[i[ok]]
-            whole = self.piece_at[state] >= 0
-            from_.append(at[whole])
-            to.append(reach[whole])
-            token.append(self.piece_at[state[whole]])
+            ok, state = self._moves(state * self.n_chars + chars[reach])
+            at, reach = at[ok], reach[ok] + 1
+            piece = self.piece_at[state]
+            whole = piece >= 0
+            steps.append((at[whole], reach[whole], piece[whole], self.weights[piece[whole]]))
             on = reach < ends[at]
             at, reach, state = at[on], reach[on], state[on]
-        weight = [self.weights[t] for t in token]
-        single = np.zeros(n, bool)
-        single[from_[0]] = True
-        if not single.all():
-            left = np.flatnonzero(~single)
+        single = np.ones(n, bool)
+        single[steps[0][0]] = False
+        if single.any():
+            left = np.flatnonzero(single)
             own = [self._single(chr(c)) for c in points[left].tolist()]
-            from_.append(left)
-            to.append(left + 1)
-            token.append(np.array([t for _, t in own]))
-            weight.append(np.array([w for w, _ in own]))
-        from_, to, token, weight = map(np.concatenate, (from_, to, token, weight))
-        order = np.argsort(from_, kind="stable")
-        from_, to, token, weight = from_[order], to[order], token[order], weight[order]
-        first = np.searchsorted(from_, np.arange(n + 1))
+            steps.append((left, left + 1, np.array([t for _, t in own]), np.array([w for w, _ in own])))
+        counts = sum(np.bincount(x[0], minlength=n) for x in steps)
+        first = np.r_[0, np.cumsum(counts)]
+        room, m = first[:-1].copy(), int(first[-1])
+        from_, to, token, weight = np.repeat(np.arange(n), counts), np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
+        for a, b, t, w in steps:  # a node has one edge a step
+            e = room[a]
+            to[e], token[e], weight[e] = b, t, w
+            room[a] += 1
         # log of the sum over segmentations from each place to its word's end, from the last places on
         rest, last = np.zeros(n + 1), to == ends[from_]
         left = ends - np.arange(n)
-        by = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by], np.arange(1, left.max(initial=0) + 2))
-        total = np.empty(len(from_))
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        by = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(left, minlength=1)[1:])]
+        total = np.empty(m)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if low == high:
+                continue
             nodes = by[low:high]
-            counts = first[nodes + 1] - first[nodes]
-            starts = np.cumsum(counts) - counts
-            e = np.arange(counts.sum()) + np.repeat(first[nodes] - starts, counts)
+            own = counts[nodes]
+            starts = np.cumsum(own) - own
+            e = np.arange(own.sum()) + np.repeat(first[nodes] - starts, own)
             total[e] = weight[e] + np.where(last[e], 0.0, rest[to[e]])
             rest[nodes] = np.logaddexp.reduceat(total[e], starts)
         p = np.exp(total - rest[from_])
-        order = np.argsort(from_ - 0.5 * p, kind="stable")  # the likeliest edge of a node comes first
-        from_, to, token, last, p = from_[order], to[order], token[order], last[order], p[order]
-        starts, counts = first[:-1], np.diff(first)
-        cum = np.cumsum(p)
-        cum -= np.repeat(cum[starts] - p[starts], counts)
-        cum[first[1:] - 1] = 2.0
-        # An edge that leads has the sum of the others exactly, however small it is.
+        starts = first[:-1]
+        # The likeliest edge of a node comes first.
+        best = np.flatnonzero(p == np.repeat(np.maximum.reduceat(p, starts), counts))
+        best = best[np.r_[True, from_[best[1:]] != from_[best[:-1]]]]
+        moved = np.flatnonzero(best != starts)
+        a, b = starts[moved], best[moved]
+        for x in (to, token, last, p):
+            x[a], x[b] = x[b], x[a]
+        sums = np.repeat(np.add.reduceat(p, starts), counts)
         leads = p > 0.5
-        others = np.repeat(np.add.reduceat(np.where(leads, 0.0, p), starts), counts)
-        q = np.where(leads, others, np.repeat(np.add.reduceat(p, starts), counts) - p)
+        # An edge that leads has the sum of the others exactly, however small it is.
+        q = np.where(leads, np.repeat(np.add.reduceat(np.where(leads, 0.0, p), starts), counts), sums - p)
         q[np.repeat(counts, counts) == 1] = 0.0
-        m, nodes = self.n_edges + len(from_), self.n_nodes + n
+        cum = p.copy()
+        nodes, k = np.flatnonzero(counts > 1), 1
+        while len(nodes):
+            e = first[nodes] + k
+            cum[e] += cum[e - 1]
+            nodes, k = nodes[counts[nodes] > k + 1], k + 1
+        cum[first[1:] - 1] = 2.0
+        m, nodes = self.n_edges + m, self.n_nodes + n
         self._room(m, ("to", "token", "at", "p", "q", "upto"))
         self._room(nodes + 1, ("first",))
         new = slice(self.n_edges, m)
@@ -186,15 +229,28 @@ class Lattices:
             if n > len(x):
                 setattr(self, name, np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)]))
 
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text, the first node of each of its words."""
-        found = [self.word.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
+    def words(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text, the first node of each of its words: a line break, or spaces and what follows, up to the next of these."""
+        data = b"".join(b" " + t for t in texts if t)
+        if not data:
+            return [np.zeros(0, np.int64) for _ in texts]
         if self.n_nodes > STORED_NODES:
             self._empty()
-        root = self.root
-        if new := set().union(*found).difference(root):
-            self._add(sorted(new))
-        return [np.fromiter(map(root.__getitem__, own), np.int64, len(own)) for own in found]
+        x = np.frombuffer(data, np.uint8)
+        space, line = x == 32, x == 10
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins |= line
+        begins[1:] |= line[:-1]
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        begins[ends[:-1][ends[:-1] < len(x)]] = True  # a text before may end with a space
+        at = np.flatnonzero(begins)
+        own = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[at, len(x)].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = own.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.root]:
+            self._add(new)
+        nodes = np.fromiter(map(self.root.__getitem__, distinct), np.int64, len(distinct))[own.indices.to_numpy()]
+        return np.split(nodes, np.searchsorted(at, ends[:-1]))
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
@@ -236,7 +292,8 @@ class Lattices:
         return self.run_ids[np.arange(n.sum()) + np.repeat(self.run_start[tokens] - np.cumsum(n) + n, n)]
 
     def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).replace(_MARK, b" ")
+        n = self.piece_length[ids]
+        return self.piece_bytes[np.arange(n.sum()) + np.repeat(self.piece_start[ids] - np.cumsum(n) + n, n)].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.joined(ids).decode("utf-8", "replace")
@@ -254,7 +311,7 @@ def lowered(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(mass), -np.inf, mass - np.logaddexp(mass - bound, np.log(-np.log(u))))
 
 
-def sample_segmentations(lat: Lattices, texts: list[str], keys: list[str], k: int, seed: int = 0):
+def sample_segmentations(lat: Lattices, texts: list[bytes], keys: list[str], k: int, seed: int = 0):
     """For each text: the k segmentations of greatest perturbed log probability, as (ids, log_prob,
     perturbed), and the number of the (k+1)th.
 
@@ -287,17 +344,18 @@ def sample_segmentations(lat: Lattices, texts: list[str], keys: list[str], k: in
         ends = np.cumsum(sizes)
         edges = np.concatenate([*paths, empty])
         logs = np.log(lat.p[edges])
-        sums = np.r_[0.0, np.cumsum(logs)]
         at = np.arange(len(edges)) - np.repeat(ends - sizes, sizes)
-        before = sums[:-1] - np.repeat(sums[ends - sizes], sizes)
+        # A sum for each text, so that no text's numbers depend on the others.
+        sums = [np.r_[0.0, np.cumsum(logs[low:high])] for low, high in zip(ends - sizes, ends, strict=True)]
+        before = np.concatenate([*(x[:-1] for x in sums), np.zeros(0)])
         since = np.array([len(x[0]) for x in starts], np.int64)
         with np.errstate(divide="ignore"):
             mass = before + np.log(lat.q[edges])
         mass[at < np.repeat(since, sizes)] = -np.inf
         owner = np.repeat(active, sizes)
         g = lowered(mass, bounds[owner], uniform(stream(s, "set")[owner], at))
-        for i, low, high, path, place in zip(active.tolist(), ends - sizes, ends, paths, places, strict=True):
-            found[i].append((path, float(sums[high] - sums[low]), float(bounds[i])))
+        for i, low, high, path, place, own in zip(active.tolist(), ends - sizes, ends, paths, places, sums, strict=True):
+            found[i].append((path, float(own[-1]), float(bounds[i])))
             own = g[low:high]
             best = range(high - low) if high - low <= k + 1 else np.argpartition(-own, k)[: k + 1].tolist()  # no more can be searched
             for j in best:

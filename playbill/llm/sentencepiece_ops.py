@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,22 +18,16 @@ from .segmentation import Lattices, sample_segmentations
 TOGETHER = 64
 
 
-def default_model() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def _encode(batches: Iterator[pa.RecordBatch], model, k: int, alpha: float, rank_scores: bool, seed: int) -> Iterator[pa.RecordBatch]:
     lat = Lattices(model.value, alpha, rank_scores)
     for batch in batches:
         for low in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(low, TOGETHER)
             rows, ids, facts = [], [], []
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            drawn = sample_segmentations(lat, texts, [str(x) for x in part.column(0).to_pylist()], k, seed)
-            for i, (text, (samples, bound)) in enumerate(zip(texts, drawn, strict=True)):
-                data = text.encode("utf-8", "replace")
+            texts = [(x or "").encode("utf-8", "replace") for x in part.column(1).to_pylist()]
+            keys = [str(x) if s is None else f"{x}:{s}" for x, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            drawn = sample_segmentations(lat, texts, keys, k, seed)
+            for i, (data, (samples, bound)) in enumerate(zip(texts, drawn, strict=True)):
                 for rank, (own, log_prob, perturbed) in enumerate(samples):
                     share = 1.0 if math.isinf(bound) else -math.expm1(-math.exp(min(log_prob - bound, 50.0)))
                     rows.append(i)
@@ -54,22 +48,23 @@ def _encode(batches: Iterator[pa.RecordBatch], model, k: int, alpha: float, rank
             )
 
 
-def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed: int = 0, model_path: str | None = None, rank_scores: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, k: int = 2, alpha: float = 0.5, seed: int = 0, rank_scores: bool = True, key: str = "doc_id", text: str = "text", stream: Column | None = None) -> DataFrame:
     """Up to k distinct segmentations of each whole text, drawn without replacement.
 
     Columns: key, sample (0: first drawn), ids, log_prob (of the segmentation among all of the text's),
     perturbed (log_prob with its Gumbel number), inclusion (chance to be drawn above the (k+1)th's
     number; 1 where the text has no further segmentation), round_trip (ids decode to the text).
     A segmentation's probability is in proportion to the product of its pieces' probabilities to the power alpha. Draws
-    depend on (seed, key, text) alone, so rows with equal keys and texts get equal samples. Null
+    depend on (seed, key, text, and the stream where one is given) alone, bit for bit, so rows in which these are equal get equal samples. Null
     and empty texts have one segmentation, of no pieces. Characters that are no piece become bytes.
-    An empty table gives no rows; other columns are ignored.
+    A text's own mark of spaces (U+2581) becomes bytes too, so every text decodes to itself. A text's lattice is kept
+    whole in memory, some hundred bytes a character, whatever its length. An empty table gives no rows; other columns are ignored.
     """
-    with open(model_path or default_model(), "rb") as f:
+    with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # of fixed size, half a MB
     kind = docs.schema[key].dataType.simpleString()
     return (
-        docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+        docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), (F.lit(None) if stream is None else stream).cast("string").alias("_s"))
         .mapInArrow(
             partial(_encode, model=model, k=k, alpha=alpha, rank_scores=rank_scores, seed=seed),
             f"_k {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean",
@@ -78,21 +73,30 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed: int = 0, model
     )
 
 
-def _decode(batches: Iterator[pa.RecordBatch], model, position: int) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], model, position: int, column: str) -> Iterator[pa.RecordBatch]:
     lat = Lattices(model.value, 1.0, True)
     for batch in batches:
         texts = [None if x.as_py() is None else lat.decode(np.asarray(x.as_py(), np.int64)) for x in batch.column(position)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column])
 
 
-def decode(df: DataFrame, ids: str = "ids", model_path: str | None = None) -> DataFrame:
-    """df with the column decoded: the text of its ids (null for null)."""
-    with open(model_path or default_model(), "rb") as f:
+def decode(df: DataFrame, model_path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
+    """df with one more column (no other may have its name): the text of its ids; null for null, empty for no ids."""
+    if column.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the rows have a column {column}; name another one for the text")
+    with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
-    return df.mapInArrow(partial(_decode, model=model, position=df.columns.index(ids)), schema)
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])
+    return df.mapInArrow(partial(_decode, model=model, position=df.columns.index(ids), column=column), schema)
+
+
+def default_model() -> str:
+    """The model that the query takes: 32,000 pieces made by merges, with bytes for what is no piece."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(docs).withColumn("n_pieces", F.size("ids"))
+    return encode(docs, default_model()).withColumn("n_pieces", F.size("ids"))

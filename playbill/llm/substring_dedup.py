@@ -13,11 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import LATER, Answers, Chunks, by_bucket, found_twice, least_in_window, mix, pair, unpacked
+from .chunks import LATER, Answers, Chunks, by_bucket, found_twice, least_in_window, pair, unpacked
 from .common import Workspace
 
 #: Length of the first level's windows, in words.
 BASE = 5
+#: Seed of the second hash of words, so that windows are told apart by 128 bits.
+OTHER_SEED = 0x5BD1E995
 
 
 def levels(window: int, base: int = BASE) -> list[int]:
@@ -45,9 +47,18 @@ class Texts:
         n = max(len(self.words) - length + 1, 0)
         return np.arange(n) + length <= self.ends[self.doc[:n]]
 
-    def windows(self, lengths: list[int], seed: int = 0) -> Iterator[np.ndarray]:
+    def other_hashes(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """Hashes of words by another seed, of those in the windows that start there (else 0)."""
+        edge = np.zeros(len(self.words) + 1, np.int64)
+        edge[starts] += 1
+        edge[starts + window] -= 1
+        at, out = np.flatnonzero(np.cumsum(edge[:-1]) > 0), np.zeros(len(self.words), np.uint64)
+        out[at] = np.fromiter((xxhash.xxh64_intdigest(self.words[i], seed=OTHER_SEED) for i in at.tolist()), np.uint64, len(at))
+        return out
+
+    def windows(self, lengths: list[int], hashes: np.ndarray | None = None) -> Iterator[np.ndarray]:
         """For each length, the hash of the window at each word, made of two of the length before."""
-        h = mix(self.hashes ^ np.uint64(seed)) if seed else self.hashes
+        h = self.hashes if hashes is None else hashes
         now = h[: max(len(h) - lengths[0] + 1, 0)]
         for k in range(1, lengths[0]):
             now = pair(now, h[k : k + len(now)])
@@ -132,7 +143,7 @@ def _firsts(t: Texts, row: dict, window: int, buckets: int):
     alive = _survivors(t, Answers(row["answers"]), window, len(lengths) - 1, buckets)
     starts = np.flatnonzero(alive)
     h = list(t.windows(lengths))[-1][starts]
-    g = list(t.windows(lengths, seed=0x5BD1E995))[-1][starts]
+    g = list(t.windows(lengths, t.other_hashes(starts, window)))[-1][starts]
     keys = _keys(row)[t.doc[starts]]
     order = np.lexsort((starts, t.doc[starts], keys, g, h))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])] if len(order) else np.zeros(0, bool)
@@ -202,7 +213,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     candidates are extended to twice the length. The last level compares whole windows by 128 bits
     and finds each one's first place. Copies of an earlier text go as a whole before that.
     Null texts have no words; keys are integers, null before all others; among repeated rows the first in
-    the table's chunks stays; an empty table gives no rows; other columns are ignored.
+    the table's chunks stays; an empty table gives no rows; other columns, whatever their names, are ignored. A text longer
+    than a chunk is a chunk of its own, and takes some hundred bytes a word meanwhile.
     """
     ws = Workspace(docs.sparkSession, "substrings")
     more = {} if chunk_bytes is None else {"chunk_bytes": chunk_bytes}

@@ -11,12 +11,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 #: The model is fitted on at most so many labelled rows, those of least hash of their key.
 TRAINING_ROWS = 8_000
+#: Numbers (distinct words and beginnings of words of a sentence) of the rows that it is fitted on, about 0.5 GB.
+TRAINING_NUMBERS = 40_000_000
 #: Parts of words are hashed to so many weights, the first of which stays zero; a further one is the bias.
 WIDTH = 1 << 20
 #: A word counts as itself and by its beginnings of these lengths.
@@ -136,7 +139,8 @@ def _blank() -> bytes:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAINING_ROWS) -> bytes:
-    """The model: WIDTH + 1 float32 (4 MB). Fitted in one task on at most `rows` labelled rows."""
+    """The model: WIDTH + 1 float32 (4 MB). Fitted in one task on at most `rows` labelled rows, whole ones in the order of
+    their keys' hash, of at most TRAINING_NUMBERS numbers in all (some 12 bytes each)."""
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["_k"])
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(rows)
     bags = (
@@ -146,8 +150,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, ws: Workspace, key: str =
         .mapInArrow(_bags, "numbers array<int>, counts array<int>, label struct<label:int,k:long>")
         .select("numbers", "counts", "label.label", "label.k")
     )
-    # Repeated rows may not lift the bound.
+    # Repeated rows may not lift the bound, nor long texts that of what the one task holds.
     bags = ws.save(bags, "bags").orderBy("k").limit(rows)
+    sizes = bags.select("k", F.sum(F.size("numbers")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    beyond = sizes.filter(F.col("upto") > TRAINING_NUMBERS).agg(F.min("k")).first()[0]
+    if beyond is not None:
+        bags = bags.filter(F.col("k") < beyond)
     fitted = bags.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "weights binary").first()
     return _blank() if fitted is None else bytes(fitted[0])
 
@@ -205,7 +213,11 @@ def _clean(batches: Iterator[pa.RecordBatch], model, position: int) -> Iterator[
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of docs, all columns, with a score under 0.5; rows stay where they are."""
+    """The rows of docs, all columns, with a score under 0.5; rows stay where they are.
+
+    Null and empty texts score 0 and stay, as does all where there are no labels; repeated rows stay or go alike; a text of any
+    length is scored whole, sentence by sentence; an empty table gives no rows; columns of any names come back as they are.
+    """
     weights = train_toxicity(docs, labels, Workspace(docs.sparkSession, "toxicity"), key, text, label)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.mapInArrow(partial(_clean, model=model, position=docs.columns.index(text)), docs.schema)

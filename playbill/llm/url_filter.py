@@ -35,19 +35,57 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return fits
 
 
+#: Names of parameters that count visits and choose no page.
+TRACKERS = r"^(utm_[^=]*|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid|igshid)(=|$)"
+
+
+def url_query(url: Column) -> Column:
+    """What follows the first ? up to #, without parameters that only track visits; else empty."""
+    text = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
+    return F.array_join(F.filter(F.split(text, "&"), lambda p: (p != "") & ~p.rlike(TRACKERS)), "&")
+
+
 def canonical_spelling(url: Column) -> Column:
-    """The address without what does not choose a page: scheme, www. or m., query, fragment, .html, last slash."""
+    """The address without what does not choose a page: scheme, www. or m., trackers, fragment, .html, last slash."""
     host = F.regexp_replace(url_host(url), r"^((www|m)\.)+", "")
-    return F.when(host != "", F.concat(F.lit("page://"), host, F.regexp_replace(url_path(url), r"(\.html?|/)+$", "")))
+    query = url_query(url)
+    page = F.concat(F.lit("page://"), host, F.regexp_replace(url_path(url), r"(\.html?|/)+$", ""))
+    return F.when(host != "", F.concat(page, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+#: Entities that stand in addresses.
+ENTITIES = {"&(lt|#60|#x3c);": "<", "&(gt|#62|#x3e);": ">", "&(quot|#34|#x22);": '"', "&(apos|#39|#x27);": "'", "&(#47|#x2f|sol);": "/", "&(#58|#x3a|colon);": ":", "&(amp|#38|#x26);": "&"}
+
+
+def decoded(text: Column) -> Column:
+    for entity, char in ENTITIES.items():
+        text = F.regexp_replace(text, "(?i)" + entity, char)
+    return text
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """The absolute address of a link on the page of this url: whole, from //, /, ? or the page's folder on; null if it has no host or is a place on that page."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), url_host(url))
+    folder = F.regexp_replace(url_path(url), r"[^/]*$", "")
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(path.startswith("/"), path).when(path == "", url_path(url)).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    up = lambda found, s: F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(1)))
+    step = lambda found, s: F.when(s == ".", found).when(s == "..", up(found, s)).otherwise(F.array_append(found, s))
+    parts = F.split(F.regexp_replace(joined, r"(^|/)(\.\.?)$", "$1$2/"), "/", -1)  # a last dot names a folder
+    clean = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    own = F.when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+    return own.when(link.rlike(r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:|#)"), None).when(url_host(url) != "", F.concat(root, clean, rest))
 
 
-def html_targets(html: Column) -> Column:
-    """Absolute addresses that a page names as its canonical link or redirects to at once."""
-    flags = "(?is)"
-    rel = r"""<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+def html_targets(html: Column, url: Column) -> Column:
+    """Addresses that a page names as its canonical link or redirects to at once, made absolute."""
+    flags, value = "(?is)", r"""(?:"[^"]*"|'[^']*'|[^"'\s>]+)"""
+    rel = rf"""<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*({value})"""
     refresh = r"""<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
     found = F.concat(*[F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(flags + p), F.lit(1)) for p in (rel, refresh)])
-    return F.filter(found, lambda u: u.contains("://"))
+    plain = F.transform(found, lambda u: F.trim(decoded(F.regexp_replace(u, "^[\"']|[\"']$", ""))))
+    return F.filter(F.transform(F.filter(plain, lambda u: u != ""), lambda u: resolved(u, url)), lambda u: u.isNotNull())
 
 
 def filter_urls(
@@ -59,12 +97,13 @@ def filter_urls(
     the redirect target in its html, and those of `redirects` (columns from_url, to_url). A page
     that a rule names has the rule's verdict. Any other is blocked if an address in its connected
     component is blocked by rule, and else allowed: an allow rule always stands for its own page,
-    but frees no alias. Null or malformed addresses have no host and no alias and are allowed;
-    repeated rows get equal verdicts; an empty table gives no rows; other columns are ignored.
+    but frees no alias. Links are made absolute by their page's address; a base element is not read. Null or malformed
+    addresses have no host and no alias and are allowed; repeated rows get equal verdicts; a page of any length is searched
+    whole; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     ws = Workspace(pages.sparkSession, "urls")
     at = F.col(url)
-    known = pages.select(F.col(key).alias("_k"), at.alias("_u"), F.explode_outer(F.array_append(html_targets(F.col(html)), canonical_spelling(at))).alias("_to"))
+    known = pages.select(F.col(key).alias("_k"), at.alias("_u"), F.explode_outer(F.array_append(html_targets(F.col(html), F.coalesce(at, F.lit(""))), canonical_spelling(at))).alias("_to"))
     edges = known.filter("_u is not null and _to is not null").select(F.col("_u").alias("a"), F.col("_to").alias("b"))
     # A target counts under its canonical spelling too, so that chains of redirects close.
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), canonical_spelling(F.col("b")).alias("b")).filter("a <> b"))
@@ -99,7 +138,9 @@ OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid|igshid)(=|$)')), '&') AS query
   FROM pages
 ), r AS (
   SELECT *, CASE
@@ -108,7 +149,7 @@ WITH p AS (
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
     END AS rule,
-    CASE WHEN host = '' THEN 'page' || page_id ELSE regexp_replace(host, '^((www|m)\.)+', '') || regexp_replace(path, '(\.html?|/)+$', '') END AS page
+    CASE WHEN host = '' THEN 'page' || page_id ELSE regexp_replace(host, '^((www|m)\.)+', '') || regexp_replace(path, '(\.html?|/)+$', '') || '?' || query END AS page
   FROM p
 ), v AS (
   SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM r

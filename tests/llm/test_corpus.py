@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urljoin
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ from playbill.llm.common import Workspace
 from playbill.llm.segmentation import Lattices, sample_segmentations
 
 SF = "/root/testdata/sf0.001"
+MODEL = sentencepiece_ops.default_model()
 #: Names that operators might use themselves.
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, shard string, row int, h int, count int, score int, component int, _x int"
 
@@ -262,13 +264,13 @@ def test_toxicity_odd_rows(spark):
 
 @pytest.fixture(scope="module")
 def lattices():
-    with open(sentencepiece_ops.default_model(), "rb") as f:
+    with open(MODEL, "rb") as f:
         return Lattices(f.read(), 0.3, True)
 
 
 def test_samples_follow_the_lattice(lattices):
     first, second, logs, estimate, n = Counter(), Counter(), {}, Counter(), 4000
-    for (s, bound) in sample_segmentations(lattices, ["inge"] * n, [str(i) for i in range(n)], 2):
+    for (s, bound) in sample_segmentations(lattices, [b"inge"] * n, [str(i) for i in range(n)], 2):
         (a, la, ga), (b, lb, gb) = [(tuple(x.tolist()), p, g) for x, p, g in s]
         assert a != b and ga >= gb >= bound
         first[a], second[b], logs[a], logs[b] = first[a] + 1, second[b] + 1, la, lb
@@ -281,14 +283,32 @@ def test_samples_follow_the_lattice(lattices):
         assert abs(estimate[a] - p) < 0.02
 
 
+def test_samples_do_not_depend_on_other_texts(lattices, spark):
+    texts = [(t or "").encode() for (t,) in documents(spark).select("text").limit(64).collect()] + [b"", b"a  b", "▁ x\n\n y".encode()]
+    keys = [str(i) for i in range(len(texts))]
+
+    def flat(drawn):
+        return [[(ids.tolist(), p, g) for ids, p, g in samples] + [bound] for samples, bound in drawn]
+
+    with open(MODEL, "rb") as f:
+        alone = Lattices(f.read(), 0.3, True)
+    together = flat(sample_segmentations(lattices, texts, keys, 3))
+    assert together == [flat(sample_segmentations(alone, [t], [k], 3))[0] for t, k in reversed(list(zip(texts, keys, strict=True)))][::-1]
+
+
 def test_encoding_round_trip(spark):
     docs = documents(spark).unionByName(odd_rows(spark).select("doc_id", "text", "lang", "source", "n_chars"))
-    out = sentencepiece_ops.decode(sentencepiece_ops.encode(docs)).join(docs, "doc_id").filter("doc_id > 10")
+    out = sentencepiece_ops.decode(sentencepiece_ops.encode(docs, MODEL), MODEL).filter("doc_id > 10").join(docs, "doc_id")
     assert out.filter("decoded <> text or not round_trip").count() == 0
-    rows = rows_of(sentencepiece_ops.encode(odd_rows(spark), k=3))
+    odd = sentencepiece_ops.decode(sentencepiece_ops.encode(odd_rows(spark), MODEL), MODEL)
+    assert odd.filter("not round_trip").count() == 0
+    assert {r["decoded"] for r in odd.filter("doc_id is null or doc_id = 8 or doc_id = 4").collect()} == {"", "a b c d e f", "é ü ñ 日本 ▁ x"}
+    with pytest.raises(ValueError):
+        sentencepiece_ops.decode(docs.withColumn("decoded", F.lit(1)), MODEL, "n_chars")
+    rows = rows_of(sentencepiece_ops.encode(odd_rows(spark), MODEL, k=3))
     assert [len(r["ids"]) for r in rows if r["doc_id"] in (3, 4)] == [0, 0]
     assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 6}) == 3
-    assert sentencepiece_ops.encode(docs.limit(0)).count() == 0
+    assert sentencepiece_ops.encode(docs.limit(0), MODEL).count() == 0
 
 
 def test_url_aliases(spark):
@@ -306,6 +326,43 @@ def test_url_aliases(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_links_of_pages(spark):
+    base = "https://a.org/x/y/z.html?q=1#f"
+    links = ["//bad.net/q", "/p", "p", "./p/q", "../p", "../../../p", "?k=2", "http://c.com/d", "..", "./", "p/./q/../r"]
+    rows = spark.createDataFrame([(x,) for x in links], "x string").select("x", url_filter.resolved(F.col("x"), F.lit(base)).alias("got")).collect()
+    assert {r["x"]: r["got"] for r in rows} == {x: urljoin(base, x) for x in links}
+    pages = [
+        (1, "http://a.com/item?id=1", '<link href="//bad.net/q" rel=canonical>'), (2, "http://a.com/item?id=2&utm_source=x", None),
+        (3, "http://b.com/k/p", "<LINK REL='canonical' HREF='../q?a=1&amp;b=2'>"), (4, "http://b.com/q?a=1&b=2", '<link rel="canonical" href="http://bad.net/z">'),
+        (5, "http://b.com/q?a=1", None), (6, "http://a.com/item?id=1&gclid=7", None), (7, None, "<link rel=canonical href=/q>" * 40_000), (7, None, None),
+    ]
+    out = {r["page_id"]: r["verdict"] for r in rows_of(url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert out == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow"}
+
+
+def test_columns_of_any_name(spark):
+    names = ["key", "digest", "_gone", "_k", "_h", "_sha", "_keep", "component", "g.key"]
+    docs = odd_rows(spark)
+    docs = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    for drop, n in ((exact_dedup.drop_exact_duplicates, 7), (simhash.drop_near_duplicates, 6)):
+        out = drop(docs)
+        assert out.columns == docs.columns and out.count() == n
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs, "/nowhere", [1.0])
+
+
+def test_pipeline_on_odd_rows_and_on_none(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_rows(spark)), ("none", odd_rows(spark).limit(0))):
+        sf = str(tmp_path / name)
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        out = rows_of(corpus_pipeline.run(spark, sf))
+        assert all(r["round_trip"] for r in out) and (name == "none") == (not out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
