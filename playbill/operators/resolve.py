@@ -16,11 +16,20 @@ APPLY, APPLY_TITLE, RUNTIME_SLACK = 0.9, 0.95, 5
 
 
 def blocking_keys(title: Column) -> Column:
-    """Keys under which similar titles meet: the first letters of each of the title's forms, and of its sorted words."""
+    """Keys under which similar titles meet: of each of the title's forms the form less any one letter (any two, if it is SHORT), which
+    so many errors leave; and, as further errors leave some of them, its first and last letters, those of its sorted words, and its longer words."""
     keys = F.transform(text.title_forms(title), text.title_key)
-    heads = F.transform(keys, lambda k: F.concat(F.lit("h:"), F.substring(k, 1, 3)))
-    words = F.transform(keys, lambda k: F.concat(F.lit("w:"), F.substring(F.array_join(F.array_sort(F.split(k, " ")), " "), 1, 5)))
-    return F.array_distinct(F.concat(heads, words))
+    words = lambda k: F.split(k, " ")
+    without = lambda k, i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k)))
+    less = lambda k: F.transform(F.sequence(F.lit(0), F.length(k)), lambda i: F.concat(F.lit("d:"), without(k, i)))
+    twice = lambda k: F.flatten(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: less(without(k, i))))
+    own = lambda k: F.concat(
+        F.array(F.concat(F.lit("h:"), F.substring(k, 1, 3)), F.concat(F.lit("t:"), F.right(k, F.lit(3))), F.concat(F.lit("s:"), F.substring(F.array_join(F.array_sort(words(k)), " "), 1, 5))),
+        F.transform(F.filter(words(k), lambda w: F.length(w) > 3), lambda w: F.concat(F.lit("w:"), w)),
+        less(k),
+        F.when(F.length(k).between(2, SHORT), twice(k)).otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(F.flatten(F.transform(keys, own)))
 
 
 def query_forms(title: Column, original: Column) -> Column:
@@ -29,25 +38,51 @@ def query_forms(title: Column, original: Column) -> Column:
     return F.transform(F.array_distinct(forms), lambda f, i: F.struct(f.alias("form"), i.alias("priority")))
 
 
-def candidates(listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(listing_id, ext_id, priority): catalog rows that share a blocking key with a form of the listing.
+#: Letters of a form up to which any two may be wrong.
+SHORT = 12
+TITLE, CAT_TITLE = ["title", "original"], ["cat_title", "cat_original"]
+
 
-    listings: listing_id, title, original; catalog: ext_id, cat_title, cat_original. An equi-join on keys; a
-    hot key is split by Spark. No key is capped.
+def title_pairs(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(title, original, cat_title, cat_original, priority): distinct titles that share a blocking key, with the priority of the first
+    form that does.
+
+    Each title counts once, however many rows have it. An equi-join on keys; a hot key is split by Spark. No key is capped.
     """
-    asked = listings.select("listing_id", F.explode(query_forms(F.col("title"), F.col("original"))).alias("q")).select("listing_id", "q.priority", F.explode(blocking_keys(F.col("q.form"))).alias("key"))
-    known = catalog.select("ext_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact(F.array("cat_title", "cat_original")), blocking_keys)))).alias("key"))
-    return asked.join(known, "key").groupBy("listing_id", "ext_id").agg(F.min("priority").alias("priority"))
+    asked = listings.select(*TITLE).distinct().select(*TITLE, F.explode(query_forms(F.col("title"), F.col("original"))).alias("q")).select(*TITLE, "q.priority", F.explode(blocking_keys(F.col("q.form"))).alias("key"))
+    keys = F.array_distinct(F.flatten(F.transform(F.array_compact(F.array(*CAT_TITLE)), blocking_keys)))
+    known = catalog.select(*CAT_TITLE).distinct().select(*CAT_TITLE, F.explode(keys).alias("key"))
+    return asked.join(known, "key").groupBy(*TITLE, *CAT_TITLE).agg(F.min("priority").alias("priority"))
+
+
+def same(a: str, b: str, columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def of_rows(pairs: DataFrame, listings: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of titles as pairs of rows (all columns of both, and `columns` of the pairs) within the year's tolerance."""
+    left = listings.alias("l").join(pairs.alias("p"), same("l", "p", TITLE)).select("l.*", *[f"p.{c}" for c in [*CAT_TITLE, *columns]])
+    rows = left.alias("l").join(catalog.alias("c"), same("l", "c", CAT_TITLE) & text.year_acceptable(F.col("l.year"), F.col("c.cat_year")))
+    return rows.select("l.*", *[f"c.{c}" for c in catalog.columns if c not in CAT_TITLE])
+
+
+def candidates(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(listing_id, ext_id, priority): catalog rows whose title shares a blocking key with a form of the listing's."""
+    return of_rows(title_pairs(listings, catalog), listings, catalog, ["priority"]).select("listing_id", "ext_id", "priority")
 
 
-def score(pairs: DataFrame, listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates within the year's tolerance with their best similarity over forms; distinct pairs of forms are scored once."""
-    rows = pairs.join(listings, "listing_id").join(catalog, "ext_id").filter(text.year_acceptable(F.col("year"), F.col("cat_year")))
-    forms = rows.select("listing_id", "ext_id", F.explode(text.title_forms(F.col("title"))).alias("a"), F.array_compact(F.array("cat_title", "cat_original")).alias("c"))
-    forms = forms.select("listing_id", "ext_id", "a", F.explode(F.flatten(F.transform("c", text.title_forms))).alias("b"))
+def score(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Candidates with their best similarity over forms. Each distinct pair of forms is scored once, and titles are scored before rows are paired."""
+    pairs = title_pairs(listings, catalog)
+    forms = pairs.select(*TITLE, *CAT_TITLE, F.explode(text.title_forms(F.col("title"))).alias("a"), F.array_compact(F.array(*CAT_TITLE)).alias("c"))
+    forms = forms.select(*TITLE, *CAT_TITLE, "a", F.explode(F.flatten(F.transform("c", text.title_forms))).alias("b"))
     scored = forms.select("a", "b").distinct().withColumn("s", title_similarity(F.col("a"), F.col("b")))
-    best = forms.join(scored, ["a", "b"]).groupBy("listing_id", "ext_id").agg(F.max("s").alias("score"))
-    return rows.join(best, ["listing_id", "ext_id"])
+    best = forms.join(scored, ["a", "b"]).groupBy(*TITLE, *CAT_TITLE).agg(F.max("s").alias("score"))
+    both = pairs.alias("p").join(best.alias("b"), same("p", "b", [*TITLE, *CAT_TITLE])).select("p.*", "b.score")
+    return of_rows(both, listings, catalog, ["priority", "score"])
 
 
 def rank(scored: DataFrame) -> DataFrame:
@@ -100,8 +135,7 @@ def resolve(listings: DataFrame, catalog: DataFrame, overrides: DataFrame, credi
     three, director's only film; each stage on what the ones before left. One row for each listing with a reason."""
     fixed = listings.join(overrides.select("listing_id", F.col("ext_id").alias("_o")), "listing_id").select("listing_id", F.col("_o").alias("ext_id"), F.lit(1.0).alias("score"), F.lit("override").alias("stage"))
     left = listings.join(fixed, "listing_id", "left_anti")
-    pairs = candidates(left, catalog)
-    ranked = rank(score(pairs, left, catalog))
+    ranked = rank(score(left, catalog))
     matched = best_match(ranked).join(ranked.select("listing_id", "ext_id", "director", "cat_directors"), ["listing_id", "ext_id"])
     comparable = F.exists("cat_directors", lambda d: text.comparable_scripts(F.col("director"), d))
     agreed = F.col("director").isNull() | (F.size("cat_directors") == 0) | ~comparable | text.directors_match(F.col("director"), F.col("cat_directors"))
@@ -110,7 +144,8 @@ def resolve(listings: DataFrame, catalog: DataFrame, overrides: DataFrame, credi
     rest = left.join(match, "listing_id", "left_anti").join(third, "listing_id", "left_anti")
     pivot = director_pivot(rest, credits).withColumn("stage", F.lit("pivot"))
     found = fixed.unionByName(match).unionByName(third).unionByName(pivot)
-    tried = pairs.select("listing_id").distinct().withColumn("_tried", F.lit(True))
+    pairs = title_pairs(left, catalog)
+    tried = left.alias("l").join(pairs.select(*TITLE).distinct().alias("p"), same("l", "p", TITLE)).select("l.listing_id", F.lit(True).alias("_tried"))
     reason = F.when(F.col("ext_id").isNotNull(), "ok").when(F.col("_tried"), "low-confidence").otherwise("no-candidates")
     return listings.select("listing_id").join(found, "listing_id", "left").join(tried, "listing_id", "left").select("listing_id", "ext_id", "score", "stage", reason.alias("reason"))
 

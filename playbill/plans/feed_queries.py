@@ -258,14 +258,16 @@ def inferred_years(spark, sf_dir):
 
 @query("F-22 W-16", """
 WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS pos FROM lineitem),
-y AS (SELECT *, day(l_shipdate) AS d, lag(day(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY pos) AS before FROM x)
-SELECT l_orderkey, pos, ((1 + sum(CASE WHEN d < before THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY pos) - 1) % 12 + 1)::BIGINT AS carried FROM y""")
+y AS (SELECT *, day(l_shipdate) AS d, lag(day(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY pos) AS before FROM x),
+z AS (SELECT l_orderkey, pos, ((1 + sum(CASE WHEN d < before THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY pos) - 1) % 12 + 1)::BIGINT AS carried FROM y),
+q AS (SELECT *, lag(carried) OVER (PARTITION BY l_orderkey ORDER BY pos) AS last FROM z)
+SELECT l_orderkey, pos, carried, sum(CASE WHEN carried < last THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY pos)::BIGINT AS years FROM q""")
 def month_carry_forward(spark, sf_dir):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")
     x = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long")).select("l_orderkey", "pos", F.dayofmonth("l_shipdate").alias("d"), F.lit(None).cast("int").alias("m"))
-    return S.carry_months(x, "l_orderkey", "pos", "d", "m", F.lit(1)).select("l_orderkey", "pos", F.col("carried").cast("long").alias("carried"))
+    return S.carry_months(x, "l_orderkey", "pos", "d", "m", F.lit(1)).select("l_orderkey", "pos", F.col("carried").cast("long").alias("carried"), F.col("years").cast("long").alias("years"))
 
 
 @query("F-23", """
@@ -289,27 +291,30 @@ def offsite_rooms(spark, sf_dir):
     return s.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(rooms, ",").alias("rooms"))
 
 
-@query("F-31", SQL + "SELECT id AS page_id, CASE WHEN id % 3 = 0 THEN 'first.jpg' ELSE 'b-' || (300 + id % 50) || 'x900.jpg' END AS src FROM f")
+@query("F-31", SQL + "SELECT id AS page_id, CASE WHEN id % 3 = 0 THEN 'first.jpg' ELSE 'b~mv-' || (300 + id % 50) || 'x900.jpg' END AS src FROM f")
 def largest_images(spark, sf_dir):
-    html = F.expr("CASE WHEN id % 3 = 0 THEN '<img src=\"first.jpg\"><img src=\"x.png\">' ELSE concat('<img src=\"a-10x10.jpg\"><img src=\"b-', 300 + id % 50, 'x900.jpg\">') END")
-    return S.largest_image(films(spark, sf_dir).select(F.col("id").alias("page_id"), html.alias("html")))
+    """Other images are larger, but only some have the marker; a third of pages have none of these."""
+    html = F.expr("CASE WHEN id % 3 = 0 THEN '<img src=\"x-900x900.png\"><img src=\"first.jpg\">' ELSE concat('<img src=\"big-9999x9999.jpg\"><img src=\"a~mv-10x10.jpg\"><img src=\"b~mv-', 300 + id % 50, 'x900.jpg\">') END")
+    return S.largest_image(films(spark, sf_dir).select(F.col("id").alias("page_id"), html.alias("html")), "~mv", "first")
 
 
 @query("F-32", r"""
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS l FROM pages), x AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p)
-SELECT page_id, CASE WHEN max(length(t)) >= 60 THEN arg_max(t, (length(t), -i)) END AS synopsis FROM pages LEFT JOIN x USING (page_id) GROUP BY page_id""")
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS l FROM pages), x AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p),
+b AS (SELECT page_id, trim(arg_max(t, (length(t), -i))) AS t FROM x GROUP BY page_id)
+SELECT page_id, CASE WHEN length(t) >= 60 THEN t END AS synopsis FROM pages LEFT JOIN b USING (page_id)""")
 def longest_blocks(spark, sf_dir):
-    parts = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
+    parts = F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)), lambda x: F.concat(x, F.lit("  Texto de Ana Ruiz y Eva Paz. ")))
     return table(spark, sf_dir, "pages").select("page_id", S.longest_block(parts, 60).alias("synopsis"))
 
 
 @query("F-35", """
-WITH x AS (SELECT conv_id, turn, role, text FROM conversations), y AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM x)
-SELECT conv_id, block::BIGINT AS block, arg_min(text, turn) FILTER (WHERE role = 'user') AS title, count(*) AS n_lines, coalesce(string_agg(regexp_extract(text, '^(\\p{L}+)', 1), ' ' ORDER BY turn) FILTER (WHERE regexp_extract(text, '^(\\p{L}+)', 1) <> ''), '') AS times
-FROM y WHERE block > 0 GROUP BY conv_id, block""".replace("\\\\", "\\"))
+WITH x AS (SELECT conv_id, turn, role, text FROM conversations), y AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM x),
+z AS (SELECT conv_id, block::BIGINT AS block, arg_min(text, turn) FILTER (WHERE role = 'user') AS title, count(*) AS n_lines, coalesce(string_agg(regexp_extract(text, '^(\\p{L}+)', 1), ' ' ORDER BY turn) FILTER (WHERE regexp_extract(text, '^(\\p{L}+)', 1) <> ''), '') AS times,
+  bool_or(text LIKE '%z%') AS short FROM y WHERE block > 0 GROUP BY conv_id, block), q AS (SELECT *, count_if(short) OVER (PARTITION BY conv_id) AS skipped FROM z)
+SELECT conv_id, block, title, n_lines, times, skipped FROM q WHERE NOT short""".replace("\\\\", "\\"))
 def line_blocks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", "role", F.col("text").alias("line"))
-    return S.blocks(c, "conv_id", "turn", F.col("role") == "user", F.regexp_extract("line", r"^(\p{L}+)", 1))
+    return S.blocks(c, "conv_id", "turn", F.col("role") == "user", F.regexp_extract("line", r"^(\p{L}+)", 1), F.col("line").contains("z"))
 
 
 @query("F-39", """

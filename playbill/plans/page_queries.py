@@ -100,6 +100,27 @@ def next_weekdays(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), P.next_weekday(F.to_date("o_orderdate"), F.col("o_orderkey") % 7).alias("day"))
 
 
+@query("F-9", """
+SELECT p_partkey AS page_id, k::INT AS pos, '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS date, '/film/' || CASE WHEN k = 4 THEN 2 ELSE k END AS href, p_name AS title
+FROM part, (VALUES (0), (2)) t(k) WHERE k = 2 OR p_partkey % 2 = 0""")
+def agenda_cards(spark, sf_dir):
+    """Five cards a page: of this venue or another, a talk, one without date, one address twice."""
+    card = lambda kind, places, date, k: f"concat('<article class=\"card ', '{kind}', '\" data-event=\"1\" data-date=\"', {date}, '\" data-locations=\"[&quot;', {places}, '&quot;]\">\n<a href=\"/film/{k}\"><h3 class=\"t\"> ', p_name, ' </h3></a></article>')"
+    day = "concat('2024-01-', lpad(p_size % 28 + 1, 2, '0'))"
+    html = ", ".join([card("screening", "CASE WHEN p_partkey % 2 = 0 THEN 'here' ELSE 'there' END", day, 0), card("talk", "'here'", day, 1), card("screening", "'other&quot;,&quot;here'", day, 2), card("screening", "'here'", "'soon'", 3), card("screening", "'here'", day, 2)])
+    pages = table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", f"concat({html}) AS html", "p_name")
+    return S.agenda(pages, "here", "screening")
+
+
+@query("F-33", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN year(o_orderdate) END::INT AS year FROM orders""")
+def anchor_years(spark, sf_dir):
+    linked = "concat('<script type=\"application/ld+json\">{\"datePublished\": \"', date_format(o_orderdate, 'yyyy-MM-dd'), '\"}</script><meta property=\"article:published_time\" content=\"1900-01-01\">')"
+    meta = "concat('<script>x</script><meta property=\"article:published_time\" content=\"', date_format(o_orderdate, 'yyyy-MM-dd'), '\">')"
+    html = F.expr(f"CASE o_orderkey % 3 WHEN 0 THEN {linked} WHEN 1 THEN {meta} ELSE '<p>2001-01-01</p>' END")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.anchor_year(html).alias("year"))
+
+
 @query("F-12 S-19", """
 SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'CICLO ' || p_brand END AS program, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN 'Ana' ELSE '黒澤明' END AS director FROM part""")
 def suffixes_and_latin_names(spark, sf_dir):

@@ -37,21 +37,22 @@ def _catalog(spark, sf_dir):
 
 
 @query("J-9 S-2 S-10", r"""
-WITH l AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN ['CICLO SUR: ' || p_name, p_name, 'CICLO SUR'] WHEN 1 THEN [p_name || 's'] ELSE [p_name] END AS forms FROM part WHERE p_partkey % 5 = 0),
-k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(unnest(forms)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM l), c AS (SELECT p_partkey AS id, p_name AS k FROM part),
-b AS (SELECT id, 'h:' || left(k, 3) AS key FROM k UNION SELECT id, 'w:' || left(array_to_string(list_sort(string_split(k, ' ')), ' '), 5) FROM k),
-d AS (SELECT id, 'h:' || left(k, 3) AS key FROM c UNION SELECT id, 'w:' || left(array_to_string(list_sort(string_split(k, ' ')), ' '), 5) FROM c)
-SELECT DISTINCT b.id AS listing_id, d.id AS ext_id FROM b JOIN d USING (key)""")
+WITH l AS (SELECT DISTINCT title, forms FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'CICLO SUR: ' || p_name WHEN 1 THEN p_name || 's' ELSE p_name END AS title,
+  CASE p_partkey % 3 WHEN 0 THEN ['CICLO SUR: ' || p_name, 'CICLO SUR', p_name] WHEN 1 THEN [p_name || 's'] ELSE [p_name] END AS forms FROM part)),
+k AS (SELECT title, trim(regexp_replace(regexp_replace(lower(unnest(forms)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM l), c AS (SELECT DISTINCT p_name AS title, p_name AS k FROM part),
+b AS (SELECT title, unnest(['h:' || left(k, 3), 't:' || right(k, 3), 's:' || left(array_to_string(list_sort(string_split(k, ' ')), ' '), 5)] || list_transform(list_filter(string_split(k, ' '), lambda w: length(w) > 3), lambda w: 'w:' || w) || list_transform(range(0, length(k) + 1), lambda i: 'd:' || left(k, greatest(i - 1, 0)) || substr(k, i + 1))
+  || CASE WHEN length(k) BETWEEN 2 AND 12 THEN flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(1, length(k)), lambda j: 'd:' || left(left(k, i - 1) || substr(k, i + 1), j - 1) || substr(left(k, i - 1) || substr(k, i + 1), j + 1)))) ELSE [] END) AS key FROM k),
+d AS (SELECT title, unnest(['h:' || left(k, 3), 't:' || right(k, 3), 's:' || left(array_to_string(list_sort(string_split(k, ' ')), ' '), 5)] || list_transform(list_filter(string_split(k, ' '), lambda w: length(w) > 3), lambda w: 'w:' || w) || list_transform(range(0, length(k) + 1), lambda i: 'd:' || left(k, greatest(i - 1, 0)) || substr(k, i + 1))
+  || CASE WHEN length(k) BETWEEN 2 AND 12 THEN flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(1, length(k)), lambda j: 'd:' || left(left(k, i - 1) || substr(k, i + 1), j - 1) || substr(left(k, i - 1) || substr(k, i + 1), j + 1)))) ELSE [] END) AS key FROM c)
+SELECT DISTINCT b.title, d.title AS cat_title FROM b JOIN d USING (key)""")
 def candidate_blocking(spark, sf_dir):
-    # The SQL takes this fifth of the listings.
-    listings = _listing_rows(spark, sf_dir).filter("listing_id % 5 = 0")
-    return R.candidates(listings, _catalog(spark, sf_dir)).select("listing_id", "ext_id")
+    return R.title_pairs(_listing_rows(spark, sf_dir), _catalog(spark, sf_dir)).select("title", "cat_title")
 
 
-@query("J-10 W-6 R-1 S-6 W-7")
+@query("J-10 W-6 R-1 S-6 W-7 W-8")
 def best_matches(spark, sf_dir):
     listings, catalog = _listing_rows(spark, sf_dir), _catalog(spark, sf_dir)
-    return R.best_match(R.rank(R.score(R.candidates(listings, catalog), listings, catalog)))
+    return R.best_match(R.rank(R.score(listings, catalog)))
 
 
 @query("R-2 J-11 W-10 W-15")

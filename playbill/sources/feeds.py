@@ -81,6 +81,22 @@ def cards(pages: DataFrame) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(W.partitionBy("page_id", "href").orderBy("pos"))).filter("_i = 1").drop("_i")
 
 
+def agenda(pages: DataFrame, venue: str, kind: str) -> DataFrame:
+    """Cards (article elements) of an agenda page that are of the venue and of the class `kind`, each address of a page once:
+    page_id, pos, date, href, title. A card without a date 'yyyy-MM-dd' or a list of places is none."""
+    found = F.regexp_extract_all("html", F.lit(r"(?s)<article\b.*?</article>"), F.lit(0))
+    each = pages.select("page_id", F.posexplode(found).alias("pos", "card")).withColumn("tag", F.regexp_extract("card", r"(?s)^(<article\b[^>]*>)", 1))
+    attribute = lambda name: F.regexp_extract("tag", rf"""(?s)\b{name}=["']([^"']*)["']""", 1)
+    places = F.regexp_extract_all(F.regexp_replace(attribute("data-locations"), "&quot;", '"'), F.lit(r'"([^"]+)"|([\w-]+)'), F.lit(0))
+    here = F.exists(places, lambda x: F.trim(F.translate(x, '"', "")) == venue)
+    rows = each.select(
+        "page_id", "pos", attribute("data-date").alias("date"), here.alias("here"), F.array_contains(F.split(attribute("class"), r"\s+"), kind).alias("shown"),
+        F.regexp_extract("card", r"""(?s)<a\b[^>]*\bhref=["']([^"']*)["']""", 1).alias("href"), F.trim(F.regexp_extract("card", r"(?s)<h3[^>]*>(.*?)</h3>", 1)).alias("title"),
+    )
+    real = rows.filter(F.col("here") & F.col("shown") & F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    return real.withColumn("_i", F.row_number().over(W.partitionBy("page_id", "href").orderBy("pos"))).filter("_i = 1").drop("_i", "here", "shown")
+
+
 def credits(block: Column) -> Column:
     """Labelled lines ('Label: value') as a map from folded labels."""
     lines = F.filter(F.split(block, r"\n"), lambda x: x.contains(":"))
@@ -118,10 +134,10 @@ def shift_suffix(c: Column) -> Column:
 
 
 def poster_title(c: Column) -> Column:
-    """A title without outer quotes and year, however they nest (three deep)."""
-    for _ in range(3):
-        c = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\(\d{4}\)\s*$", ""), r'^["“«](.*)["”»]$', "$1"))
-    return c
+    """A title without outer quotes and a year at its end, stripped in turn until nothing changes: each time takes two characters or more."""
+    strip = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*\(\d{4}\)\s*$", ""), r'^["“«](.*)["”»]$', "$1"))
+    times_ = F.sequence(F.lit(1), F.floor(F.length(c) / 2).cast("int") + 1)
+    return F.aggregate(times_, F.trim(c), lambda x, _: strip(x))
 
 
 def showtime_line(c: Column) -> Column:
@@ -180,7 +196,10 @@ def inferred_year(df: DataFrame, start: Column, end: Column | None, now: datetim
 
 
 def carry_months(lines: DataFrame, page: str, pos: str, day: str, month: str, first_month: Column) -> DataFrame:
-    """Days down a page, some without month: a lower day than the one before starts the next month; a stated month holds on."""
+    """Days down a page, some without month: a lower day than the one before starts the next month; a stated month holds on.
+
+    Gives `carried`, the month, and `years`, how many years later than the first line: a lower month than the line before is next year's.
+    """
     order = W.partitionBy(page).orderBy(pos)
     stated = F.count(F.col(month)).over(order)
     run = W.partitionBy(page, "_stated").orderBy(pos)
@@ -189,7 +208,10 @@ def carry_months(lines: DataFrame, page: str, pos: str, day: str, month: str, fi
     base = base.withColumn("_turn", F.coalesce(turn, F.lit(0)))
     start = F.coalesce(F.first(F.col(month), ignorenulls=True).over(run), first_month)
     carried = start + F.sum("_turn").over(run.rowsBetween(W.unboundedPreceding, 0))
-    return base.withColumn("carried", F.pmod(carried - 1, F.lit(12)) + 1).drop("_stated", "_turn")
+    base = base.withColumn("carried", F.pmod(carried - 1, F.lit(12)) + 1)
+    base = base.withColumn("_new", F.coalesce((F.col("carried") < F.lag("carried").over(order)).cast("int"), F.lit(0)))
+    years = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return base.withColumn("years", years).drop("_stated", "_turn", "_new")
 
 
 def weekday_year(df: DataFrame, month: str, day: str, weekday: str, years: list[int]) -> DataFrame:
@@ -199,31 +221,49 @@ def weekday_year(df: DataFrame, month: str, day: str, weekday: str, years: list[
     return df.withColumn("year", F.when(F.size(fit) == 1, fit[0]["y"]))
 
 
-def blocks(lines: DataFrame, page: str, pos: str, header: Column, time: Column) -> DataFrame:
-    """Lines of a page folded into blocks that each start with a header: its text, its times, its number of lines."""
+def blocks(lines: DataFrame, page: str, pos: str, header: Column, time: Column, shorts: Column | None = None) -> DataFrame:
+    """Lines of a page folded into blocks that each start with a header: its text, its times, its number of lines.
+
+    A block with a line of `shorts` is a programme of short films, which no single film stands for: it is left out, and the
+    page's number of those is `skipped` in each row of the page.
+    """
     order = W.partitionBy(page).orderBy(pos)
     numbered = lines.withColumn("_h", header).withColumn("block", F.sum(header.cast("int")).over(order)).filter("block > 0")
-    return numbered.groupBy(page, "block").agg(
+    short = F.lit(False) if shorts is None else F.coalesce(shorts, F.lit(False))
+    folded = numbered.groupBy(page, "block").agg(
         F.min_by("line", F.when(F.col("_h"), F.col(pos))).alias("title"), F.count("*").alias("n_lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(time != "", F.struct(pos, time.alias("t"))))), lambda x: x["t"]), " ").alias("times"),
+        F.max(short).alias("_short"),
     )
+    return folded.withColumn("skipped", F.count_if("_short").over(W.partitionBy(page))).filter(~F.col("_short")).drop("_short")
 
 
-def largest_image(pages: DataFrame) -> DataFrame:
-    """Of a page's images (name-WxH.ext) the largest, or the first of all."""
+def largest_image(pages: DataFrame, marker: str = "", fallback: str = "") -> DataFrame:
+    """Of a page's images (name-WxH.ext) with the marker in their name the largest, one of unknown size last, the first of equals; else
+    the first whose name has the fallback."""
     each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<img src="([^"]+)"'), F.lit(1))).alias("pos", "src"))
     area = F.regexp_extract("src", r"-(\d+)x\d+\.", 1).try_cast("long") * F.regexp_extract("src", r"-\d+x(\d+)\.", 1).try_cast("long")
-    return each.groupBy("page_id").agg(F.coalesce(F.max_by("src", F.when(area.isNotNull(), F.struct(area, -F.col("pos")))), F.min_by("src", "pos")).alias("src"))
+    best = F.max_by("src", F.when(F.col("src").contains(marker), F.struct(F.coalesce(area, F.lit(0).cast("long")), -F.col("pos"))))
+    return each.groupBy("page_id").agg(F.coalesce(best, F.min_by("src", F.when(F.col("src").contains(fallback), F.col("pos")))).alias("src"))
+
+
+# How a text's writer is credited at its end.
+ATTRIBUTION = r"(?i)\s+Texto\s*(?:de|:)\s+[^.]+\.?\s*$"
 
 
 def longest_block(parts: Column, floor: int) -> Column:
-    """The longest of an array of texts, the first of equals, if it has `floor` letters."""
+    """The longest of an array of texts, the first of equals, without its writer's credit, if it then has `floor` letters."""
     ordered = F.array_sort(F.transform(parts, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
-    return let_first(ordered, floor)
+    plain = F.trim(F.regexp_replace(F.get(ordered, F.lit(0))["x"], ATTRIBUTION, ""))
+    return text.let(plain, lambda x: F.when(F.length(x) >= floor, x))
 
 
-def let_first(ordered: Column, floor: int) -> Column:
-    return text.let(F.get(ordered, F.lit(0)), lambda b: F.when(-b["n"] >= floor, b["x"]))
+def anchor_year(html: Column) -> Column:
+    """The year that a page's metadata gives as that of its publication: its linked data, else its meta element."""
+    script = F.array_join(F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)), " ")
+    linked = F.regexp_extract(script, r'"datePublished"\s*:\s*"(\d{4})-', 1)
+    meta = F.regexp_extract(html, r'<meta[^>]*property="article:published_time"[^>]*content="(\d{4})-', 1)
+    return F.coalesce(none(linked), none(meta)).cast("int")
 
 
 def earliest_month(c: Column) -> Column:
