@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .bktree import Forest, join_groups
 from .chunks import mix
-from .common import Workspace
+from .common import Workspace, without
 from .components import connected_components
 
 #: Two fingerprints at most RADIUS bits apart agree on all but RADIUS of BLOCKS blocks of bits.

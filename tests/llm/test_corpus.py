@@ -314,7 +314,7 @@ def test_encoding_round_trip(spark):
 def test_url_aliases(spark):
     rows = [
         (1, "http://spam.net/x", None), (2, "http://ok.example.com/en/1", '<link rel="canonical" href="http://spam.net/x">'),
-        (3, "https://www.ok.example.com/en/1/?q", ""), (4, "http://a.example.net/en/1", '<meta http-equiv=refresh content="0; url=http://spam.net/x">'),
+        (3, "https://www.ok.example.com/en/1/?utm_medium=q", ""), (4, "http://a.example.net/en/1", '<meta http-equiv=refresh content="0; url=http://spam.net/x">'),
         (5, "http://EXAMPLE.com/de/#x", None), (6, None, None), (7, "no scheme", ""), (8, "http://b.org", None), (9, "http://r.org/", None), (2, "http://ok.example.com/en/1", None),
     ]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, component int")
@@ -344,9 +344,10 @@ def test_columns_of_any_name(spark):
     names = ["key", "digest", "_gone", "_k", "_h", "_sha", "_keep", "component", "g.key"]
     docs = odd_rows(spark)
     docs = docs.select("*", *[F.lit("x").alias(n) for n in names])
-    for drop, n in ((exact_dedup.drop_exact_duplicates, 7), (simhash.drop_near_duplicates, 6)):
+    # Near copies: rows 2 and 9 are texts of row 1 but for case and spaces, row 7 has one word more than row 6; 3, 4 and 5 have no words.
+    for drop, kept in ((exact_dedup.drop_exact_duplicates, [1, 3, 5, 6, 7, 8, 9]), (simhash.drop_near_duplicates, [1, 3, 6, 8])):
         out = drop(docs)
-        assert out.columns == docs.columns and out.count() == n
+        assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == kept
     with pytest.raises(ValueError):
         sharding.write_shards(docs, "/nowhere", [1.0])
 
