@@ -517,21 +517,20 @@ def remove_common_bytes(
     b, columns = chunks.buckets, ["sizes", "places", "data"]
     chunks.ask(PHRASES, ["anchors", "anchor_counts"], partial(_ask_phrases, buckets=b), found_twice)
     sent = ws.save(chunks.each(["anchors", *columns], partial(_runs, length=length, buckets=b), SCHEMA), "runs")
-    runs = sent.filter(F.col("bucket") == OWN)
     names = ask(sent.filter(F.col("bucket") < b), _named, ws, "names")
     bare = ask(sent.filter(F.col("bucket") >= b), _bare_twice, ws, "bare")
+    runs = ws.save(sent.filter(F.col("bucket") == OWN), "own")
+    ws.tidy("runs")  # with the bytes of all phrases
     end = total(names) + 1
     string = ws.save(each_chunk({"runs": runs, "names": names, "ends": _ends_before(runs)}, partial(_string, offsets=offsets_of(names), end=end)), "string")
     below = sample_ranks(string, ws, small, bucket_rows)
     level = ws.save(each_chunk({"string": string, "ranks": below, "runs": runs}, _with_needs), "level")
     n = total(string)
-    for done in ("names", "string", "sa-s", "sa-o", "sa-r"):
-        ws.drop(done)
+    ws.tidy("names", "string", "sa-s", "sa-o", "sa-r")
     splitters = suffix_splitters(level, n, end, bucket_rows)
     told = _compared(each_packed(level, partial(_send_order, splitters=splitters, end=end)), length, ws)
     matches = ws.save(each_chunk({"level": level, "told": told}, partial(_by_place, splitters=splitters, end=end)), "matches")
-    for done in ("level", "order", "edges", "told"):
-        ws.drop(done)
+    ws.tidy("level", "order", "edges", "told")
     known = as_answers(runs, RUNS).unionByName(as_answers(matches, MATCHES))
     known = known.unionByName(chunks.ask(CLASSES, ["sizes", "places"], partial(_ask_classes, length=length, buckets=b), wanted, known))
     known = known.unionByName(as_answers(bare, BARE))

@@ -45,6 +45,13 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def tidy(self, *labels: str) -> None:
+        """Drops tables, and has the driver collect its garbage: Spark removes the shuffle files of steps that nothing refers to
+        any more only when it does, which would otherwise be much later."""
+        for label in labels:
+            self.drop(label)
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, label: str) -> None:
         """Drops all tables but this one."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)

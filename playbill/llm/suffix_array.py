@@ -257,7 +257,7 @@ def sample_ranks(string: DataFrame, ws: Workspace, small: int = SMALL, bucket_ro
     names = ask(each_row(string, partial(_send_triples, splitters=splitters)), _name, ws, f"{label}-n")
     offsets, distinct = offsets_of(names), total(names)
     shorter = ws.save(each_chunk({"string": string, "names": names}, partial(_shorter, offsets=offsets)), f"{label}-s")
-    ws.drop(f"{label}-n")
+    ws.tidy(f"{label}-n")
     if distinct == sampled:
         return shorter
     if sampled <= small:
@@ -270,5 +270,5 @@ def sample_ranks(string: DataFrame, ws: Workspace, small: int = SMALL, bucket_ro
         out = ranked(level, sampled, ws, bucket_rows, label)
         for done in "lg":
             ws.drop(f"{label}-{done}")
-    ws.drop(f"{label}-s")
+    ws.tidy(f"{label}-s")
     return out
