@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ GRAM = 8
 ANCHORS = 12
 #: Grams that repeat with a period up to this are no anchors: they come in long runs.
 PERIOD = 4
+#: Bits of phrases' hashes that are kept: what they can't tell apart is only looked at longer.
+HASH_BITS = np.uint64(((1 << 48) - 1) << 16)
 #: Bytes hashed at a time, so that they stay near the processor.
 SEGMENT = 1 << 17
 #: Bytes of text in a chunk, unless one text is longer.
@@ -65,7 +68,7 @@ def phrase_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray
         at = np.minimum(begin[i] + step, end[i])
         h[i] = mix(h[i] * np.uint64(0x9E3779B97F4A7C15) ^ words[at])
         i, step = i[at < end[i]], step + GRAM
-    return h
+    return h & HASH_BITS
 
 
 class Places:
@@ -88,7 +91,11 @@ def describe(texts: list[bytes], length: int):
     p = Places([len(t) for t in texts], anchors_of(data, length), length)
     h = phrase_hashes(data, p.at[p.phrase], p.at[p.phrase + 1])
     counts = np.bincount(p.doc[p.phrase], minlength=len(texts)).tolist()
-    return [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in texts], h, counts, packed(p.at)
+    return [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in texts], h, counts, zstandard.ZstdCompressor(level=1).compress(packed(np.diff(p.at, prepend=0)))
+
+
+def places_of(data: bytes) -> np.ndarray:
+    return np.cumsum(arrays_of(unpacked(data))[0])
 
 
 def _ask_phrases(batches, buckets: int):
@@ -96,7 +103,7 @@ def _ask_phrases(batches, buckets: int):
         doc = np.repeat(np.arange(len(row["anchor_counts"])), row["anchor_counts"])
         live = ~np.isin(doc, Answers(row["answers"]).places[LATER])
         hashes, counts = np.unique(np.array(row["anchors"], np.int64).view(np.uint64)[live], return_counts=True)
-        out = by_bucket(row["chunk"], hashes, buckets, lambda a, b: np.packbits(counts[a:b] > 1).tobytes())  # noqa: B023
+        out = by_bucket(row["chunk"], hashes, buckets, lambda a, b: np.packbits(counts[a:b] > 1).tobytes(), skip=2)  # noqa: B023
         if out:
             yield out
 
@@ -153,7 +160,7 @@ def _runs(batches, length: int, buckets: int):
     """Phrases of a chunk's runs, sent to be named, and what the chunk has to remember of its runs."""
     for row in each_row(batches):
         data, answers = unpacked(row["data"]), Answers(row["answers"])
-        p = Places(row["sizes"], arrays_of(row["places"])[0], length)
+        p = Places(row["sizes"], places_of(row["places"]), length)
         live = ~np.isin(np.arange(len(row["sizes"])), answers.places[LATER])
         h = np.array(row["anchors"], np.int64).view(np.uint64)
         own = live[p.doc[p.phrase]]
@@ -389,7 +396,7 @@ def _ask_classes(batches, length: int, buckets: int):
     for row in each_row(batches):
         answers = Answers(row["answers"])
         if answers.packed(MATCHES):
-            p = Places(row["sizes"], arrays_of(row["places"])[0], length)
+            p = Places(row["sizes"], places_of(row["places"]), length)
             h, open_, _, _ = Inside(p, arrays_of(answers.packed(RUNS)[0]), answers.packed(MATCHES), length).classes()
             out = by_bucket(row["chunk"], h, buckets, lambda a, b: np.packbits(open_[a:b]).tobytes())  # noqa: B023
             if out:
@@ -403,7 +410,7 @@ def _strings(batches, length: int, buckets: int):
         answers = Answers(row["answers"])
         if not answers.packed(RUNS):
             continue
-        data, p = unpacked(row["data"]), Places(row["sizes"], arrays_of(row["places"])[0], length)
+        data, p = unpacked(row["data"]), Places(row["sizes"], places_of(row["places"]), length)
         runs = arrays_of(answers.packed(RUNS)[0])
         x = Inside(p, runs, answers.packed(MATCHES), length)
         h, _, i, place = x.classes()
@@ -515,7 +522,7 @@ def remove_common_bytes(
     ws = Workspace(docs.sparkSession, "bytes")
     chunks = Chunks(docs, ws, key, text, partial(describe, length=length), chunk_bytes)
     b, columns = chunks.buckets, ["sizes", "places", "data"]
-    chunks.ask(PHRASES, ["anchors", "anchor_counts"], partial(_ask_phrases, buckets=b), found_twice)
+    chunks.ask(PHRASES, ["anchors", "anchor_counts"], partial(_ask_phrases, buckets=b), found_twice, skip=2)
     sent = ws.save(chunks.each(["anchors", *columns], partial(_runs, length=length, buckets=b), SCHEMA), "runs")
     names = ask(sent.filter(F.col("bucket") < b), _named, ws, "names")
     bare = ask(sent.filter(F.col("bucket") >= b), _bare_twice, ws, "bare")

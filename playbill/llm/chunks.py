@@ -101,7 +101,7 @@ class Chunks:
         # As many buckets as a shuffle has partitions, so that answers come to the chunks and not the reverse.
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"chunks_{uuid.uuid4().hex}"
-        rows.write.bucketBy(buckets, "chunk").option("path", f"{ws.root}/chunks").option("compression", "uncompressed").saveAsTable(self.name)
+        rows.write.bucketBy(buckets, "chunk").option("path", f"{ws.root}/chunks").option("compression", "zstd").saveAsTable(self.name)
         self.table = spark.table(self.name)
         self.answers = self._copies()
         hashes = self.table.agg(F.sum(F.size("anchors"))).first()[0] or 0
@@ -131,12 +131,13 @@ class Chunks:
         rows = self.table.select("chunk", *columns).join(answers, "chunk", "left")
         return rows.select("chunk", *columns, "answers").mapInArrow(work, schema)
 
-    def ask(self, level: int, columns: list[str], work: Callable, judge: Callable, answers: DataFrame | None = None) -> DataFrame:
-        """Sends what work yields (bucket, chunk, hashes, extra) to judge by bucket; keeps its answers, and returns them."""
+    def ask(self, level: int, columns: list[str], work: Callable, judge: Callable, answers: DataFrame | None = None, skip: int = 0) -> DataFrame:
+        """Sends what work yields (bucket, chunk, hashes, extra) to judge by bucket; keeps its answers, and returns them.
+        The lowest `skip` bytes of the hashes are zero, and not sent (`by_bucket`)."""
         sent = self.each(columns, work, "bucket int, chunk long, hashes binary, extra binary", answers)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            return _judged(rows, judge)
+            return _judged(rows, judge, skip)
 
         got = sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, flags binary")
         rows = got.select("chunk", F.lit(level).alias("level"), "bucket", "flags", F.lit(None).cast("array<int>").alias("places"))
@@ -145,9 +146,15 @@ class Chunks:
         return saved
 
 
-def _judged(rows: pd.DataFrame, judge: Callable) -> pd.DataFrame:
+def _long(data: bytes, skip: int) -> np.ndarray:
+    out = np.zeros((len(data) // (8 - skip), 8), np.uint8)
+    out[:, skip:] = np.frombuffer(data, np.uint8).reshape(-1, 8 - skip)
+    return out.view(np.uint64).ravel()
+
+
+def _judged(rows: pd.DataFrame, judge: Callable, skip: int) -> pd.DataFrame:
     rows = rows.sort_values("chunk", ignore_index=True)
-    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    hashes = [_long(x, skip) for x in rows["hashes"]]
     ends = np.cumsum([0, *map(len, hashes)])
     owner = np.repeat(np.arange(len(hashes)), np.diff(ends))
     flags = judge(np.concatenate(hashes), owner, list(rows["extra"]))
@@ -182,8 +189,8 @@ def _cuts(hashes: np.ndarray, buckets: int):
     return own[low], low, np.r_[low[1:], len(own)][: len(low)]
 
 
-def by_bucket(chunk: int, hashes: np.ndarray, buckets: int, extra: Callable) -> pa.RecordBatch | None:
-    """Rows for `ask` of sorted hashes: extra(low, high) gives the bytes beside hashes[low:high]."""
+def by_bucket(chunk: int, hashes: np.ndarray, buckets: int, extra: Callable, skip: int = 0) -> pa.RecordBatch | None:
+    """Rows for `ask` of sorted hashes, less their lowest `skip` bytes: extra(low, high) gives the bytes beside hashes[low:high]."""
     if not len(hashes):
         return None
     used, lows, highs = _cuts(hashes, buckets)
@@ -191,7 +198,7 @@ def by_bucket(chunk: int, hashes: np.ndarray, buckets: int, extra: Callable) ->
         [
             pa.array(used, pa.int32()),
             pa.array(np.full(len(used), chunk), pa.int64()),
-            pa.array([hashes[a:b].tobytes() for a, b in zip(lows, highs, strict=True)], pa.binary()),
+            pa.array([hashes[a:b].view(np.uint8).reshape(-1, 8)[:, skip:].tobytes() for a, b in zip(lows, highs, strict=True)], pa.binary()),
             pa.array([extra(a, b) for a, b in zip(lows, highs, strict=True)], pa.binary()),
         ],
         ["bucket", "chunk", "hashes", "extra"],
