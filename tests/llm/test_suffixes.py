@@ -8,14 +8,15 @@ import pytest
 
 from playbill.llm import byte_dedup
 from playbill.llm.common import Workspace
-from playbill.llm.packed import OWN, SCHEMA, arrays_of, each_chunk, packed, packed_texts, texts_of, total
+from playbill.llm.packed import OWN, SCHEMA, arrays_of, binary, each_chunk, packed, packed_binary, texts_of, total
 from playbill.llm.suffix_array import Splitters, ranked, sample_ranks, with_ranks
 
 
 def test_packed():
     a, b = np.array([0, 255, 1 << 40]), np.zeros(0, np.int64)
     assert [x.tolist() for x in arrays_of(packed(a, b, a[:2]))] == [a.tolist(), [], [0, 255]]
-    texts, (c,) = texts_of(packed_texts([b"x", b"", b"yz"], a))
+    strings = binary(np.frombuffer(b"wxyz", np.uint8), np.array([1, 1, 0, 2]))
+    texts, (c,) = texts_of(packed_binary(strings.slice(1, 3), a))
     assert texts.to_pylist() == [b"x", b"", b"yz"] and c.tolist() == a.tolist()
 
 
