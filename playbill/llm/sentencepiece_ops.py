@@ -8,21 +8,34 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .segmentation import Lattices, sample_segmentations
 
-#: Rows returned together; each holds a whole text's pieces.
-TOGETHER = 64
+#: Rows segmented together, and bytes of their texts, unless one text is longer.
+TOGETHER, TOGETHER_BYTES = 64, 1 << 20
+
+
+def _together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where groups of rows begin, and how many rows they have."""
+    low = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > low and (i - low == TOGETHER or total + size > TOGETHER_BYTES):
+            yield low, i - low
+            low, total = i, 0
+        total += size
+    if low < len(sizes):
+        yield low, len(sizes) - low
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model, k: int, alpha: float, rank_scores: bool, seed: int) -> Iterator[pa.RecordBatch]:
     lat = Lattices(model.value, alpha, rank_scores)
     for batch in batches:
-        for low in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(low, TOGETHER)
+        for low, n in _together(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)):
+            part = batch.slice(low, n)
             rows, ids, facts = [], [], []
             texts = [(x or "").encode("utf-8", "replace") for x in part.column(1).to_pylist()]
             keys = [str(x) if s is None else f"{x}:{s}" for x, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
