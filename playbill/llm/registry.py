@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for the entry module."""
 
-from . import byte_dedup, exact_dedup, mixing, quality, sentencepiece_ops, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import byte_dedup, exact_dedup, mixing, periodic_runs, quality, sentencepiece_ops, sharding, simhash, spelling, substring_dedup, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
         "op9_suffix_array_dedup": byte_dedup.op9_suffix_array_dedup,
         "op10_url_aliases": url_filter.op10_url_aliases,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_token_files": token_files.op12_token_files,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict:
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op8_rendezvous_sharding": sharding.OP8_SQL,
         "op10_url_aliases": url_filter.OP10_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
     }
