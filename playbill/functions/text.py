@@ -141,8 +141,8 @@ def suggested_keyword(title: Column) -> Column:
 
 
 def title_forms(c: Column) -> Column:
-    """The title, and what stands before a subtitle."""
-    short = F.regexp_replace(c, r"(?:\s*[,:]\s+|\s+[-–—]\s+).*$", "")
+    """The title, and what stands before a subtitle: before a comma, a colon or a dash between spaces."""
+    short = F.trim(F.regexp_replace(c, r"(?s)\s*([,:]|\s[-–—]\s).*", ""))
     return F.array_distinct(F.array(c, F.when(short == "", c).otherwise(short)))
 
 

@@ -48,12 +48,15 @@ def upsert_films(current: DataFrame, incoming: DataFrame) -> DataFrame:
 POSITIONS = 4096
 
 
-def numbered(df: DataFrame, group: Column, order: list[str]) -> DataFrame:
-    """df with `_i`: 1, 2, ... in an order whose groups follow one another. Rows are counted by group and numbered
-    inside it, so that no task sees all of them; the counts of groups, a row for each, are added up in order."""
+def numbered(df: DataFrame, group: Column, order: list[str], after: DataFrame | None = None) -> DataFrame:
+    """df with `_i`: 1, 2, ... in an order whose groups follow one another, or what follows the one number of `after`. Rows are counted by
+    group and numbered inside it, so that no task sees all of them; the counts of groups, a row for each, are added up in order, with that number before the first."""
     rows = df.withColumn("_g", group)
-    before = F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1))
-    offsets = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_h"), F.coalesce(before, F.lit(0)).alias("_o"))
+    counts = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.lit(1).alias("_s"), "_g", "_n")
+    if after is not None:
+        counts = counts.unionByName(after.select(F.lit(0).alias("_s"), F.lit(None).cast(counts.schema["_g"].dataType).alias("_g"), F.col(after.columns[0]).cast("long").alias("_n")))
+    before = F.sum("_n").over(W.orderBy("_s", "_g").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_s", F.col("_g").alias("_h"), F.coalesce(before, F.lit(0)).alias("_o")).filter("_s = 1").drop("_s")
     inside = rows.withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy(*order)))
     return inside.join(offsets, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_i", F.col("_i") + F.col("_o")).drop("_g", "_h", "_o")
 
@@ -61,9 +64,8 @@ def numbered(df: DataFrame, group: Column, order: list[str]) -> DataFrame:
 def with_new_ids(df: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
     """Rows without id get the numbers after the greatest, in order; the first column of the order is a position."""
     top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order)
-    given = fresh.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_i")).drop("_top", "_i")
-    return df.filter("id IS NOT NULL").unionByName(given)
+    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order, top)
+    return df.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", F.col("_i")).drop("_i"))
 
 
 def replace_future(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
@@ -116,9 +118,10 @@ def assign_slugs(films: DataFrame) -> DataFrame:
 
 
 def upsert_keyed(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by null-safe keys, those of incoming before those of current."""
+    """Rows by null-safe keys, those of incoming before those of current; of several incoming ones of a key the one whose other columns come first in their order."""
     both = current.withColumn("_p", F.lit(1)).unionByName(incoming.withColumn("_p", F.lit(0)))
-    return both.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("_p"))).filter("_i = 1").drop("_i", "_p")
+    rest = [c for c in current.columns if c not in keys]
+    return both.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("_p", *rest))).filter("_i = 1").drop("_i", "_p")
 
 
 def with_precedence(*sources: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.similarity import title_similarity
+from ..functions.similarity import key_similarity
+from ..storage import saved
 from .catalog import numbered
 
 # Thresholds of the matcher and of the gate.
@@ -15,21 +16,50 @@ THRESHOLD, TIE, LEAST_VOTES, DOMINANCE = 0.85, 0.01, 100, 4
 APPLY, APPLY_TITLE, RUNTIME_SLACK = 0.9, 0.95, 5
 
 
-def blocking_keys(title: Column) -> Column:
-    """Keys under which similar titles meet: of each of the title's forms the form less any one letter (any two, if it is SHORT), which
-    so many errors leave; and, as further errors leave some of them, its first and last letters, those of its sorted words, and its longer words."""
-    keys = F.transform(text.title_forms(title), text.title_key)
-    words = lambda k: F.split(k, " ")
-    without = lambda k, i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k)))
-    less = lambda k: F.transform(F.sequence(F.lit(0), F.length(k)), lambda i: F.concat(F.lit("d:"), without(k, i)))
-    twice = lambda k: F.flatten(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: less(without(k, i))))
-    own = lambda k: F.concat(
-        F.array(F.concat(F.lit("h:"), F.substring(k, 1, 3)), F.concat(F.lit("t:"), F.right(k, F.lit(3))), F.concat(F.lit("s:"), F.substring(F.array_join(F.array_sort(words(k)), " "), 1, 5))),
-        F.transform(F.filter(words(k), lambda w: F.length(w) > 3), lambda w: F.concat(F.lit("w:"), w)),
-        less(k),
-        F.when(F.length(k).between(2, SHORT), twice(k)).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_distinct(F.flatten(F.transform(keys, own)))
+#: Letters of a form up to which any two may be wrong, and letters from which a word may have one wrong.
+SHORT, LEAST_LETTERS = 12, 4
+#: Tenths of a form's weight that two forms must share by words to meet.
+SHARED = 3
+TITLE, CAT_TITLE = ["title", "original"], ["cat_title", "cat_original"]
+
+
+def _without(k: Column, i: Column) -> Column:
+    return F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k)))
+
+
+def _less_one(k: Column, mark: str) -> Column:
+    """The text itself and all that it is without one letter, after a mark."""
+    return F.transform(F.sequence(F.lit(0), F.length(k)), lambda i: F.concat(F.lit(mark), _without(k, i)))
+
+
+def rare_words(forms: DataFrame, known: DataFrame) -> DataFrame:
+    """(k, rare): of each distinct form the words under which it is found, among all distinct forms `known` (k).
+
+    A word weighs the binary logarithm of how rare it is among the known forms, rounded down; one in over half of them weighs nothing, one that they lack the most. Words are
+    taken by weight, then alphabet, as long as they and those behind them have SHARED tenths of the form's weight. So two forms
+    that share such a part of either's weight share a word that both take, and a head that many titles have brings none of them together.
+    """
+    words = known.select("k", F.explode(F.array_distinct(F.split("k", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    total = known.agg(F.count("*")).scalar()
+    log2 = lambda n: F.length(F.bin(n)) - 1
+    weights = words.select("word", log2(F.floor(total / F.col("df")).cast("long")).alias("weight"))
+    each = forms.select("k", F.explode(F.filter(F.array_distinct(F.split("k", " ")), lambda w: w != "")).alias("word"))
+    each = each.join(weights, "word", "left").select("k", "word", F.coalesce("weight", log2(F.greatest(total, F.lit(1)).cast("long"))).alias("weight"))
+    own = each.groupBy("k").agg(F.sum("weight").alias("sum"), F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("m"), "word"))).alias("w"))
+    before = lambda i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n - x["m"])
+    taken = F.filter("w", lambda x, i: (F.col("sum") > 0) & (10 * (F.col("sum") - before(i)) >= SHARED * F.col("sum")))
+    return own.select("k", F.transform(taken, lambda x: x["word"]).alias("rare"))
+
+
+def blocking_keys(k: Column, rare: Column) -> Column:
+    """Keys under which similar forms meet: the form and what it is without any one letter (any two, if it is SHORT), and the same of its rare words.
+
+    Such keys are as many as there are forms and words, so that no key grows with the tables as first letters do.
+    """
+    twice = F.flatten(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: _less_one(_without(k, i), "d:")))
+    words = F.flatten(F.transform(rare, lambda w: F.when(F.length(w) < LEAST_LETTERS, F.array(F.concat(F.lit("w:"), w))).otherwise(_less_one(w, "w:"))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(_less_one(k, "d:"), F.when(F.length(k).between(2, SHORT), twice).otherwise(none), F.coalesce(words, none)))
 
 
 def query_forms(title: Column, original: Column) -> Column:
@@ -38,21 +68,19 @@ def query_forms(title: Column, original: Column) -> Column:
     return F.transform(F.array_distinct(forms), lambda f, i: F.struct(f.alias("form"), i.alias("priority")))
 
 
-#: Letters of a form up to which any two may be wrong.
-SHORT = 12
-TITLE, CAT_TITLE = ["title", "original"], ["cat_title", "cat_original"]
-
-
 def title_pairs(listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(title, original, cat_title, cat_original, priority): distinct titles that share a blocking key, with the priority of the first
+    """(title, original, cat_title, cat_original, priority): distinct titles of which two forms share a blocking key, with the priority of the first
     form that does.
 
-    Each title counts once, however many rows have it. An equi-join on keys; a hot key is split by Spark. No key is capped.
+    Each form counts once, however many titles and rows have it: forms meet by an equi-join on keys, titles are attached to pairs of forms. No key is capped.
     """
-    asked = listings.select(*TITLE).distinct().select(*TITLE, F.explode(query_forms(F.col("title"), F.col("original"))).alias("q")).select(*TITLE, "q.priority", F.explode(blocking_keys(F.col("q.form"))).alias("key"))
-    keys = F.array_distinct(F.flatten(F.transform(F.array_compact(F.array(*CAT_TITLE)), blocking_keys)))
-    known = catalog.select(*CAT_TITLE).distinct().select(*CAT_TITLE, F.explode(keys).alias("key"))
-    return asked.join(known, "key").groupBy(*TITLE, *CAT_TITLE).agg(F.min("priority").alias("priority"))
+    keys_of = lambda f: F.explode(F.array_distinct(F.transform(text.title_forms(f), text.title_key)))
+    asked = listings.select(*TITLE).distinct().select(*TITLE, F.explode(query_forms(F.col("title"), F.col("original"))).alias("q")).select(*TITLE, "q.priority", keys_of(F.col("q.form")).alias("k"))
+    listed = catalog.select(*CAT_TITLE).distinct().select(*CAT_TITLE, F.explode(F.array_compact(F.array(*CAT_TITLE))).alias("f")).select(*CAT_TITLE, keys_of(F.col("f")).alias("k")).distinct()
+    known = listed.select("k").distinct()
+    keyed = lambda forms: forms.join(rare_words(forms, known), "k", "left").select("k", F.explode(blocking_keys(F.col("k"), F.col("rare"))).alias("key"))
+    met = keyed(asked.select("k").distinct()).join(keyed(known).withColumnRenamed("k", "ck"), "key").select("k", "ck").distinct()
+    return asked.join(met, "k").join(listed.withColumnRenamed("k", "ck"), "ck").groupBy(*TITLE, *CAT_TITLE).agg(F.min("priority").alias("priority"))
 
 
 def same(a: str, b: str, columns: list[str]) -> Column:
@@ -74,36 +102,61 @@ def candidates(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     return of_rows(title_pairs(listings, catalog), listings, catalog, ["priority"]).select("listing_id", "ext_id", "priority")
 
 
-def score(listings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates with their best similarity over forms. Each distinct pair of forms is scored once, and titles are scored before rows are paired."""
+def score(listings: DataFrame, catalog: DataFrame, at_least: float = 0.0) -> DataFrame:
+    """Candidates with their best similarity: of the listing's forms that are looked up with the forms of the catalog's titles. Each distinct pair of keys is
+    scored once, and titles are scored before rows are paired. With at_least, candidates that do not reach it are left out, and those
+    whose lengths and letters show it are not compared."""
     pairs = title_pairs(listings, catalog)
-    forms = pairs.select(*TITLE, *CAT_TITLE, F.explode(text.title_forms(F.col("title"))).alias("a"), F.array_compact(F.array(*CAT_TITLE)).alias("c"))
-    forms = forms.select(*TITLE, *CAT_TITLE, "a", F.explode(F.flatten(F.transform("c", text.title_forms))).alias("b"))
-    scored = forms.select("a", "b").distinct().withColumn("s", title_similarity(F.col("a"), F.col("b")))
-    best = forms.join(scored, ["a", "b"]).groupBy(*TITLE, *CAT_TITLE).agg(F.max("s").alias("score"))
-    both = pairs.alias("p").join(best.alias("b"), same("p", "b", [*TITLE, *CAT_TITLE])).select("p.*", "b.score")
-    return of_rows(both, listings, catalog, ["priority", "score"])
-
-
-def rank(scored: DataFrame) -> DataFrame:
-    """Ranked candidates: those within TIE of the best by popularity, the rest by score; then by id."""
-    top = F.max("score").over(W.partitionBy("listing_id"))
+    keys = lambda c: F.array_distinct(F.transform(c, text.title_key))
+    asked = F.transform(query_forms(F.col("title"), F.col("original")), lambda q: q["form"])
+    forms = pairs.select(*TITLE, *CAT_TITLE, "priority", F.explode(keys(asked)).alias("a"), F.flatten(F.transform(F.array_compact(F.array(*CAT_TITLE)), text.title_forms)).alias("c"))
+    forms = saved(forms.select(*TITLE, *CAT_TITLE, "priority", "a", F.explode(keys(F.col("c"))).alias("b")), "forms")
+    scored = forms.select("a", "b").distinct().withColumn("s", key_similarity(F.col("a"), F.col("b"), at_least))
+    best = forms.join(scored.filter(F.col("s") >= at_least), ["a", "b"]).groupBy(*TITLE, *CAT_TITLE).agg(F.min("priority").alias("priority"), F.max("s").alias("score"))
+    return of_rows(best, listings, catalog, ["priority", "score"])
+
+
+def rank(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Ranked candidates of each listing (or of what `keys` tell apart): those within TIE of the best by popularity, the rest by score; then by id."""
+    keys = keys or ["listing_id"]
+    top = F.max("score").over(W.partitionBy(*keys))
     band = F.col("score") >= top - TIE
-    order = W.partitionBy("listing_id").orderBy(band.desc(), F.when(~band, F.col("score")).desc(), F.coalesce("popularity", F.lit(0.0)).desc(), "ext_id")
+    order = W.partitionBy(*keys).orderBy(band.desc(), F.when(~band, F.col("score")).desc(), F.coalesce("popularity", F.lit(0.0)).desc(), "ext_id")
     return scored.withColumn("band", band).withColumn("rank", F.row_number().over(order))
 
 
+def by_votes(keys: list[str], first: Column | None = None):
+    """Rows of a group by votes, those of `first` before all others, then by id."""
+    return W.partitionBy(*keys).orderBy(*([] if first is None else [first.desc()]), F.coalesce("votes", F.lit(0)).desc(), "ext_id")
+
+
+def dominant(window, least_votes: int = LEAST_VOTES, of: Column | None = None) -> Column:
+    """Whether a row has least_votes and DOMINANCE times the votes of the next row (of those of `of`)."""
+    votes = F.coalesce("votes", F.lit(0))
+    rival = F.lead(votes if of is None else F.when(of, votes)).over(window)
+    return (votes >= least_votes) & (votes >= DOMINANCE * F.greatest(rival, F.lit(1)))
+
+
+def vote_champions(rows: DataFrame, keys: list[str], least_votes: int = LEAST_VOTES) -> DataFrame:
+    """Of each group the row (ext_id, votes, ...) with most votes, where it dominates the others."""
+    by = by_votes(keys)
+    return rows.select("*", F.row_number().over(by).alias("_i"), dominant(by, least_votes).alias("_d")).filter("_i = 1 AND _d").drop("_i", "_d")
+
+
+def only_one(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and `column` of the groups that have exactly one value of it."""
+    found = rows.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    return found.filter("_low = _high").select(*keys, F.col("_low").alias(column))
+
+
 def best_match(ranked: DataFrame) -> DataFrame:
     """Of each listing the match, if its score passes and it is not ambiguous, or dominates its band by votes.
 
     Ambiguous with a director known is no match: the director decides later.
     """
-    band = ranked.filter(F.col("band") & (F.col("score") >= THRESHOLD))
-    by = W.partitionBy("listing_id").orderBy(F.coalesce("votes", F.lit(0)).desc(), "ext_id")
-    n, votes = F.count("*").over(W.partitionBy("listing_id")), F.coalesce("votes", F.lit(0))
-    champion = band.select("*", n.alias("n"), F.row_number().over(by).alias("i"), F.lead(votes).over(by).alias("rival")).filter("i = 1")
-    dominant = (votes >= LEAST_VOTES) & (votes >= DOMINANCE * F.greatest("rival", F.lit(1)))
-    return champion.filter((F.col("n") == 1) | (F.col("director").isNull() & dominant)).select("listing_id", "ext_id", "score")
+    band, by = ranked.filter(F.col("band") & (F.col("score") >= THRESHOLD)), by_votes(["listing_id"])
+    champion = band.select("*", F.count("*").over(W.partitionBy("listing_id")).alias("n"), F.row_number().over(by).alias("i"), dominant(by).alias("_d")).filter("i = 1")
+    return champion.filter((F.col("n") == 1) | (F.col("director").isNull() & F.col("_d"))).select("listing_id", "ext_id", "score")
 
 
 def dominates(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -127,27 +180,78 @@ def director_pivot(listings: DataFrame, credits: DataFrame) -> DataFrame:
     asked = names.select("listing_id", "year", text.title_key(F.col("n")).alias("person"))
     films = credits.select(text.title_key(F.col("name")).alias("person"), "ext_id", "cat_year")
     hits = asked.join(films, "person").filter(text.year_concrete(F.col("year"), F.col("cat_year"))).select("listing_id", "ext_id").distinct()
-    return hits.groupBy("listing_id").agg(F.count("*").alias("n"), F.min("ext_id").alias("ext_id")).filter("n = 1").select("listing_id", "ext_id", F.lit(THRESHOLD).alias("score"))
+    return only_one(hits, ["listing_id"], "ext_id").withColumn("score", F.lit(THRESHOLD))
+
+
+#: What a listing asks: listings that agree in these have the same candidates in the same order.
+ASKED = [*TITLE, "year"]
+
+
+def shortlist(catalog: DataFrame) -> DataFrame:
+    """The catalog's rows that can be among anyone's first three or decide anyone's tie, with `size`.
+
+    Rows of one title and year score alike for everybody, so of each such group only the three most popular and the two with most votes
+    matter, and how many rows it has: `size` is that for one of them, 0 for the others.
+    """
+    group = [*CAT_TITLE, "cat_year"]
+    popular = W.partitionBy(*group).orderBy(F.coalesce("popularity", F.lit(0.0)).desc(), "ext_id")
+    rows = catalog.select("*", F.row_number().over(popular).alias("_p"), F.row_number().over(by_votes(group)).alias("_v"), F.count("*").over(W.partitionBy(*group)).alias("_n"))
+    return rows.filter("_p <= 3 OR _v <= 2").withColumn("size", F.when(F.col("_p") == 1, F.col("_n")).otherwise(0)).drop("_p", "_v", "_n")
+
+
+def answers(listings: DataFrame, catalog: DataFrame, at_least: float = 0.0) -> DataFrame:
+    """(title, original, year, champion, first): to each distinct question the row of the best scores with most votes (with alone: there is no other, and dominant), if the
+    score passes, and the first three rows in order (rank, ext_id, score, cat_directors); questions without candidates have no row."""
+    asked = listings.select(*ASKED).distinct()
+    rows = score(asked.withColumn("listing_id", F.lit(None).cast("long")), shortlist(catalog), at_least)
+    ranked = rank(rows, ASKED)
+    eligible = F.col("band") & (F.col("score") >= THRESHOLD)
+    by = by_votes(ASKED, eligible)
+    kept = ranked.select("*", eligible.alias("_e"), F.row_number().over(by).alias("_i"), dominant(by, of=eligible).alias("_d"))
+    told = F.struct("ext_id", "score", "cat_directors", F.col("_d").alias("dominant"))
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "ext_id", "score", "cat_directors"))))
+    out = kept.groupBy(*ASKED).agg(F.max(F.when(F.col("_e") & (F.col("_i") == 1), told)).alias("c"), F.sum(F.when(F.col("_e"), F.col("size"))).alias("_n"), first.alias("first"))
+    return out.select(*ASKED, F.when(F.col("c").isNotNull(), F.struct("c.*", (F.col("_n") == 1).alias("alone"))).alias("champion"), "first")
+
+
+def answered(listings: DataFrame, found: DataFrame) -> DataFrame:
+    return listings.alias("l").join(found.alias("a"), same("l", "a", ASKED), "left").select("l.*", "a.champion", "a.first")
+
+
+def matches(listings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(listing_id, ext_id, score): what `best_match` finds, by way of the distinct questions."""
+    rows = answered(listings, answers(listings, catalog, THRESHOLD))
+    return rows.filter(F.col("champion.alone") | (F.col("director").isNull() & F.col("champion.dominant"))).select("listing_id", "champion.ext_id", "champion.score")
+
+
+#: Stages of the cascade, in order.
+STAGES = ("override", "match", "director", "pivot")
 
 
 def resolve(listings: DataFrame, catalog: DataFrame, overrides: DataFrame, credits: DataFrame) -> DataFrame:
     """The cascade: override, best match (verified by director where scripts compare), director among the top
-    three, director's only film; each stage on what the ones before left. One row for each listing with a reason."""
-    fixed = listings.join(overrides.select("listing_id", F.col("ext_id").alias("_o")), "listing_id").select("listing_id", F.col("_o").alias("ext_id"), F.lit(1.0).alias("score"), F.lit("override").alias("stage"))
+    three, director's only film; each stage for what the ones before left. One row for each listing with a reason.
+
+    Each distinct question is answered once, and the answers are saved: a champion and three rows. A listing's director then decides on
+    these, and of what the stages found that with the least number is taken."""
+    fixed = overrides.select("listing_id", F.struct(F.lit(1).alias("at"), "ext_id", F.lit(1.0).alias("score")).alias("_1"))
     left = listings.join(fixed, "listing_id", "left_anti")
-    ranked = rank(score(left, catalog))
-    matched = best_match(ranked).join(ranked.select("listing_id", "ext_id", "director", "cat_directors"), ["listing_id", "ext_id"])
-    comparable = F.exists("cat_directors", lambda d: text.comparable_scripts(F.col("director"), d))
-    agreed = F.col("director").isNull() | (F.size("cat_directors") == 0) | ~comparable | text.directors_match(F.col("director"), F.col("cat_directors"))
-    match = matched.filter(agreed).select("listing_id", "ext_id", "score", F.lit("match").alias("stage"))
-    third = director_fallback(ranked.join(match, "listing_id", "left_anti")).withColumn("stage", F.lit("director"))
-    rest = left.join(match, "listing_id", "left_anti").join(third, "listing_id", "left_anti")
-    pivot = director_pivot(rest, credits).withColumn("stage", F.lit("pivot"))
-    found = fixed.unionByName(match).unionByName(third).unionByName(pivot)
-    pairs = title_pairs(left, catalog)
-    tried = left.alias("l").join(pairs.select(*TITLE).distinct().alias("p"), same("l", "p", TITLE)).select("l.listing_id", F.lit(True).alias("_tried"))
-    reason = F.when(F.col("ext_id").isNotNull(), "ok").when(F.col("_tried"), "low-confidence").otherwise("no-candidates")
-    return listings.select("listing_id").join(found, "listing_id", "left").join(tried, "listing_id", "left").select("listing_id", "ext_id", "score", "stage", reason.alias("reason"))
+    rows = answered(left, saved(answers(left, catalog), "answers"))
+    known, c = F.col("director").isNotNull(), F.col("champion")
+    agrees = lambda x: known & text.directors_match(F.col("director"), x["cat_directors"])
+    comparable = F.exists(c["cat_directors"], lambda d: text.comparable_scripts(F.col("director"), d))
+    passes = (c["alone"] | (~known & c["dominant"])) & (~known | ~F.coalesce(comparable, F.lit(False)) | agrees(c))
+    by_director = F.get(F.filter("first", agrees), F.lit(0))
+    step = lambda n, x, score: F.struct(F.lit(n).alias("at"), x["ext_id"].alias("ext_id"), score.alias("score"))
+    told = rows.select("listing_id", F.col("first").isNotNull().alias("tried"), F.when(passes, step(2, c, c["score"])).alias("_2"), by_director.alias("_d"))
+    told = told.withColumn("_3", F.when(F.col("_d").isNotNull(), step(3, F.col("_d"), F.greatest("_d.score", F.lit(THRESHOLD))))).drop("_d")
+    pivot = director_pivot(left, credits).select("listing_id", step(4, F.struct("ext_id"), F.col("score")).alias("_4"))
+    out = listings.select("listing_id").join(fixed, "listing_id", "left").join(told, "listing_id", "left").join(pivot, "listing_id", "left")
+    out = out.withColumn("x", F.array_min(F.array_compact(F.array("_1", "_2", "_3", "_4"))))
+    found = F.col("x").isNotNull()
+    reason = F.when(found, "ok").when(F.col("tried"), "low-confidence").otherwise("no-candidates")
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), F.col("x.at"))
+    return out.select("listing_id", "x.ext_id", "x.score", F.when(found, stage).alias("stage"), reason.alias("reason"))
 
 
 def gate(p: DataFrame) -> DataFrame:

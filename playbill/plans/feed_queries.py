@@ -178,9 +178,9 @@ def detail_enrichment(spark, sf_dir):
 def only_requested(spark, sf_dir):
     asked = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
     e = table(spark, sf_dir, "events").select("user_id")
-    marked = e.join(asked.withColumn("asked", F.lit(True)), "user_id", "left").agg(F.count_if("asked").alias("kept"), F.count_if(F.col("asked").isNull()).alias("dropped"))
-    missing = asked.join(e, "user_id", "left_anti").agg(F.count("*").alias("missing"))
-    return marked.join(F.broadcast(missing))
+    rows = e.groupBy("user_id").agg(F.count("*").alias("n")).join(asked.withColumn("asked", F.lit(True)), "user_id", "full_outer")
+    both = F.col("asked").isNotNull()
+    return rows.agg(F.sum(F.when(both, F.col("n"))).alias("kept"), F.sum(F.when(~both, F.col("n"))).alias("dropped"), F.count_if(both & F.col("n").isNull()).alias("missing")).fillna(0)
 
 
 @query("F-28", r"""

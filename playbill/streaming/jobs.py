@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators.catalog import ingest
+from ..storage import shared_folder
 
 # Stateful functions travel by value, so executors need no copy of the library on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,15 +21,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STUCK_MINUTES, SILENT_MINUTES = 30, 120
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir says, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream, with the schema that they have."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
