@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,13 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_HASHES, Workspace, attach
 
 #: Ids of a file, unless one document has more, and bytes of text that are encoded together.
-FILE_IDS, TOGETHER_BYTES = 1 << 23, 1 << 20
+FILE_IDS, TOGETHER_BYTES = 1 << 22, 1 << 20
 #: Places of a bitmap between two entries of its rank directory.
 BLOCK = 512
 #: What files begin with.
 MAGIC = b"DACIDS01"
-#: Characters of pieces beyond which an encoder forgets all it remembers.
-REMEMBERED = 8 << 20
+#: Bytes of pieces beyond which an encoder forgets the rarer ones.
+REMEMBERED = 4 << 20
 
 
 class Codes:
@@ -128,7 +131,7 @@ class TokenFile:
 class _Numbers(dict):
     """Numbers of pieces in the order in which they are first asked for."""
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         self[piece] = n = len(self)
         return n
 
@@ -137,24 +140,41 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer that cuts texts at white space before it merges.
 
     Such a tokenizer never lets a token reach from a character that is no white space into white space behind it, and looks at nothing before
-    a token. So a text's ids are those of its pieces (white space, then other characters), one after another, and each distinct piece
-    is encoded once as long as it is remembered. Texts with separators U+001C to U+001F, on which notions of white space differ, are encoded whole.
+    a token; nor from an ASCII letter into punctuation behind it. So a text's ids are those of its pieces (white space, then other characters, cut before such punctuation), one after another. Each distinct piece is encoded
+    once as long as it is remembered; where too many are, the half that was met most often stays. Pieces are told apart by hashes and then by
+    their bytes. Texts with white space beyond ASCII or a special token's name are cut one by one, at white space alone; those with separators U+001C to U+001F, on which notions of white space differ, are not cut.
     """
 
-    PIECES, UNSURE, JOINED = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]"), 1000
+    PIECES, JOINED = re.compile(r"\s*\S+|\s+"), 1000
+    RARE, UNSURE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", re.compile("[\x1c-\x1f]")
+    SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+    LETTER, MARK = (np.array([chr(i).isascii() and test(chr(i)) for i in range(256)]) for test in (str.isalpha, lambda c: c.isprintable() and not c.isalnum() and c != " "))
 
     def __init__(self, tokenizer: str):
+        # A task has one core; threads of the library's own would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
+        self.rare = re.compile("|".join([self.RARE, *(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values())]))
         vocabulary = self.library.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # a character stands for a byte
-        self._forget()
+        self.number, self.held = _Numbers(), 0
+        self.flat, self.ends, self.met = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _forget(self) -> None:
-        self.number = _Numbers()
-        self.flat, self.ends, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        """Keeps those pieces that were met most often, up to half of what may be remembered."""
+        pieces, sizes = list(self.number), np.diff(self.ends[: len(self.number)], prepend=0)
+        order = np.argsort(-self.met[: len(pieces)], kind="stable")
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))[order]
+        stay = np.sort(order[np.cumsum(lengths) <= REMEMBERED // 2])
+        begins = self.ends[stay] - sizes[stay]
+        stops = np.cumsum(sizes[stay])
+        self.flat[: stops[-1] if len(stops) else 0] = self.flat[np.repeat(begins - (stops - sizes[stay]), sizes[stay]) + np.arange(stops[-1] if len(stops) else 0)]
+        self.ends[: len(stay)], self.met[: len(stay)] = stops, self.met[stay]
+        self.number = _Numbers((pieces[i], n) for n, i in enumerate(stay.tolist()))
+        self.held = sum(map(len, self.number))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -177,36 +197,77 @@ class Encoder:
         out[owner], out[~owner] = ids, np.fromiter(chain.from_iterable(alone), np.uint32)
         return out, counts
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Adds the pieces, which have the last numbers."""
-        first = len(self.number) - len(pieces)
-        begin = int(self.ends[first - 1]) if first else 0
-        ids, counts = self._of_pieces(pieces)
+    def _learn(self, known: int) -> None:
+        """Encodes the pieces that have numbers from `known` on."""
+        pieces = list(islice(reversed(self.number), len(self.number) - known))[::-1]
+        begin = int(self.ends[known - 1]) if known else 0
+        ids, counts = self._of_pieces([p.decode() for p in pieces])
         while len(self.flat) < begin + len(ids):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
         while len(self.ends) < len(self.number):
-            self.ends = np.r_[self.ends, np.zeros(len(self.ends), np.int64)]
+            self.ends, self.met = np.r_[self.ends, np.zeros(len(self.ends), np.int64)], np.r_[self.met, np.zeros(len(self.met), np.int64)]
         self.flat[begin : begin + len(ids)] = ids
-        self.ends[first : len(self.number)] = begin + np.cumsum(counts)
+        self.ends[known : len(self.number)] = begin + np.cumsum(counts)
+        self.met[known : len(self.number)] = 0
         self.held += sum(map(len, pieces))
 
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Numbers of the pieces of texts, cut one by one, and how many each text has."""
+        own = [[t] if self.UNSURE.search(t) else self.PIECES.findall(t) for t in texts]
+        return np.fromiter((self.number[p.encode()] for pieces in own for p in pieces), np.int64, sum(map(len, own))), list(map(len, own))
+
+    def _cut_together(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The same for texts with white space of ASCII only."""
+        each = [t.encode() for t in texts]
+        data, sizes = b"".join(each), np.array([len(x) for x in each], np.int64)
+        if not data:
+            return np.zeros(0, np.int64), [0] * len(texts)
+        b = np.frombuffer(data, np.uint8)
+        space = self.SPACE[b]
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[1:] |= self.LETTER[b[:-1]] & self.MARK[b[1:]]
+        start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        first = np.flatnonzero(start)
+        length = np.diff(first, append=len(b))
+        inside = np.arange(len(b)) - np.repeat(first, length)
+        power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
+        hashes = np.add.reduceat((b + np.uint64(1)) * power[inside], first)
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not (np.array_equal(length[one][which], length) and np.array_equal(b[np.repeat(first[one][which], length) + inside], b)):
+            return self._cut(texts)
+        numbers = np.fromiter((self.number[data[a : a + n]] for a, n in zip(first[one].tolist(), length[one].tolist(), strict=True)), np.int64, len(one))
+        return numbers[which], np.diff(np.searchsorted(first, np.cumsum(sizes)), prepend=0).tolist()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
         if self.held > REMEMBERED:
             self._forget()
-        own = [[t] if self.UNSURE.search(t) else self.PIECES.findall(t) for t in texts]
-        known = len(self.number)
-        used = np.fromiter(map(self.number.__getitem__, chain.from_iterable(own)), np.int64, sum(map(len, own)))
+        known, parts, counts = len(self.number), [np.zeros(0, np.int64)], []
+        for rare, some in groupby(texts, lambda t: bool(self.rare.search(t))):
+            used, n = self._cut(list(some)) if rare else self._cut_together(list(some))
+            parts.append(used)
+            counts += n
+        used = np.concatenate(parts)
         if len(self.number) > known:
-            self._learn(list(islice(reversed(self.number), len(self.number) - known))[::-1])
+            self._learn(known)
+        self.met[: len(self.number)] += np.bincount(used, minlength=len(self.number))
         begins = np.r_[0, self.ends[: len(self.number)]]
         sizes = begins[used + 1] - begins[used]
         stops = np.cumsum(sizes)
         out = self.flat[np.repeat(begins[used] - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        upto = np.r_[0, stops][np.cumsum([0, *map(len, own)])]
+        upto = np.r_[0, stops][np.cumsum([0, *counts])]
         return out, np.diff(upto)
 
 
+def _encoder(tokenizer: str) -> Encoder:
+    """The encoder that this process made for an earlier task, or a new one: what it remembers serves the next tasks too."""
+    made = sys.modules.setdefault("_token_file_encoders", types.ModuleType("_token_file_encoders")).__dict__
+    if made.get("tokenizer") != tokenizer:
+        made.update(tokenizer=tokenizer, encoder=Encoder(tokenizer))
+    return made["encoder"]
+
+
 def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
     out, size = [], 0
     for key, text in rows:
@@ -220,13 +281,14 @@ def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def _write(batches: Iterator[pa.RecordBatch], tokenizer, end_id: int, file_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, number = Encoder(tokenizer.value), TaskContext.get().partitionId(), 0
+    encoder, part, number = _encoder(tokenizer.value), TaskContext.get().partitionId(), 0
     keys, counts, held, total = [], [], [], 0
 
     def packed():
         return pa.RecordBatch.from_arrays([pa.array([TokenFile.pack(part, number, keys, counts, np.concatenate(held))], pa.binary())], ["data"])
 
-    rows = ((k, t or "") for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    parts = (batch.slice(low, 256) for batch in batches for low in range(0, batch.num_rows, 256))
+    rows = ((k, t or "") for x in parts for k, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
     for some in _together(rows):
         ids, sizes = encoder.encode([t for _, t in some])
         ends = np.cumsum(sizes)
