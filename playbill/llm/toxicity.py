@@ -18,8 +18,9 @@ from .common import Workspace
 
 #: The model is fitted on at most so many labelled rows, those of least hash of their key.
 TRAINING_ROWS = 8_000
-#: Numbers (distinct words and beginnings of words of a sentence) of the rows that it is fitted on, about 0.5 GB.
-TRAINING_NUMBERS = 40_000_000
+#: Numbers (a word's and its beginnings', of every word) of the rows that it is fitted on, about 0.5 GB, and the share of them that one row may have:
+#: of a longer text the sentences of least hash take part, up to that many numbers.
+TRAINING_NUMBERS, ROW_SHARE = 40_000_000, 64
 #: Parts of words are hashed to so many weights, the first of which stays zero; a further one is the bias.
 WIDTH = 1 << 20
 #: A word counts as itself and by its beginnings of these lengths.
@@ -65,13 +66,22 @@ def sentences(text: str) -> list[tuple[list[str], tuple[int, int]]]:
     return [x for x in found if x[0]]
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of all words of each text, sentence by sentence, for training."""
+def _part(own: list, most: int) -> list:
+    """All sentences, or of those of a text that has too many words the ones of least hash, in their order, of which the words are fewer than `most` beside the first's."""
+    if sum(len(words) for words, _ in own) <= most:
+        return own
+    order = sorted(range(len(own)), key=lambda i: (zlib.crc32(" ".join(own[i][0]).encode("utf-8", "surrogatepass")), i))
+    upto = np.cumsum([min(len(own[i][0]), most) for i in order])
+    return [(own[i][0][:most], own[i][1]) for i in sorted(order[: max(int(np.searchsorted(upto, most, "right")), 1)])]
+
+
+def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Numbers of all words of each text, sentence by sentence, for training; of a text of more than `most` words those of some sentences."""
     known = Remembered(parts)
     for batch in batches:
         numbers, counts = [], []
         for text in batch.column(1):
-            own = sentences(text.as_py() or "")
+            own = _part(sentences(text.as_py() or ""), most)
             numbers.append(np.array([known[w] for words, _ in own for w in words], np.int32).ravel())
             counts.append([len(words) for words, _ in own])
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], ["numbers", "counts", "label"])
@@ -119,7 +129,7 @@ def fit_noisy_or(numbers: np.ndarray, sentence: np.ndarray, document: np.ndarray
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("k", ignore_index=True)
+    rows = rows.sort_values("i", ignore_index=True)
     width, empty = 1 + len(BEGINNINGS), np.zeros(0, np.int64)
     numbers = np.concatenate([*(np.asarray(x, np.int32) for x in rows["numbers"]), empty.astype(np.int32)]).reshape(-1, width)
     counts = np.concatenate([*(np.asarray(x, np.int64) for x in rows["counts"]), empty])
@@ -138,24 +148,39 @@ def _blank() -> bytes:
     return weights.tobytes()
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAINING_ROWS) -> bytes:
-    """The model: WIDTH + 1 float32 (4 MB). Fitted in one task on at most `rows` labelled rows, whole ones in the order of
-    their keys' hash, of at most TRAINING_NUMBERS numbers in all (some 12 bytes each)."""
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Places of the rows that are taken, in order: each that still fits beside those taken before."""
+    out, total = [], 0
+    for i, size in enumerate(sizes):
+        if total + size <= most:
+            out.append(i)
+            total += size
+    return out
+
+
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAINING_ROWS, numbers: int = TRAINING_NUMBERS
+) -> bytes:
+    """The model: WIDTH + 1 float32 (4 MB). Fitted in one task on a bounded sample: at most `rows` labelled rows in the order of their keys' hash, of at most
+    `numbers` numbers in all (some 12 bytes each). A row that would go beyond that is left out and the next ones are tried; of a text
+    that alone has more than a ROW_SHARE-th of them, some sentences take part, so that no text keeps others out."""
+    width = 1 + len(BEGINNINGS)
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["_k"])
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(rows)
     bags = (
         docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
         .join(F.broadcast(ws.save(chosen, "chosen")), "_k")  # at most `rows` pairs of numbers
         .select(F.xxhash64("_k").alias("k"), "text", F.struct("label", F.xxhash64("_k").alias("k")).alias("label"))
-        .mapInArrow(_bags, "numbers array<int>, counts array<int>, label struct<label:int,k:long>")
-        .select("numbers", "counts", "label.label", "label.k")
+        .mapInArrow(partial(_bags, most=max(numbers // ROW_SHARE // width, 1)), "numbers array<int>, counts array<int>, label struct<label:int,k:long>")
+        .select("numbers", "counts", "label.label", "label.k", F.xxhash64("numbers", "counts").alias("h"))
     )
     # Repeated rows may not lift the bound, nor long texts that of what the one task holds.
-    bags = ws.save(bags, "bags").orderBy("k").limit(rows)
-    sizes = bags.select("k", F.sum(F.size("numbers")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    beyond = sizes.filter(F.col("upto") > TRAINING_NUMBERS).agg(F.min("k")).first()[0]
-    if beyond is not None:
-        bags = bags.filter(F.col("k") < beyond)
+    bags = ws.save(bags, "bags").withColumn("i", F.row_number().over(W.orderBy("k", "h"))).filter(F.col("i") <= rows)
+    bags = ws.save(bags, "ordered")
+    sizes = [n for _, n in sorted((r[0], r[1]) for r in bags.select("i", F.size("numbers")).collect())]  # at most `rows` pairs of numbers
+    taken = fitting(sizes, numbers)
+    if len(taken) < len(sizes):
+        bags = bags.join(F.broadcast(docs.sparkSession.createDataFrame([(i + 1,) for i in taken], "i int")), "i")
     fitted = bags.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "weights binary").first()
     return _blank() if fitted is None else bytes(fitted[0])
 

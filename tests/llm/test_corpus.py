@@ -374,3 +374,51 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
         docs = Workspace(spark, "t").save(out, name)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).filter("round_trip").count() > docs.select("doc_id").distinct().count()
+
+
+def test_toxicity_long_text_first(spark):
+    """A labelled text far beyond the bound, first in hash order, keeps none of the others out of the training; rows that do not fit are left out, later ones taken."""
+    docs = [(i, f"plain words here {i}. " + ("vile rotten curse. " if i % 2 else "kind gentle song. ")) for i in range(400)]
+    first = spark.createDataFrame([(i,) for i in range(400)], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    docs[first] = (first, docs[first][1] + "filler of no account. " * 60_000)
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    ws = Workspace(spark, "test")
+    for numbers in (40_000, 8_000):
+        weights = np.frombuffer(toxicity.train_toxicity(frame, labels, ws, numbers=numbers), np.float32)
+        ws = Workspace(spark, "test")
+        values = toxicity.Remembered(lambda word, w=weights: float(w[toxicity.parts(word)].sum()))
+        scores = [toxicity.score_text(t, values, float(weights[-1]))[0] for _, t in docs]
+        assert min(scores[1::2]) > 0.5 > max(s for i, s in enumerate(scores) if i % 2 == 0)
+    assert toxicity.fitting([5, 100, 3, 2, 1], 10) == [0, 2, 3] and toxicity.fitting([], 10) == []
+
+
+def test_noisy_or_fit_against_plain_gradients():
+    """The fitted weights of words are those that plain Adam on the same loss, document by document, gives."""
+    texts = [("bad one. fine words.", 1), ("fine words. more words.", 0), ("bad again. fine.", 1), ("words again.", 0)] * 4
+    own = [[words for words, _ in toxicity.sentences(t)] for t, _ in texts]
+    numbers = np.array([toxicity.parts(w) for d in own for s in d for w in s], np.int32)
+    sentence = np.repeat(np.arange(sum(map(len, own))), [len(s) for d in own for s in d])
+    document = np.repeat(np.arange(len(own)), [len(d) for d in own])
+    got = toxicity.fit_noisy_or(numbers, sentence, document, np.array([y for _, y in texts]))
+
+    learnt = sorted({p for d in own for s in d for w in s for p in toxicity.parts(w)} - {0})
+    weights, bias = dict.fromkeys(learnt, 0.0), -5.0
+    m, v = Counter(), Counter()
+    for t in range(1, toxicity.EPOCHS + 1):
+        g = Counter({p: toxicity.RIDGE * w for p, w in weights.items()})
+        for d, (_, y) in zip(own, texts, strict=True):
+            bags = [[p for w in s for p in toxicity.parts(w) if p] for s in d]
+            chance = [1 / (1 + math.exp(-(bias + sum(weights[p] for p in b)))) for b in bags]
+            clean = math.prod(1 - x for x in chance)
+            slope = -clean / max(1 - clean, 1e-9) if y else 1.0
+            for b, x in zip(bags, chance, strict=True):
+                for p in [*b, "bias"]:
+                    g[p] += slope * x / len(own)
+        for p in [*learnt, "bias"]:
+            m[p], v[p] = 0.9 * m[p] + 0.1 * g[p], 0.999 * v[p] + 0.001 * g[p] ** 2
+            step = toxicity.RATE * (m[p] / (1 - 0.9**t)) / (math.sqrt(v[p] / (1 - 0.999**t)) + 1e-8)
+            if p == "bias":
+                bias -= step
+            else:
+                weights[p] -= step
+    assert abs(got[-1] - bias) < 1e-3 and all(abs(got[p] - w) < 1e-3 for p, w in weights.items())
