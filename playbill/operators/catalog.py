@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, times
+from ..storage import saved
 
 #: States in which a match is settled, so that a feed may not change what it rests on.
 SETTLED = ("manual", "auto", "override")
@@ -18,30 +20,34 @@ def first_seen(incoming: DataFrame, keys: list[str], pos: str = "feed_pos") -> D
     return incoming.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(pos))).filter("_i = 1").drop("_i")
 
 
-def upsert_films(current: DataFrame, incoming: DataFrame) -> DataFrame:
+#: Fields of a film that the feed may not change once its match is settled, and one that it always may.
+GATED, OPEN = ("director", "title_original", "runtime"), ("synopsis",)
+
+
+def upsert_films(current: DataFrame, incoming: DataFrame, top: int | None = None) -> DataFrame:
     """Films by (scraped_title, scraped_year), null years equal.
 
-    current: id, scraped_title, scraped_year, director, runtime, synopsis, skip, match_source; incoming
+    current: id, scraped_title, scraped_year, director, runtime, synopsis, skip, match_source and any others, title_original among them; incoming
     without id and match_source, with feed_pos. A field changes only where the feed has it;
-    director and runtime stay where the match is settled; the synopsis is always taken. A real change
-    opens a tried film again. skip is set on insert only. New ids follow the greatest, in feed order.
+    director, original title and runtime stay where the match is settled; the synopsis is always taken. A real change
+    opens a tried film again. skip is set on insert only. New ids follow the greatest (or `top`), in feed order.
     """
     new = first_seen(incoming, ["scraped_title", "scraped_year"])
     c, n = current.alias("c"), new.alias("n")
     same = (F.col("c.scraped_title") == F.col("n.scraped_title")) & F.col("c.scraped_year").eqNullSafe(F.col("n.scraped_year"))
     joined = c.join(n, same, "full_outer")
-    locked = F.col("c.match_source").isin(*SETTLED)
-    gated = lambda f: F.when(locked, F.col(f"c.{f}")).otherwise(F.coalesce(f"n.{f}", f"c.{f}"))
-    director, runtime, synopsis = gated("director"), gated("runtime"), F.coalesce("n.synopsis", "c.synopsis")
-    changed = ~(director.eqNullSafe(F.col("c.director")) & runtime.eqNullSafe(F.col("c.runtime")) & synopsis.eqNullSafe(F.col("c.synopsis")))
+    locked = F.coalesce(F.col("c.match_source").isin(*SETTLED), F.lit(False))
+    told = [f for f in (*GATED, *OPEN) if f in current.columns and f in incoming.columns]
+    taken = {f: F.when(locked if f in GATED else F.lit(False), F.col(f"c.{f}")).otherwise(F.coalesce(f"n.{f}", f"c.{f}")) for f in told}
+    changed = F.lit(False)
+    for f, value in taken.items():
+        changed = changed | ~value.eqNullSafe(F.col(f"c.{f}"))
     source = F.when(F.col("c.id").isNull(), "none").when((F.col("c.match_source") == "none-attempted") & changed, "none").otherwise(F.col("c.match_source"))
-    own = ("id", "scraped_title", "scraped_year", "director", "runtime", "synopsis", "skip", "match_source")
-    merged = joined.select(
-        F.col("c.id").alias("id"), F.coalesce("c.scraped_title", "n.scraped_title").alias("scraped_title"), F.coalesce("c.scraped_year", "n.scraped_year").alias("scraped_year"),
-        director.alias("director"), runtime.alias("runtime"), synopsis.alias("synopsis"), F.coalesce("c.skip", "n.skip").alias("skip"), source.alias("match_source"), F.col("n.feed_pos").alias("feed_pos"),
-        *[F.col(f"c.`{x}`") for x in current.columns if x not in own],
-    )
-    return with_new_ids(merged, current, ["feed_pos", "scraped_title", "scraped_year"]).drop("feed_pos")
+    own = {
+        "scraped_title": F.coalesce("c.scraped_title", "n.scraped_title"), "scraped_year": F.coalesce("c.scraped_year", "n.scraped_year"), "skip": F.coalesce("c.skip", "n.skip"), "match_source": source,
+    } | taken
+    merged = joined.select(*[own[x].alias(x) if x in own else F.col(f"c.`{x}`") for x in current.columns], F.col("n.feed_pos").alias("feed_pos"))
+    return with_new_ids(merged, current, ["feed_pos", "scraped_title", "scraped_year"], top).drop("feed_pos")
 
 
 #: Positions of a feed that are numbered together.
@@ -61,14 +67,14 @@ def numbered(df: DataFrame, group: Column, order: list[str], after: DataFrame |
     return inside.join(offsets, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_i", F.col("_i") + F.col("_o")).drop("_g", "_h", "_o")
 
 
-def with_new_ids(df: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
-    """Rows without id get the numbers after the greatest, in order; the first column of the order is a position."""
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order, top)
-    return df.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", F.col("_i")).drop("_i"))
+def with_new_ids(df: DataFrame, current: DataFrame, order: list[str], top: int | None = None) -> DataFrame:
+    """Rows without id get the numbers after the greatest (or after `top`), in order; the first column of the order is a position."""
+    after = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")) if top is None else None
+    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order, after)
+    return df.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", F.col("_i") + F.lit(top or 0)).drop("_i"))
 
 
-def replace_future(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+def replace_future(current: DataFrame, incoming: DataFrame, now: datetime, top: int | None = None) -> DataFrame:
     """Screenings (id, film_id, venue_id, starts_at, program_name and any others) after a batch: past rows stay, future
     rows of the batch's venues are replaced.
 
@@ -87,7 +93,7 @@ def replace_future(current: DataFrame, incoming: DataFrame, now: datetime) -> Da
     last = W.partitionBy(*key).orderBy(F.col("_pos").desc(), "program_name", "id")
     rows = old.unionByName(new).withColumns({"_i": F.row_number().over(last), "_id": F.max("id").over(W.partitionBy(*key))})
     rows = rows.filter("_i = 1").withColumn("id", F.col("_id")).drop("_i", "_id")
-    return with_new_ids(rows, current, ["_pos", *key]).drop("_pos")
+    return with_new_ids(rows, current, ["_pos", *key], top).drop("_pos")
 
 
 def refused_venues(current: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
@@ -142,14 +148,20 @@ def lookup_override(films: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def write_matches(films: DataFrame, found: DataFrame) -> DataFrame:
-    """Catalog fields of found films overwrite; a venue's synopsis stays if not blank; a catalog year wins over ours."""
-    f = found.select("id", *[F.col(c).alias(f"_{c}") for c in ("ext_id", "title", "year", "synopsis", "runtime")])
-    j = films.join(f, "id", "left")
+    """Films, with all their columns, after a resolution (id, ext_id and any catalog columns: title, original title, director, country, cast, genres, poster, ...).
+
+    What the catalog has overwrites what the film had, also in columns that the film lacked; what it has not stays, so its year wins over ours only if it has one. A
+    venue's synopsis stays if it isn't blank. The match is automatic unless `found` names its source.
+    """
+    extra = [c for c in found.columns if c not in films.columns]
+    f = found.select("id", *[F.col(c).alias(f"_{c}") for c in found.columns if c != "id"])
+    j = films.withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in extra}).join(f, "id", "left")
     hit = F.col("_ext_id").isNotNull()
-    return j.select(
-        "id", F.coalesce("_ext_id", "ext_id").alias("ext_id"), F.coalesce("_title", "title").alias("title"), F.coalesce("_year", "year").alias("year"),
-        F.coalesce(F.nullif(F.trim("synopsis"), F.lit("")), "_synopsis").alias("synopsis"), F.coalesce("_runtime", "runtime").alias("runtime"), F.when(hit, "auto").otherwise(F.col("match_source")).alias("match_source"),
-    )
+    new = {c: F.when(hit, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in found.columns if c != "id"}
+    if "synopsis" in new:
+        new["synopsis"] = F.coalesce(F.nullif(F.trim("synopsis"), F.lit("")), F.when(hit, F.col("_synopsis")))
+    new.setdefault("match_source", F.when(hit, "auto").otherwise(F.col("match_source")))
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*films.columns, *extra]])
 
 
 def write_misses(films: DataFrame, outcomes: DataFrame, version: int) -> DataFrame:
@@ -221,32 +233,73 @@ def reset_programme(snapshots: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: s.filter(F.lit(False)) if name in PROGRAMME else s for name, s in snapshots.items()}
 
 
-def ingest(films: DataFrame, screenings: DataFrame, batch: DataFrame, now: datetime, found: DataFrame | None = None) -> dict[str, DataFrame]:
+#: Why a listing has no match, other than an error.
+MISSES = ("no-candidates", "low-confidence")
+
+
+def enrich(films: DataFrame, outcomes: DataFrame, version: int) -> DataFrame:
+    """Films after a resolution: outcomes (scraped_title, scraped_year, ext_id, and a reason and catalog columns, if there are any) that have an id are written as matches, misses
+    as tried by this version of the matcher; errors leave a film as it is."""
+    o = outcomes.withColumnsRenamed({"scraped_title": "_t", "scraped_year": "_y"})
+    o = o if "reason" in o.columns else o.withColumn("reason", F.when(F.col("ext_id").isNotNull(), "ok"))
+    same = (F.col("scraped_title") == F.col("_t")) & F.col("scraped_year").eqNullSafe(F.col("_y"))
+    known = o.join(films.select("id", "scraped_title", "scraped_year"), same).drop("_t", "_y", "scraped_title", "scraped_year")
+    known = known.withColumn("_i", F.row_number().over(W.partitionBy("id").orderBy(F.col("ext_id").asc_nulls_last(), "reason"))).filter("_i = 1").drop("_i")
+    out = write_matches(films, known.filter("ext_id IS NOT NULL").drop("reason"))
+    if "match_version" not in out.columns:
+        return out
+    return write_misses(out, known.filter("ext_id IS NULL").select("id", "reason"), version)
+
+
+def ingest(
+    films: DataFrame,
+    screenings: DataFrame,
+    batch: DataFrame,
+    now: datetime,
+    found: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    version: int = 1,
+    top: dict[str, int] | None = None,
+) -> dict[str, DataFrame]:
     """A batch of canonical rows (scraped_title, scraped_year, venue_id, starts_at, program_name, ..., feed_pos) into the next
-    snapshots, in this order: films; screenings, whose films are found by null-safe key; ids of films that the
-    resolution `found` (scraped_title, scraped_year, ext_id); films of one ext_id merged, and their screenings moved, which
+    snapshots, in this order: films; screenings, whose films are found by null-safe key; the resolution; films of one ext_id merged, and their screenings moved, which
     comes last so that ids stay valid until then. A second run of the batch changes nothing.
 
-    Returns films, screenings, summary (of each venue: scraped, distinct_rows) and runs (of each venue: status, finished_at,
-    scraped, warning; a venue that the breaker holds has failed).
+    `found` has the outcomes of a resolution (see `enrich`), or makes them from the films that wait for one: those neither matched nor skipped, and not tried by this `version` of the
+    matcher. `top` has the greatest ids of films and screenings where the frames are parts of the snapshots.
+
+    Returns films, screenings, summary (of each venue: scraped, distinct_rows, inserted, upserted), enrichment (one row: enriched, merged, skipped) and runs
+    (of each venue: status, finished_at, scraped, warning; a venue that the breaker holds has failed).
     """
-    key = lambda t, a: (F.col("scraped_title") == F.col(f"{a}._t")) & F.col("scraped_year").eqNullSafe(F.col(f"{a}._y"))  # noqa: E731, ARG005
-    listed = batch.filter("scraped_title IS NOT NULL").select("scraped_title", "scraped_year", "director", "runtime", "synopsis", "skip", "feed_pos")
-    next_films = upsert_films(films, listed)
+    top = top or {}
+    key = lambda a: (F.col("scraped_title") == F.col(f"{a}._t")) & F.col("scraped_year").eqNullSafe(F.col(f"{a}._y"))
+    fields = [c for c in ("director", "title_original", "runtime", "synopsis", "skip") if c in batch.columns]
+    listed = batch.filter("scraped_title IS NOT NULL").select("scraped_title", "scraped_year", *fields, "feed_pos")
+    next_films = saved(upsert_films(films, listed, top.get("films")), "films")  # read by all that follows
     ids = next_films.select(F.col("id").alias("film_id"), F.col("scraped_title").alias("_t"), F.col("scraped_year").alias("_y"))
-    resolved = batch.join(ids.alias("i"), key(batch, "i"), "left").drop("_t", "_y")
+    resolved = batch.join(ids.alias("i"), key("i"), "left").drop("_t", "_y")
     resolved = resolved.withColumn("program_name", text.drop_echo(F.col("program_name"), F.col("scraped_title")))
-    next_screenings = replace_future(screenings, resolved, now)
+    next_screenings = replace_future(screenings, resolved, now, top.get("screenings"))
+    counts = {c: F.lit(0).cast("long") for c in ("enriched", "merged", "skipped")}
     if found is not None:
-        f = found.select(F.col("scraped_title").alias("_t"), F.col("scraped_year").alias("_y"), F.col("ext_id").alias("_e"))
-        next_films = next_films.join(f.alias("f"), key(next_films, "f"), "left").withColumn("ext_id", F.coalesce("_e", "ext_id")).drop("_t", "_y", "_e")
+        waits = F.col("match_source") == "none"
+        if "match_version" in next_films.columns:
+            waits = waits | ((F.col("match_source") == "none-attempted") & (F.coalesce("match_version", F.lit(-1)) < version))
+        pending = next_films.filter(waits & ~F.coalesce("skip", F.lit(False)))
+        next_films = saved(enrich(next_films, found(pending) if callable(found) else found, version), "enriched")
+        asked = pending.select("id").join(next_films.select("id", "match_source"), "id")
+        passed = asked.agg(F.count_if(F.col("match_source") == "auto").alias("enriched"), F.count_if(F.col("match_source") != "auto").alias("skipped")).first()
+        counts |= {c: F.lit(passed[c]) for c in ("enriched", "skipped")}
     if "ext_id" in next_films.columns:
-        losers = winners(next_films, ["ext_id"])
+        losers = saved(winners(next_films, ["ext_id"]), "losers")
         next_screenings = merge_duplicates(next_screenings, losers)
         next_films = next_films.join(losers.select(F.col("film_id").alias("id")), "id", "left_anti")
-    summary = batch.groupBy("venue_id").agg(F.count("scraped_title").alias("scraped"), F.countDistinct("scraped_title", "starts_at").alias("distinct_rows"))
+        counts["merged"] = F.lit(losers.count())
     refused = refused_venues(screenings, resolved, now)
+    by_venue = resolved.groupBy("venue_id").agg(
+        F.count("scraped_title").alias("scraped"), F.countDistinct("scraped_title", "starts_at").alias("distinct_rows"), F.count("film_id").alias("inserted"), F.countDistinct("film_id").alias("upserted")
+    )
     held = F.col("kept").isNotNull()
     warning = F.when(held, F.concat(F.lit("empty batch, kept "), "kept", F.lit(" future rows")))
-    runs = summary.join(refused, "venue_id", "left").select("venue_id", F.when(held, "failure").otherwise("success").alias("status"), times.lit(now).alias("finished_at"), "scraped", warning.alias("warning"))
-    return {"films": next_films, "screenings": next_screenings, "summary": summary, "runs": runs}
+    runs = by_venue.join(refused, "venue_id", "left").select("venue_id", F.when(held, "failure").otherwise("success").alias("status"), times.lit(now).alias("finished_at"), "scraped", warning.alias("warning"))
+    enrichment = batch.sparkSession.range(1).select(*[v.alias(c) for c, v in counts.items()])
+    return {"films": next_films, "screenings": next_screenings, "summary": by_venue, "enrichment": enrichment, "runs": runs}

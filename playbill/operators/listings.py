@@ -117,9 +117,10 @@ def day_rows(rows: DataFrame) -> DataFrame:
 
 
 def weekly_runs(rows: DataFrame) -> DataFrame:
-    """Days of a film with equal times as one signature: weekdays and times; uniform if there is one."""
-    at = F.col("starts_at")
-    day = rows.groupBy("film_id", times.local_day(at).alias("day")).agg(F.array_join(F.array_sort(F.collect_set(F.date_format(F.date_trunc("hour", times.local(at)), "HH:mm"))), " ").alias("times"))
+    """Days of a film with equal times as one signature: weekdays and times, to the minute and by the cinema's clock; uniform if there is one."""
+    local = times.local(F.col("starts_at"))
+    shows = F.array_sort(F.collect_set(F.struct(times.cinema_clock(local).alias("m"), F.date_format(local, "HH:mm").alias("t"))))
+    day = rows.groupBy("film_id", times.local_day(F.col("starts_at")).alias("day")).agg(F.array_join(F.transform(shows, lambda x: x["t"]), " ").alias("times"))
     sig = day.groupBy("film_id", "times").agg(F.array_sort(F.collect_set(F.weekday("day"))).alias("days"), F.count("*").alias("n_days"), F.min("day").alias("first"), F.max("day").alias("last"))
     uniform = F.count("*").over(W.partitionBy("film_id")) == 1
     return sig.select("film_id", "times", times.weekday_set_label(F.col("days")).alias("label"), "n_days", times.date_range_label(F.col("first"), F.col("last")).alias("dates"), uniform.alias("uniform"))

@@ -24,21 +24,22 @@ def query(covers: str, sql: str | None = None):
 
 
 def _current(spark, sf_dir):
-    return films(spark, sf_dir).filter("id % 3 <> 1").selectExpr("id", "title AS scraped_title", "CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS scraped_year", "director", "runtime", "concat('old ', id) AS synopsis", "skip", "match_source")
+    return films(spark, sf_dir).filter("id % 3 <> 1").selectExpr("id", "title AS scraped_title", "CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS scraped_year", "director", "concat('Orig ', id) AS title_original", "runtime", "concat('old ', id) AS synopsis", "skip", "match_source")
 
 
 def _incoming(spark, sf_dir):
-    return films(spark, sf_dir).filter("id % 2 = 0").selectExpr("title AS scraped_title", "CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS scraped_year", "CASE WHEN id % 4 = 0 THEN 'New Dir' END AS director",
+    return films(spark, sf_dir).filter("id % 2 = 0").selectExpr("title AS scraped_title", "CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS scraped_year", "CASE WHEN id % 4 = 0 THEN 'New Dir' END AS director", "CASE WHEN id % 10 = 0 THEN 'New Orig' END AS title_original",
                                                                "cast(NULL AS int) AS runtime", "CASE WHEN id % 5 = 0 THEN concat('new ', id) END AS synopsis", "true AS skip", "cast(id AS int) AS feed_pos")
 
 
 UPSERT = SQL + """
-, c AS (SELECT id, title, CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS y, director, runtime, 'old ' || id AS synopsis, skip, match_source FROM f WHERE id % 3 <> 1),
-n AS (SELECT id AS pos, title, CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS y, CASE WHEN id % 4 = 0 THEN 'New Dir' END AS director, CASE WHEN id % 5 = 0 THEN 'new ' || id END AS synopsis FROM f WHERE id % 2 = 0),
+, c AS (SELECT id, title, CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS y, director, 'Orig ' || id AS original, runtime, 'old ' || id AS synopsis, skip, match_source FROM f WHERE id % 3 <> 1),
+n AS (SELECT id AS pos, title, CASE WHEN id % 6 = 0 THEN NULL ELSE year END AS y, CASE WHEN id % 4 = 0 THEN 'New Dir' END AS director, CASE WHEN id % 10 = 0 THEN 'New Orig' END AS original, CASE WHEN id % 5 = 0 THEN 'new ' || id END AS synopsis FROM f WHERE id % 2 = 0),
 j AS (SELECT c.id, coalesce(c.title, n.title) AS scraped_title, coalesce(c.y, n.y) AS scraped_year, CASE WHEN c.match_source IN ('manual', 'auto', 'override') THEN c.director ELSE coalesce(n.director, c.director) END AS director,
+  CASE WHEN c.match_source IN ('manual', 'auto', 'override') THEN c.original ELSE coalesce(n.original, c.original) END AS title_original, c.original AS oo,
   c.runtime, coalesce(n.synopsis, c.synopsis) AS synopsis, coalesce(c.skip, true) AS skip, c.director AS od, c.synopsis AS os, c.match_source AS ms, n.pos FROM c FULL JOIN n ON c.title = n.title AND c.y IS NOT DISTINCT FROM n.y),
-u AS (SELECT coalesce(id, (SELECT max(id) FROM c) + row_number() OVER (PARTITION BY id IS NULL ORDER BY pos)) AS id, scraped_title, scraped_year, director, runtime, synopsis, skip,
-  CASE WHEN id IS NULL THEN 'none' WHEN ms = 'none-attempted' AND (director IS DISTINCT FROM od OR synopsis IS DISTINCT FROM os) THEN 'none' ELSE ms END AS match_source FROM j)
+u AS (SELECT coalesce(id, (SELECT max(id) FROM c) + row_number() OVER (PARTITION BY id IS NULL ORDER BY pos)) AS id, scraped_title, scraped_year, director, title_original, runtime, synopsis, skip,
+  CASE WHEN id IS NULL THEN 'none' WHEN ms = 'none-attempted' AND (director IS DISTINCT FROM od OR title_original IS DISTINCT FROM oo OR synopsis IS DISTINCT FROM os) THEN 'none' ELSE ms END AS match_source FROM j)
 """
 
 
@@ -139,11 +140,17 @@ def override_upsert(spark, sf_dir):
 
 @query("M-8 M-11", SQL + """
 SELECT f.id, coalesce(CASE WHEN id % 4 = 1 THEN id + 5000 END, ext_id) AS ext_id, CASE WHEN id % 4 = 1 THEN 'Cat ' || id ELSE title END AS title, CASE WHEN id % 8 = 1 THEN 2001 ELSE year END::INT AS year,
-  CASE WHEN id % 3 = 0 THEN 'venue ' || id WHEN id % 4 = 1 THEN 'cat ' || id END AS synopsis, CASE WHEN id % 4 = 1 THEN 99 ELSE runtime END::INT AS runtime, CASE WHEN id % 4 = 1 THEN 'auto' ELSE match_source END AS match_source FROM f""")
+  CASE WHEN id % 3 = 0 THEN 'venue ' || id WHEN id % 4 = 1 THEN 'cat ' || id ELSE NULL END AS synopsis, CASE WHEN id % 4 = 1 THEN 99 ELSE runtime END::INT AS runtime, CASE WHEN id % 4 = 1 THEN 'auto' ELSE match_source END AS match_source,
+  CASE WHEN id % 12 = 1 THEN 'Cat Dir' ELSE director END AS director, country, hidden, skip, CASE WHEN id % 4 = 1 THEN '/w500/' || id ELSE poster END AS poster, CASE WHEN id % 4 = 1 THEN 7.5 ELSE popularity END::DOUBLE AS popularity,
+  CASE WHEN id % 4 = 1 THEN 4242 ELSE vote_count END::BIGINT AS vote_count, CASE WHEN id % 4 = 1 THEN 'Line' END AS tagline, CASE WHEN id % 4 = 1 THEN 'Ana|Eva' END AS cast_names, CASE WHEN id % 4 = 1 THEN '18,35' END AS genres FROM f""")
 def enrichment_write(spark, sf_dir):
     f = films(spark, sf_dir).withColumn("synopsis", F.expr("CASE WHEN id % 3 = 0 THEN concat('venue ', id) ELSE '  ' END"))
-    found = f.filter("id % 4 = 1").selectExpr("id", "id + 5000 AS ext_id", "concat('Cat ', id) AS title", "CASE WHEN id % 8 = 1 THEN 2001 END AS year", "concat('cat ', id) AS synopsis", "99 AS runtime")
-    return C.write_matches(f, found)
+    found = f.filter("id % 4 = 1").selectExpr(
+        "id", "id + 5000 AS ext_id", "concat('Cat ', id) AS title", "CASE WHEN id % 8 = 1 THEN 2001 END AS year", "concat('cat ', id) AS synopsis", "99 AS runtime", "CASE WHEN id % 12 = 1 THEN 'Cat Dir' END AS director",
+        "concat('/w500/', id) AS poster", "7.5D AS popularity", "4242L AS vote_count", "'Line' AS tagline", "array('Ana', 'Eva') AS cast_names", "array(18, 35) AS genres",
+    )
+    out = C.write_matches(f, found).withColumns({"cast_names": F.array_join("cast_names", "|"), "genres": F.array_join("genres", ",")})
+    return out.select("id", "ext_id", "title", "year", "synopsis", "runtime", "match_source", "director", "country", "hidden", "skip", "poster", "popularity", "vote_count", "tagline", "cast_names", "genres")
 
 
 @query("M-9 M-10", SQL + """
@@ -237,9 +244,13 @@ def ingest_screenings(spark, sf_dir):
     return _ingested(spark, sf_dir)["screenings"].select("id", "film_id", "venue_id", "starts_at", "program_name")
 
 
-@query("R-6 A-30", INGEST + "SELECT venue_id, count(*) AS scraped, count(DISTINCT (title, starts_at)) AS distinct_rows FROM b GROUP BY 1 UNION ALL SELECT 5, 0, 0")
+@query("R-6 A-30", INGEST + """
+, p AS (SELECT f.id FROM m JOIN f ON f.title = m.title WHERE f.id % 3 = 1 OR (f.match_source = 'none' AND NOT f.skip)),
+g AS (SELECT venue_id, count(*) AS scraped, count(DISTINCT (title, starts_at)) AS distinct_rows, count(*) AS inserted, count(DISTINCT (title, y)) AS upserted FROM b GROUP BY 1 UNION ALL SELECT 5, 0, 0, 0, 0)
+SELECT *, (SELECT count_if(id % 5 = 0) FROM p) AS enriched, (SELECT count(*) FROM w WHERE id <> winner) AS merged, (SELECT count_if(id % 5 > 0) FROM p) AS skipped FROM g""")
 def ingest_summary(spark, sf_dir):
-    return _ingested(spark, sf_dir)["summary"]
+    out = _ingested(spark, sf_dir)
+    return out["summary"].withColumns({c: out["enrichment"].select(c).scalar() for c in ("enriched", "merged", "skipped")})
 
 
 @query("R-6 M-18 M-5", INGEST + f"""SELECT venue_id, 'success' AS status, TIMESTAMP '2024-01-15 12:00:00' AS finished_at, count(*) AS scraped, NULL AS warning FROM b GROUP BY 1

@@ -126,16 +126,56 @@ def verdict_parse(spark, sf_dir):
     return v.select("id", F.array_join(links, "|").alias("links"), lane.alias("lane"), F.when(F.col("v.confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v.confidence")))).alias("confidence"))
 
 
-@query("F-2 X-1 F-30", """
-SELECT event_id AS id, 'film ' || user_id AS film_title, CASE WHEN user_id % 2 = 1 THEN 'premiere' ELSE '' END AS tags, date_trunc('second', ts) + to_hours(i) AS starts_at, i::INT AS feed_pos
-FROM events, range(3) t(i) WHERE (event_id + i) % 4 <> 0 AND i <> 1""")
+@query("F-2 F-30", """
+SELECT event_id AS id, 'film ' || user_id AS film_title, CASE WHEN user_id % 5 = 0 THEN 'FOCO ' || user_id END AS program_name, CASE WHEN user_id % 2 = 1 THEN 'premiere' ELSE '' END AS tags,
+  date_trunc('second', ts) + to_hours(i + 3) AS starts_at, (row_number() OVER (PARTITION BY event_id ORDER BY i) - 1)::INT AS pos
+FROM events, range(5) t(i) WHERE ((event_id + i) % 4 <> 0 OR i = 2) AND i <> 1 QUALIFY i <> 3""")
 def json_flatten(spark, sf_dir):
-    """Landed JSON is made of events: a film with three showtimes, some hidden, the second over."""
-    show = lambda i: F.struct(F.date_format(F.date_trunc("second", "ts").cast("timestamp_ntz") + F.make_interval(hours=F.lit(i)), "yyyy-MM-dd HH:mm:ss").alias("at"), F.when((F.col("event_id") + i) % 4 == 0, "0").otherwise("1").alias("shown"), F.lit(i == 1).alias("expired"))
-    body = F.to_json(F.struct(F.concat(F.lit("film "), "user_id").alias("title"), (F.col("user_id") % 2).cast("int").alias("release"), F.lit(90).alias("minutes"), F.array(*[show(i) for i in range(3)]).alias("showtimes")))
+    """Landed JSON is made of events: a film with five showtimes, some hidden, the second over, the third without either mark, the fourth unreadable."""
+    at = lambda i: F.date_format(F.date_trunc("second", "ts").cast("timestamp_ntz") + F.make_interval(hours=F.lit(i)), "yyyy-MM-dd HH:mm:ss")
+    shown = lambda i: F.when(F.lit(i == 2), None).when((F.col("event_id") + i) % 4 == 0, "0").otherwise("1")
+    show = lambda i: F.struct((F.lit("soon") if i == 3 else at(i)).alias("at"), shown(i).alias("shown"), F.when(F.lit(i not in (2, 4)), F.lit(i == 1)).alias("expired"))
+    title = F.concat(F.lit("film "), "user_id", F.when(F.col("user_id") % 5 == 0, F.concat(F.lit(" — Foco "), "user_id")).otherwise(""))
+    body = F.to_json(F.struct(title.alias("title"), (F.col("user_id") % 2).cast("int").alias("release"), F.lit(90).alias("minutes"), F.array(*[show(i) for i in range(5)]).alias("showtimes")))
     landed = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source"), body.alias("body"))
     rows = S.nested_showtimes(spark, landed)
-    return rows.select(F.col("venue_id").cast("long").alias("id"), "film_title", F.array_join("tags", ",").alias("tags"), "starts_at", "feed_pos")
+    return rows.select(F.col("venue_id").cast("long").alias("id"), "film_title", F.upper("program_name").alias("program_name"), F.array_join("tags", ",").alias("tags"), "starts_at", F.col("feed_pos").alias("pos"))
+
+
+#: Of each kind of source a payload for each part; every fifth can't be read.
+KINDS = ("nested", "coded", "month", "events", "printed", "unknown")
+
+
+@query("X-1 Q-8", """
+WITH p AS (SELECT p_partkey AS id, p_partkey % 5 = 0 AS broken, p_partkey % 3 AS k FROM part)
+SELECT kind, id::VARCHAR AS payload_id, CASE WHEN broken OR kind = 'unknown' THEN 'failure' ELSE 'success' END AS status,
+  CASE WHEN broken OR kind = 'unknown' THEN 0 WHEN kind = 'events' THEN CASE WHEN k = 0 THEN 0 ELSE 1 END WHEN kind = 'printed' THEN 4 ELSE CASE WHEN k = 0 THEN 1 ELSE 2 END END::BIGINT AS n_rows,
+  CASE WHEN broken OR kind = 'unknown' THEN 0 WHEN k = 0 THEN 1 ELSE 0 END::BIGINT AS n_warnings,
+  CASE WHEN kind = 'unknown' THEN 'no source unknown' WHEN broken THEN 'payload can''t be read' END AS error
+FROM p, (VALUES ('nested'), ('coded'), ('month'), ('events'), ('printed'), ('unknown')) t(kind)""")
+def source_results(spark, sf_dir):
+    """Five sources and one that is not registered, on payloads of which every fifth is broken and every third has something unreadable in it."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("payload_id"), "p_name", (F.col("p_partkey") % 5 == 0).alias("broken"), (F.col("p_partkey") % 3 == 0).alias("odd"))
+    at = F.when(F.col("odd"), "soon").otherwise("2024-02-03 20:30:00")
+    show = lambda code, hour, place: F.struct((code if code is not None else F.lit("a")).alias("code"), F.lit(hour).alias("hour"), F.lit(place).alias("complex"))
+    event = lambda i, area, start: F.struct(F.lit(i).alias("id"), F.lit(area).alias("area"), F.col("p_name").alias("title"), start.alias("start"))
+    bodies = {
+        "nested": F.to_json(F.struct(F.col("p_name").alias("title"), F.array(F.struct(F.lit("2024-02-02 18:00:00").alias("at")), F.struct(at.alias("at"))).alias("showtimes"))),
+        "coded": F.to_json(F.struct(
+            F.lit("2024-02-02").alias("day"), F.lit("main").alias("complex"), F.array(F.struct(F.lit("a").alias("code"), F.col("p_name").alias("name"))).alias("films"),
+            F.array(show(None, "18:00", "main"), show(F.when(F.col("odd"), "z").otherwise("a"), "2030", "main"), show(None, "21:00", "other")).alias("shows"),
+        )),
+        "month": F.to_json(F.array(event("1", "room", F.lit("2024-02-02 18:00")), event("2", "room", at), event("3", "bar", at))),
+        "events": F.to_json(F.struct(F.concat("p_name", F.lit(" (Ana Ruiz, 1999)")).alias("name"), at.alias("start"), F.array(F.struct(F.lit("EventbriteFormat").alias("prefix"), F.lit("EventbriteFormat/7").alias("tag"))).alias("tags"))),
+        "printed": F.concat_ws("\n", F.when(F.col("broken"), " ").otherwise(F.col("p_name")), F.lit("Ficha"), F.lit("Viernes 2 y sábado 3 de febrero, 18 y 20.30 horas"), F.when(F.col("odd"), "Un día a las 20 horas").otherwise("fin")),
+    }
+    out = None
+    for kind in KINDS:
+        body = bodies.get(kind, F.lit("x"))
+        landed = p.select("payload_id", F.lit("room").alias("source"), (body if kind == "printed" else F.when(F.col("broken"), F.lit("{oops")).otherwise(body)).alias("body"))
+        found = S.fetch(kind, spark, landed, NOW).results.select(F.lit(kind).alias("kind"), "payload_id", "status", F.col("rows").alias("n_rows"), F.col("warnings").alias("n_warnings"), "error")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 CODED = """
@@ -207,11 +247,11 @@ def html_links(spark, sf_dir):
     return S.cards(table(spark, sf_dir, "pages"))
 
 
-@query("F-10", SQL + "SELECT id, 'Dir ' || (id % 50) AS director, (1950 + id % 76)::VARCHAR AS year FROM f")
+@query("F-10", SQL + "SELECT id, 'Dir ' || (id % 50) AS director, (1950 + id % 76)::VARCHAR AS year, 'X: Y' AS country FROM f")
 def labelled_credits(spark, sf_dir):
-    block = F.expr("concat('Dirección: Dir ', id % 50, '\nnoise\nAño:  ', 1950 + id % 76, '\nPaís: X: Y')")
+    block = F.expr("concat('Dirección: Dir ', id % 50, '\nnoise\nAño:  ', 1950 + id % 76, '\nPaís: X: Y\nDIRECCION: Another', CASE WHEN id % 3 = 0 THEN '\naño: 1900' ELSE '' END)")
     c = films(spark, sf_dir).select("id", S.credits(block).alias("c"))
-    return c.select("id", F.col("c")["direccion"].alias("director"), F.col("c")["ano"].alias("year"))
+    return c.select("id", F.col("c")["direccion"].alias("director"), F.col("c")["ano"].alias("year"), F.col("c")["pais"].alias("country"))
 
 
 @query("F-13 F-14 F-15 F-16", SQL + """

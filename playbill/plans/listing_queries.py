@@ -172,7 +172,8 @@ def venue_programmes(spark, sf_dir):
 
 
 @query("A-26 D-7 D-8 T-5 V-7", SQL + f"""
-, d AS (SELECT film_id, {LOCAL_DAY} AS day, string_agg(DISTINCT strftime(date_trunc('hour', starts_at - INTERVAL 3 HOURS), '%H:%M'), ' ' ORDER BY strftime(date_trunc('hour', starts_at - INTERVAL 3 HOURS), '%H:%M')) AS times FROM s GROUP BY 1, 2),
+, t AS (SELECT DISTINCT film_id, {LOCAL_DAY} AS day, strftime(starts_at - INTERVAL 3 HOURS, '%H:%M') AS hm, (hour(starts_at - INTERVAL 3 HOURS) + 19) % 24 * 60 + minute(starts_at) AS clock FROM s),
+d AS (SELECT film_id, day, string_agg(hm, ' ' ORDER BY clock) AS times FROM t GROUP BY 1, 2),
 g AS (SELECT film_id, times, list_sort(list_distinct(list(isodow(day)))) AS d, count(*) AS n_days, min(day) AS a, max(day) AS b FROM d GROUP BY 1, 2),
 x AS (SELECT *, {WEEKDAYS_SQL} AS w, {SHORT_SQL} AS m, len(d) AS n FROM g)
 SELECT film_id, times, n_days, count(*) OVER (PARTITION BY film_id) = 1 AS uniform,

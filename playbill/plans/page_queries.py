@@ -122,9 +122,13 @@ def anchor_years(spark, sf_dir):
 
 
 @query("F-12 S-19", """
-SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'CICLO ' || p_brand END AS program, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN 'Ana' ELSE '黒澤明' END AS director FROM part""")
+SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 5 THEN 'CICLO ' || p_brand WHEN 6 THEN p_name || ' - The Final Cut' ELSE p_name END AS title,
+  CASE p_partkey % 7 WHEN 0 THEN 'CICLO ' || p_brand WHEN 1 THEN 'Retrospectiva ' || p_brand WHEN 2 THEN 'FOCO - ' || p_brand WHEN 3 THEN 'muestra' END AS program,
+  CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN 'Ana' ELSE '黒澤明' END AS director FROM part""")
 def suffixes_and_latin_names(spark, sf_dir):
-    raw = F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat(p_name, ' - CICLO ', p_brand) ELSE p_name END")
+    """A programme behind a dash of any kind, a title that is one, a dash that no programme follows."""
+    raw = F.expr("CASE p_partkey % 7 WHEN 0 THEN concat(p_name, ' - CICLO ', p_brand) WHEN 1 THEN concat(p_name, ' — Retrospectiva ', p_brand) WHEN 2 THEN concat(p_name, '–FOCO - ', p_brand) "
+                 "WHEN 3 THEN concat(p_name, ' - muestra') WHEN 5 THEN concat('CICLO ', p_brand) WHEN 6 THEN concat(p_name, ' - The Final Cut') ELSE p_name END")
     name, other = F.expr("CASE WHEN p_partkey % 3 = 1 THEN 'Ana' ELSE '黒澤明' END"), F.expr("CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE '溝口' END")
     s = S.programme_suffix(raw)
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), s["title"].alias("title"), s["program"].alias("program"), text.latin_name(name, other).alias("director"))

@@ -61,7 +61,7 @@ def stream_silences(spark, sf_dir):
 
 
 @query("K-1 R-6", """
-WITH e AS (SELECT 'film ' || user_id AS title, event_type AS venue_id, date_trunc('second', ts) + to_hours(i) AS starts_at, i FROM events, (VALUES (0), (2)) t(i) WHERE (event_id + i) % 4 <> 0)
+WITH e AS (SELECT 'film ' || user_id AS title, event_type AS venue_id, date_trunc('second', ts) + to_hours(i + 3) AS starts_at, i FROM events, (VALUES (0), (2)) t(i) WHERE (event_id + i) % 4 <> 0)
 SELECT DISTINCT title AS film, venue_id, starts_at FROM e""")
 def stream_ingest(spark, sf_dir):
     """Payloads of a film with three showtimes, some hidden and some over, land in a stream; its snapshots of films and screenings are joined."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,11 @@ CANONICAL = (
     "synopsis string, source_url string, film_detail_url string, program_name string, skip boolean, feed_pos int"
 )
 
-#: Name -> job from landed payloads (source, fetched_at, url, body) to canonical rows.
-SOURCES: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {}
+#: Name -> job from landed payloads (payload_id, source, body) and the time of the run to rows in lanes.
+SOURCES: dict[str, Callable[[SparkSession, DataFrame, datetime], DataFrame]] = {}
+
+#: What a job gives beside the canonical columns: a payload's listing rows, its warnings, and an error where it can't be read.
+ROW, WARNING, ERROR = "row", "warning", "error"
 
 
 def none(c: Column) -> Column:
@@ -33,25 +37,84 @@ def source(name: str):
     return add
 
 
+def canonical_columns(df: DataFrame) -> list[Column]:
+    from pyspark.sql.types import StructType
+
+    return [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(CANONICAL).fields]
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """df with all canonical columns, null where it has none."""
-    from pyspark.sql.types import StructType
+    return df.select(*canonical_columns(df))
+
+
+def in_lanes(df: DataFrame, lane: Column, message: Column) -> DataFrame:
+    """df (with payload_id) as canonical rows with their lane and, for warnings and errors, a message."""
+    rows = df.withColumns({"lane": lane.cast("string"), "message": message.cast("string")})
+    return rows.select("payload_id", "lane", "message", *canonical_columns(rows))
+
+
+def identified(landed: DataFrame) -> DataFrame:
+    """Payloads with an id: that which they have, else their checksum."""
+    return landed if "payload_id" in landed.columns else landed.withColumn("payload_id", F.sha2(F.concat_ws("\n", "source", "body"), 256))
+
+
+def parsed(body: str, schema: str) -> Column:
+    """A JSON payload as a struct, whose _broken is the text of one that can't be read."""
+    return F.from_json(body, schema[:-1] + ",_broken:string>", {"columnNameOfCorruptRecord": "_broken"})
+
 
-    cols = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(CANONICAL).fields]
-    return df.select(*cols)
+@dataclass(frozen=True)
+class Feed:
+    """What a source gave: canonical rows; warnings (payload_id, message); a result for each payload (payload_id, source, status, rows, warnings, error)."""
+
+    rows: DataFrame
+    warnings: DataFrame
+    results: DataFrame
+
+
+def fetch(name: str, spark: SparkSession, landed: DataFrame, now: datetime) -> Feed:
+    """Runs a source on landed payloads. Nothing is thrown: a payload that can't be read fails alone, by a row in the error lane; where there is no such
+    source, or its job can't be planned, all payloads fail with the reason."""
+    landed = identified(landed)
+    failed = lambda why: in_lanes(landed.select("payload_id"), F.lit(ERROR), F.lit(why))
+    try:
+        lanes = SOURCES[name](spark, landed, now) if name in SOURCES else failed(f"no source {name}")
+    except Exception as e:  # whatever a plug-in raises is a result of the run
+        lanes = failed(f"{type(e).__name__}: {e}".split("\n")[0][:500])
+    of = lambda lane: F.col("lane") == lane
+    counts = lanes.groupBy("payload_id").agg(F.count_if(of(ROW)).alias("rows"), F.count_if(of(WARNING)).alias("warnings"), F.min(F.when(of(ERROR), F.col("message"))).alias("error"))
+    results = landed.select("payload_id", "source").join(counts, "payload_id", "left")
+    status = F.when(F.col("error").isNull(), "success").otherwise("failure")
+    results = results.select("payload_id", "source", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "error")
+    return Feed(canonical(lanes.filter(of(ROW))), lanes.filter(of(WARNING)).select("payload_id", "message"), results)
 
 
 NESTED = "struct<title:string,release:int,minutes:int,showtimes:array<struct<at:string,shown:string,expired:boolean>>>"
+UNREADABLE = "payload can't be read"
 
 
 @source("nested")
-def nested_showtimes(spark: SparkSession, landed: DataFrame) -> DataFrame:
-    """A film with its showtimes in one JSON object: one row for each that is shown and not over."""
-    film = landed.select("source", F.from_json("body", NESTED).alias("b"))
-    rows = film.select("source", "b.*", F.posexplode("b.showtimes").alias("feed_pos", "s")).filter("s.shown <> '0' AND NOT s.expired")
+def nested_lanes(spark: SparkSession, landed: DataFrame, now: datetime | None = None) -> DataFrame:
+    """A film with its showtimes in one JSON object: a row for each that isn't marked as hidden or over; what the feed doesn't say hides nothing.
+
+    Times are the local clock. One that can't be read is a warning. A programme at the title's end is split off; a film without title has no rows.
+    """
+    b = identified(landed).select("payload_id", "source", parsed("body", NESTED).alias("b")).select("payload_id", "source", "b.*")
+    open_ = F.filter("showtimes", lambda x: F.coalesce(x["shown"] != "0", F.lit(True)) & ~F.coalesce(x["expired"], F.lit(False)))
+    shows = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.transform(open_, lambda x, i: F.struct(x["at"].alias("at"), i.alias("feed_pos"))))
+    each = b.select("payload_id", F.col("source").alias("venue_id"), "release", "_broken", F.trim("title").alias("title"), F.col("minutes").alias("runtime_min"), F.explode_outer(shows).alias("s"))
+    each = each.withColumns({"starts_at": F.expr("try_cast(s.at AS timestamp_ntz)") + F.make_interval(hours=F.lit(times.OFFSET_HOURS)), "_t": programme_suffix(F.col("title"))})
     tags = F.when(F.col("release") == 1, F.array(F.lit("premiere"))).otherwise(F.array().cast("array<string>"))
-    return canonical(rows.select(F.col("source").alias("venue_id"), F.col("title").alias("film_title"), F.col("minutes").alias("runtime_min"),
-                                 F.expr("try_cast(s.at AS timestamp_ntz)").alias("starts_at"), tags.alias("tags"), "feed_pos"))
+    each = each.withColumns({"film_title": F.col("_t.title"), "program_name": F.col("_t.program"), "tags": tags, "feed_pos": F.col("s.feed_pos")})
+    lane = F.when(F.col("_broken").isNotNull(), ERROR).when(F.col("s").isNull(), None).when(F.col("starts_at").isNull(), WARNING).otherwise(ROW)
+    message = F.when(F.col("_broken").isNotNull(), UNREADABLE).when(F.col("starts_at").isNull(), F.concat("title", F.lit(": unreadable time "), F.coalesce("s.at", F.lit("null"))))
+    return in_lanes(each, lane, message).filter("lane IS NOT NULL")
+
+
+def nested_showtimes(spark: SparkSession, landed: DataFrame) -> DataFrame:
+    """The canonical rows of nested feeds."""
+    return canonical(nested_lanes(spark, landed).filter(F.col("lane") == ROW))
 
 
 TWO_LISTS = "struct<films:array<struct<code:string,name:string>>,shows:array<struct<code:string,hour:string,complex:string>>>"
@@ -65,6 +128,23 @@ def coded_showtimes(landed: DataFrame, complex_id: str) -> tuple[DataFrame, Data
     return shows.join(films, ["source", "day", "code"]), shows.join(films, ["source", "day", "code"], "left_anti")
 
 
+@source("coded")
+def coded_lanes(spark: SparkSession, landed: DataFrame, now: datetime | None = None) -> DataFrame:
+    """A day's films and shows ('HH:mm' or 'HHmm', local) as two lists of one JSON object (day, complex, films, shows): a row for each show of the payload's complex, under the first film
+    of its code. A show of an unknown film or with an unreadable hour is a warning; a payload without a day can't be read."""
+    schema = TWO_LISTS[:-1] + ",day:string,complex:string>"
+    b = identified(landed).select("payload_id", "source", parsed("body", schema).alias("b")).select("payload_id", "source", "b.*").withColumn("_day", F.expr("try_cast(day AS date)"))
+    broken = F.col("_broken").isNotNull() | F.col("_day").isNull()
+    shows = F.when(~broken, F.filter(F.transform("shows", lambda x, i: F.struct(x["code"].alias("code"), x["hour"].alias("hour"), x["complex"].alias("place"), i.alias("feed_pos"))), lambda x: x["place"] == F.col("complex")))
+    each = b.select("payload_id", F.col("source").alias("venue_id"), "films", "_day", broken.alias("_bad"), F.explode_outer(shows).alias("s"))
+    name = F.get(F.filter("films", lambda f: f["code"] == F.col("s.code")), F.lit(0))["name"]
+    clock = [F.regexp_extract("s.hour", r"^(\d{1,2}):?(\d{2})$", i).try_cast("int") for i in (1, 2)]
+    each = each.withColumns({"film_title": none(F.trim(name)), "starts_at": F.when((clock[0] < 25) & (clock[1] < 60), wall_to_utc(F.col("_day"), *clock)), "feed_pos": F.col("s.feed_pos")})
+    lane = F.when(F.col("_bad"), ERROR).when(F.col("s").isNull(), None).when(F.col("film_title").isNull() | F.col("starts_at").isNull(), WARNING).otherwise(ROW)
+    message = F.when(F.col("_bad"), UNREADABLE).when(F.col("film_title").isNull(), F.concat(F.lit("unknown film "), F.coalesce("s.code", F.lit("null")))).when(F.col("starts_at").isNull(), F.concat("film_title", F.lit(": unreadable time "), F.coalesce("s.hour", F.lit("null"))))
+    return in_lanes(each, lane, message).filter("lane IS NOT NULL")
+
+
 def merge_details(listing: DataFrame, details: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """Listing rows whose missing fields come from one detail for each key."""
     one = details.withColumn("_i", F.row_number().over(W.partitionBy(on).orderBy(*[F.col(c).asc_nulls_last() for c in columns]))).filter("_i = 1")
@@ -98,10 +178,11 @@ def agenda(pages: DataFrame, venue: str, kind: str) -> DataFrame:
 
 
 def credits(block: Column) -> Column:
-    """Labelled lines ('Label: value') as a map from folded labels."""
+    """Labelled lines ('Label: value') as a map from folded labels; of a label that comes twice the first holds."""
     lines = F.filter(F.split(block, r"\n"), lambda x: x.contains(":"))
     entry = lambda x: F.struct(text.search_fold(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, 1 << 20)).alias("v"))
-    return F.map_from_entries(F.array_sort(F.transform(lines, entry)))
+    first = lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, lambda x: x["k"]), e["k"]) == i + 1)
+    return F.map_from_entries(text.let(F.transform(lines, entry), first))
 
 
 def split_title(c: Column) -> Column:
@@ -124,9 +205,15 @@ def valid_year(year: Column, this_year: int = 2024) -> Column:
     return F.when(year.between(1888, this_year + 2), year)
 
 
+# Words that begin a programme's name behind a title.
+SUFFIX_WORDS = ("CICLO", "RETROSPECTIVA", "FOCO", "MUESTRA", "HOMENAJE")
+
+
 def programme_suffix(c: Column) -> Column:
-    """(title, programme) of 'TITLE - CICLO X'."""
-    return F.struct(F.trim(F.regexp_replace(c, r"(?i)\s+-\s+CICLO\s.*$", "")).alias("title"), F.nullif(F.regexp_extract(c, r"(?i)\s+-\s+(CICLO\s.*)$", 1), F.lit("")).alias("program"))
+    """(title, programme) of 'TITLE - CICLO X': what stands behind the first dash that a programme's word follows; a title is never left empty."""
+    whole = rf"(?is)^(.*?)\s*[-–—]\s*((?:{'|'.join(SUFFIX_WORDS)})\b.*)$"
+    head = F.trim(F.regexp_extract(c, whole, 1))
+    return F.struct(F.when(head != "", head).otherwise(c).alias("title"), F.when(head != "", F.trim(F.regexp_extract(c, whole, 2))).alias("program"))
 
 
 def shift_suffix(c: Column) -> Column:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators.catalog import ingest
-from ..storage import shared_folder
+from ..storage import Snapshots, saved, shared_folder
 
 # Stateful functions travel by value, so executors need no copy of the library on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,36 +103,60 @@ def silences(stream: DataFrame) -> DataFrame:
 
 
 SNAPSHOTS = {
-    "films": "id long, scraped_title string, scraped_year int, director string, runtime int, synopsis string, skip boolean, match_source string",
+    "films": "id long, scraped_title string, scraped_year int, director string, title_original string, runtime int, synopsis string, skip boolean, match_source string",
     "screenings": "id long, film_id long, venue_id string, starts_at timestamp_ntz, program_name string, tags array<string>, source_url string, scraped_at timestamp_ntz",
 }
+#: Parts that films are dealt to, by their titles.
+FILM_PARTS = 64
 
 
-def ingest_stream(spark: SparkSession, landed: DataFrame, job: Callable[[SparkSession, DataFrame], DataFrame], now: datetime, root: str, start: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Landed payloads through a source's job into the next snapshots of films and screenings, a version for each batch.
+def film_part(title: Column) -> Column:
+    return F.pmod(F.xxhash64(title), F.lit(FILM_PARTS)).cast("string")
+
+
+def screening_part(starts_at: Column) -> Column:
+    """Screenings lie by their local day, so that what is past is never touched."""
+    return F.coalesce(times.local_day(starts_at).cast("string"), F.lit("none"))
+
+
+def snapshots(spark: SparkSession, root: str) -> Snapshots:
+    return Snapshots(spark, root, SNAPSHOTS, {"films": film_part(F.col("scraped_title")), "screenings": screening_part(F.col("starts_at"))})
 
-    The first version follows the snapshots of `start`, or none. A batch that is run again writes its version again from the one
-    before it, so the result is the same; the version before that is dropped. Where nothing has landed the
-    snapshots are those of the last version, or of the start.
-    """
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folder = lambda n: f"{root}/v={n:012d}"
 
-    def version(n: int) -> dict[str, DataFrame]:
-        if n < 0:
-            return start or {k: spark.createDataFrame([], t) for k, t in SNAPSHOTS.items()}
-        return {k: spark.read.schema(t).parquet(f"{folder(n)}/{k}") for k, t in SNAPSHOTS.items()}
+def ingest_batch(store: Snapshots, rows: DataFrame, now: datetime, version: int) -> dict:
+    """The version that follows the last one below it: reads and rewrites the parts of the rows' titles, and of their days and the days from today on.
+
+    Their number is bounded by FILM_PARTS and by how far ahead venues announce, whatever the history holds. A version that is made again replaces itself."""
+    base = store.mark(version)
+    touched = {
+        "films": {r[0] for r in rows.filter("scraped_title IS NOT NULL").select(film_part(F.col("scraped_title"))).distinct().collect()},
+        "screenings": {r[0] for r in rows.select(screening_part(F.col("starts_at"))).distinct().collect()},
+    }
+    today = str((now - timedelta(hours=times.OFFSET_HOURS)).date())
+    touched["screenings"] |= {p for p in base["parts"]["screenings"] if p >= today}
+    before = {t: store.read(t, base, touched[t]) for t in SNAPSHOTS}
+    after = ingest(before["films"], before["screenings"], rows, now, top=base["top"])
+    return store.commit(version, base, {t: after[t].select(*before[t].columns) for t in SNAPSHOTS}, touched)
+
+
+def ingest_stream(
+    spark: SparkSession, landed: DataFrame, job: Callable[[SparkSession, DataFrame, datetime], DataFrame], now: datetime, root: str, start: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Landed payloads through a source's job into the next snapshots of films and screenings, a version for each batch (see `Snapshots`).
+
+    The first version follows the snapshots of `start`, or none. A batch that is run again makes its version again from the one
+    before it, so the result is the same. Where nothing has landed the snapshots are those of the last version, or of the start.
+    """
+    store = snapshots(spark, root)
+    if start and not store.versions():
+        store.commit(0, store.mark(), {t: start[t] for t in SNAPSHOTS}, {})
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = job(spark, batch).withColumnsRenamed({"film_title": "scraped_title", "year": "scraped_year", "runtime_min": "runtime"})
-        rows = rows.withColumns({"scraped_at": times.lit(now), "skip": F.coalesce("skip", F.lit(False))})
-        before = version(number - 1)
-        after = ingest(before["films"], before["screenings"], rows, now)
-        for name in SNAPSHOTS:
-            after[name].write.mode("overwrite").parquet(f"{folder(number)}/{name}")
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(number - 2)), True)
+        rows = job(spark, batch, now)
+        rows = rows.filter(F.col("lane") == "row").drop("payload_id", "lane", "message")
+        rows = rows.withColumnsRenamed({"film_title": "scraped_title", "year": "scraped_year", "runtime_min": "runtime", "film_title_original": "title_original"})
+        rows = saved(rows.withColumns({"scraped_at": times.lit(now), "skip": F.coalesce("skip", F.lit(False))}), "batch")
+        ingest_batch(store, rows, now, number + 1)
 
     landed.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    names = [x.getPath().getName() for x in fs.listStatus(base)] if fs.exists(base) else []
-    return version(max((int(x[2:]) for x in names if x.startswith("v=")), default=-1))
+    return {t: store.read(t) for t in SNAPSHOTS}
