@@ -98,9 +98,10 @@ def stuck_list(films: DataFrame, screenings: DataFrame, venues: DataFrame, now:
 
 
 def miss_causes(misses: DataFrame) -> DataFrame:
-    """Causes that two films or more share and that a rule could mend, in a fixed order."""
+    """(cause, id, n): films whose cause a rule could mend and two films or more share, and how many do. The causes are a fixed few, so their counts are broadcast."""
     causes = misses.withColumn("cause", text.miss_cause(F.col("title"), F.col("director"))).filter("cause <> 'unfixable'")
-    return causes.groupBy("cause").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids")).filter("n >= 2").orderBy("cause")
+    shared = causes.groupBy("cause").agg(F.count("*").alias("n")).filter("n >= 2")
+    return causes.join(F.broadcast(shared), "cause").select("cause", "id", "n")
 
 
 def evaluate(cases: DataFrame) -> DataFrame:

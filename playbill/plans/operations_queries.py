@@ -167,7 +167,7 @@ def trailing_trend(spark, sf_dir):
 WITH m AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'FESTIVAL NORTE: ' || p_name WHEN 1 THEN p_name || ' - CORTOS GANADORES' WHEN 2 THEN 'Función sorpresa ' || p_name ELSE p_name END AS title,
   CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN NULL ELSE 'Dir' END AS director FROM part),
 c AS (SELECT id, CASE WHEN id % 6 < 3 THEN 'container-or-placeholder' WHEN length(director) > 0 THEN 'localized-title-miss' ELSE 'unfixable' END AS cause FROM m)
-SELECT cause, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM c WHERE cause <> 'unfixable' GROUP BY 1 HAVING count(*) >= 2""")
+SELECT cause, id, count(*) OVER (PARTITION BY cause) AS n FROM c WHERE cause <> 'unfixable' QUALIFY n >= 2""")
 def miss_causes(spark, sf_dir):
     m = table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id", "CASE p_partkey % 6 WHEN 0 THEN concat('FESTIVAL NORTE: ', p_name) WHEN 1 THEN concat(p_name, ' - CORTOS GANADORES') WHEN 2 THEN concat('Función sorpresa ', p_name) ELSE p_name END AS title",

@@ -194,10 +194,10 @@ def proposal_lanes(spark, sf_dir):
 
 
 @query("R-7 U-2 J-4", """
-WITH m AS (SELECT c_custkey AS listing_id, c_name AS title, c_custkey % 9 AS ext_id FROM customer WHERE c_custkey % 4 = 0), s AS (SELECT -row_number() OVER (ORDER BY s_name, s_suppkey % 9) AS listing_id, s_name AS title, s_suppkey % 9 AS ext_id FROM supplier)
-SELECT *, listing_id >= 0 AND listing_id % 8 = 0 AND ext_id IN (0, 4) AS reachable FROM (SELECT * FROM m UNION ALL SELECT * FROM s)""")
+WITH m AS (SELECT c_custkey AS listing_id, c_name AS title, c_custkey % 9 AS ext_id FROM customer), s AS (SELECT -row_number() OVER (ORDER BY s_name, s_suppkey % 9) AS listing_id, s_name AS title, s_suppkey % 9 AS ext_id FROM supplier)
+SELECT *, listing_id >= 0 AND (ext_id = 4 OR ext_id = listing_id % 5) AS reachable FROM (SELECT * FROM m UNION ALL SELECT * FROM s)""")
 def golden_cases(spark, sf_dir):
-    manual = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").selectExpr("c_custkey AS listing_id", "c_name AS title", "c_custkey % 9 AS ext_id")
+    manual = table(spark, sf_dir, "customer").selectExpr("c_custkey AS listing_id", "c_name AS title", "c_custkey % 9 AS ext_id")
     seeds = table(spark, sf_dir, "supplier").selectExpr("s_name AS title", "s_suppkey % 9 AS ext_id")
-    shown = manual.filter("listing_id % 8 = 0").select("listing_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("ext_id"))
+    shown = manual.select("listing_id", F.explode(F.array(F.col("listing_id") % 5, F.lit(4).cast("long"))).alias("ext_id"))
     return R.golden_set(manual, seeds, shown)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import times
 from ..operators.catalog import ingest
@@ -19,6 +20,8 @@ from ..storage import Snapshots, saved, shared_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STUCK_MINUTES, SILENT_MINUTES = 30, 120
+#: Days after which a silent source is given up.
+SILENT_DAYS = 60
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,62 +47,92 @@ def day_counts(stream: DataFrame, key: str, time: str = "at", delay: str = "1 ho
     return days.agg(F.count("*").alias("n")).select(key, F.to_date("w.start").alias("day"), "n")
 
 
-def _stuck(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    limit = STUCK_MINUTES * 60_000
-    started, ended = state.get if state.exists else (None, None)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"run_id": [key[0]], "started_ms": [started]})
-        return
-    for pdf in batches:
-        ms = (pdf["at"].astype("int64") // (1_000_000 if str(pdf["at"].dtype).startswith("datetime64[ns") else 1000)).tolist()
-        for event, t in zip(pdf["event"], ms, strict=True):
-            if event == "start":
-                started = t if started is None else min(started, t)
-            else:
-                ended = t if ended is None else min(ended, t)
-    if started is None:
-        state.update((started, ended))
-        return
-    if ended is None and started + limit > state.getCurrentWatermarkMs():
-        state.update((started, ended))
-        state.setTimeoutTimestamp(started + limit)
-        return
-    if state.exists:
-        state.remove()
-    if ended is None or ended - started > limit:
+def _milliseconds(at: pd.Series) -> list[int]:
+    return (at.astype("int64") // (1_000_000 if str(at.dtype).startswith("datetime64[ns") else 1000)).tolist()
+
+
+def timed(stream: DataFrame, delay: str, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """A processor with state and timers on event time for each key. Its state is in RocksDB, so it may outgrow memory; the setting holds for the session's later streams."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.withWatermark("at", delay).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class _Stuck(StatefulProcessor):
+    """A run's start and finish. The start sets a timer, which a finish in time deletes with the state."""
+
+    def init(self, handle) -> None:
+        self.handle, self.run = handle, handle.getValueState("run", "started long, ended long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        limit = STUCK_MINUTES * 60_000
+        started, ended = before = self.run.get() if self.run.exists() else (None, None)
+        for pdf in rows:
+            for event, t in zip(pdf["event"], _milliseconds(pdf["at"]), strict=True):
+                if event == "start":
+                    started = t if started is None else min(started, t)
+                else:
+                    ended = t if ended is None else min(ended, t)
+        if before[0] is not None:
+            self.handle.deleteTimer(before[0] + limit)
+        if started is None or (ended is None and started + limit > timerValues.getCurrentWatermarkInMs()):
+            self.run.update((started, ended))
+            if started is not None:
+                self.handle.registerTimer(started + limit)
+            return
+        self.run.clear()
+        if ended is None or ended - started > limit:
+            yield pd.DataFrame({"run_id": [key[0]], "started_ms": [started]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        started, _ = self.run.get()
+        self.run.clear()
         yield pd.DataFrame({"run_id": [key[0]], "started_ms": [started]})
 
+    def close(self) -> None:
+        pass
+
 
 def stuck_runs(stream: DataFrame) -> DataFrame:
-    """Runs (run_id, event start or finish, at) that did not finish in STUCK_MINUTES, by a timer for each run on event time."""
-    rows = stream.withWatermark("at", "0 seconds").groupBy("run_id")
-    return rows.applyInPandasWithState(_stuck, "run_id long, started_ms long", "started long, ended long", "append", "EventTimeTimeout")
-
-
-def _silent(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    limit = SILENT_MINUTES * 60_000
-    last = state.get[0] if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        return
-    times = []
-    for pdf in batches:
-        times += (pdf["at"].astype("int64") // (1_000_000 if str(pdf["at"].dtype).startswith("datetime64[ns") else 1000)).tolist()
-    out = []
-    for t in sorted(times):
-        if last is not None and t - last > limit:
-            out.append((key[0], last, t))
-        last = t if last is None else max(last, t)
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["source", "from_ms", "to_ms"])
+    """Runs (run_id, event start or finish, at) that did not finish in STUCK_MINUTES, by a timer for each run on event time; the state of a run ends with it."""
+    return timed(stream, "0 seconds", "run_id", _Stuck(), "run_id long, started_ms long")
+
+
+class _Silent(StatefulProcessor):
+    """The last row of a source. Its timer ends the state of a source that stays silent, and tells so."""
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        last = before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        if last is not None and last + SILENT_DAYS * 86_400_000 <= timerValues.getCurrentWatermarkInMs():  # given up in this very batch
+            out.append((key[0], last, None))
+            last = None
+        for t in sorted(t for pdf in rows for t in _milliseconds(pdf["at"])):
+            if last is not None and t - last > SILENT_MINUTES * 60_000:
+                out.append((key[0], last, t))
+            last = t if last is None else max(last, t)
+        if before is not None:
+            self.handle.deleteTimer(before + SILENT_DAYS * 86_400_000)
+        self.last.update((last,))
+        self.handle.registerTimer(last + SILENT_DAYS * 86_400_000)
+        if out:
+            yield pd.DataFrame(out, columns=["source", "from_ms", "to_ms"]).astype({"to_ms": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"source": [key[0]], "from_ms": [last], "to_ms": pd.array([None], "Int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def silences(stream: DataFrame) -> DataFrame:
-    """Stretches of over SILENT_MINUTES without a row of a source; the last row of each is the state."""
-    rows = stream.withWatermark("at", "1 hour").groupBy("source")
-    return rows.applyInPandasWithState(_silent, "source string, from_ms long, to_ms long", "last long", "append", "NoTimeout")
+    """Stretches of over SILENT_MINUTES without a row of a source. A source that is silent for SILENT_DAYS gives one row without an end, and its state goes: when it
+    speaks again it is new."""
+    return timed(stream, "1 hour", "source", _Silent(), "source string, from_ms long, to_ms long")
 
 
 SNAPSHOTS = {
