@@ -30,6 +30,8 @@ PERIOD = 4
 HASH_BITS = np.uint64(((1 << 48) - 1) << 16)
 #: Bytes hashed at a time, so that they stay near the processor.
 SEGMENT = 1 << 17
+#: Strings of no phrase that are looked at together, and compared byte by byte together.
+BLOCK_STARTS, COMPARED = 1 << 16, 1 << 12
 #: Bytes of text in a chunk, unless one text is longer.
 CHUNK_BYTES = 2 << 20
 #: Classes are numbered by the place of their first suffix in its bucket, with the bucket in the bits from this one on.
@@ -183,9 +185,10 @@ def _runs(batches, length: int, buckets: int):
         inside = np.ones(len(i) + len(ends), bool)
         inside[ends] = False
         spread = lambda x: np.bincount(np.flatnonzero(inside), x, len(inside)).astype(np.int64)
-        rows = [(OWN, packed(*map(spread, (place[own] + 1, reach, least, most)), runs.low, runs.high, runs.u, runs.v, runs.bare_low, runs.bare_high), len(ends))]
+        bare = one_of_each(data, runs.bare_low, runs.bare_high, length)
+        rows = [(OWN, packed(*map(spread, (place[own] + 1, reach, least, most)), runs.low, runs.high, runs.u, runs.v, *bare), len(ends))]
         rows += _cut_texts(phrases.dictionary, bucket, order)
-        _, h, counts, _ = _bare(data, runs.bare_low, runs.bare_high, length)
+        _, h, counts, _ = _bare(data, bare[0], bare[1], length)
         rows += [(buckets + b, d) for b, d in cut_by(bucket_of(h, buckets), [(h >> np.uint64(1)).astype(np.int64), (counts > 1).astype(np.int64)])]
         yield _batch(row["chunk"], rows)
 
@@ -197,6 +200,41 @@ def _bare(data: bytes, low: np.ndarray, high: np.ndarray, length: int):
     return starts, h, counts, number
 
 
+def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places as intervals, ends included."""
+    if not len(at):
+        return at, at
+    new = np.flatnonzero(np.diff(at) != 1) + 1
+    return at[np.r_[0, new]], at[np.r_[new, len(at)] - 1]
+
+
+def _blocks(low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of intervals, some at a time."""
+    upto = np.cumsum(high - low + 1)
+    for first in range(0, int(upto[-1]) if len(upto) else 0, BLOCK_STARTS):
+        n = np.arange(first, min(first + BLOCK_STARTS, int(upto[-1])))
+        i = np.searchsorted(upto, n, "right")
+        yield low[i] + n - (upto[i] - (high - low + 1)[i])
+
+
+def one_of_each(data: bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of starts of strings of no phrase that stand for all equal ones of the chunk, and intervals of the starts that are thereby
+    known to be repeated. In a stretch with a period, such as a ruler or padding, there are no more distinct strings than
+    the period has bytes, so that all else is settled here. Hashes find a string's first equal, its bytes decide."""
+    windows, firsts, stay, again = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length) if len(data) >= length else None, {}, [], []
+    for starts in _blocks(low, high):
+        h, one, which = np.unique(phrase_hashes(data, starts, starts + length - GRAM), return_index=True, return_inverse=True)
+        first = np.array([firsts.setdefault(x, y) for x, y in zip(h.tolist(), starts[one].tolist(), strict=True)], np.int64)[which]
+        other = np.flatnonzero(first != starts)
+        equal = np.concatenate([(windows[starts[i]] == windows[first[i]]).all(axis=1) for i in np.array_split(other, len(other) // COMPARED + 1)]) if len(other) else np.zeros(0, bool)
+        alone = np.ones(len(starts), bool)
+        alone[other[equal]] = False
+        stay.append(np.stack(_intervals(np.sort(starts[alone]))))
+        again += [np.stack(_intervals(np.sort(starts[~alone]))), np.stack([np.unique(first[~alone])] * 2)]
+    none = np.zeros((2, 0), np.int64)
+    return *np.concatenate([none, *stay], axis=1), *np.concatenate([none, *again], axis=1)
+
+
 def _bare_twice(bucket: int, rows: list[bytes]) -> tuple[list[bytes], int]:
     """Which hashes of a bucket are found twice."""
     parts = [arrays_of(r) for r in rows]
@@ -427,7 +465,7 @@ def _strings(batches, length: int, buckets: int):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         many = (np.bincount(own, minlength=len(order)) > 1).astype(np.int64)[order]
-        rows = [(OWN, packed(x.low, x.high, starts, place[own])), *_cut_texts(keys.dictionary, bucket, order, many)]
+        rows = [(OWN, packed(np.r_[x.low, runs[10]], np.r_[x.high, runs[11]], starts, place[own])), *_cut_texts(keys.dictionary, bucket, order, many)]
         yield _batch(row["chunk"], rows)
 
 
@@ -510,7 +548,8 @@ def remove_common_bytes(
     names. Each suffix is compared with its neighbours in that order. What their common prefixes cover is
     repeated. Other strings begin before their first anchor or end behind their last one: two of them are
     equal if their phrases inside are of one class in the order and their other bytes agree. Strings
-    with no two anchors are compared whole. Nothing is settled by a hash.
+    with no two anchors are compared whole, one of each kind for a chunk, so that stretches of a short period, which have few kinds, stay
+    few. Nothing is settled by a hash.
 
     Texts equal to others go as a whole; one of them stays to be compared with the rest. Null and empty texts have no bytes,
     repeated rows and null keys are rows like others; keys are integers; an empty table gives no rows; other

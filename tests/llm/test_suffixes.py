@@ -86,3 +86,32 @@ def test_common_bytes_on_documents(spark):
     assert byte_dedup.remove_common_bytes(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         byte_dedup.remove_common_bytes(df, 15)
+
+
+def test_equal_strings_without_phrases_are_settled_together():
+    """One start stands for all equal ones of a chunk, and all of those are known to be repeated."""
+    rng = np.random.default_rng(3)
+    kinds = (lambda: b"x" * int(rng.integers(1, 90)), lambda: bytes(rng.choice([97, 98], int(rng.integers(1, 60))).tolist()), lambda: (bytes(rng.choice(6, int(rng.integers(2, 9))).tolist()) * 20)[: int(rng.integers(1, 120))])
+    for _ in range(200):
+        data, length = b"".join(kinds[int(k)]() for k in rng.integers(0, 3, 5)), int(rng.choice([16, 20, 40]))
+        n = len(data) - length + 1
+        if n < 8:
+            continue
+        cuts = np.sort(rng.choice(n, 4, replace=False))
+        low, high = cuts[::2], cuts[1::2]
+        places = lambda a, b: [i for x, y in zip(a.tolist(), b.tolist(), strict=True) for i in range(x, y + 1)]
+        starts = places(low, high)
+        counts = Counter(data[i : i + length] for i in starts)
+        a, b, c, d = byte_dedup.one_of_each(data, low, high, length)
+        assert Counter(data[i : i + length] for i in places(a, b)) == Counter(dict.fromkeys(counts, 1))
+        assert set(places(c, d)) == {i for i in starts if counts[data[i : i + length]] > 1}
+
+
+def test_long_texts_with_short_periods(spark):
+    """Padding and rulers of a million bytes: all but what stands alone goes, and one text's stretch is found in another."""
+    texts = ["x" * 1_000_000, "ab" * 300_000, "abcdefg" * 100_000, "head " + "-=" * 100 + " tail", "y" * 200, "y" * 199, "x" * 200 + "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], [tuple(s) for s in r["spans"]], r["kept_sha256"]) for r in byte_dedup.remove_common_bytes(df, 200).collect()}
+    gone = lambda t, *spans: (sum(b - a for a, b in spans), list(spans), hashlib.sha256("".join(t[x:y] for x, y in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(t)], strict=True)).encode()).hexdigest())
+    want = {i: gone(t, (0, len(t))) for i, t in enumerate(texts[:3])} | {3: gone(texts[3]), 4: gone(texts[4]), 5: gone(texts[5]), 6: gone(texts[6], (0, 200))}
+    assert got == want
