@@ -66,19 +66,25 @@ SEARCH_NOISE = (
     r"(?iu)\b(?:con\s+m[uú]sica\s+en\s+vivo|m[uú]sica\s+en\s+vivo|en\s+\d+\s?mm|\d+\s?mm|copia\s+(?:nueva|restaurada|en\s+\d+\s?mm)"
     r"|versi[oó]n\s+restaurada|preestreno|avant[\s-]?premi[eè]re|[uú]nica\s+funci[oó]n|funci[oó]n\s+[uú]nica|estreno|4k|doblada|subtitulada|vose?|vos)\b"
 )
+# An edition of a festival behind a dash.
 FESTIVAL_TAIL = r"\s*[-–—]\s*(?:\d+\s*[°ºªo]\s*)?[A-ZÁÉÍÓÚÜÑ][A-ZÁÉÍÓÚÜÑ0-9.°º]*(?:\s+[A-ZÁÉÍÓÚÜÑ0-9.°º]+){0,4}\s*$"
+# Words that begin a cycle's name before a colon.
 CYCLE_HEAD = r"(?iu)^\s*(?:FESTIVAL|CONVOCATORIA|CICLO|MUESTRA|RETROSPECTIVA|COMPETENCIA|SEMANA|PROGRAMA|CORTOS|CORTOMETRAJES?)\b[^:]{0,40}:\s*"
+# Titles that are no film but hold several.
 CONTAINER = (
     r"(?iu)\bRETROSPECTIVA\b", r"(?iu)\bCICLO\b", r"(?iu)\bFESTIVAL\b", r"(?iu)\bSORPRESA\b",
     r"(?iu)\bPROGRAMA\s+(?:\d+|I{1,3}|IV|VI{0,3}|IX|XI{0,3}|X|DOBLE)\b", r"(?iu)\bCORTOMETRAJES?\b", r"(?iu)\bCORTOS\b",
     r"(?iu)\b(?:EN|DE)\s+COMPETENCIA\b", r"(?iu)\bCOMPETENCIA\s+(?:OFICIAL\s+[A-ZÁÉÍÓÚÑ]|(?!OFICIAL\b|DESLEAL\b)[A-ZÁÉÍÓÚÑ])",
     r"(?iu)\bCONVOCATORIA\b", r"(?iu)\bPROYECCIONES\s+DE\s+CORTOS\b", r"(?iu)\bMUESTRA\s+DE\b",
 )
+# Shapes of such titles.
 CONTAINER_SHAPE = (
     *CONTAINER, r"(?iu)\bMUESTRA\b", r"(?iu)\bSEMANA\s+DE(?:L)?\s+CINE\b", r"(?iu)\bCORTOS?\b",
     r"(?iu)\b(?:PEL[IÍ]CULA|FUNCI[OÓ]N|PREESTRENO|FILM)\b[^.]{0,20}\bSORPRESA\b",
 )
+# Keywords in order of priority.
 SUGGESTED = ("FESTIVAL", "RETROSPECTIVA", "MUESTRA", "CICLO", "SEMANA", "CONVOCATORIA", "SORPRESA", "CORTOMETRAJES", "CORTOS")
+# What is no feature film, and why, in order.
 NON_FEATURE = (
     (r"(?iu)^\s*SESIONES\s+CLUB\s+LUCERO\b", "DJ/visual session"),
     (r"(?iu)^\s*FLEABAG\b", "theatre monologue + TV pilot"),
@@ -87,11 +93,13 @@ NON_FEATURE = (
     (r"(?iu)\bTEMPORADA\s*\d", "TV season"),
     (r"(?iu)\b(CORTOS|CORTOMETRAJES)\b", "shorts programme"),
 )
+# Labels of genres.
 GENRES = {
     28: "Acción", 12: "Aventura", 16: "Animación", 35: "Comedia", 80: "Crimen", 99: "Documental", 18: "Drama", 10751: "Familia",
     14: "Fantasía", 36: "Historia", 27: "Terror", 10402: "Música", 9648: "Misterio", 10749: "Romance", 878: "Ciencia ficción",
     10770: "Película de TV", 53: "Suspense", 10752: "Bélica", 37: "Western",
 }
+# Labels of tags.
 TAGS = {"unique": "ÚNICA FUNCIÓN", "restored": "COPIA RESTAURADA", "retrospective": "RETROSPECTIVA", "premiere": "ESTRENO", "cycle": "CICLO", "vos": "VOS", "dubbed": "DOBLADA"}
 
 
@@ -167,6 +175,7 @@ def display_title(venue_title: Column, catalog_title: Column, matched: Column) -
     return F.when(matched & (slug(venue_title) == slug(catalog_title)), catalog_title).otherwise(case_if_all_caps(venue_title))
 
 
+# Particles of names.
 PARTICLES = ("de", "del", "la", "las", "los", "y", "e", "da", "di", "von", "van")
 
 
