@@ -116,10 +116,12 @@ def filter_urls(
     bad = names.withColumn("_r", longest_rule(url_host(F.col("node")), url_path(F.col("node")), rules)).filter("_r.verdict = 'block'")
     # Many pages of one component send one row.
     blocked = bad.select(F.col("component").alias("_c")).distinct().withColumn("_blocked", F.lit(True))
+    # Pages without address or alias have no partner: each gets a key of its own, so that they don't meet in one task.
+    own = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
     judged = (
-        pages.select(F.col(key).alias("_k"), at.alias("_u"))
-        .join(names.select(F.col("node").alias("_u"), F.col("component").alias("_c")), "_u", "left")
-        .join(blocked, "_c", "left")
+        pages.select(F.col(key).alias("_k"), at.alias("_u")).withColumn("_j", own("_u"))
+        .join(names.select(F.col("node").alias("_j"), F.col("component").alias("_c")), "_j", "left").withColumn("_j", own("_c"))
+        .join(blocked.withColumnRenamed("_c", "_j"), "_j", "left")
         .withColumn("_rule", longest_rule(url_host(F.col("_u")), url_path(F.col("_u")), rules))
     )
     alias = F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow"))
