@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, times
+from ..operators import resolve as R
 from ..sources import feeds as S
 from .roles import NOW, SQL, films, screenings, table
 
@@ -110,9 +111,7 @@ def non_feature_reasons(spark, sf_dir):
 
 @query("S-7", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 1")
 def edit_distance_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    pairs = c.alias("a").join(c.alias("b"), F.expr("a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey"))
-    return pairs.filter(F.levenshtein("a.c_name", "b.c_name", 1) >= 0).select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
+    return R.one_edit_pairs(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_nationkey")
 
 
 @query("S-25 S-27", SQL + """
