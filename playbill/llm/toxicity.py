@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,16 +74,26 @@ def _part(own: list, most: int) -> list:
     return [(own[i][0][:most], own[i][1]) for i in sorted(order[: max(int(np.searchsorted(upto, most, "right")), 1)])]
 
 
+#: Words of the texts that are handed on together.
+WORDS_TOGETHER = 1 << 20
+
+
 def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Numbers of all words of each text, sentence by sentence, for training; of a text of more than `most` words those of some sentences."""
+    """All words of each text, sentence by sentence, for training, and the numbers of its distinct words; of a text of more than `most` words those of some sentences."""
     known = Remembered(parts)
     for batch in batches:
-        numbers, counts = [], []
-        for text in batch.column(1):
+        low, words, table, counts, total = 0, [], [], [], 0
+        for at, text in enumerate(batch.column(1), 1):
             own = _part(sentences(text.as_py() or ""), most)
-            numbers.append(np.array([known[w] for words, _ in own for w in words], np.int32).ravel())
-            counts.append([len(words) for words, _ in own])
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], ["numbers", "counts", "label"])
+            numbers = np.array([known[w] for words_, _ in own for w in words_], np.int32).reshape(-1, 1 + len(BEGINNINGS))
+            words.append(numbers[:, 0].copy())
+            table.append(numbers[np.unique(words[-1], return_index=True)[1]].ravel())
+            counts.append([len(words_) for words_, _ in own])
+            total += len(words[-1])
+            if total >= WORDS_TOGETHER or at == batch.num_rows:
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, table, counts)]
+                yield pa.RecordBatch.from_arrays([*lists, batch.column(2).slice(low, at - low)], ["words", "parts", "counts", "label"])
+                low, words, table, counts, total = at, [], [], [], 0
 
 
 def fit_noisy_or(numbers: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -94,13 +103,15 @@ def fit_noisy_or(numbers: np.ndarray, sentence: np.ndarray, document: np.ndarray
     the document of each sentence. p is the logistic function of the bias plus the sum of the
     weights of a sentence's words. Adam on the mean log loss and a ridge.
     """
-    n_docs, n_sent = len(labels), len(document)
     _, first, word = np.unique(numbers[:, 0], return_index=True, return_inverse=True)
     table = numbers[first]
-    del numbers
     pairs = np.unique(document[sentence] * len(first) + word) % max(len(first), 1)
-    found = np.bincount(pairs, minlength=len(first))  # documents that have the word
-    del pairs
+    return _descend(table, word, np.bincount(pairs, minlength=len(first)), sentence, document, labels)
+
+
+def _descend(table: np.ndarray, word: np.ndarray, found: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """As `fit_noisy_or`, of distinct words' part numbers (table), how many documents have each (found) and the word at each place."""
+    n_docs, n_sent = len(labels), len(document)
     enough = np.bincount(table.ravel(), np.repeat(found, table.shape[1]), WIDTH) >= LEAST_DOCUMENTS
     enough[0] = False
     used, compact = np.unique(np.where(enough[table], table, 0), return_inverse=True)
@@ -128,18 +139,32 @@ def fit_noisy_or(numbers: np.ndarray, sentence: np.ndarray, document: np.ndarray
     return out
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("i", ignore_index=True)
-    width, empty = 1 + len(BEGINNINGS), np.zeros(0, np.int64)
-    numbers = np.concatenate([*(np.asarray(x, np.int32) for x in rows["numbers"]), empty.astype(np.int32)]).reshape(-1, width)
-    counts = np.concatenate([*(np.asarray(x, np.int64) for x in rows["counts"]), empty])
-    document = np.repeat(np.arange(len(rows)), [len(x) for x in rows["counts"]])
-    labels = rows["label"].to_numpy()
-    del rows
-    if not len(numbers):
-        return pd.DataFrame({"weights": [_blank()]})
-    weights = fit_noisy_or(numbers, np.repeat(np.arange(len(counts), dtype=np.int32), counts), document, labels)
-    return pd.DataFrame({"weights": [weights.tobytes()]})
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows. The numbers of a word are held once, as its first row has them, so that a place takes 4 bytes here and some 40 in the fit."""
+    width = 1 + len(BEGINNINGS)
+    table, earliest, found = np.zeros((WIDTH, width), np.int32), np.full(WIDTH, np.iinfo(np.int64).max), np.zeros(WIDTH, np.int64)
+    rows = []
+    for batch in batches:
+        for words, own, counts, label, i in zip(*(batch.column(c) for c in ("words", "parts", "counts")), *(batch.column(c).to_pylist() for c in ("label", "i")), strict=True):
+            own = np.array(own.values, np.int32).reshape(-1, width)
+            found[own[:, 0]] += 1
+            own = own[i < earliest[own[:, 0]]]
+            earliest[own[:, 0]], table[own[:, 0]] = i, own
+            rows.append((i, np.array(words.values, np.int32), np.array(counts.values, np.int64), label))
+        del batch, words, own, counts
+    rows.sort(key=lambda r: r[0])
+    words = np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)])
+    if not len(words):
+        yield pa.RecordBatch.from_arrays([pa.array([_blank()], pa.binary())], ["weights"])
+        return
+    counts = np.concatenate([r[2] for r in rows])
+    document, labels = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), np.array([r[3] for r in rows])
+    del rows, earliest
+    known = np.flatnonzero(found)
+    table, place = table[known], np.zeros(WIDTH, np.int64)
+    place[known] = np.arange(len(known))
+    weights = _descend(table, place[words], found[known], np.repeat(np.arange(len(counts), dtype=np.int32), counts), document, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
 
 def _blank() -> bytes:
@@ -171,17 +196,17 @@ def train_toxicity(
         docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
         .join(F.broadcast(ws.save(chosen, "chosen")), "_k")  # at most `rows` pairs of numbers
         .select(F.xxhash64("_k").alias("k"), "text", F.struct("label", F.xxhash64("_k").alias("k")).alias("label"))
-        .mapInArrow(partial(_bags, most=max(numbers // ROW_SHARE // width, 1)), "numbers array<int>, counts array<int>, label struct<label:int,k:long>")
-        .select("numbers", "counts", "label.label", "label.k", F.xxhash64("numbers", "counts").alias("h"))
+        .mapInArrow(partial(_bags, most=max(numbers // ROW_SHARE // width, 1)), "words array<int>, parts array<int>, counts array<int>, label struct<label:int,k:long>")
+        .select("words", "parts", "counts", "label.label", "label.k", F.xxhash64("words", "parts", "counts").alias("h"))
     )
     # Repeated rows may not lift the bound, nor long texts that of what the one task holds.
     bags = ws.save(bags, "bags").withColumn("i", F.row_number().over(W.orderBy("k", "h"))).filter(F.col("i") <= rows)
     bags = ws.save(bags, "ordered")
-    sizes = [n for _, n in sorted((r[0], r[1]) for r in bags.select("i", F.size("numbers")).collect())]  # at most `rows` pairs of numbers
+    sizes = [n for _, n in sorted((r[0], r[1]) for r in bags.select("i", F.size("words") * width).collect())]  # at most `rows` pairs of numbers
     taken = fitting(sizes, numbers)
     if len(taken) < len(sizes):
         bags = bags.join(F.broadcast(docs.sparkSession.createDataFrame([(i + 1,) for i in taken], "i int")), "i")
-    fitted = bags.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "weights binary").first()
+    fitted = bags.select("words", "parts", "counts", "label", "i").coalesce(1).mapInArrow(_fit, "weights binary").first()
     return _blank() if fitted is None else bytes(fitted[0])
 
 
