@@ -194,11 +194,15 @@ def director_fallback(ranked: DataFrame) -> DataFrame:
 
 def director_pivot(listings: DataFrame, credits: DataFrame) -> DataFrame:
     """Listings whose director has exactly one film in the listed year's window: names to credits by folded name."""
-    names = listings.filter("year IS NOT NULL").select("listing_id", "year", F.explode(text.split_directors(F.col("director"))).alias("n"))
-    asked = names.select("listing_id", "year", text.title_key(F.col("n")).alias("person"))
-    films = credits.select(text.title_key(F.col("name")).alias("person"), "ext_id", "cat_year")
-    hits = asked.join(films, "person").filter(text.year_concrete(F.col("year"), F.col("cat_year"))).select("listing_id", "ext_id").distinct()
-    return only_one(hits, ["listing_id"], "ext_id").withColumn("score", F.lit(THRESHOLD))
+    asked = listings.filter("director IS NOT NULL AND year IS NOT NULL").select("director", "year")
+    names = asked.distinct().select("director", "year", F.explode(text.split_directors(F.col("director"))).alias("n"))
+    near = names.select("director", "year", text.title_key(F.col("n")).alias("person"), F.explode(F.array(*[F.col("year") + i for i in (-1, 0, 1)])).alias("cat_year"))
+    # Of a person's films of a year the least and the greatest id say whether there are others, so that listings never meet films row by row.
+    films = credits.select(text.title_key(F.col("name")).alias("person"), "ext_id", "cat_year").groupBy("person", "cat_year").agg(F.min("ext_id").alias("low"), F.max("ext_id").alias("high"))
+    bounds = [F.min("low").alias("low"), F.max("high").alias("high")]
+    hits = near.join(films, ["person", "cat_year"]).groupBy("director", "year").agg(*bounds)
+    own = listings.select("listing_id", "director", "year").join(hits, ["director", "year"]).groupBy("listing_id").agg(*bounds)
+    return own.filter("low = high").select("listing_id", F.col("low").alias("ext_id"), F.lit(THRESHOLD).alias("score"))
 
 
 #: What a listing asks: listings that agree in these have the same candidates in the same order.

@@ -33,3 +33,25 @@ def test_names_of_one_nation_are_not_compared_in_pairs(spark, tmp_path):
     found = __spark_entry__.queries()["edit_distance_pairs"](spark, str(tmp_path))
     assert "levenshtein" not in found._jdf.queryExecution().toString()
     assert found.count() == 15_000
+
+
+def test_a_directors_films_are_counted_before_listings_meet_them(spark):
+    """One director with 20,000 films and 20,000 listings: 400 million pairs, were they to meet row by row."""
+    names = [("Ana Ruiz", 1990, None), ("Eva Paz", 1990, 7), ("Eva Paz", 1992, 7), ("Eva Paz", 1993, None), ("Ana Ruiz", None, None), (None, 1990, None), ("Eva Paz y Juan Sosa", 1990, None), ("Juan Sosa, Juan Sosa", 2000, 9)]
+    told = spark.createDataFrame([(i, d, y) for i, (d, y, _) in enumerate(names)], "listing_id long, director string, year int")
+    credits = spark.createDataFrame([("Eva Paz", 7, 1991), ("eva paz", 7, 1991), ("Juan Sosa", 8, 1990), ("Juan Sosa", 9, 2001), ("Juan Sosa", 10, None), (None, 11, 1990)], "name string, ext_id long, cat_year int")
+    many = spark.range(20_000)
+    told = told.union(many.selectExpr("id + 100", "'Ana Ruiz'", "cast(1990 AS int)"))
+    credits = credits.union(many.selectExpr("'Ana Ruiz'", "id + 1000", "cast(1990 AS int)"))
+    found = resolve.director_pivot(told, credits)
+    assert {(r["listing_id"], r["ext_id"]) for r in found.collect()} == {(i, e) for i, (_, _, e) in enumerate(names) if e}
+    widest = 0
+    todo = [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() in ("AdaptiveSparkPlan", "ResultQueryStage", "ShuffleQueryStage", "BroadcastQueryStage"):
+            todo.append(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan())
+        if plan.metrics().contains("numOutputRows"):
+            widest = max(widest, plan.metrics().apply("numOutputRows").value())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert 0 < widest <= 20_100
