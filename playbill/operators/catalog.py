@@ -50,27 +50,24 @@ def upsert_films(current: DataFrame, incoming: DataFrame, top: int | None = None
     return with_new_ids(merged, current, ["feed_pos", "scraped_title", "scraped_year"], top).drop("feed_pos")
 
 
-#: Positions of a feed that are numbered together.
-POSITIONS = 4096
-
-
-def numbered(df: DataFrame, group: Column, order: list[str], after: DataFrame | None = None) -> DataFrame:
-    """df with `_i`: 1, 2, ... in an order whose groups follow one another, or what follows the one number of `after`. Rows are counted by
-    group and numbered inside it, so that no task sees all of them; the counts of groups, a row for each, are added up in order, with that number before the first."""
-    rows = df.withColumn("_g", group)
+def numbered(df: DataFrame, order: list[str], after: DataFrame | None = None) -> DataFrame:
+    """df with `_i`: 1, 2, ... in an order that tells rows apart, or what follows the one number of `after`. Rows are dealt out by ranges of the whole order and saved with
+    the number of theirs; they are counted by range and numbered inside it, so that no task sees all of them, whatever they have in common. The counts of ranges, a row for each, are added
+    up in order, with that number before the first."""
+    rows = saved(df.repartitionByRange(*order).withColumn("_g", F.spark_partition_id()), "ranges")
     counts = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.lit(1).alias("_s"), "_g", "_n")
     if after is not None:
-        counts = counts.unionByName(after.select(F.lit(0).alias("_s"), F.lit(None).cast(counts.schema["_g"].dataType).alias("_g"), F.col(after.columns[0]).cast("long").alias("_n")))
+        counts = counts.unionByName(after.select(F.lit(0).alias("_s"), F.lit(None).cast("int").alias("_g"), F.col(after.columns[0]).cast("long").alias("_n")))
     before = F.sum("_n").over(W.orderBy("_s", "_g").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_s", F.col("_g").alias("_h"), F.coalesce(before, F.lit(0)).alias("_o")).filter("_s = 1").drop("_s")
     inside = rows.withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy(*order)))
-    return inside.join(offsets, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_i", F.col("_i") + F.col("_o")).drop("_g", "_h", "_o")
+    return inside.join(offsets, F.col("_g") == F.col("_h")).withColumn("_i", F.col("_i") + F.col("_o")).drop("_g", "_h", "_o")
 
 
 def with_new_ids(df: DataFrame, current: DataFrame, order: list[str], top: int | None = None) -> DataFrame:
-    """Rows without id get the numbers after the greatest (or after `top`), in order; the first column of the order is a position."""
+    """Rows without id get the numbers after the greatest (or after `top`), in order."""
     after = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")) if top is None else None
-    fresh = numbered(df.filter("id IS NULL"), F.floor(F.col(order[0]) / POSITIONS), order, after)
+    fresh = numbered(df.filter("id IS NULL"), order, after)
     return df.filter("id IS NOT NULL").unionByName(fresh.withColumn("id", F.col("_i") + F.lit(top or 0)).drop("_i"))
 
 

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from playbill.operators import resolve
+from playbill.operators import catalog, resolve
+from playbill.storage import saved
 
 
 def near(a, b):
@@ -55,3 +56,21 @@ def test_a_directors_films_are_counted_before_listings_meet_them(spark):
             widest = max(widest, plan.metrics().apply("numOutputRows").value())
         todo += [plan.children().apply(i) for i in range(plan.children().size())]
     assert 0 < widest <= 20_100
+
+
+def test_rows_of_one_position_are_numbered_in_several_tasks(spark, monkeypatch):
+    """A feed whose payloads have few rows each gives all of them the same positions."""
+    kept = []
+    monkeypatch.setattr(catalog, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        films = spark.range(2_000).selectExpr("cast(NULL AS long) AS id", "id % 2 AS pos", "md5(cast(id AS string)) AS title").union(spark.createDataFrame([(7, 0, "old")], "id long, pos long, title string"))
+        out = catalog.with_new_ids(films, films, ["pos", "title"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    fresh = sorted((r for r in out if r["title"] != "old"), key=lambda r: (r["pos"], r["title"]))
+    assert [r["id"] for r in fresh] == list(range(8, 2_008))
+    assert [r["id"] for r in out if r["title"] == "old"] == [7]
+    (ranges,) = kept
+    sizes = [r["count"] for r in ranges.groupBy("_g").count().collect()]
+    assert sum(sizes) == 2_000 and max(sizes) <= 1_000
