@@ -59,6 +59,12 @@ def identified(landed: DataFrame) -> DataFrame:
     return landed if "payload_id" in landed.columns else landed.withColumn("payload_id", F.sha2(F.concat_ws("\n", "source", "body"), 256))
 
 
+def dealt(landed: DataFrame, *keys: str) -> DataFrame:
+    """Payloads dealt out by keys to as many partitions as shuffles have: files of short payloads are few, and taking a payload apart costs far more than reading it. The number is
+    given, as adaptive execution would join partitions by their bytes."""
+    return landed.repartition(int(landed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def parsed(body: str, schema: str) -> Column:
     """A JSON payload as a struct, whose _broken is the text of one that can't be read."""
     return F.from_json(body, schema[:-1] + ",_broken:string>", {"columnNameOfCorruptRecord": "_broken"})
@@ -76,7 +82,7 @@ class Feed:
 def fetch(name: str, spark: SparkSession, landed: DataFrame, now: datetime) -> Feed:
     """Runs a source on landed payloads. Nothing is thrown: a payload that can't be read fails alone, by a row in the error lane; where there is no such
     source, or its job can't be planned, all payloads fail with the reason."""
-    landed = identified(landed)
+    landed = dealt(identified(landed), "payload_id")  # which the counts below need anyway
     failed = lambda why: in_lanes(landed.select("payload_id"), F.lit(ERROR), F.lit(why))
     try:
         lanes = SOURCES[name](spark, landed, now) if name in SOURCES else failed(f"no source {name}")

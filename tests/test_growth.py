@@ -1,10 +1,12 @@
 """Work that grows no faster than its input and result."""
 
 import random
+from datetime import datetime
 
 import pytest
 
 from playbill.operators import catalog, resolve
+from playbill.sources import feeds, pages
 from playbill.storage import saved
 
 
@@ -74,3 +76,17 @@ def test_rows_of_one_position_are_numbered_in_several_tasks(spark, monkeypatch):
     (ranges,) = kept
     sizes = [r["count"] for r in ranges.groupBy("_g").count().collect()]
     assert sum(sizes) == 2_000 and max(sizes) <= 1_000
+
+
+def test_payloads_of_one_file_are_taken_apart_in_several_tasks(spark, monkeypatch):
+    landed = spark.createDataFrame([(str(i), "room", "{}") for i in range(100)], "payload_id string, source string, body string").coalesce(1)
+    seen = []
+
+    def job(spark, landed, now):
+        seen.append(landed.rdd.getNumPartitions())
+        return feeds.nested_lanes(spark, landed, now)
+
+    monkeypatch.setitem(feeds.SOURCES, "watched", job)
+    assert feeds.fetch("watched", spark, landed, datetime(2024, 1, 1)).results.count() == 100
+    assert seen == [4]
+    assert pages.event_feed(landed, datetime(2024, 1, 1)).rdd.getNumPartitions() == 4
