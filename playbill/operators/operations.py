@@ -40,9 +40,14 @@ def repetition(rows: DataFrame, cell: list[str]) -> DataFrame:
     return rows.groupBy(*cell).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("more"))
 
 
+#: Rows of a venue's films that one task takes, so that its memory does not grow with the table.
+ROWS_A_TASK = 500_000
+
+
 def redundancy(rows: DataFrame) -> DataFrame:
     """Of each venue: screenings by film, its most repeated film, days of the longest run, films on three days or more."""
-    film = rows.groupBy("venue_id", "film_id").agg(F.count("*").alias("n"), F.countDistinct("day").alias("d"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    film = rows.repartition(tasks, "venue_id", "film_id").groupBy("venue_id", "film_id").agg(F.count("*").alias("n"), F.countDistinct("day").alias("d"))
     return film.groupBy("venue_id").agg(
         F.sum("n").alias("screenings"), F.count("*").alias("films"), r6(F.sum("n") / F.count("*")).alias("ratio"),
         F.max_by("film_id", F.struct("n", -F.col("film_id"))).alias("top_film"), F.max("n").alias("top_n"), F.max("d").alias("max_days"), F.count_if(F.col("d") >= 3).alias("films_3_days"),

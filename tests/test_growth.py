@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from playbill.operators import catalog, resolve
+from playbill.operators import catalog, operations, resolve
 from playbill.sources import feeds, pages
 from playbill.storage import saved
 
@@ -89,4 +89,14 @@ def test_payloads_of_one_file_are_taken_apart_in_several_tasks(spark, monkeypatc
     monkeypatch.setitem(feeds.SOURCES, "watched", job)
     assert feeds.fetch("watched", spark, landed, datetime(2024, 1, 1)).results.count() == 100
     assert seen == [4]
-    assert pages.event_feed(landed, datetime(2024, 1, 1)).rdd.getNumPartitions() == 4
+    plan = pages.event_feed(landed, datetime(2024, 1, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [source" in plan and plan.index("from_json") < plan.index("RepartitionByExpression")
+
+
+def test_tasks_of_redundancy_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(10_000).selectExpr("id % 10 AS venue_id", "id DIV 7 AS film_id", "date_add(DATE '2024-01-01', cast(id % 3 AS int)) AS day")
+    expected = sorted(map(str, operations.redundancy(rows).collect()))
+    monkeypatch.setattr(operations, "ROWS_A_TASK", 500)
+    found = operations.redundancy(rows)
+    assert "hashpartitioning(venue_id" in found._jdf.queryExecution().toString() and ", 20), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted(map(str, found.collect())) == expected
