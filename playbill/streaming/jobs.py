@@ -22,6 +22,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STUCK_MINUTES, SILENT_MINUTES = 30, 120
 #: Days after which a silent source is given up.
 SILENT_DAYS = 60
+#: Groups that runs are dealt to.
+RUN_GROUPS = 1024
+#: Stands for a start or a finish that has not come.
+NEVER = 2**63 - 1
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,44 +61,64 @@ def timed(stream: DataFrame, delay: str, key: str, processor: StatefulProcessor,
     return stream.withWatermark("at", delay).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
+def _first_times(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for each run: its first start and its first finish."""
+    return rows.groupby("run_id", as_index=False, sort=False)[["started", "ended"]].min()
+
+
 class _Stuck(StatefulProcessor):
-    """A run's start and finish. The start sets a timer, which a finish in time deletes with the state."""
+    """The open runs of a group: a start or a finish that waits for the other, in microseconds. One timer, for the earliest start; what is settled leaves the state."""
 
     def init(self, handle) -> None:
-        self.handle, self.run = handle, handle.getValueState("run", "started long, ended long")
+        self.handle, self.open = handle, handle.getValueState("open", "run_id array<long>, started array<long>, ended array<long>")
+
+    def waiting(self) -> pd.DataFrame:
+        state = self.open.get() if self.open.exists() else ([], [], [])
+        return pd.DataFrame(dict(zip(("run_id", "started", "ended"), state, strict=True)), dtype="int64")
+
+    def timer(self, runs: pd.DataFrame) -> int | None:
+        """The first millisecond after the limit of the earliest start."""
+        first = runs["started"].min() if len(runs) else NEVER
+        return None if first == NEVER else (int(first) + STUCK_MINUTES * 60_000_000) // 1000 + 1
+
+    def settle(self, key, runs: pd.DataFrame, watermark: int):
+        limit = STUCK_MINUTES * 60_000_000
+        over = (runs["started"] < NEVER) & ((runs["ended"] < NEVER) | (runs["started"] + limit < watermark * 1000))
+        stuck, left = runs[over & (runs["ended"] > runs["started"] + limit)], runs[~over]
+        if len(left):
+            self.open.update(tuple(left[c].tolist() for c in ("run_id", "started", "ended")))
+        else:
+            self.open.clear()
+        if (timer := self.timer(left)) is not None:
+            self.handle.registerTimer(timer)
+        if len(stuck):
+            yield pd.DataFrame({"run_id": stuck["run_id"] if key[0] >= 0 else None, "started_ms": stuck["started"] // 1000})
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        limit = STUCK_MINUTES * 60_000
-        started, ended = before = self.run.get() if self.run.exists() else (None, None)
-        for pdf in rows:
-            for event, t in zip(pdf["event"], _milliseconds(pdf["at"]), strict=True):
-                if event == "start":
-                    started = t if started is None else min(started, t)
-                else:
-                    ended = t if ended is None else min(ended, t)
-        if before[0] is not None:
-            self.handle.deleteTimer(before[0] + limit)
-        if started is None or (ended is None and started + limit > timerValues.getCurrentWatermarkInMs()):
-            self.run.update((started, ended))
-            if started is not None:
-                self.handle.registerTimer(started + limit)
-            return
-        self.run.clear()
-        if ended is None or ended - started > limit:
-            yield pd.DataFrame({"run_id": [key[0]], "started_ms": [started]})
+        before = self.waiting()
+        if (timer := self.timer(before)) is not None:
+            self.handle.deleteTimer(timer)
+        yield from self.settle(key, _first_times(pd.concat([before, *map(_first_times, rows)])), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        started, _ = self.run.get()
-        self.run.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "started_ms": [started]})
+        yield from self.settle(key, self.waiting(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stuck_runs(stream: DataFrame) -> DataFrame:
-    """Runs (run_id, event start or finish, at) that did not finish in STUCK_MINUTES, by a timer for each run on event time; the state of a run ends with it."""
-    return timed(stream, "0 seconds", "run_id", _Stuck(), "run_id long, started_ms long")
+    """Runs (run_id, event start or finish, at) that did not finish in STUCK_MINUTES of event time; the state of a run ends with it.
+
+    Runs are dealt to RUN_GROUPS groups by their ids, so Python, the state and the timers are called for each group that a batch meets, not for each run.
+    A finish without a start stays in the state, as its start may come at any time.
+    """
+    begins, at, none = F.col("event") == "start", F.unix_micros("at"), F.lit(NEVER)
+    group = F.when(F.col("run_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("run_id"), F.lit(RUN_GROUPS)))
+    times_of = [F.when(begins, at).otherwise(none).alias("started"), F.when(begins, none).otherwise(at).alias("ended")]
+    # Rows without a run are one run, in a group of its own: a missing id would make floats of the ids beside it.
+    rows = stream.filter("at IS NOT NULL").select(group.alias("run_group"), F.coalesce("run_id", F.lit(0)).alias("run_id"), *times_of, "at")
+    return timed(rows, "0 seconds", "run_group", _Stuck(), "run_id long, started_ms long")
 
 
 class _Silent(StatefulProcessor):
