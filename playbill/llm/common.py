@@ -75,6 +75,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, as a side of a join that is never broadcast: Spark sizes what is made of compressed files, or of few rows by an explode or a Python
+    function, far too low, and would bring it to the driver."""
+    return df.hint("merge")
+
+
 def attach(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left (or inner) join with a side that has one row a key, whose keys may be null and hot in `big`.
 
@@ -87,7 +93,7 @@ def attach(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str
     else:
         salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        joined = dealt.alias("b").join(salted.alias("s"), cond & (F.col("b._salt") == F.col("s._salt")), how)
+        joined = dealt.alias("b").join(shuffled(salted.alias("s")), cond & (F.col("b._salt") == F.col("s._salt")), how)
     return joined.select(*[F.col(f"b.`{c}`") for c in big.columns], *[F.col(f"s.`{c}`") for c in small.columns if c != key])
 
 

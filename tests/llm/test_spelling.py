@@ -91,6 +91,18 @@ def test_long_chains_of_forms_and_ties(spark):
     assert ("aaaaaa", "aaaaaaa", "a" * 24, 5**6, 1, 5**7) in got and ("zzzzzz", "zzzzzb", "zzzzzb", 20, 2, 100) in got
 
 
+def test_neighbourhoods_and_forms_are_not_broadcast(spark, monkeypatch):
+    """A word has some hundred neighbours, and Spark sizes them by the file of the words."""
+    plans, save = [], spelling.Workspace.save
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling.Workspace, "save", lambda ws, df, label: seen(df) or save(ws, df, label))
+    rows = spark.createDataFrame([("a" * i, 5**i) for i in range(6, 12)], "word string, n long")
+    found = spelling.spelling_variants(rows)
+    seen(found)
+    assert {r["root"] for r in found.collect()} == {"a" * 11}
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_query_on_all_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in spelling.op11_spelling_variants(spark, SF).select("word", "form", "root", "n", "n_near", "form_n").collect())
