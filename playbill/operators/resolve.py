@@ -67,16 +67,18 @@ def one_edit_pairs(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
 
     Distinct values meet first, by equi-joins: replaced letters at (place, the rest), inserted ones at the shorter value, so that a key has as many
     values as the place has letters. Rows are then attached to pairs of values; no two rows are compared, and what grows beyond the rows is the result.
+    No side is broadcast: Spark sizes values and what is exploded from them by the compressed file of all rows.
     """
+    shuffled = lambda df: df.hint("merge")
     own = rows.select(F.col(by).alias("g"), F.col(value).alias("v"), F.col(key).alias("k")).dropna().repartition("g", "v")
     values = own.select("g", "v").distinct()
     rests = F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: _without(F.col("v"), i))
     less = values.filter(F.length("v") > 0).select("g", "v", F.posexplode(rests).alias("i", "rest"))
-    replaced = less.alias("x").join(less.alias("y"), F.expr("x.g = y.g AND x.i = y.i AND x.rest = y.rest AND x.v < y.v")).select("x.g", "x.v", F.col("y.v").alias("w"))
-    inserted = less.select("g", "v", "rest").distinct().alias("x").join(values.alias("y"), F.expr("x.g = y.g AND x.rest = y.v")).select("x.g", "x.v", F.col("y.v").alias("w"))
+    replaced = less.alias("x").join(shuffled(less.alias("y")), F.expr("x.g = y.g AND x.i = y.i AND x.rest = y.rest AND x.v < y.v")).select("x.g", "x.v", F.col("y.v").alias("w"))
+    inserted = less.select("g", "v", "rest").distinct().alias("x").join(shuffled(values.alias("y")), F.expr("x.g = y.g AND x.rest = y.v")).select("x.g", "x.v", F.col("y.v").alias("w"))
     links = replaced.unionByName(inserted)
-    equal = own.alias("x").join(own.alias("y"), F.expr("x.g = y.g AND x.v = y.v AND x.k < y.k")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
-    linked = own.join(links, ["g", "v"]).select("g", "w", F.col("k").alias("a")).alias("x").join(own.alias("y"), F.expr("x.g = y.g AND x.w = y.v AND x.a <> y.k"))
+    equal = own.alias("x").join(shuffled(own.alias("y")), F.expr("x.g = y.g AND x.v = y.v AND x.k < y.k")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+    linked = own.join(shuffled(links), ["g", "v"]).select("g", "w", F.col("k").alias("a")).alias("x").join(shuffled(own.alias("y")), F.expr("x.g = y.g AND x.w = y.v AND x.a <> y.k"))
     return equal.unionByName(linked.select(F.least("x.a", "y.k").alias("a"), F.greatest("x.a", "y.k").alias("b")))
 
 

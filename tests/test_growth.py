@@ -38,6 +38,18 @@ def test_names_of_one_nation_are_not_compared_in_pairs(spark, tmp_path):
     assert found.count() == 15_000
 
 
+def test_names_and_what_they_are_without_a_letter_are_not_broadcast(spark, tmp_path):
+    """Names are exploded by their letters, and Spark sizes that by the file."""
+    import __spark_entry__
+
+    spark.range(300).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = __spark_entry__.queries()["edit_distance_pairs"](spark, str(tmp_path))
+    names = {i: (i % 2, f"Customer#{i}") for i in range(300)}
+    assert found.count() == sum(names[a][0] == names[b][0] and near(names[a][1], names[b][1]) for a in names for b in names if a < b)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_directors_films_are_counted_before_listings_meet_them(spark):
     """One director with 20,000 films and 20,000 listings: 400 million pairs, were they to meet row by row."""
     names = [("Ana Ruiz", 1990, None), ("Eva Paz", 1990, 7), ("Eva Paz", 1992, 7), ("Eva Paz", 1993, None), ("Ana Ruiz", None, None), (None, 1990, None), ("Eva Paz y Juan Sosa", 1990, None), ("Juan Sosa, Juan Sosa", 2000, 9)]
